@@ -12,25 +12,87 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    pieces = pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
     return round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_all
+
+    scored = score_all(_table(spark, sf_dir, "documents"), lambda name: F.crc32(name) % 7 == 2)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import topk
 
     return topk(_table(spark, sf_dir, "embeddings"), k=10, query_every=100, scale=1024)
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import similar_documents
+
+    return similar_documents(_table(spark, sf_dir, "documents"), k=4, similarity=(85, 100)).select("doc_id", "n_shingles", "component_id")
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    docs = _table(spark, sf_dir, "documents")
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    found, _ = identify(docs, ~held)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio, so the bytes of each document's text are taken as 8-bit PCM."""
+    from .media import align
+
+    docs = _table(spark, sf_dir, "documents")
+    return align(docs.select(F.col("doc_id").alias("rec_id"), F.encode("text", "UTF-8").alias("payload")), query_every=50)
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract
+
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3.0).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_warc": op2_warc, "op4_topk": op4_topk, "op10_mixing": op10_mixing}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
+    "op2_warc": op2_warc,
+    "op3_lm": op3_lm,
+    "op4_topk": op4_topk,
+    "op5_jaccard": op5_jaccard,
+    "op6_langid": op6_langid,
+    "op7_license": op7_license,
+    "op8_media": op8_media,
+    "op9_html": op9_html,
+    "op10_mixing": op10_mixing,
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": """
