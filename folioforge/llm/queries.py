@@ -110,4 +110,19 @@ with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::do
            from v q join v c on q.vec_id % 100 = 0 and c.vec_id <> q.vec_id),
      r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 10""",
+    "op5_jaccard": r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+                                        else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end) as s from w),
+x as (select doc_id, len(s) as n, unnest(s) as g from s),
+p as (select a.doc_id as i, b.doc_id as j from x a join x b on a.g = b.g and a.doc_id <> b.doc_id
+      group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+r(i, c) as (select doc_id, doc_id from s union select p.j, r.c from r join p on r.i = p.i)
+select s.doc_id, any_value(len(s.s))::bigint as n_shingles, min(r.c) as component_id from s join r on r.i = s.doc_id group by s.doc_id""",
 }
+
+
+def oracle_sql() -> dict[str, str]:
+    from .license import scan_sql
+
+    return ORACLE_SQL | {"op7_license": scan_sql()}
