@@ -182,7 +182,7 @@ def _reader(keep_data: bool):
 def read_archives(manifest: DataFrame, keep_data: bool = True) -> DataFrame:
     """Chunk rows (CHUNK_SCHEMA) of all archives in ``manifest``; one task an archive. Without data,
     only each record's last row, whose running size and digest cover the whole payload."""
-    spread = manifest.select("archive").repartition(F.col("archive"))
+    spread = manifest.select("archive").repartition(max(1, manifest.count()), "archive")  # by number: not coalesced
     return spread.mapInArrow(_reader(keep_data), CHUNK_SCHEMA)
 
 
