@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import mix, pick, runs, small_batches, words, written
 
 #: Shingles that order lists as frequent, at most; repeats within a block that count; shingles a block.
-FREQUENT, REPEATS, BLOCK = 200_000, 4, 3_000_000
+FREQUENT, REPEATS, BLOCK = 2_000_000, 2, 3_000_000
 #: Anchors of a list in each round. The first round's are the earliest placed.
 ANCHORS = (4, 8, 16)
 #: What an inverted list's entry costs, an enumerated subset's being 1.
@@ -192,14 +192,31 @@ def _entries(k: int, similarity: tuple[int, int], boundary: int, frequent: np.nd
 
 
 def _full_sets(k: int):
+    """(cid, members) of the rows whose set is the class that was asked for; once a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            sets = shingle_sets(batch.column("text"), k)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_code(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], names=["doc_id", "code", "n", "members"])
+            ids, members = [], []
+            for cid, code, n, s in zip(*[batch.column(c).to_pylist() for c in ("cid", "code", "n")], shingle_sets(batch.column("text"), k)):
+                if cid not in seen and len(s) == n and _code(s) == code:
+                    seen.add(cid)
+                    ids.append(cid)
+                    members.append(s.astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(members, pa.binary())], names=["cid", "members"])
 
     return run
 
 
+def _sets_of(rows: DataFrame, classes: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """cid, members of the classes in ``ids``, from their smallest documents' texts: those alone are shuffled, once."""
+    wanted = written(classes.join(ids, "cid", "left_semi").select("cid", "code", "n"), "jaccard-wanted")
+    marks = wanted.select(F.pmod(F.xxhash64("cid"), F.lit(MARKS)).alias("mark")).distinct()  # MARKS rows at most
+    marked = rows.withColumn("mark", F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))).join(F.broadcast(marks), "mark", "left_semi")
+    texts = marked.select(F.col("doc_id").alias("cid"), "text").join(wanted, "cid")
+    return written(texts.select("cid", "code", "n", "text").mapInArrow(_full_sets(k), "cid long, members binary"), "jaccard-sets")
+
+
 def _compared(similarity: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,6 +238,8 @@ def _compared(similarity: tuple[int, int]):
 def _compare(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """``pairs`` (a, b) with whether their sets are similar. A set travels once for each of its pairs
     as the second; as the first once, or once a part where it has many pairs."""
+    marks = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(F.pmod(F.xxhash64("id"), F.lit(MARKS)).alias("mark")).distinct()  # MARKS rows at most
+    sets = sets.withColumn("mark", F.pmod(F.xxhash64("cid"), F.lit(MARKS))).join(F.broadcast(marks), "mark", "left_semi").drop("mark")
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(512)).cast("int").alias("parts"))
     pairs = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
     right = pairs.join(sets.select(F.col("cid").alias("b"), F.col("members").alias("b_members")), "b")
@@ -273,24 +292,40 @@ def _candidates(lists: DataFrame, labels: DataFrame, similarity: tuple[int, int]
     return pairs.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
 
 
+def _frequent(repeated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles counted most often, sorted, and their counts: all above the count that leaves at most
+    FREQUENT of them, by a histogram, so nothing is sorted in one place."""
+    counted = written(repeated.groupBy("code").agg(F.least(F.sum("n"), F.lit(1 << 14)).cast("int").alias("n")), "jaccard-frequent")
+    histogram = sorted(((r["n"], r["c"]) for r in counted.groupBy("n").agg(F.count("*").alias("c")).collect()), reverse=True)  # 2**14 rows at most
+    total, least = 0, 1 << 15
+    for n, c in histogram:
+        if total + c > FREQUENT:
+            break
+        total, least = total + c, n
+    found = counted.filter(F.col("n") >= least).toArrow()  # FREQUENT rows at most
+    values, counts = found.column("code").to_numpy().view(np.uint64), found.column("n").to_numpy().astype(np.int32)
+    order = np.argsort(values, kind="stable")
+    return values[order], counts[order]
+
+
 def similar_documents(docs: DataFrame, k: int = 4, similarity: tuple[int, int] = (85, 100), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id, code of each row of ``docs``."""
     spark = docs.sparkSession
     small_batches(spark, records=1000)
     rows = pick(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    keyed = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
     signed = written(rows.mapInArrow(_signatures(k), "doc_id long, n long, code long, is_shingle boolean"), "jaccard-signatures")
     signatures = signed.filter("not is_shingle").select("doc_id", "n", "code")
-    top = signed.filter("is_shingle").groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(FREQUENT).collect()  # FREQUENT rows at most
-    top.sort(key=lambda r: r["code"] & ((1 << 64) - 1))
-    frequent = np.array([r["code"] for r in top], np.int64).view(np.uint64)
-    weight = np.array([r["n"] for r in top], np.int64)
+    frequent, weight = _frequent(signed.filter("is_shingle").select("code", "n"))
     classes = written(signatures.filter("n > 0").groupBy("code", "n").agg(F.coalesce(F.min("doc_id"), F.lit((1 << 63) - 1)).alias("cid")), "jaccard-classes")
     histogram = {r["n"]: r["c"] for r in classes.filter(F.col("n") <= 128).groupBy("n").agg(F.count("*").alias("c")).collect()}  # 128 rows at most
     boundary = boundary_of(histogram, similarity)
 
     entries = rows.mapInArrow(_entries(k, similarity, boundary, frequent, weight), "value long, code long, n long, place long")
-    whole = Window.partitionBy("value", F.col("place") < 0)
-    shared = entries.withColumn("lo", F.min(F.struct("code", "n")).over(whole)).withColumn("hi", F.max(F.struct("code", "n")).over(whole)).filter("lo <> hi").select("value", "code", "n", "place").distinct()
+    entries = entries.withColumn("light", F.col("place") < 0)
+    whole = Window.partitionBy("value", "light")
+    ends = [F.min(F.struct("code", "n")).over(whole).alias("lo"), F.max(F.struct("code", "n")).over(whole).alias("hi")]
+    shared = entries.select("*", *ends).filter("lo <> hi").select("value", "code", "n", "place").distinct()
     shared = written(shared.join(classes, ["code", "n"]).select("value", "cid", "n", "place"), "jaccard-lists")
     lists = shared.filter("place >= 0")
 
@@ -299,21 +334,21 @@ def similar_documents(docs: DataFrame, k: int = 4, similarity: tuple[int, int] =
     joined = by_subset.filter("(lo < hi) or (n_lo = n_hi and hi = -1)")
     edges = [written(shared.filter("place < 0").join(joined.select("value", "first"), "value").select(F.col("first").alias("a"), F.col("cid").alias("b")).filter("a <> b").distinct(), "jaccard-light")]
 
-    wanted = lists.select("cid").distinct()
-    marks = wanted.select(F.pmod(F.xxhash64("cid"), F.lit(MARKS)).alias("mark")).distinct()  # MARKS rows at most
-    marked = rows.withColumn("mark", F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))).join(F.broadcast(marks), "mark", "left_semi").drop("mark")
-    texts = marked.join(wanted.withColumnRenamed("cid", "doc_id"), "doc_id", "left_semi")
-    sets = texts.mapInArrow(_full_sets(k), "doc_id long, code long, n long, members binary")
-    sets = written(sets.join(classes, ["code", "n"]).filter("cid = doc_id").dropDuplicates(["cid"]).select("cid", "members"), "jaccard-sets")
-
     tested: DataFrame | None = None
+    sets: DataFrame | None = None
     labels = components(edges[0])
     for turn, anchors in enumerate([*ANCHORS, None]):
         order = F.col("place") if not turn else F.xxhash64("cid", F.lit(turn))
         pairs = _candidates(lists, labels, similarity, anchors, order)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        found = written(_compare(written(pairs, "jaccard-pairs"), sets, similarity), "jaccard-compared")
+        pairs = written(pairs, "jaccard-pairs")
+        if not pairs.limit(1).count():
+            continue  # later rounds choose other anchors, the last one all
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        fetched = _sets_of(keyed, classes, ids if sets is None else ids.join(sets, "cid", "left_anti"), k)
+        sets = fetched if sets is None else sets.unionByName(fetched)
+        found = written(_compare(pairs, sets, similarity), "jaccard-compared")
         links = found.filter("linked").select("a", "b")
         tested = found.select("a", "b") if tested is None else tested.unionByName(found.select("a", "b"))
         if links.limit(1).count():
@@ -322,8 +357,6 @@ def similar_documents(docs: DataFrame, k: int = 4, similarity: tuple[int, int] =
             for more in edges[1:]:
                 every = every.unionByName(more)
             labels = components(every)
-        elif not found.limit(1).count():
-            break  # nothing was left to compare
 
     of_class = classes.join(labels.withColumnRenamed("id", "cid"), "cid", "left").select("code", "n", F.coalesce("label", "cid").alias("label"))
     out = signatures.join(of_class, ["code", "n"], "left")
