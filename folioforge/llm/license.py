@@ -6,11 +6,11 @@ filled in), with plain sentences as the unknown class; variations that training
 softmax's temperature and the least probability that a prediction needs. A prediction stands only if
 enough of the paragraph's bigrams occur in the family's templates.
 
-The scan is native: paragraphs (lines) are split, filtered, turned into n-grams, joined with the table
-of weights and summed by DataFrame functions alone. Only paragraphs that hold a cue word are scored;
-cues are chosen at training so that every training paragraph of a licence holds one, and a paragraph
-without any is unknown by definition. The tables of weights and of template bigrams are broadcast:
-their size is fixed by the templates.
+The scan is native: paragraphs (lines) are split, turned into n-grams, filtered, joined with the table
+of weights and summed by DataFrame functions alone. Every paragraph's bigrams are compared with those of
+all templates together; one that could not be confirmed for any family, whatever the classifier says, is
+left out before the sums, so nothing is lost by it. The tables of weights and of template bigrams are
+broadcast: their size is fixed by the templates.
 
 Defined cases: null or empty text has no paragraphs; repeated rows report each; equal probabilities go
 to the first family by name; very long lines are read whole; no rows give no rows.
@@ -254,13 +254,16 @@ def scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     """doc_id, paragraph (its place among the text's lines, from 0), family, probability, similarity
     of each paragraph that the classifier names and the templates confirm."""
     spark, m = docs.sparkSession, model()
-    cue = "(?i)(?<![\\p{L}\\p{N}])(" + "|".join(m.cues) + ")(?![\\p{L}\\p{N}])"
-    rows = pick(docs, doc_id=doc_id, text=text).select("doc_id", F.col("text").cast("string").alias("text")).filter(F.col("text").rlike(cue))
+    rows = pick(docs, doc_id=doc_id, text=text).select("doc_id", F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("row", F.monotonically_increasing_id())
-    lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).filter(F.col("line").rlike(cue))
+    lines = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
     words = F.regexp_extract_all(F.lower("line"), F.lit(WORDS), F.lit(0))
     pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    lines = lines.withColumn("w", words).withColumn("bi", F.array_distinct(pairs)).withColumn("g", F.concat(F.array_distinct("w"), F.col("bi")))
+    lines = lines.withColumn("w", words).withColumn("bi", F.array_distinct(pairs))
+    # A family's bigrams are among those of all, so what all hold less of than CONFIRM (less a hundredth, for rounding) is never confirmed.
+    in_any, least = sorted({g for _, g in template_bigrams()}), round(100 * CONFIRM) - 1
+    lines = lines.filter(F.aggregate("bi", F.lit(0), lambda s, g: s + F.when(g.isin(in_any), 100 - least).otherwise(-least)) > 0)
+    lines = lines.withColumn("g", F.concat(F.array_distinct("w"), F.col("bi")))
     weights = _literal(spark, [{"g": g, "w": row} for g, row in zip(m.features, m.weights.tolist())], "g: string, w: array<double>")
     known = _literal(spark, [{"f": f, "g": g} for f, g in template_bigrams()], "f: string, g: string")
     known = known.groupBy("g").agg(F.collect_set("f").alias("held_by"))

@@ -2,6 +2,7 @@
 
 import math
 import re
+import textwrap
 
 from folioforge.llm import license as L
 
@@ -67,3 +68,22 @@ def test_the_plan_is_native(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = L.scan(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|ExistingRDD", plan)
+
+
+class _AnyWord:
+    def __contains__(self, word):
+        return True
+
+
+def test_every_line_is_scored(spark, monkeypatch):
+    line = "this list of conditions and the following disclaimer in the documentation"
+    assert not set(line.split()) & set(L.model().cues)
+    texts = [t for family in L.TEMPLATES.values() for t in family]
+    rows = [(i, textwrap.fill(t, width)) for width in (30, 50, 72) for i, t in enumerate(texts, 1000 * width)] + [(1, f"x\n{line}\ny")]
+    with monkeypatch.context() as changed:
+        changed.setattr(L.model(), "cues", _AnyWord())
+        want = sorted((str(i), p, f, s, r) for i, t in rows for p, f, s, r in _plain(t))
+    got = _scan(spark, rows)
+    assert ("1", 1, "bsd") in [x[:3] for x in got]
+    assert [x[:3] for x in got] == [x[:3] for x in want]
+    assert all(abs(a[3] - b[3]) < 2e-6 and abs(a[4] - b[4]) < 2e-6 for a, b in zip(got, want))
