@@ -37,6 +37,16 @@ def test_odd_markup():
     html.main_text("<" * 20_000)
 
 
+def test_quoted_values_of_any_length():
+    want = "Real text stands here, in a sentence.\nAnd here is more of it."
+    for size in (100, 5000, 200_000):
+        value = "v" * size + "<div class='ad'><p>Inner words of a value. They stay out.</p><ul>"
+        for quoted in (f'"{value}"', "'" + value.replace("'", '"') + "'"):
+            page = f"<body><article><p data-x={quoted}>Real text stands here, in a sentence.</p><iframe srcdoc={quoted}></iframe><p>And here is more of it.</p></article></body>"
+            assert html.main_text(page) == want, (size, quoted[0])
+    assert html.main_text('<article><p title="' + "never closed " * 1000 + ">Some text stands here, in a sentence.</p></article>").endswith("Some text stands here, in a sentence.")
+
+
 def test_cuts_match_brute_force():
     rng = random.Random(7)
     for _ in range(150):
