@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,23 +18,28 @@ WORD = r"[^\x20\x09-\x0D]+"
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """``columns`` maps our names to those of ``df``. Names match exactly first, so extra columns
     that clash with ours, or differ from them in case only, do no harm. A missing column is null."""
-    names, flat = df.columns, df.toDF(*[f"_{i}" for i in range(len(df.columns))])
-    lower = [n.lower() for n in names]
+    flat = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    places = {alias: place_of(df, name) for alias, name in columns.items()}
+    return flat.select(*[(F.lit(None) if at is None else F.col(f"_{at}")).alias(alias) for alias, at in places.items()])
 
-    def at(name: str) -> Column:
-        if name in names:
-            return F.col(f"_{names.index(name)}")
-        if name.lower() in lower:
-            return F.col(f"_{lower.index(name.lower())}")
-        return F.lit(None)
 
-    return flat.select(*[at(name).alias(alias) for alias, name in columns.items()])
+def place_of(df: DataFrame, name: str) -> int | None:
+    """Where a column stands: by its exact name, else by its name in any case."""
+    names = df.columns
+    if name in names:
+        return names.index(name)
+    lower = [n.lower() for n in names]
+    return lower.index(name.lower()) if name.lower() in lower else None
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or "file:///tmp/checkpoints/folioforge").rstrip("/")
+    if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        found = "file:///tmp/checkpoints/folioforge"  # one machine: tests
+    return found.rstrip("/")
 
 
 _SCRATCH: list[tuple[SparkSession, str]] = []
@@ -65,13 +71,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: lineage ends there, and lost executors take nothing with them."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Remove written tables that nothing will read again."""
+    for table in tables:
+        discard(table.sparkSession, table._scratch_path)
+
+
+def sliced(run: Callable, records: int = 1000) -> Callable:
+    """``run`` over Arrow batches of at most so many rows. Spark bounds a batch's bytes; what a function
+    derives from one is bounded here, and no setting of the session changes."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(batch.slice(at, records) for batch in batches for at in range(0, batch.num_rows, records))
+
+    return go
+
+
+#: A bitmap of this many words of 64 bits says which keys another table may hold.
+MARK_WORDS = 1 << 16
+
+
+def _mark(key: Column | str) -> tuple[Column, Column]:
+    place = F.pmod(F.xxhash64(key), F.lit(64 * MARK_WORDS))
+    return F.shiftright(place, 6).alias("_word"), F.pmod(place, F.lit(64)).cast("int").alias("_bit")
 
 
-def small_batches(spark: SparkSession, records: int = 2000, mb: int = 16) -> None:
-    """Bound the Arrow batches that Python workers hold: by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+def marked(rows: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
+    """``rows`` with ``_maybe``: false only where ``key`` is surely not in ``keys``. The bitmap has a
+    fixed size and is broadcast; an exact join may follow on the rows that are left."""
+    word, bit = _mark(key)
+    bits = keys.select(word, bit).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))  # MARK_WORDS rows at most
+    told = rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bits), "_word", "left")
+    return told.withColumn("_maybe", F.coalesce(F.getbit("_bits", "_bit") == 1, F.lit(False))).drop("_word", "_bit", "_bits")
 
 
 # --------------------------------------------------------------------------- hashes of words

@@ -13,19 +13,26 @@ repeated puts those last. It orders shingles and decides no pair, so any table g
 
 Lists need not be expanded into pairs. In each round every entry meets a few anchors of its list,
 first those whose shared shingle is placed earliest (the sets nearest to a common original), then
-random ones; pairs already in one component are skipped; the sets of the rest are compared. What is
-left across components after the rounds is compared in full. So no link between different components is
-lost, and a group of thousands of near copies costs a few comparisons a member.
+random ones; pairs already in one component are skipped, and the first round leaves nothing over of
+lists as short as its anchors. Before sets are fetched, a pair has to pass a bitmap bound: bits of one
+set's bitmap that are not in the other's stand for shingles that it lacks. What is left across
+components after the rounds is compared in full, behind that bound inside the join. So no link between
+different components is lost, and a group of thousands of near copies costs a few comparisons a member.
+
+A class is a set (its hash and its size) and has a number of its own; ids only name components in the
+end. A row is found again by a hash of its id and its text.
 
 Defined cases: null text, or text without words, has the empty set and links with nothing, itself
-included; with fewer words than a shingle the whole sequence is one; repeated rows of an id share a
-class if their texts do; a null id takes part, and counts as the largest in its component (a component
-of null ids alone has a null id); no rows give no rows.
+included; with fewer words than a shingle the whole sequence is one; rows of one id take part each
+with its own text, whether they are equal or not; so do rows with null ids, which come last when a component
+is named (a component of null ids alone has a null id); ties do not occur, components are sets; no
+rows give no rows; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import comb
 
 import numpy as np
@@ -33,15 +40,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, pick, runs, small_batches, words, written
+from .common import free, marked, mix, pick, place_of, runs, sliced, words, written
 
 #: Shingles that order lists as frequent, at most; repeats within a block that count; shingles a block.
-FREQUENT, REPEATS, BLOCK = 2_000_000, 2, 3_000_000
+FREQUENT, REPEATS, BLOCK = 1 << 18, 2, 3_000_000
 #: Anchors of a list in each round. The first round's are the earliest placed.
 ANCHORS = (4, 8, 16)
 #: What an inverted list's entry costs, an enumerated subset's being 1.
 ENTRY_COST = 3.0
-MARKS = 1 << 18
+#: Bits of a bitmap: a power of two, twice the shingles at least, within these.
+LEAST_BITS, MOST_BITS = 1024, 8192
 
 
 def needed(s: int, t: int, similarity: tuple[int, int]) -> int:
@@ -72,16 +80,31 @@ def _code(s: np.ndarray) -> int:
     return int((mix(s).sum(dtype=np.uint64) if len(s) else np.uint64(0)).view(np.int64))
 
 
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    bits = LEAST_BITS
+    while bits < min(MOST_BITS, 2 * len(s)):
+        bits *= 2
+    flags = np.zeros(bits, bool)
+    flags[(mix(s) >> np.uint64(40)).astype(np.int64) % bits] = True
+    return np.packbits(flags, bitorder="little").view("<i8")
+
+
+_SIGNATURES = "key long, doc_id long, n int, code long, bitmap array<long>, is_shingle boolean"
+
+
 def _signatures(k: int):
-    """Rows (doc_id, n, code), and rows of repeated shingles (value, n of documents)."""
+    """Rows (key, doc_id, n, code, bitmap), and rows of repeated shingles (n of documents, value as code)."""
+
+    def rows(key, ids, n, code, maps: list[np.ndarray], is_shingle: bool) -> pa.RecordBatch:
+        offsets = np.cumsum([0, *map(len, maps)]).astype(np.int32)
+        bitmap = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(maps) if maps else np.zeros(0, np.int64), pa.int64()))
+        return pa.RecordBatch.from_arrays([key, ids, pa.array(n, pa.int32()), pa.array(code, pa.int64()), bitmap, pa.array(np.full(len(code), is_shingle))], names=["key", "doc_id", "n", "code", "bitmap", "is_shingle"])
 
     def repeated(held: list[np.ndarray]) -> pa.RecordBatch:
         value, n = np.unique(np.concatenate(held), return_counts=True)
         often = n >= REPEATS
-        return _rows([None] * int(often.sum()), n[often], value[often].view(np.int64), True)
-
-    def _rows(ids: list, n: np.ndarray, code: np.ndarray, is_shingle: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(code, pa.int64()), pa.array([is_shingle] * len(ids), pa.bool_())], names=["doc_id", "n", "code", "is_shingle"])
+        none = pa.nulls(int(often.sum()), pa.int64())
+        return rows(none, none, n[often].astype(np.int32), value[often].view(np.int64), [np.zeros(0, np.int64)] * int(often.sum()), True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -90,7 +113,7 @@ def _signatures(k: int):
         for batch in batches:
             sets = shingle_sets(batch.column("text"), k)
             codes = [_code(s) for s in sets]
-            yield _rows(batch.column("doc_id").to_pylist(), np.array([len(s) for s in sets], np.int64), np.array(codes, np.int64), False)
+            yield rows(batch.column("key"), batch.column("doc_id"), np.array([len(s) for s in sets], np.int32), np.array(codes, np.int64), [_bitmap(s) for s in sets], False)
             for s, c in zip(sets, codes):
                 if len(s) and (c, len(s)) not in seen:  # copies do not make a shingle frequent
                     seen.add((c, len(s)))
@@ -186,21 +209,19 @@ def _entries(k: int, similarity: tuple[int, int], boundary: int, frequent: np.nd
                     code.append(np.full(few, c))
                     size.append(np.full(few, n))
             if value:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (value, code, size, place)], names=["value", "code", "n", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in ((value, np.int64), (code, np.int64), (size, np.int32), (place, np.int32))], names=["value", "code", "n", "place"])
 
     return run
 
 
 def _full_sets(k: int):
-    """(cid, members) of the rows whose set is the class that was asked for; once a task."""
+    """(cid, members) of the rows whose set is the class that was asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
             ids, members = [], []
             for cid, code, n, s in zip(*[batch.column(c).to_pylist() for c in ("cid", "code", "n")], shingle_sets(batch.column("text"), k)):
-                if cid not in seen and len(s) == n and _code(s) == code:
-                    seen.add(cid)
+                if len(s) == n and _code(s) == code:
                     ids.append(cid)
                     members.append(s.astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(members, pa.binary())], names=["cid", "members"])
@@ -209,12 +230,40 @@ def _full_sets(k: int):
 
 
 def _sets_of(rows: DataFrame, classes: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """cid, members of the classes in ``ids``, from their smallest documents' texts: those alone are shuffled, once."""
-    wanted = written(classes.join(ids, "cid", "left_semi").select("cid", "code", "n"), "jaccard-wanted")
-    marks = wanted.select(F.pmod(F.xxhash64("cid"), F.lit(MARKS)).alias("mark")).distinct()  # MARKS rows at most
-    marked = rows.withColumn("mark", F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))).join(F.broadcast(marks), "mark", "left_semi")
-    texts = marked.select(F.col("doc_id").alias("cid"), "text").join(wanted, "cid")
-    return written(texts.select("cid", "code", "n", "text").mapInArrow(_full_sets(k), "cid long, members binary"), "jaccard-sets")
+    """cid, members of the classes in ``ids``, each from the text of one of its rows: few others are shuffled."""
+    wanted = written(classes.join(ids, "cid", "left_semi").select("key", "cid", "code", "n"), "jaccard-wanted")
+    texts = marked(rows, wanted).filter("_maybe").select("key", "text").dropDuplicates(["key"]).join(wanted, "key")
+    out = written(texts.select("cid", "code", "n", "text").mapInArrow(sliced(_full_sets(k)), "cid long, members binary"), "jaccard-sets")
+    free(wanted)
+    return out
+
+
+def _folded(bitmap: Column, words: Column) -> Column:
+    """The bitmap cut in parts of so many words, laid over each other."""
+    last = F.size(bitmap) - 1
+    laid = F.transform(F.sequence(F.lit(0), words - 1), lambda i: F.aggregate(F.sequence(i, last, words), F.lit(0).cast("long"), lambda x, j: x.bitwiseOR(F.get(bitmap, j))))
+    return F.when(F.size(bitmap) == words, bitmap).otherwise(laid)
+
+
+def _lacks(x: Column, y: Column) -> Column:
+    """Shingles of x that y surely lacks."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda n, m: n + m)
+
+
+def _reaches(bound: Column, n: Column, m: Column, similarity: tuple[int, int]) -> Column:
+    a, b = similarity
+    return bound * F.lit(a + b) >= (n + m) * F.lit(a)
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The ``pairs`` (a, b) whose bitmaps leave room for enough shared shingles."""
+    asked = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid")))
+    known = marked(classes, asked, "cid").filter("_maybe").select("cid", "n", "bitmap")
+    met = pairs.join(known.toDF("a", "an", "am"), "a").join(known.toDF("b", "bn", "bm"), "b")
+    words = F.least(F.size("am"), F.size("bm"))
+    x, y = _folded(F.col("am"), words), _folded(F.col("bm"), words)
+    bound = F.least(F.col("an") - _lacks(x, y), F.col("bn") - _lacks(y, x))
+    return met.filter(_reaches(bound, F.col("an"), F.col("bn"), similarity)).select("a", "b")
 
 
 def _compared(similarity: tuple[int, int]):
@@ -236,60 +285,81 @@ def _compared(similarity: tuple[int, int]):
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """``pairs`` (a, b) with whether their sets are similar. A set travels once for each of its pairs
-    as the second; as the first once, or once a part where it has many pairs."""
-    marks = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(F.pmod(F.xxhash64("id"), F.lit(MARKS)).alias("mark")).distinct()  # MARKS rows at most
-    sets = sets.withColumn("mark", F.pmod(F.xxhash64("cid"), F.lit(MARKS))).join(F.broadcast(marks), "mark", "left_semi").drop("mark")
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(512)).cast("int").alias("parts"))
-    pairs = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
-    right = pairs.join(sets.select(F.col("cid").alias("b"), F.col("members").alias("b_members")), "b")
-    left = parts.join(sets.select(F.col("cid").alias("a"), F.col("members").alias("a_members")), "a").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    met = right.join(left, ["a", "part"])
-    return met.select("a", "b", "a_members", "b_members").mapInArrow(_compared(similarity), "a long, b long, linked boolean")
+    """``pairs`` (a, b) with whether their sets are similar. A set travels once, and once for each of
+    its pairs as the second; the many pairs of a first are split by the adaptive join."""
+    right = pairs.join(sets.toDF("b", "b_members"), "b")
+    met = right.join(sets.toDF("a", "a_members"), "a")
+    return met.select("a", "b", "a_members", "b_members").mapInArrow(sliced(_compared(similarity)), "a long, b long, linked boolean")
 
 
 # --------------------------------------------------------------------------- components
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, label (the smallest id it is connected with) of every id in ``edges`` (a, b).
+    """id, label (the smallest id it is connected with) of every id in ``edges`` (a, b); a written table.
     Every round takes the least label among neighbours, then the label's own label; tables are
     written between rounds, and nothing is collected."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = written(both.filter("a <> b").distinct(), "components-edges")
-    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "id"), "components-start")
+    labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "id").withColumn("old", F.col("label")), "components-start")
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        least = labels.join(near.withColumnRenamed("a", "id"), "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("old"))
-        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        stepped = least.join(jump, "label", "left").select("id", F.least("label", F.coalesce("next", "label")).alias("label"), "old")
-        stepped = written(stepped, "components-step")
-        labels = stepped.select("id", "label")
-        if not stepped.filter("label <> old").limit(1).count():
+        now = labels.select("id", "label")
+        near = both.join(now.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        least = now.join(near.withColumnRenamed("a", "id"), "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("old"))
+        jump = now.select(F.col("id").alias("label"), F.col("label").alias("next"))
+        stepped = written(least.join(jump, "label", "left").select("id", F.least("label", F.coalesce("next", "label")).alias("label"), "old"), "components-step")
+        free(labels)
+        labels = stepped
+        if labels.filter("label <> old").isEmpty():
+            free(both)
             return labels
 
 
 # --------------------------------------------------------------------------- the join
 
 
-def _candidates(lists: DataFrame, labels: DataFrame, similarity: tuple[int, int], anchors: int | None, order: Column) -> DataFrame:
-    """(a, b) of entries of one list in different components that can still be similar: each entry
-    with ``anchors`` of its list, or, if None, all those outside its list's largest component with all."""
+def _fits(similarity: tuple[int, int]) -> Column:
+    """Whether entries x and y of one list, of different components, may be similar by sizes and places.
+    Similar sets pass in the list of their first common shingle: neither's earlier places are shared."""
     a, b = similarity
-    entries = lists.join(labels.withColumnRenamed("id", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    several = entries.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("value")
-    entries = entries.join(several, "value", "left_semi")
-    if anchors is None:
-        largest = entries.groupBy("value", "label").count().groupBy("value").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
-        chosen = entries.join(largest, "value").filter("label <> largest").drop("largest")
-    else:
-        chosen = entries.withColumn("r", F.row_number().over(Window.partitionBy("value").orderBy(order, "cid"))).filter(F.col("r") <= anchors).drop("r")
-    x, y = entries.alias("x"), chosen.alias("y")
     fits = (F.col("x.label") != F.col("y.label")) & (F.col("x.n") * b >= F.col("y.n") * a) & (F.col("y.n") * b >= F.col("x.n") * a)
-    least = F.ceil(F.lit(a) * (F.col("x.n") + F.col("y.n")) / F.lit(a + b))
-    fits &= 1 + F.least(F.col("x.n") - F.col("x.place") - 1, F.col("y.n") - F.col("y.place") - 1) >= least - F.least(F.col("x.place"), F.col("y.place"))
-    pairs = x.join(y, (F.col("x.value") == F.col("y.value")) & fits)
-    return pairs.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
+    bound = F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    return fits & _reaches(bound, F.col("x.n"), F.col("y.n"), similarity)
+
+
+def _pairs(x: DataFrame, y: DataFrame, fits: Column) -> DataFrame:
+    met = x.alias("x").join(y.alias("y"), (F.col("x.value") == F.col("y.value")) & fits)
+    return met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
+
+
+def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries of lists that hold several components, with theirs."""
+    entries = lists.join(labels.select(F.col("id").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    several = entries.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("value")
+    return entries.join(several, "value", "left_semi")
+
+
+def _with_anchors(entries: DataFrame, similarity: tuple[int, int], anchors: int, order: Column) -> DataFrame:
+    """(a, b) of entries of one list that can still be similar: each entry with ``anchors`` of its list."""
+    chosen = entries.withColumn("r", F.row_number().over(Window.partitionBy("value").orderBy(order, "cid"))).filter(F.col("r") <= anchors).drop("r")
+    return _pairs(entries, chosen, _fits(similarity))
+
+
+def _with_all(entries: DataFrame, classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b) of entries of one list that can still be similar: all outside its largest component
+    with all. The bitmaps, folded to the least length, are part of the join's condition."""
+    ids = entries.select("cid").distinct()
+    maps = classes.join(ids, "cid", "left_semi").select("cid", _folded(F.col("bitmap"), F.lit(LEAST_BITS // 64)).alias("m"))
+    entries = entries.join(maps, "cid")
+    largest = entries.groupBy("value", "label").count().groupBy("value").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
+    outside = entries.join(largest, "value").filter("label <> largest").drop("largest")
+
+    def lacks(x: str, y: str) -> Column:
+        each = [F.bit_count(F.get(f"{x}.m", F.lit(i)).bitwiseAND(F.bitwise_not(F.get(f"{y}.m", F.lit(i))))) for i in range(LEAST_BITS // 64)]
+        return reduce(Column.__add__, each)
+
+    bound = F.least(F.col("x.n") - lacks("x", "y"), F.col("y.n") - lacks("y", "x"))
+    return _pairs(entries, outside, _fits(similarity) & _reaches(bound, F.col("x.n"), F.col("y.n"), similarity))
 
 
 def _frequent(repeated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -303,30 +373,33 @@ def _frequent(repeated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             break
         total, least = total + c, n
     found = counted.filter(F.col("n") >= least).toArrow()  # FREQUENT rows at most
+    free(counted)
     values, counts = found.column("code").to_numpy().view(np.uint64), found.column("n").to_numpy().astype(np.int32)
     order = np.argsort(values, kind="stable")
     return values[order], counts[order]
 
 
-def similar_documents(docs: DataFrame, k: int = 4, similarity: tuple[int, int] = (85, 100), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id, code of each row of ``docs``."""
-    spark = docs.sparkSession
-    small_batches(spark, records=1000)
+def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     rows = pick(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = rows.withColumn("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
-    signed = written(rows.mapInArrow(_signatures(k), "doc_id long, n long, code long, is_shingle boolean"), "jaccard-signatures")
-    signatures = signed.filter("not is_shingle").select("doc_id", "n", "code")
+    return rows.withColumn("key", F.xxhash64("doc_id", "text"))
+
+
+def _in_components(rows: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
+    """key, doc_id, n, and of rows with words label (of the component) and least (its smallest id)."""
+    signed = written(rows.mapInArrow(sliced(_signatures(k)), _SIGNATURES), "jaccard-signatures")
+    signatures = signed.filter("not is_shingle").select("key", "doc_id", "n", "code", "bitmap")
     frequent, weight = _frequent(signed.filter("is_shingle").select("code", "n"))
-    classes = written(signatures.filter("n > 0").groupBy("code", "n").agg(F.coalesce(F.min("doc_id"), F.lit((1 << 63) - 1)).alias("cid")), "jaccard-classes")
+    classes = signatures.filter("n > 0").groupBy("code", "n").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), F.first("bitmap").alias("bitmap"))
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
     histogram = {r["n"]: r["c"] for r in classes.filter(F.col("n") <= 128).groupBy("n").agg(F.count("*").alias("c")).collect()}  # 128 rows at most
     boundary = boundary_of(histogram, similarity)
 
-    entries = rows.mapInArrow(_entries(k, similarity, boundary, frequent, weight), "value long, code long, n long, place long")
+    entries = rows.select("text").mapInArrow(sliced(_entries(k, similarity, boundary, frequent, weight)), "value long, code long, n int, place int")
     entries = entries.withColumn("light", F.col("place") < 0)
     whole = Window.partitionBy("value", "light")
     ends = [F.min(F.struct("code", "n")).over(whole).alias("lo"), F.max(F.struct("code", "n")).over(whole).alias("hi")]
     shared = entries.select("*", *ends).filter("lo <> hi").select("value", "code", "n", "place").distinct()
-    shared = written(shared.join(classes, ["code", "n"]).select("value", "cid", "n", "place"), "jaccard-lists")
+    shared = written(shared.join(classes.select("code", "n", "cid"), ["code", "n"]).select("value", "cid", "n", "place"), "jaccard-lists")
     lists = shared.filter("place >= 0")
 
     by_subset = shared.filter("place < 0").groupBy("value").agg(F.min("cid").alias("first"), F.max("place").alias("hi"), F.min("place").alias("lo"), F.max("n").alias("n_hi"), F.min("n").alias("n_lo"))
@@ -334,52 +407,65 @@ def similar_documents(docs: DataFrame, k: int = 4, similarity: tuple[int, int] =
     joined = by_subset.filter("(lo < hi) or (n_lo = n_hi and hi = -1)")
     edges = [written(shared.filter("place < 0").join(joined.select("value", "first"), "value").select(F.col("first").alias("a"), F.col("cid").alias("b")).filter("a <> b").distinct(), "jaccard-light")]
 
-    tested: DataFrame | None = None
-    sets: DataFrame | None = None
+    tested: list[DataFrame] = []
+    sets: list[DataFrame] = []
     labels = components(edges[0])
+    long = written(lists.join(lists.groupBy("value").count().filter(F.col("count") > ANCHORS[0] + 1).select("value"), "value", "left_semi"), "jaccard-long")
+    random = True  # until a round of random anchors finds no link
     for turn, anchors in enumerate([*ANCHORS, None]):
-        order = F.col("place") if not turn else F.xxhash64("cid", F.lit(turn))
-        pairs = _candidates(lists, labels, similarity, anchors, order)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        if anchors and not random:
+            continue
+        entries = _labelled(long if turn else lists, labels)
+        if anchors:
+            pairs = _with_anchors(entries, similarity, anchors, F.xxhash64("cid", F.lit(turn)) if turn else F.col("place"))
+        else:
+            pairs = _with_all(entries, classes, similarity)
+        for before in tested:
+            pairs = pairs.join(before, ["a", "b"], "left_anti")
         pairs = written(pairs, "jaccard-pairs")
-        if not pairs.limit(1).count():
-            continue  # later rounds choose other anchors, the last one all
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        fetched = _sets_of(keyed, classes, ids if sets is None else ids.join(sets, "cid", "left_anti"), k)
-        sets = fetched if sets is None else sets.unionByName(fetched)
-        found = written(_compare(pairs, sets, similarity), "jaccard-compared")
-        links = found.filter("linked").select("a", "b")
-        tested = found.select("a", "b") if tested is None else tested.unionByName(found.select("a", "b"))
-        if links.limit(1).count():
+        tested.append(pairs)
+        near = written(_plausible(pairs, classes, similarity), "jaccard-plausible")
+        found = links = None
+        if not near.isEmpty():
+            ids = near.select(F.col("a").alias("cid")).unionByName(near.select(F.col("b").alias("cid"))).distinct()
+            for had in sets:
+                ids = ids.join(had, "cid", "left_anti")
+            sets.append(_sets_of(rows, classes, ids, k))
+            found = written(_compare(near, reduce(DataFrame.unionByName, sets), similarity), "jaccard-compared")
+            links = found.filter("linked").select("a", "b")
+        free(near)
+        if links is not None and not links.isEmpty():
             edges.append(links)
-            every = edges[0]
-            for more in edges[1:]:
-                every = every.unionByName(more)
-            labels = components(every)
-
-    of_class = classes.join(labels.withColumnRenamed("id", "cid"), "cid", "left").select("code", "n", F.coalesce("label", "cid").alias("label"))
-    out = signatures.join(of_class, ["code", "n"], "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.nullif(F.col("label"), F.lit((1 << 63) - 1)))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "code")
-
-
-def one_of_each(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
-    """The rows of ``docs``, all their columns, that stay: of each component the smallest id, once;
-    rows without words all stay."""
-    found = written(similar_documents(docs, k, similarity), "jaccard-found")
-    stays = (F.col("n_shingles") == 0) | F.col("component_id").eqNullSafe(F.col("doc_id"))
-    by_id = found.groupBy("doc_id").agg(F.max(stays).alias("stays"), F.sum((F.col("n_shingles") > 0).cast("int")).alias("rows"))
-    odd = by_id.filter("not stays or rows > 1")  # ids that go, or whose repeated rows must be told apart
-    odd = written(odd.withColumn("mark", F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))), "jaccard-odd")
-    names, flat = docs.columns, docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    id_, text_ = F.col(f"c{names.index('doc_id')}").cast("long"), F.col(f"c{names.index('text')}").cast("string")
-    flat = flat.withColumn("_id", id_).withColumn("_mark", F.pmod(F.xxhash64("_id"), F.lit(MARKS)))
-    marks = F.broadcast(odd.select(F.col("mark").alias("_mark")).distinct())  # MARKS rows at most
-    plain = flat.join(marks, "_mark", "left_anti")
-    rest = flat.join(marks, "_mark", "left_semi").alias("d").join(odd.alias("o"), F.col("d._id").eqNullSafe(F.col("o.doc_id")), "left")
-    rest = rest.filter("o.stays is null or o.stays").withColumn("_has", F.coalesce(F.regexp_count(text_, F.lit(r"[^\x20\x09-\x0D]+")) > 0, F.lit(False)))
-    single = rest.filter("o.rows is null or o.rows < 2 or not _has")
-    again = rest.filter("o.rows >= 2 and _has").withColumn("_r", F.row_number().over(Window.partitionBy("_id").orderBy(*[f"c{i}" for i in range(len(names))]))).filter("_r = 1")
-    columns = [f"c{i}" for i in range(len(names))]
-    return plain.select(*columns).unionByName(single.select(*[f"d.{c}" for c in columns])).unionByName(again.select(*[f"d.{c}" for c in columns])).toDF(*names)
+            free(labels)
+            labels = components(reduce(DataFrame.unionByName, edges))
+        else:
+            random = not turn
+    free(shared, long, *tested, *sets)
+
+    named = classes.select("code", "n", "cid", "least").join(labels.select(F.col("id").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    named = named.join(named.groupBy("label").agg(F.min("least").alias("smallest")), "label").select("code", "n", "label", F.col("smallest").alias("least"))
+    return signatures.drop("bitmap").join(named, ["code", "n"], "left").select("key", "doc_id", "n", "label", "least")
+
+
+def similar_documents(docs: DataFrame, k: int = 4, similarity: tuple[int, int] = (85, 100), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of ``docs``; component is the component's own number,
+    null where a row has no words."""
+    found = _in_components(_rows(docs, text, doc_id), k, similarity)
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("least"))
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), F.col("label").alias("component"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80, 100), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, all their columns, that stay: of each component one, that with the smallest id,
+    null being the largest, then any one text, then the smallest row; rows without words all stay."""
+    found = written(_in_components(_rows(docs, text, doc_id), k, similarity).filter("n > 0").groupBy("key", "label", "doc_id").count(), "jaccard-found")
+    stays = found.groupBy("label").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")).alias("x")).select("label", F.col("x.key").alias("kept"))
+    odd = found.join(stays, "label").select("key", (F.col("key") == F.col("kept")).alias("stays"), "count").filter("not stays or count > 1")
+    odd = written(odd.select("key", "stays"), "jaccard-odd")  # rows that go, or are there several times
+    names, columns = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
+    flat = docs.toDF(*columns)
+    key = [F.lit(None) if at is None else F.col(f"c{at}") for at in (place_of(docs, doc_id), place_of(docs, text))]
+    told = marked(flat.withColumn("key", F.xxhash64(key[0].cast("long"), key[1].cast("string"))), odd)
+    rest = told.filter("_maybe").join(odd, "key", "left")
+    again = rest.filter("stays").groupBy("key").agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
+    return told.filter("not _maybe").select(*columns).unionByName(rest.filter("stays is null").select(*columns)).unionByName(again).toDF(*names)

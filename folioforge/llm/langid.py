@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _A, pick, small_batches, text_bytes
+from .common import _A, pick, sliced, text_bytes
 
 ORDERS, BUCKETS, DIM = (2, 3, 4), 1 << 16, 16
 PER_LANGUAGE, ROWS = 1000, 20_000
@@ -180,14 +180,13 @@ def identify(docs: DataFrame, usable: Column | None = None, doc_id: str = "doc_i
     """doc_id, lang_pred, score, rejected (and the columns in ``keep``) of each row, and the model.
     ``usable`` (over doc_id, text, lang) says which rows may be learned from; by default all."""
     spark = docs.sparkSession
-    small_batches(spark, records=1000)
     rows = pick(docs, doc_id=doc_id, text=text, lang=lang).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = model or train(*sample(rows, usable if usable is not None else F.lit(True)))
     out = rows.select("doc_id", "text")
     kind = out.schema["doc_id"].dataType.simpleString()
     if kind == "void":
         out, kind = out.withColumn("doc_id", F.col("doc_id").cast("long")), "bigint"
-    return out.mapInArrow(predictor(model, drop=("text",)), f"doc_id {kind}, lang_pred string, score double, rejected boolean"), model
+    return out.mapInArrow(sliced(predictor(model, drop=("text",))), f"doc_id {kind}, lang_pred string, score double, rejected boolean"), model
 
 
 def predictor(model: Model, text: str = "text", drop: tuple[str, ...] = ()):
@@ -207,7 +206,6 @@ def predictor(model: Model, text: str = "text", drop: tuple[str, ...] = ()):
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all their columns, whose language is not rejected."""
     spark = docs.sparkSession
-    small_batches(spark, records=1000)
     rows = pick(docs, doc_id="doc_id", text="text", lang="lang").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = train(*sample(rows, F.lit(True)))
     names = docs.columns
@@ -215,5 +213,5 @@ def accepted(docs: DataFrame) -> DataFrame:
     at = f"c{names.index('text')}"
     judged = flat.withColumn("_judged", F.col(at).cast("string"))
     schema = judged.drop("_judged").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    kept = judged.mapInArrow(predictor(model, "_judged", drop=("_judged",)), schema).filter(~F.col("rejected"))
+    kept = judged.mapInArrow(sliced(predictor(model, "_judged", drop=("_judged",))), schema).filter(~F.col("rejected"))
     return kept.select(*flat.columns).toDF(*names)

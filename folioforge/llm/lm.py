@@ -36,7 +36,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _A, mix, pick, scratch, small_batches, words, written
+from .common import _A, mix, pick, scratch, sliced, words, written
 
 END = np.uint64(0x5EEDED0FF00D0001)
 START_ID, UNKNOWN_ID = np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFE)
@@ -407,12 +407,11 @@ class Model:
 def fit(texts: DataFrame, folder: str | None = None) -> Model:
     """The model of all rows of ``texts`` (one column, text)."""
     spark = texts.sparkSession
-    small_batches(spark, records=2000)
     folder = folder or scratch(spark, "lm")
     texts = texts.select(F.col("text").cast("string").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = int(size // SHARD_BYTES) + 8
-    counted = texts.mapInArrow(_count_words(shards), BLOBS)
+    counted = texts.mapInArrow(sliced(_count_words(shards), 2000), BLOBS)
     kept = written(counted.groupBy("shard").applyInPandas(_keep_words(folder), "shard int, n long, total long"), "lm-words").collect()
     sizes = np.zeros(shards, np.int64)
     for r in kept:
@@ -420,7 +419,7 @@ def fit(texts: DataFrame, folder: str | None = None) -> Model:
     total = sum(r["total"] for r in kept)
     vocabulary = Vocabulary(folder, sizes)
     hot, salts = _hot_words(spark, folder, [r["shard"] for r in kept], vocabulary, max(1000.0, HOT_SHARE * total / shards), texts)
-    pairs = texts.mapInArrow(_count_pairs(vocabulary, shards, hot, salts), BLOBS)
+    pairs = texts.mapInArrow(sliced(_count_pairs(vocabulary, shards, hot, salts), 2000), BLOBS)
     sent = written(pairs.groupBy("shard").applyInPandas(_keep_pairs(folder, vocabulary, hot), _PAIR_ROWS), "lm-pairs")
     for s in range(shards):
         if not sizes[s]:
@@ -465,7 +464,6 @@ def _hot_words(spark, folder: str, shards: list[int], vocabulary: Vocabulary, mo
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of each row."""
-    small_batches(docs.sparkSession, records=2000)
     rows = pick(docs, doc_id=doc_id, text=text).select("doc_id", F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -476,7 +474,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     kind = rows.schema["doc_id"].dataType.simpleString()
     if kind == "void":
         rows, kind = rows.withColumn("doc_id", F.col("doc_id").cast("long")), "bigint"
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return rows.mapInArrow(sliced(run, 2000), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
 
 
 def score_all(docs: DataFrame, held: Callable[[Column], Column], doc_id: str = "doc_id", text: str = "text") -> DataFrame:

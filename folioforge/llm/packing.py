@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import pick, small_batches, written
+from .common import pick, sliced, written
 
 SEQUENCE, END_ID = 2048, 1
 GRAIN = 8
@@ -255,9 +255,8 @@ def _assigner(plan: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
 def pack(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", doc_id: str = "doc_id", keep_ids: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece; ids if kept.
     ``part`` and ``copy`` tell the pieces of repeated documents apart."""
-    small_batches(docs.sparkSession, records=1000)
     rows = pick(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = written(rows.mapInArrow(_cutter(ranks_path, pattern, keep_ids), _PIECES), "pack-pieces")
+    pieces = written(rows.mapInArrow(sliced(_cutter(ranks_path, pattern, keep_ids)), _PIECES), "pack-pieces")
     per_part = pieces.groupBy("part", "bucket").agg((F.max("local") + 1).alias("n"))
     before = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = written(per_part.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))), "pack-offsets")

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pick, small_batches, written
+from .common import pick, written
 
 BUCKET, BLOCK = 4096, 512
 #: The grid: lines of buckets at most, and blocks a column.
@@ -188,7 +188,6 @@ def _meet(buckets: DataFrame, blocks: DataFrame, n_buckets: int, n_blocks: int)
 
 def topk(vectors: DataFrame, k: int = 10, query_every: int = 100, scale: int = 1024, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each vector whose id is divisible by ``query_every``."""
-    small_batches(vectors.sparkSession, records=16)
     rows = quantized(vectors, scale, vec_id, embedding)
     buckets = written(packed(rows, BUCKET), "topk-buckets")
     asked = rows.filter(F.pmod("vec_id", F.lit(query_every)) == 0).groupBy("vec_id").agg(F.min(F.struct("v", "dim", "norm")).alias("x")).select("vec_id", "x.*")

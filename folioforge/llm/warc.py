@@ -26,7 +26,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, scratch, small_batches, written
+from .common import pick, scratch, sliced, written
 
 CHUNK, MIN_REVISIT, SALTS = 1 << 18, 100, 16
 #: Chunk rows as read: size_so_far and sha256_so_far run over the payload up to this chunk.
@@ -97,8 +97,7 @@ def _writer(folder: str, level: int):
 
 def write_archives(rows: DataFrame, folder: str, level: int = 1) -> DataFrame:
     """Write ``records()`` as WARC files below ``folder``; the manifest of them, committed."""
-    small_batches(rows.sparkSession)
-    return written(_chunked(rows).mapInArrow(_writer(folder, level), _MANIFEST), "warc-manifest")
+    return written(_chunked(rows).mapInArrow(sliced(_writer(folder, level)), _MANIFEST), "warc-manifest")
 
 
 class _Member:

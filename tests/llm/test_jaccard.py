@@ -37,8 +37,8 @@ def _brute(rows, k, similarity):
     return sorted((str(rows[i][0]), len(sets[i]), str(least[find(i)] if sets[i] else rows[i][0])) for i in range(len(rows)))
 
 
-def _got(spark, rows, k, similarity):
-    docs = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], SCHEMA).repartition(3)
+def _got(spark, rows, k, similarity, parts=3):
+    docs = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], SCHEMA).repartition(parts)
     return sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in J.similar_documents(docs, k, similarity).collect())
 
 
@@ -139,3 +139,25 @@ def test_one_of_each(spark):
     out = J.one_of_each(docs)
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 3, 4, 4, 5, 6]
     assert J.one_of_each(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_null_and_repeated_ids_link_nothing_by_themselves(spark, parts):
+    rng = random.Random(3)
+    base = [[f"{name}{j}" for j in range(60)] for name in "abcdef"]
+    rows = [(5, " ".join(base[0])), (9, " ".join(base[1])), (None, _mutated(rng, base[0], 1)), (None, _mutated(rng, base[1], 1)), (None, " ".join(base[2]))]
+    rows += [(7, " ".join(base[3])), (7, " ".join(base[4])), (8, _mutated(rng, base[4], 1)), (7, " ".join(base[3])), (3, _mutated(rng, base[3], 1))]
+    rows += [(None, " ".join(base[5])), (None, " ".join(base[5])), (None, _mutated(rng, base[5], 1))]
+    got = _got(spark, rows, 4, (85, 100), parts)
+    assert got == _brute(rows, 4, (85, 100))
+    assert ("9", 57, "9") in got and ("5", 57, "5") in got
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_one_of_each_drops_copies_only(spark, parts):
+    text = lambda name, n=30: " ".join(f"{name}{j}" for j in range(n))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (3, text("d")), (3, text("e")), (3, text("e")), (None, text("e")), (4, text("c")), (None, None), (None, "")]
+    docs = spark.createDataFrame([(t, i, n) for n, (i, t) in enumerate(rows)], "Text string, DOC_ID long, n int").repartition(parts)
+    out = J.one_of_each(docs)
+    assert out.columns == ["Text", "DOC_ID", "n"]
+    assert sorted((str(r.DOC_ID), str(r.Text)[:2]) for r in out.collect()) == sorted([("None", "a0"), ("None", "b0"), ("4", "c0"), ("3", "d0"), ("3", "e0"), ("None", "No"), ("None", "")])
