@@ -63,10 +63,10 @@ def op7_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no audio, so the bytes of each document's text are taken as 8-bit PCM."""
-    from .media import align
+    from .media import align_lists
 
     docs = _table(spark, sf_dir, "documents")
-    return align(docs.select(F.col("doc_id").alias("rec_id"), F.encode("text", "UTF-8").alias("payload")), query_every=50)
+    return align_lists(docs.select(F.col("doc_id").alias("rec_id"), F.encode("text", "UTF-8").alias("payload")), query_every=50)
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
