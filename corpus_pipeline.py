@@ -14,7 +14,7 @@ from folioforge.llm.common import written
 from folioforge.llm.jaccard import one_of_each
 from folioforge.llm.langid import accepted
 from folioforge.llm.mixing import mixed_documents
-from folioforge.llm.packing import pack
+from folioforge.llm.packing import added_tokens, pack
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +36,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Pieces of sequences of at most 2048 tokens."""
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added=added)
 
 
 STAGES = [

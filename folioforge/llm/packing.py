@@ -9,15 +9,21 @@ Patterns are rounded down, what that leaves is filled greedily, and the plan is
 intervals: pieces are ranked within their class by partition offsets (no sort of a class in one task),
 and a rank gives the sequence. Offsets follow from the pieces that share a sequence.
 
+Ids are those of the vocabulary's own library: its added tokens are found in the text first, and what lies
+between them is encoded by the ranks.
+
 Defined cases: null text is empty and packs its end id alone; repeated rows are packed each; texts of
-any length are cut; no rows give no pieces. Strings of special tokens in a text are ordinary text.
+any length are cut; pieces of one length class are equal to the plan, ties go by partition and place;
+no rows give no pieces; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -57,9 +63,13 @@ class Tokenizer:
     pre-token, so texts are cut there and chunks are remembered; texts with any other white space are
     encoded whole."""
 
-    def __init__(self, ranks_path: str, pattern: str) -> None:
+    def __init__(self, ranks_path: str, pattern: str, added: Mapping[str, int] | None = None) -> None:
         import tiktoken
 
+        self.added = {k: np.array([v], "<u4").tobytes() for k, v in (added or {}).items()}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.split = re.compile(f"({'|'.join(map(re.escape, longest_first))})").split if self.added else None
+
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -68,6 +78,12 @@ class Tokenizer:
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if self.split is None:
+            return self._between(text)
+        parts = self.split(text)
+        return b"".join(self.added[x] if i % 2 else self._between(x) for i, x in enumerate(parts))
+
+    def _between(self, text: str) -> bytes:
         if not text:
             return b""
         parts: list[bytes] = []
@@ -83,24 +99,33 @@ class Tokenizer:
         return b"".join(parts)
 
 
-_LOADED: dict[tuple[str, str], Tokenizer] = {}
+def added_tokens(vocabulary_path: str) -> dict[str, int]:
+    """The added tokens of a vocabulary in the tokenizers library's JSON, and their ids."""
+    with open(vocabulary_path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in found):
+        raise ValueError("added tokens that take white space or whole words only are not supported")
+    return {t["content"]: t["id"] for t in found}
+
+
+_LOADED: dict[tuple, Tokenizer] = {}
 
 
-def _tokenizer(path: str, pattern: str) -> Tokenizer:
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = Tokenizer(path, pattern)
-    return _LOADED[path, pattern]
+def _tokenizer(path: str, pattern: str, added: tuple[tuple[str, int], ...]) -> Tokenizer:
+    if (path, pattern, added) not in _LOADED:
+        _LOADED[path, pattern, added] = Tokenizer(path, pattern, dict(added))
+    return _LOADED[path, pattern, added]
 
 
 _PIECES = "part int, doc_id long, copy long, start long, length long, ids_crc32 long, doc_tokens long, bucket int, local long, ids binary"
 
 
-def _cutter(path: str, pattern: str, keep_ids: bool):
+def _cutter(path: str, pattern: str, keep_ids: bool, added: tuple[tuple[str, int], ...]):
     end = np.array([END_ID], "<u4").tobytes()
     schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("copy", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("bucket", pa.int32()), ("local", pa.int64()), ("ids", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, ranks, row = _tokenizer(path, pattern), TaskContext.get().partitionId(), [0] * (CAPACITY + 1), 0
+        encoder, part, ranks, row = _tokenizer(path, pattern, added), TaskContext.get().partitionId(), [0] * (CAPACITY + 1), 0
         for batch in batches:
             out: list[list] = [[] for _ in schema]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
@@ -252,11 +277,11 @@ def _assigner(plan: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]):
     return assign
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", doc_id: str = "doc_id", keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", doc_id: str = "doc_id", keep_ids: bool = False, added: Mapping[str, int] | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece; ids if kept.
     ``part`` and ``copy`` tell the pieces of repeated documents apart."""
     rows = pick(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = written(rows.mapInArrow(sliced(_cutter(ranks_path, pattern, keep_ids)), _PIECES), "pack-pieces")
+    pieces = written(rows.mapInArrow(sliced(_cutter(ranks_path, pattern, keep_ids, tuple(sorted((added or {}).items())))), _PIECES), "pack-pieces")
     per_part = pieces.groupBy("part", "bucket").agg((F.max("local") + 1).alias("n"))
     before = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = written(per_part.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))), "pack-offsets")

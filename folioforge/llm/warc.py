@@ -7,11 +7,16 @@ byte count and SHA-256 so far, so no step holds a record of any size in memory.
 
 Archives lie in the shared folder, reached through a file system chosen by its address. Each write
 attempt has its own file name, and the manifest that a reader starts from is a committed table of
-the attempts that succeeded, so lost executors or repeated tasks leave no half-read archive.
+the attempts that succeeded, so lost executors or repeated tasks leave no half-read archive. A record's
+id is made of its file's name and its number there.
 
-Defined cases: null payload is empty; a null key or url is written as an absent header; repeated rows are
-records of their own (of equal payloads and equal smallest keys all are responses); payloads under
-MIN_REVISIT bytes are always responses; no rows give no archives.
+Which record revisits which is decided on slim rows of keys and digests. Only rows that a bitmap of these cannot
+rule out are joined with their payloads; the others are written from where they are read.
+
+Defined cases: null payload is empty; a null key or url is written as an absent header, and a null key
+is a response that none revisits; repeated rows are records of their own (of equal payloads and equal smallest keys all
+are responses), and rows of one key with different payloads are judged each by its own; payloads under
+MIN_REVISIT bytes are always responses; no rows give no archives; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, scratch, sliced, written
+from .common import marked, pick, scratch, sliced, written
 
 CHUNK, MIN_REVISIT, SALTS = 1 << 18, 100, 16
 #: Chunk rows as read: size_so_far and sha256_so_far run over the payload up to this chunk.
@@ -40,15 +45,16 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: s
     rows = pick(pages, key=key, uri=url, payload=payload)
     rows = rows.select(F.col("key").cast("long").alias("key"), F.col("uri").cast("string").alias("uri"), F.encode(F.coalesce(F.col("payload").cast("string"), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("size", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    # Only digests that repeat need a join; it meets slim rows, and a hot digest is split by its salt.
-    again = rows.filter(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    again = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("n")
-    keyed = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-    slim = written(keyed.select("key", "digest", "salt", "size"), "warc-keys").filter(F.col("size") >= MIN_REVISIT)
-    revisits = slim.join(again, ["digest", "salt"]).filter(F.col("key") > F.col("first")).select("key", F.col("first").alias("refers_to")).distinct()
-    return keyed.drop("salt").join(revisits, "key", "left").withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
-
-
+    # A hot digest is split by its salt.
+    slim = written(rows.select("key", "digest", "size").filter(F.col("size") >= MIN_REVISIT).filter("key is not null").select("key", "digest", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int").alias("salt")), "warc-keys")
+    again = slim.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    again = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    revisits = slim.join(again, ["digest", "salt"]).filter(F.col("key") > F.col("first")).select("key", "digest", F.col("first").alias("refers_to")).distinct()
+    revisits = written(revisits.withColumn("mark", F.xxhash64("key", "digest")), "warc-revisits")
+    told = marked(rows.withColumn("mark", F.xxhash64("key", "digest")), revisits, "mark").drop("mark")
+    plain = told.filter("not _maybe").drop("_maybe").withColumn("refers_to", F.lit(None).cast("long"))
+    again = told.filter("_maybe").drop("_maybe").join(revisits.drop("mark"), ["key", "digest"], "left").select(*plain.columns)
+    return plain.unionByName(again).withColumn("record_type", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit"))
 
 
 def _chunked(rows: DataFrame) -> DataFrame:
@@ -57,8 +63,8 @@ def _chunked(rows: DataFrame) -> DataFrame:
     return rows.select("key", "uri", "size", "digest", "record_type", "refers_to", "chunk_no", F.expr(f"substring(payload, chunk_no * {CHUNK} + 1, {CHUNK})").alias("data"))
 
 
-def _header(row: dict) -> bytes:
-    lines = [b"WARC/1.1", b"WARC-Type: " + row["record_type"].encode(), b"WARC-Record-ID: <urn:uuid:%s>" % str(uuid.uuid5(uuid.NAMESPACE_OID, f"{row['key']}:{row['digest']}")).encode(), b"WARC-Date: 1970-01-01T00:00:00Z"]
+def _header(row: dict, record_id: str) -> bytes:
+    lines = [b"WARC/1.1", b"WARC-Type: " + row["record_type"].encode(), b"WARC-Record-ID: <urn:uuid:%s>" % record_id.encode(), b"WARC-Date: 1970-01-01T00:00:00Z"]
     if row["uri"] is not None:
         lines.append(b"WARC-Target-URI: " + b" ".join(row["uri"].encode().split()))
     if row["key"] is not None:
@@ -81,7 +87,7 @@ def _writer(folder: str, level: int):
                     out = system.open_output_stream(f"{base}/{name.rpartition('/')[2]}", compression=None)
                 if row["chunk_no"] == 0:
                     packer, left = zlib.compressobj(level, zlib.DEFLATED, 31), row["size"]
-                    out.write(packer.compress(_header(row)))
+                    out.write(packer.compress(_header(row, str(uuid.uuid5(uuid.NAMESPACE_URL, f"{name}#{count}")))))
                 out.write(packer.compress(row["data"]))
                 left -= len(row["data"])
                 if left <= 0:

@@ -12,23 +12,23 @@ from tokenizers import Tokenizer
 from folioforge.llm import packing
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
+ADDED = packing.added_tokens(P.path("byte_bpe_50k.json"))
 SCHEMA = "doc_id long, text string, source string, length long, sequence_id long"
 
 
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
-TEXTS = ["", "a", " a", "a ", "  a  b", "it's we'll\n\nyes", "x\ny z\n", "\ttab nbsp em", "Ünïcödé 日本語 😀 12345 $$$ <|endoftext|>", "a\r\nb \n c", "don't's 's", "\x1c\x85 　x", "A" * 5000, "word " * 3000 + "end", "\n".join(["ligne une deux."] * 50)]
+TEXTS = ["", "a<|endoftext|>b", "<|endoftext|><|endoftext|>", "x <|endoftext|> y\n<|endoftext|>\nz", "<|endoftext", "  <|endoftext|>  ", "a", " a", "a ", "  a  b", "it's we'll\n\nyes", "x\ny z\n", "\ttab nbsp em", "Ünïcödé 日本語 😀 12345 $$$ <|endoftext|>", "a\r\nb \n c", "don't's 's", "\x1c\x85 　x", "A" * 5000, "word " * 3000 + "end", "\n".join(["ligne une deux."] * 50)]
 
 
 def test_ids_equal_the_library(reference):
-    t = packing.Tokenizer(RANKS, P.PATTERN)
+    t = packing.Tokenizer(RANKS, P.PATTERN, ADDED)
     rng = random.Random(3)
-    alphabet = ["a", "b", " ", "  ", "\n", "\t", "'s", "1", ".", "é", " ", "the", "日", "-"]
+    alphabet = ["a", "b", " ", "  ", "\n", "\t", "'s", "1", ".", "é", " ", "the", "日", "-", "<|endoftext|>", "<|", "|>"]
     texts = TEXTS + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 60))) for _ in range(2000)]
     for text in texts:
         assert np.frombuffer(t.ids(text), "<u4").tolist() == reference(text), repr(text)
@@ -97,7 +97,7 @@ def test_pieces_cover_every_id_once(spark, reference):
     rows = [(i, " ".join(rng.choice(["the", "cat", "Straße", "x1", "."]) for _ in range(rng.randrange(0, 900))), "s", -5, -6) for i in range(300)]
     rows += [(1000 + i, t, None, 0, 0) for i, t in enumerate(TEXTS)] + [(2000, None, "s", 0, 0), (2001, "same row", "s", 0, 0), (2001, "same row", "s", 0, 0), (None, "no id", "s", 0, 0)]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    packed = packing.pack(docs, RANKS, P.PATTERN, keep_ids=True)
+    packed = packing.pack(docs, RANKS, P.PATTERN, keep_ids=True, added=ADDED)
     got = packed.collect()
     want = {}
     for i, t, *_ in rows:

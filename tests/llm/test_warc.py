@@ -45,3 +45,14 @@ def test_empty_repeated_and_null_rows(spark):
     text = "same " * 50
     got = warc.round_trip(_pages(spark, [(1, "u", text), (1, "u", text), (None, None, text), (3, "u", text)])).collect()
     assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in got) == [("1", "response", None), ("1", "response", None), ("3", "revisit", 1), ("None", "response", None)]
+
+
+def test_one_key_with_several_payloads(spark):
+    a, b = "a" * 200, "b" * 200
+    rows = [(0, "u", a), (1, "u", a), (1, "u", b), (1, "u", a), (2, "u", b), (2, "u", a), (2, "u", b), (None, "u", b), (None, "u", "c" * 200)]
+    records = warc.round_trip(_pages(spark, rows).repartition(3)).collect()
+    digest = {hashlib.sha256(x.encode()).hexdigest(): x[0] for x in (a, b, "c" * 200)}
+    got = sorted((str(r.page_id), digest[r.payload_digest], r.record_type, r.refers_to) for r in records)
+    want = [("0", "a", "response", None), ("1", "a", "revisit", 0), ("1", "a", "revisit", 0), ("1", "b", "response", None), ("2", "a", "revisit", 0)]
+    want += [("2", "b", "revisit", 1), ("2", "b", "revisit", 1), ("None", "b", "response", None), ("None", "c", "response", None)]
+    assert got == sorted(want, key=lambda x: (x[0], x[1], x[2], str(x[3]))) and len({r.record_id for r in records}) == len(rows)
