@@ -1,27 +1,31 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is split into text blocks; a logistic classifier over each block's surroundings and text gives
-the costs of calling it content or boilerplate, which become capacities to the two terminals. Blocks
-that follow each other, and blocks under one parent, are tied by smoothness edges that weaken with
-their distance in the tree. The minimum cut is the labelling of least total cost; blocks whose own
-costs outweigh all their ties are settled first (any minimum cut agrees with that), and the rest goes
-through max-flow. The classifier is trained here, on labelled snippets below, by gradient descent.
+A page is split into text blocks; a logistic classifier over each block's text, neighbours, place and
+surroundings gives the costs of calling it content or boilerplate, which become capacities to the two
+terminals. The names of classes are graded hints (the share of telling words in a name, those that
+often mislead apart), not verdicts. Blocks that follow each other, and blocks under one parent, are tied by
+smoothness edges that weaken with their distance in the tree. The minimum cut is the labelling of
+least total cost; blocks whose own costs outweigh all their ties are settled first (any minimum cut
+agrees with that), and the rest goes through max-flow. The classifier is trained here, on labelled
+pages that ``training_page`` makes, some with misleading names, by Newton's method.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are
 trimmed and joined in page order by a line feed. Nothing else is dropped or cut.
 
 Defined cases: null html is empty; a page without markup is one block of text; unclosed, stray and
 misnested tags, unclosed comments and unclosed scripts are read as browsers would, roughly; nesting
-of any depth; repeated rows are rows of their own; no rows give no rows.
+of any depth; of labellings of equal cost that with fewer content blocks is taken; repeated rows are rows
+of their own; no rows give no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import deque
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import cache
 from html import unescape
 
@@ -41,8 +45,10 @@ OUTSIDE = frozenset("nav footer aside form button select dialog menu head".split
 INSIDE = frozenset("article main".split())
 OUTSIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 INSIDE_ROLES = frozenset("main article".split())
-OUTSIDE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus foot footer header login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination popup promo promoted promotion recommended related replies respond share sharing sidebar sidenav signup skip social sponsor sponsored subscribe subscription taboola tags toolbar topbar widget widgets".split())
+STRONG_WORDS = frozenset("ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer login masthead menu modal nav navbar navigation newsletter outbrain pager pagination popup sidebar sidenav signup sponsor sponsored subscribe subscription taboola toolbar topbar".split())
+WEAK_WORDS = frozenset("banner disclaimer foot header notice notices notification overlay promo promoted promotion recommended related replies respond share sharing skip social tags widget widgets".split())
 INSIDE_WORDS = frozenset("article body content entry main post story text".split())
+NEUTRAL_WORDS = frozenset("area article bar block body bottom box col column container content entry global group inner item items left list main outer page panel post reader right row section site text top unit user wrap wrapper".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 FENCES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 
@@ -53,7 +59,9 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 @dataclass(slots=True)
 class Block:
-    """path: numbers of the open elements around it, outermost first, as a linked pair (parent, number)."""
+    """node: numbers of the open elements around it, innermost first, as a linked pair (parent, number).
+    outside, inside: by elements and roles. strong, weak: the largest share of such words in a name
+    around it. named: whether a name around it is one of content."""
 
     text: str
     link: int
@@ -62,6 +70,9 @@ class Block:
     tag: str
     outside: bool
     inside: bool
+    strong: float
+    weak: float
+    named: bool
 
 
 @dataclass(slots=True)
@@ -69,16 +80,25 @@ class _Open:
     name: str
     node: tuple
     depth: int
-    outside: bool
-    inside: bool
+    hints: tuple[bool, bool, float, float, bool]
     link: bool
     gone: bool
 
 
-def _attributes(name: str, raw: str, parent: _Open) -> tuple[bool, bool, bool]:
-    """(outside, inside, gone) of an element, with what it inherits."""
-    outside, inside, gone = parent.outside, parent.inside, parent.gone
-    if name in OUTSIDE or (name == "header" and not parent.inside):
+@cache
+def _name_hints(value: str) -> tuple[float, float, bool]:
+    """Shares of strong and of weak words in a class or id, and whether it names content."""
+    words = {w.lower() for w in _PART.findall(value)}
+    telling = words - NEUTRAL_WORDS
+    n = max(1, len(telling))
+    strong, weak = len(telling & STRONG_WORDS) / n, len(telling & WEAK_WORDS) / n
+    return (strong + weak, 0.0, False) if strong else (0.0, weak, not weak and bool(words & INSIDE_WORDS))
+
+
+def _attributes(name: str, raw: str, parent: _Open) -> tuple[tuple[bool, bool, float, float, bool], bool]:
+    """(hints, gone) of an element, with what it inherits."""
+    (outside, inside, strong, weak, named), gone = parent.hints, parent.gone
+    if name in OUTSIDE or (name == "header" and not inside):
         outside = True
     elif name in INSIDE:
         inside = True
@@ -98,17 +118,14 @@ def _attributes(name: str, raw: str, parent: _Open) -> tuple[bool, bool, bool]:
             elif key == "aria-hidden":
                 gone |= value.lower() == "true"
             elif name not in ("html", "body"):
-                words = {w.lower() for w in _PART.findall(value)}
-                if words & OUTSIDE_WORDS and not (name in INSIDE and not words & {"comment", "comments", "ad", "ads"}):
-                    outside = True
-                elif words & INSIDE_WORDS:
-                    inside = True
-    return outside, inside, gone
+                s, w, content = _name_hints(value) if len(value) <= 200 else (0.0, 0.0, False)
+                strong, weak, named = max(strong, s), max(weak, w), named or content
+    return (outside, inside, strong, weak, named), gone
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
-    root = _Open("", (None, 0), 0, False, False, False, False)
+    root = _Open("", (None, 0), 0, (False, False, 0.0, 0.0, False), False, False)
     stack, found, number = [root], [], 0
     pieces: list[str] = []
     linked = 0
@@ -124,7 +141,7 @@ def blocks(page: str) -> list[Block]:
                     holder = item
                     break
             if text:
-                found.append(Block(text, min(linked, len(text)), holder.node, holder.depth, holder.name, holder.outside, holder.inside))
+                found.append(Block(text, min(linked, len(text)), holder.node, holder.depth, holder.name, *holder.hints))
         linked = 0
 
     at, end = 0, len(page)
@@ -191,8 +208,8 @@ def blocks(page: str) -> list[Block]:
         if name in VOID:
             continue
         parent, number = stack[-1], number + 1
-        outside, inside, gone = _attributes(name, m[3] or m[6] or "", parent)
-        stack.append(_Open(name, (parent.node, number), parent.depth + 1, outside, inside, parent.link or name == "a", gone))
+        hints, gone = _attributes(name, m[3] or m[6] or "", parent)
+        stack.append(_Open(name, (parent.node, number), parent.depth + 1, hints, parent.link or name == "a", gone))
     flush()
     return found
 
@@ -200,42 +217,94 @@ def blocks(page: str) -> list[Block]:
 # --------------------------------------------------------------------------- the classifier
 
 
-def _features(b: Block) -> tuple[float, ...]:
-    words = b.text.count(" ") + 1
-    link = b.link / len(b.text)
-    return (1.0, float(b.outside), float(b.inside), float(b.tag in HEADINGS), float(b.tag in ("p", "blockquote", "pre")), link, min(1.0, math.log1p(words) / 5), float(b.text[-1] in ".!?…。\"'”»"))
+def features(found: list[Block]) -> list[tuple[float, ...]]:
+    n = len(found)
+    words = [min(1.0, math.log1p(b.text.count(" ") + 1) / 5) for b in found]
+    links = [b.link / len(b.text) for b in found]
+    out = []
+    for i, b in enumerate(found):
+        around = [j for j in (i - 1, i + 1) if 0 <= j < n] or [i]
+        stop = float(b.text[-1] in ".!?…。\"'”»")
+        out.append((
+            1.0, float(b.outside), float(b.inside), b.strong, b.weak, float(b.named), float(b.tag in HEADINGS), float(b.tag in ("p", "blockquote", "pre")), links[i], words[i], stop,
+            sum(words[j] for j in around) / len(around), sum(links[j] for j in around) / len(around), abs(2 * i / max(1, n - 1) - 1.0),
+        ))
+    return out
 
 
-#: Labelled snippets: blocks whose text starts with "+" are content.
-TRAINING = (
-    "<nav><a>- home</a><a>- news</a></nav><article><h1>+ A headline of a story</h1><p>+ The first paragraph has a few sentences. It ends here.</p><p>+ Short.</p></article><footer>- Copyright of the site, all rights reserved.</footer>",
-    "<header><p>- The daily site.</p></header><main><h2>+ Heading</h2><p>+ Some text without a stop</p><ul><li>+ a point</li><li>+ another point in a list</li></ul></main><aside><p>- Sidebar text that reads like a sentence.</p></aside>",
-    "<div class=menu><ul><li><a>- one</a></li><li><a>- two</a></li></ul></div><div><p>+ A page with no semantic elements still has paragraphs, and they are long enough to tell.</p><p>+ Another one that goes on for a while, as paragraphs do, until it ends.</p></div><div><a>- more</a></div>",
-    "<div class=cookie-notice><p>- We use cookies to improve your visit. Accept them all?</p></div><article><p>+ Body text here.</p><blockquote>+ A quotation.</blockquote><div class=ad>- Buy this now. It is very good.</div><p>+ More body text.</p></article>",
-    "<article><h1>+ Title</h1><p>+ Text with <a>a link</a> in the middle of a sentence.</p><section class=comments><p>- Reader says that this is a nice article, thank you.</p><p>- Another reader disagrees.</p></section></article>",
-    "<div><a>- Login</a> <a>- Register</a></div><table><tr><td>+ A cell with quite some words in a row of a table of results</td></tr></table><form><p>- Subscribe to our letter today.</p></form>",
-    "<article><p>+ One</p><p>+ Two words</p><pre>+ code = 1</pre></article><nav><a>- next</a></nav><footer><p>- Imprint. Contact. Privacy.</p></footer><div><a>- Terms of use</a></div>",
-)
+_OTHER_WORDS = "board history work prices table field result figure report data view quote detail series chapter".split()
+
+
+def training_page(rng: random.Random) -> str:
+    """A page whose texts start with + (content) or - (boilerplate). Some names of content mislead."""
+    say = lambda n: " ".join("".join(rng.choice("aeioubdfglmnrst") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    sentence = lambda n: say(n).capitalize() + rng.choice("...!?,")
+    pick_ = lambda words: rng.choice(sorted(words))
+    kind = rng.choice(["elements", "names", "names", "bare"])
+
+    def paragraph() -> str:
+        r = rng.random()
+        if r < 0.08:
+            return f"<h2>+ {say(rng.randrange(1, 8))}</h2>"
+        if r < 0.16:
+            return "<ul>" + "".join(f"<li>+ {say(rng.randrange(2, 14))}</li>" for _ in range(rng.randrange(1, 5))) + "</ul>"
+        text = "+ " + " ".join(sentence(rng.randrange(2, 25)) for _ in range(rng.choice([1, 1, 2, 4])))
+        if rng.random() < 0.2:
+            text += f" <a>{say(2)}</a> {sentence(5)}"
+        part = f"<{tag}>{text}</{tag}>" if (tag := rng.choice(["p", "p", "p", "blockquote", "div"])) else ""
+        if rng.random() < 0.12:  # a name that misleads
+            name = pick_(WEAK_WORDS) + rng.choice(["", "-" + rng.choice(_OTHER_WORDS), "-" + pick_(NEUTRAL_WORDS)]) if rng.random() < 0.85 else pick_(STRONG_WORDS) + "-" + rng.choice(_OTHER_WORDS)
+            part = f'<div class="{name}">{part}</div>'
+        return part
+
+    def links(n: int) -> str:
+        return "<ul>" + "".join(f"<li><a>- {say(rng.randrange(1, 5))}</a></li>" for _ in range(n)) + "</ul>"
+
+    def talk() -> str:
+        return "".join(f"<{tag}>- {' '.join(sentence(rng.randrange(2, 16)) for _ in range(rng.choice([1, 1, 2])))}</{tag}>" for tag in [rng.choice(["p", "div"]) for _ in range(rng.choice([1, 1, 2, 4]))])
+
+    def outside(inner: str) -> str:
+        if kind == "elements" and rng.random() < 0.7:
+            tag = rng.choice(["nav", "aside", "footer", "form", "header"])
+            return f"<{tag}>{inner}</{tag}>"
+        word = pick_(STRONG_WORDS) if rng.random() < 0.75 else pick_(WEAK_WORDS)
+        name = rng.choice([word, f"{pick_(NEUTRAL_WORDS)}-{word}", f"{word}-{pick_(NEUTRAL_WORDS)}", f"{word} {pick_(STRONG_WORDS)}"])
+        return f'<div {rng.choice(["class", "id"])}="{name}">{inner}</div>'
+
+    body = [f"<h1>+ {say(rng.randrange(1, 10))}</h1>", *[paragraph() for _ in range(rng.randrange(1, 14))]]
+    for _ in range(rng.choice([0, 0, 1, 2])):
+        body.insert(rng.randrange(1, len(body) + 1), outside(talk()))
+    main = "".join(body)
+    wrap = {"elements": "<article>{}</article>", "names": rng.choice(['<div id="content">{}</div>', '<div class="post">{}</div>', "<div>{}</div>"]), "bare": "<div>{}</div>"}[kind]
+    parts = [wrap.format(main)]
+    for _ in range(rng.randrange(1, 4)):
+        parts.insert(0, f"<div>{links(rng.randrange(2, 7))}</div>" if kind == "bare" or rng.random() < 0.2 else outside(rng.choice([links(rng.randrange(2, 7)), talk()])))
+    for _ in range(rng.randrange(1, 4)):
+        parts.append(f"<div>{links(rng.randrange(1, 7))}</div>" if kind == "bare" or rng.random() < 0.2 else outside(rng.choice([links(rng.randrange(2, 7)), talk()])))
+    return "".join(parts)
 
 
 @cache
-def weights() -> tuple[float, ...]:
-    x, y = [], []
-    for snippet in TRAINING:
-        for b in blocks(snippet):
-            x.append(_features(b))
-            y.append(float(b.text.startswith("+")))
+def weights(pages: int = 400, ridge: float = 2.0) -> tuple[float, ...]:
+    rng, x, y = random.Random(5), [], []
+    for _ in range(pages):
+        found = blocks(training_page(rng))
+        y += [float(b.text.startswith("+")) for b in found]
+        for b in found:
+            b.text = b.text[2:] or "."
+            b.link = max(0, min(b.link - 2, len(b.text)))
+        x += features(found)
     a, t = np.array(x), np.array(y)
     w = np.zeros(a.shape[1])
-    for _ in range(3000):
-        p = 1 / (1 + np.exp(-a @ w))
-        w -= 0.8 * (a.T @ (p - t) / len(t) + 0.004 * w)
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+        w -= np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), a.T @ (p - t) + ridge * w)
     return tuple(w.tolist())
 
 
 # --------------------------------------------------------------------------- the cut
 
-NEAR, KIN = 0.5, 0.35
+NEAR, KIN = 1.5, 0.8
 
 
 def _distance(a: Block, b: Block) -> int:
@@ -360,19 +429,23 @@ def _max_flow(open_: list[int], gain: list[float], tied: list[dict[int, float]],
                 turn[a] += 1
 
 
-def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    if not found:
-        return ""
-    w = weights()
+def costs(found: list[Block], w: Sequence[float]) -> tuple[list[float], list[float]]:
+    """Of each block the costs of calling it content, and boilerplate."""
     content, boilerplate = [], []
-    for b in found:
-        z = sum(f * x for f, x in zip(_features(b), w))
+    for row in features(found):
+        z = sum(f * x for f, x in zip(row, w))
         # -log of the logistic function of z and of -z, without overflow
         soft = math.log1p(math.exp(-abs(z)))
         content.append(soft + max(0.0, -z))
         boilerplate.append(soft + max(0.0, z))
-    keep = minimum_cut(content, boilerplate, ties(found))
+    return content, boilerplate
+
+
+def main_text(page: str | None, w: Sequence[float] | None = None) -> str:
+    found = blocks(page or "")
+    if not found:
+        return ""
+    keep = minimum_cut(*costs(found, w or weights()), ties(found))
     return "\n".join(b.text for b, k in zip(found, keep) if k)
 
 
@@ -380,9 +453,11 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """page_id, url, text, n_chars of each row."""
     rows = pick(pages, page_id=page_id, url=url, html=html).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
 
+    w = weights()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h) for h in batch.column("html").to_pylist()]
+            texts = [main_text(h, w) for h in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.mapInArrow(sliced(run), "page_id long, url string, text string, n_chars long")

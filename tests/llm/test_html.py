@@ -80,3 +80,34 @@ def test_edges(spark):
     rows = [(1, None, None, 5, "x"), (2, "u", PAGE, 5, "x"), (2, "u", PAGE, 5, "x"), (None, "u", "", 5, "x")]
     got = sorted((str(r.page_id), r.n_chars > 0) for r in html.extract(spark.createDataFrame(rows, schema)).collect())
     assert got == [("1", False), ("2", True), ("2", True), ("None", False)]
+
+
+def test_names_that_mislead_drop_no_paragraph():
+    for name in ("notice-board", "social-history", "related-work", "share-prices", "tags-list", "header-files", "promotion-criteria"):
+        page = f"<body><nav><ul><li><a>Home</a></li></ul></nav><article><h1>Head</h1><p>Real text stands here, in a sentence.</p><div class='{name}'><p>The board met on Monday and decided, after a long talk, to go on.</p></div><p>And more of it.</p></article><div class='cookie-notice'>We use cookies.</div><footer>c</footer></body>"
+        assert html.main_text(page) == "Head\nReal text stands here, in a sentence.\nThe board met on Monday and decided, after a long talk, to go on.\nAnd more of it.", name
+
+
+def _labels(page):
+    found = html.blocks(page)
+    content, boilerplate = html.costs(found, html.weights())
+    return found, [b > c for c, b in zip(content, boilerplate)], html.minimum_cut(content, boilerplate, html.ties(found))
+
+
+def test_the_cut_flips_what_neighbours_contradict():
+    flips, right, alone, rng = 0, 0, 0, random.Random(123)
+    for _ in range(150):
+        found = html.blocks(html.training_page(rng))
+        truth = [b.text.startswith("+") for b in found]
+        for b in found:
+            b.text, b.link = b.text[2:] or ".", max(0, min(b.link - 2, len(b.text)))
+        content, boilerplate = html.costs(found, html.weights())
+        own, keep = [b > c for c, b in zip(content, boilerplate)], html.minimum_cut(content, boilerplate, html.ties(found))
+        flips += sum(a != b for a, b in zip(own, keep))
+        alone += sum(a == b for a, b in zip(own, truth))
+        right += sum(a == b for a, b in zip(keep, truth))
+    assert flips >= 5 and right > alone
+    long = "<p>A paragraph that goes on for quite a while, so that there is no doubt of what it is to the reader.</p>"
+    page = "<div>" + long * 3 + "<div class='widget'><p>See the table for the numbers of the last year.</p></div>" + long * 3 + "</div>"
+    found, own, keep = _labels(page)
+    assert keep == [True] * 7
