@@ -67,10 +67,19 @@ def _sweep() -> None:
             return
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: lineage ends there, and lost executors take nothing with them."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, name: str, records: int = 1000) -> DataFrame:
+    """``df`` as a table in the shared folder: lineage ends there, and lost executors take nothing with them.
+    Python workers get at most ``records`` rows at once meanwhile; the session keeps its own limit."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = spark.conf.get(_RECORDS)
+    spark.conf.set(_RECORDS, str(records))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_RECORDS, before)
     out = df.sparkSession.read.parquet(path)
     out._scratch_path = path
     return out
@@ -115,7 +124,7 @@ def marked(rows: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
 _A = 0x9E3779B97F4A7C15
 _K = 0x5851F42D4C957F2D  # odd, so that it has an inverse modulo 2**64
 _KINV = pow(_K, -1, 1 << 64)
-_BLOCK = 1 << 21
+_BLOCK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

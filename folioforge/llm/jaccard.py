@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import free, marked, mix, pick, place_of, runs, sliced, words, written
 
 #: Shingles that order lists as frequent, at most; repeats within a block that count; shingles a block.
-FREQUENT, REPEATS, BLOCK = 1 << 18, 2, 3_000_000
+FREQUENT, REPEATS, BLOCK = 1 << 18, 2, 2_000_000
 #: Anchors of a list in each round. The first round's are the earliest placed.
 ANCHORS = (4, 8, 16)
 #: What an inverted list's entry costs, an enumerated subset's being 1.
@@ -193,7 +193,7 @@ def _entries(k: int, similarity: tuple[int, int], boundary: int, frequent: np.nd
                 n, c = len(s), _code(s)
                 if not n or (c, n) in seen:
                     continue
-                if len(seen) < 2_000_000:
+                if len(seen) < 200_000:
                     seen.add((c, n))
                 if n <= boundary:
                     for key, larger in _subset_keys(s, similarity, boundary):
