@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = r"[\p{L}\p{N}]+"
+from .tokens import tokens
 
 # How umlauts are spelled out, accents folded, ligatures and quotes written plainly.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
@@ -16,10 +16,6 @@ LIGATURES = (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ"
 QUOTES = (("“", '"'), ("”", '"'), ("‘", "'"), ("’", "'"))
 
 
-def tokens(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
-
-
 def normalized_title(c: Column) -> Column:
     """Tokens joined by spaces: the key of ranking collapse."""
     return F.array_join(tokens(c), " ")
@@ -27,7 +23,7 @@ def normalized_title(c: Column) -> Column:
 
 def normalized_doi(c: Column) -> Column:
     """The key of ranking collapse: lower case, without resolver or prefix."""
-    return F.regexp_replace(F.lower(F.trim(c)), r"^(https?://(dx\.)?doi\.org/|doi:)", "")
+    return F.trim(F.regexp_replace(F.lower(F.trim(c)), r"^(https?://(dx\.)?doi\.org/|doi:\s*)", ""))
 
 
 def clean_doi(c: Column) -> Column:

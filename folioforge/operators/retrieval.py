@@ -1,102 +1,141 @@
 """Dense, lexical and hybrid retrieval: scoring, weighted rank fusion, title gate, noise, collapse.
 
-Query sets are stated and small; they travel as literals or a broadcast of at most MAX_QUERIES rows, and
-everything else stays distributed: postings are pruned to the queries' terms before any shuffle, scores
-are cut to a depth before fusion, and texts are joined only to what is left.
+Query sets are stated and small; they travel as matrices of at most MAX_QUERIES rows or as broadcasts, and
+everything else stays distributed: persisted postings are read for the queries' terms only, a batch of vectors
+gives its best rows, scores are cut to a depth before fusion, and titles are joined only to what is left.
+Ranks follow scores in full precision; scores are rounded where they are returned.
 """
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from ..functions.text import normalized_doi, normalized_title, tokens
-from ..functions.vectors import doubles, similarity
+from ..functions.text import normalized_doi, normalized_title
+from ..functions.tokens import tokens, without_marks
+from ..functions.vectors import doubles
+from ..sources.postings import Postings
 
 MAX_QUERIES = 1000
+METRICS = ("l2", "cosine", "ip")
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
 
-def dense_scores(index: DataFrame, queries: DataFrame, metric: str = "l2", where: Column | None = None) -> DataFrame:
-    """query_id, item_key, score of every row of ``index`` (item_key, embedding, ...) that passes, for
-    each of ``queries`` (query_id, qv). Queries travel as literals, MAX_QUERIES to a scan."""
-    rows = (index.filter(where) if where is not None else index).select("item_key", doubles(F.col("embedding")).alias("v"))
-    scans: list[DataFrame] = []
-    block: list[dict] = []
+def _best(ids: list, asked: np.ndarray, k: int, metric: str):
+    """(query_id, item_key, exact): of each batch the k best for each query, ties to the smaller key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        norms = np.sqrt((asked * asked).sum(1))
+        for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column("v")))
+            if not batch.num_rows:
+                continue
+            keys = batch.column("item_key").to_numpy(zero_copy_only=False)
+            m = batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1)
+            if m.shape[1] != asked.shape[1]:
+                raise ValueError(f"vectors of {m.shape[1]} and of {asked.shape[1]} components")
+            own = np.sqrt((m * m).sum(1)) if metric == "cosine" else None
+            out_q, out_i, out_s = [], [], []
+            for i, q in enumerate(asked):
+                if metric == "l2":
+                    score = 1.0 - ((m - q) ** 2).sum(1)
+                else:
+                    score = (m * q).sum(1)
+                    if own is not None:
+                        score /= np.maximum(own * norms[i], 1e-30)
+                score = np.where(np.isnan(score), -np.inf, score)
+                near = np.flatnonzero(score >= np.partition(score, -k)[-k]) if len(score) > k else np.arange(len(score))
+                near = near[np.lexsort((keys[near], -score[near]))][:k]
+                out_q += [ids[i]] * len(near)
+                out_i.append(near)
+                out_s.append(score[near])
+            yield pa.RecordBatch.from_arrays([pa.array(out_q), batch.column("item_key").take(pa.array(np.concatenate(out_i))), pa.array(np.concatenate(out_s))], names=["query_id", "item_key", "exact"])
+
+    return run
 
-    def scan() -> None:
-        asked = F.explode(F.from_json(F.lit(json.dumps(block)), "array<struct<query_id: long, qv: array<double>>>"))
-        scans.append(rows.select("item_key", "v", asked.alias("q")).select("q.query_id", "item_key", F.round(similarity(F.col("v"), F.col("q.qv"), metric), 6).alias("score")))
 
-    for r in queries.select("query_id", doubles(F.col("qv")).alias("qv")).toLocalIterator():
-        block.append({"query_id": r["query_id"], "qv": r["qv"]})
-        if len(block) == MAX_QUERIES:
-            scan()
-            block = []
-    if block or not scans:
-        scan()
-    return reduce(DataFrame.unionByName, scans)
+def dense_topk(index: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", where: Column | None = None) -> DataFrame:
+    """query_id, item_key, score, rank: the k best rows of ``index`` (item_key, embedding, ...) that pass,
+    for each of ``queries`` (query_id, qv), a stated set. MAX_QUERIES of them meet a batch as one matrix,
+    and k rows a query leave a batch, so the index itself is never shuffled."""
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric: {metric}")
+    rows = (index.filter(where) if where is not None else index).select("item_key", doubles(F.col("embedding")).alias("v"))
+    kinds = queries.schema["query_id"].dataType.simpleString(), rows.schema["item_key"].dataType.simpleString()
+    schema = f"query_id {kinds[0]}, item_key {kinds[1]}, exact double"
+    asked = [(r["query_id"], r["qv"]) for r in queries.select("query_id", doubles(F.col("qv")).alias("qv")).toLocalIterator()]
+    blocks = [asked[at : at + MAX_QUERIES] for at in range(0, len(asked), MAX_QUERIES)]
+    scans = [rows.mapInArrow(_best([q for q, _ in b], np.array([v for _, v in b], float), k, metric), schema) for b in blocks]
+    found = reduce(DataFrame.unionByName, scans) if scans else rows.sparkSession.createDataFrame([], schema)
+    return _rounded(ranked(found, k))
 
 
 def ranked(scores: DataFrame, depth: int) -> DataFrame:
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_key")
+    """Adds rank by ``exact`` (not rounded), ties to the smaller key; the best ``depth`` of each query."""
+    best = Window.partitionBy("query_id").orderBy(F.desc("exact"), "item_key")
     return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= depth)
 
 
-def dense_topk(index: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", where: Column | None = None) -> DataFrame:
-    return ranked(dense_scores(index, queries, metric, where), k)
-
-
-def postings(docs: DataFrame, title_weight: float = 3.0) -> DataFrame:
-    """item_key, t, f (weighted frequency), l (tokens of both columns); of (item_key, title, document)."""
-    counted = docs.select("item_key", tokens(F.coalesce("title", F.lit(""))).alias("a"), tokens(F.coalesce("document", F.lit(""))).alias("b"))
-    sized = counted.withColumn("l", F.size("a") + F.size("b"))
-    weighted = F.concat(F.transform("a", lambda x: F.struct(x.alias("t"), F.lit(float(title_weight)).alias("w"))), F.transform("b", lambda x: F.struct(x.alias("t"), F.lit(1.0).alias("w"))))
-    return sized.select("item_key", "l", F.explode(weighted).alias("p")).select("item_key", "l", "p.t", "p.w")
+def _rounded(found: DataFrame, digits: int = 6) -> DataFrame:
+    return found.select("query_id", "item_key", (F.round("exact", digits) + F.lit(0.0)).alias("score"), "rank")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, title_weight: float = 3.0) -> DataFrame:
-    """query_id, item_key, score; ``queries`` has query_id, text. Any query token matches."""
+def bm25(docs: DataFrame, queries: DataFrame, title_weight: float = 3.0, eligible: DataFrame | None = None, postings: Postings | None = None) -> DataFrame:
+    """query_id, item_key, score, exact; ``docs`` has item_key, title, document, ``queries`` has query_id,
+    text. Any query token matches. ``eligible`` (item_key) filters before any limit, not the statistics."""
+    held = postings or Postings.of(docs)
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("t"))
-    lengths = docs.select((F.size(tokens(F.coalesce("title", F.lit("")))) + F.size(tokens(F.coalesce("document", F.lit(""))))).alias("l"))
-    stats = lengths.agg(F.count("*").cast("double").alias("n"), F.avg("l").alias("avg_l"))
-    held = postings(docs, title_weight).join(asked.select("t").distinct(), "t", "left_semi")
-    tf = held.groupBy("t", "item_key", "l").agg(F.sum("w").alias("f"))
+    asked = asked.select("query_id", _folded_term(F.col("t")).alias("t")).filter("t <> ''").distinct()
+    tf = held.of_terms(asked).withColumn("f", F.col("ft") * F.lit(float(title_weight)) + F.col("fd"))
     df = tf.groupBy("t").agg(F.count("*").cast("double").alias("n_t"))
-    ratio = F.log((F.col("n") - F.col("n_t") + 0.5) / (F.col("n_t") + 0.5))
-    found = stats.first()  # one row
-    n, avg_l = found["n"], found["avg_l"] or 1.0
-    idf = df.withColumn("n", F.lit(n)).select("t", F.when(ratio > 0, ratio).otherwise(FLOOR).alias("idf"))
-    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("l") / F.lit(avg_l)))
-    scored = tf.join(idf, "t").join(asked, "t").groupBy("query_id", "item_key").agg(F.sum(part).alias("score"))
-    return scored.select("query_id", "item_key", F.round("score", 6).alias("score"))
+    ratio = F.log((F.lit(float(held.documents)) - F.col("n_t") + 0.5) / (F.col("n_t") + 0.5))
+    idf = F.broadcast(df.select("t", F.when(ratio > 0, ratio).otherwise(FLOOR).alias("idf")))  # a row a query term
+    if eligible is not None:
+        tf = tf.join(eligible.select("item_key").distinct(), "item_key", "left_semi")
+    part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("l") / F.lit(held.average)))
+    parts = tf.join(idf, "t").join(F.broadcast(asked), "t").groupBy("query_id", "item_key").agg(F.array_sort(F.collect_list(F.struct("t", part.alias("p")))).alias("ps"))
+    scored = parts.select("query_id", "item_key", F.aggregate("ps", F.lit(0.0), lambda s, x: s + x["p"]).alias("exact"))  # in the order of terms
+    return scored.withColumn("score", F.round("exact", 6))
+
+
+def _folded_term(t: Column) -> Column:
+    return F.pandas_udf(lambda s: s.map(without_marks), "string")(t)
+
+
+def lexical_topk(docs: DataFrame, queries: DataFrame, k: int = 10, title_weight: float = 3.0, eligible: DataFrame | None = None, postings: Postings | None = None) -> DataFrame:
+    return ranked(bm25(docs, queries, title_weight, eligible, postings), k).select("query_id", "item_key", "score", "rank")
 
 
 def fuse(dense: DataFrame, lexical: DataFrame, w_dense: float = 1.0, w_lexical: float = 0.5, k: int = 60) -> DataFrame:
-    """Weighted reciprocal ranks of two ranked branches (query_id, item_key, rank): score, rank.
-    Ties keep dense order, then lexical order."""
-    if w_dense < 0 or w_lexical < 0:
-        raise ValueError("weights are not negative")
-    both = dense.select("query_id", "item_key", F.lit(0).alias("branch"), "rank", (F.lit(float(w_dense)) / (F.col("rank") + k)).alias("part"))
-    both = both.unionByName(lexical.select("query_id", "item_key", F.lit(1).alias("branch"), "rank", (F.lit(float(w_lexical)) / (F.col("rank") + k)).alias("part")))
-    first = F.min(F.struct("branch", "rank"))
-    out = both.groupBy("query_id", "item_key").agg(F.round(F.sum("part"), 9).alias("score"), first.alias("first"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "first.branch", "first.rank", "item_key")
-    return out.withColumn("rank", F.row_number().over(order)).drop("first")
+    """Weighted reciprocal ranks of two ranked branches (query_id, item_key, rank): score (rounded), exact,
+    rank. Ties keep dense order, then lexical order; of a key's repeats in a branch the first counts."""
+    if w_dense < 0 or w_lexical < 0 or k < 0:
+        raise ValueError("weights and k are not negative")
+    both = dense.select("query_id", "item_key", F.lit(0).alias("branch"), "rank", F.lit(float(w_dense)).alias("w"))
+    both = both.unionByName(lexical.select("query_id", "item_key", F.lit(1).alias("branch"), "rank", F.lit(float(w_lexical)).alias("w")))
+    first = both.groupBy("query_id", "item_key", "branch", "w").agg(F.min("rank").alias("rank"))
+    out = first.groupBy("query_id", "item_key").agg(F.sum(F.col("w") / (F.col("rank") + k)).alias("exact"), F.min(F.struct("branch", "rank")).alias("first"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("exact"), "first.branch", "first.rank", "item_key")
+    return out.select("query_id", "item_key", F.round("exact", 9).alias("score"), "exact", F.row_number().over(order).alias("rank"))
 
 
 def gate(fused: DataFrame, lexical: DataFrame, titles: DataFrame, queries: DataFrame, k: int = 60, least: int = 3, share: float = 0.8) -> DataFrame:
     """The best lexical hit goes first if it shares ``least`` tokens with the query and ``share`` of its title's."""
-    top = lexical.filter("rank = 1").select("query_id", "item_key").join(titles.select("item_key", "title"), "item_key").join(queries, "query_id")
+    best_hits = F.broadcast(lexical.filter("rank = 1").select("query_id", "item_key"))  # a row a query
+    top = titles.select("item_key", "title").join(best_hits, "item_key").join(F.broadcast(queries.select("query_id", "text")), "query_id")
     own = F.array_distinct(tokens(F.col("title")))
     shared = F.size(F.array_intersect(own, tokens(F.col("text"))))
     gated = top.filter((shared >= least) & (shared / F.size(own) >= share)).select("query_id", "item_key", F.lit(True).alias("gated"))
-    best = F.max("score").over(Window.partitionBy("query_id"))
-    out = fused.withColumn("top", best).join(gated, ["query_id", "item_key"], "left").withColumn("gated", F.coalesce("gated", F.lit(False)))
-    out = out.withColumn("score", F.when(F.col("gated"), F.round(F.col("top") + F.lit(1.0 / (k + 1)), 9)).otherwise(F.col("score")))
+    best = F.max("exact").over(Window.partitionBy("query_id"))
+    out = fused.withColumn("top", best).join(F.broadcast(gated), ["query_id", "item_key"], "left").withColumn("gated", F.coalesce("gated", F.lit(False)))
+    out = out.withColumn("exact", F.when(F.col("gated"), F.col("top") + F.lit(1.0 / (k + 1))).otherwise(F.col("exact"))).withColumn("score", F.round("exact", 9))
     order = Window.partitionBy("query_id").orderBy(F.desc("gated"), "rank")
     return out.withColumn("rank", F.row_number().over(order)).drop("top")
 
@@ -133,23 +172,32 @@ def collapse(results: DataFrame, limit: int) -> DataFrame:
     return out.filter(F.col("rank") <= limit).drop("first")
 
 
-def hybrid_search(docs: DataFrame, index: DataFrame, queries: DataFrame, vectors: DataFrame, limit: int = 10, depth: int = 100, w_dense: float = 1.0, w_lexical: float = 0.5, k: int = 60, use_gate: bool = True, policy: str = "keep", do_collapse: bool = True) -> DataFrame:
+def hybrid_search(docs: DataFrame, index: DataFrame, queries: DataFrame, vectors: DataFrame, limit: int = 10, depth: int = 100, w_dense: float = 1.0, w_lexical: float = 0.5, k: int = 60, use_gate: bool = True, policy: str = "keep", do_collapse: bool = True, title_weight: float = 3.0, where: Column | None = None) -> DataFrame:
     """query_id, rank, item_key, aliases. ``docs`` has item_key, title, doi, document; ``index`` has
-    item_key, embedding; ``queries`` has query_id, text."""
-    dense = ranked(dense_scores(index, vectors), depth)
-    lexical = ranked(bm25(docs, queries), depth)
+    item_key, embedding; ``queries`` has query_id, text. ``where`` filters ``index`` in both branches."""
+    eligible = index.filter(where).select("item_key") if where is not None else None
+    dense = dense_topk(index, vectors, depth, "l2", where)
+    lexical = lexical_topk(docs, queries, depth, title_weight, eligible)
     fused = fuse(dense, lexical, w_dense, w_lexical, k)
     if use_gate:
         fused = gate(fused, lexical, docs, queries, k)
-    kept = noise(fused.join(docs.select("item_key", "title", "doi"), "item_key"), policy)
+    return select_results(docs, fused, limit, policy, do_collapse)
+
+
+def select_results(docs: DataFrame, found: DataFrame, limit: int, policy: str = "keep", do_collapse: bool = False) -> DataFrame:
+    """query_id, rank, item_key, aliases of ranked candidates, after the noise policy, collapsed or cut."""
+    candidates = F.broadcast(found.select("query_id", "item_key", "rank"))  # the queries times a depth
+    kept = noise(docs.select("item_key", "title", "doi").join(candidates, "item_key"), policy)
     if do_collapse:
         return collapse(kept, limit).select("query_id", "rank", "item_key", "aliases")
-    return kept.filter(F.col("rank") <= limit).select("query_id", "rank", "item_key", F.array().cast("array<long>").alias("aliases"))
+    none = F.array().cast(ArrayType(docs.schema["item_key"].dataType))
+    return kept.filter(F.col("rank") <= limit).select("query_id", "rank", "item_key", none.alias("aliases"))
 
 
 def overlap_at(exact: DataFrame, found: DataFrame, k: int = 10) -> DataFrame:
     """query_id, overlap: the share of the exact best k that ``found`` has among its own k; 1 if none is exact."""
+    none = F.array().cast(ArrayType(found.schema["item_key"].dataType))
     a = exact.filter(F.col("rank") <= k).groupBy("query_id").agg(F.collect_set("item_key").alias("a"))
     b = found.filter(F.col("rank") <= k).groupBy("query_id").agg(F.collect_set("item_key").alias("b"))
-    both = F.size(F.array_intersect("a", F.coalesce("b", F.array().cast("array<long>"))))
+    both = F.size(F.array_intersect("a", F.coalesce("b", none)))
     return a.join(b, "query_id", "left").select("query_id", F.when(F.size("a") == 0, 1.0).otherwise(both / F.size("a")).alias("overlap"))

@@ -37,7 +37,8 @@ def first_line(c: str = "text"):
 
 
 TITLE = "split_part(text, chr(10), 1)"
-TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+TOKENS = r"regexp_extract_all(replace(lower({}), 'ß', 'ss'), '[\p{{L}}\p{{N}}]+')"
+INDEXED = r"regexp_extract_all(strip_accents(lower({})), '[\p{{L}}\p{{N}}]+')"
 
 # --------------------------------------------------------------------------- dense retrieval
 
@@ -63,9 +64,9 @@ _DENSE = """
 with i as (select vec_id item_key, list_transform(embedding, lambda x: x::double * (1 + label)) v, label,
                   case when vec_id % 3 <> 0 then label % 2 = 0 end as even from embeddings),
      q as (select vec_id query_id, embedding::double[] qv from embeddings where vec_id % 50 = 0),
-     s as (select query_id, item_key, round({score}, 6) score from i join q on true where {where}),
-     r as (select *, row_number() over (partition by query_id order by score desc, item_key)::int as rank from s)
-select query_id, item_key, score, rank from r where rank <= 10"""
+     s as (select query_id, item_key, {score} exact from i join q on true where {where}),
+     r as (select *, row_number() over (partition by query_id order by exact desc, item_key)::int as rank from s)
+select query_id, item_key, round(exact, 6) + 0.0 as score, rank from r where rank <= 10"""
 _SCORES = {
     "l2": "1 - list_sum(list_transform(list_zip(v, qv), lambda p: (p[1] - p[2]) * (p[1] - p[2])))",
     "cosine": "list_sum(list_transform(list_zip(v, qv), lambda p: p[1] * p[2])) / greatest(sqrt(list_sum(list_transform(v, lambda x: x * x))) * sqrt(list_sum(list_transform(qv, lambda x: x * x))), 1e-30)",
@@ -82,7 +83,7 @@ _WHERE = {
     "nin": ({"label": {"$nin": [0, 1]}}, "label not in (0, 1)"),
     "and": ({"$and": [{"label": {"$ne": 4}}, {"even": True}]}, "label <> 4 and coalesce(even, false)"),
     "missing": ({"absent": {"$nin": ["x"]}}, "true"),
-    "bool_is_no_number": ({"even": 1}, "false"),
+    "bool_is_no_number": ({"even": {"$ne": 1}}, "true"),
 }
 
 
@@ -115,28 +116,33 @@ p as (select doc_id, unnest(list_concat({title_tokens}, [])) t, {weight}::double
       union all select doc_id, unnest({text_tokens}) t, 1.0::double w from documents),
 len as (select doc_id, len({title_tokens}) + len({text_tokens}) l from documents),
 st as (select count(*)::double n, avg(l) av from len),
-bq as (select distinct item_id, unnest({text_tokens}) t from benchmark),
+bq as (select distinct item_id, strip_accents(unnest({query_tokens})) t from benchmark),
 tf as (select doc_id, t, sum(w) f from p where t in (select t from bq) group by all),
 df as (select t, count(*)::double n_t from tf group by t),
 ix as (select t, av, case when ln((n - n_t + 0.5) / (n_t + 0.5)) > 0 then ln((n - n_t + 0.5) / (n_t + 0.5)) else 1e-6 end idf from df, st),
-ls as (select bq.item_id query_id, tf.doc_id item_key, round(sum(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / av))), 6) score
+le as (select bq.item_id query_id, tf.doc_id item_key, list_reduce(list_prepend(0.0::double, list(idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / av)) order by t)), lambda a, b: a + b) exact
        from ix join tf using (t) join bq using (t) join len using (doc_id) group by all),
-lr as (select *, row_number() over (partition by query_id order by score desc, item_key)::int as rank from ls)"""
+lr as (select query_id, item_key, round(exact, 6) score, row_number() over (partition by query_id order by exact desc, item_key)::int as rank from le)"""
 
 
 def _bm25_sql(titled: bool) -> str:
-    text = TOKENS.format("text")
-    return _BM25_PARTS.format(title_tokens=TOKENS.format(TITLE) if titled else "[]::varchar[]", text_tokens=text, weight=3.0)
+    return _BM25_PARTS.format(title_tokens=INDEXED.format(TITLE) if titled else "[]::varchar[]", text_tokens=INDEXED.format("text"), query_tokens=TOKENS.format("text"), weight=3.0)
 
 
 @query("bm25_topk", "with " + _bm25_sql(False) + " select query_id, item_key, score, rank from lr where rank <= 10")
 def _(spark, sf_dir):
-    return retrieval.ranked(retrieval.bm25(_docs(spark, sf_dir, False), _asked(spark, sf_dir)), 10)
+    return retrieval.lexical_topk(_docs(spark, sf_dir, False), _asked(spark, sf_dir), 10)
 
 
 @query("bm25_title_weighted", "with " + _bm25_sql(True) + " select query_id, item_key, score, rank from lr where rank <= 10")
 def _(spark, sf_dir):
-    return retrieval.ranked(retrieval.bm25(_docs(spark, sf_dir), _asked(spark, sf_dir)), 10)
+    return retrieval.lexical_topk(_docs(spark, sf_dir), _asked(spark, sf_dir), 10)
+
+
+@query("bm25_filtered", "with " + _bm25_sql(True) + ", ok as (select * from le where item_key in (select doc_id from documents where lang = 'en')) select query_id, item_key, round(exact, 6) as score, row_number() over (partition by query_id order by exact desc, item_key)::int as rank from ok qualify rank <= 10")
+def _(spark, sf_dir):
+    english = table(spark, sf_dir, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("item_key"))
+    return retrieval.lexical_topk(_docs(spark, sf_dir), _asked(spark, sf_dir), 10, eligible=english)
 
 
 _FUSED = (
@@ -144,12 +150,12 @@ _FUSED = (
     + _bm25_sql(True)
     + """,
 dq as (select vec_id query_id, embedding::double[] qv from embeddings where vec_id in (select item_id from benchmark)),
-ds as (select query_id, vec_id item_key, round(1 - list_sum(list_transform(list_zip(embedding::double[], qv), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) score from embeddings join dq on true),
-dr as (select *, row_number() over (partition by query_id order by score desc, item_key)::int as rank from ds),
+ds as (select query_id, vec_id item_key, 1 - list_sum(list_transform(list_zip(embedding::double[], qv), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) exact from embeddings join dq on true),
+dr as (select *, row_number() over (partition by query_id order by exact desc, item_key)::int as rank from ds),
 b as (select query_id, item_key, 0 br, rank, {wd} / (60 + rank) part from dr where rank <= 100
       union all select query_id, item_key, 1 br, rank, {wl} / (60 + rank) part from lr where rank <= 100),
-f as (select query_id, item_key, round(sum(part), 9) score, min((br, rank)) fst from b group by all),
-fr as (select query_id, item_key, score, row_number() over (partition by query_id order by score desc, fst, item_key)::int as rank from f)"""
+f as (select query_id, item_key, sum(part) exact, min((br, rank)) fst from b group by all),
+fr as (select query_id, item_key, exact, round(exact, 9) score, row_number() over (partition by query_id order by exact desc, fst, item_key)::int as rank from f)"""
 )
 
 
@@ -159,17 +165,17 @@ def _fused(lexical: str) -> str:
 
 def _branches(spark, sf_dir):
     index = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_key"), "embedding")
-    return retrieval.ranked(retrieval.dense_scores(index, _paired(spark, sf_dir)), 100), retrieval.ranked(retrieval.bm25(_docs(spark, sf_dir), _asked(spark, sf_dir)), 100)
+    return retrieval.dense_topk(index, _paired(spark, sf_dir), 100), retrieval.lexical_topk(_docs(spark, sf_dir), _asked(spark, sf_dir), 100)
 
 
-@query("rrf_equal", _fused("1.0") + " select * from fr where rank <= 20")
+@query("rrf_equal", _fused("1.0") + " select query_id, item_key, score, rank from fr where rank <= 20")
 def _(spark, sf_dir):
-    return retrieval.fuse(*_branches(spark, sf_dir), 1.0, 1.0).filter("rank <= 20")
+    return retrieval.fuse(*_branches(spark, sf_dir), 1.0, 1.0).filter("rank <= 20").drop("exact")
 
 
-@query("rrf_weighted", _fused("0.5") + " select * from fr where rank <= 20")
+@query("rrf_weighted", _fused("0.5") + " select query_id, item_key, score, rank from fr where rank <= 20")
 def _(spark, sf_dir):
-    return retrieval.fuse(*_branches(spark, sf_dir), 1.0, 0.5).filter("rank <= 20")
+    return retrieval.fuse(*_branches(spark, sf_dir), 1.0, 0.5).filter("rank <= 20").drop("exact")
 
 
 _GATED = (
@@ -181,19 +187,28 @@ tt as (select lr.query_id, lr.item_key, list_distinct("""
     + TOKENS.format("b.text")
     + """) asked from lr join documents d on d.doc_id = lr.item_key join benchmark b on b.item_id = lr.query_id where lr.rank = 1),
 g as (select query_id, item_key from tt where len(list_intersect(own, asked)) >= 3 and len(list_intersect(own, asked))::double / len(own) >= 0.8),
-gg as (select fr.query_id, fr.item_key, g.item_key is not null as gated, case when g.item_key is not null then round(max(score) over (partition by fr.query_id) + 1.0::double / 61, 9) else score end score, fr.rank
-       from fr left join g on g.query_id = fr.query_id and g.item_key = fr.item_key)
-select query_id, item_key, score, gated, rank from (select query_id, item_key, score, gated, row_number() over (partition by query_id order by gated desc, rank)::int as rank from gg) where rank <= 20"""
+gg as (select fr.query_id, fr.item_key, g.item_key is not null as gated, round(case when g.item_key is not null then max(exact) over (partition by fr.query_id) + 1.0::double / 61 else exact end, 9) score, fr.rank
+       from fr left join g on g.query_id = fr.query_id and g.item_key = fr.item_key),
+gr as (select query_id, item_key, score, gated, row_number() over (partition by query_id order by gated desc, rank)::int as rank from gg)"""
+)
+_HYBRID = (
+    _GATED
+    + """,
+hk as (select gr.query_id, gr.item_key, gr.rank, array_to_string("""
+    + TOKENS.format("split_part(d.text, chr(10), 1)")
+    + """, ' ') t from gr join documents d on d.doc_id = gr.item_key),
+hg as (select query_id, case when t = '' then 'key:' || item_key else 'title:' || t end id, list(item_key order by rank) ks, min(rank) fst from hk group by all)
+select query_id, rank, item_key, aliases from (select query_id, row_number() over (partition by query_id order by fst)::int as rank, ks[1] item_key, ks[2:] aliases from hg) where rank <= 10"""
 )
 
 
-@query("rrf_gated", _GATED)
+@query("rrf_gated", _GATED + " select query_id, item_key, score, gated, rank from gr where rank <= 20")
 def _(spark, sf_dir):
     dense, lexical = _branches(spark, sf_dir)
-    return retrieval.gate(retrieval.fuse(dense, lexical), lexical, _docs(spark, sf_dir), _asked(spark, sf_dir)).filter("rank <= 20")
+    return retrieval.gate(retrieval.fuse(dense, lexical), lexical, _docs(spark, sf_dir), _asked(spark, sf_dir)).filter("rank <= 20").drop("exact")
 
 
-@query("hybrid_search")
+@query("hybrid_search", _HYBRID)
 def hybrid(spark, sf_dir):
     index = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_key"), "embedding")
     return retrieval.hybrid_search(_docs(spark, sf_dir), index, _asked(spark, sf_dir), _paired(spark, sf_dir))
@@ -238,10 +253,14 @@ def _(spark, sf_dir):
     return retrieval.noise(_clips(spark, sf_dir), "demote")
 
 
-@query("exact_overlap_at_10", "select vec_id as query_id, 1.0::double as overlap from embeddings where vec_id % 50 = 0")
+_OVERLAP = _DENSE.split("s as (")[0] + "".join(f"""
+     s{m} as (select query_id, item_key, {_SCORES[m]} exact from i join q on true),
+     r{m} as (select query_id, list(item_key) ks from (select *, row_number() over (partition by query_id order by exact desc, item_key) as rank from s{m}) where rank <= 10 group by query_id),""" for m in ("cosine", "l2"))
+
+
+@query("exact_overlap_at_10", _OVERLAP.rstrip(",") + " select rcosine.query_id, len(list_intersect(rcosine.ks, rl2.ks))::double / len(rcosine.ks) as overlap from rcosine join rl2 on rcosine.query_id = rl2.query_id")
 def _(spark, sf_dir):
-    index = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_key"), "embedding")
-    q = _vectors(spark, sf_dir)
+    index, q = _index(spark, sf_dir), _vectors(spark, sf_dir)
     return retrieval.overlap_at(retrieval.dense_topk(index, q, 10, "cosine"), retrieval.dense_topk(index, q, 10, "l2"))
 
 
@@ -275,7 +294,7 @@ _NUM = r"regexp_full_match({}, '[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]
 for _name, _conditions, _mode, _sql in (
     ("adv_all", [("year", "is", "1995"), ("publisher", "beginsWith", "brand#1")], "all", "left(date, 4) = '1995' and starts_with(lower(publisher), 'brand#1')"),
     ("adv_any", [("publisher", "endsWith", "5"), ("year", "isGreaterThan", "2015")], "any", "ends_with(publisher, '5') or left(date, 4)::double > 2015"),
-    ("adv_numeric_cmp", [("volume", "isLessThan", "9"), ("date", "isAfter", "2001-06")], "all", "coalesce(volume::double < 9, false) and date > '2001-06'"),
+    ("adv_numeric_cmp", [("volume", "isLessThan", "9"), ("date", "isBefore", "2001-06")], "all", "coalesce(volume::double < 9, false) and date < '2001-06'"),
     ("adv_negative_missing", [("volume", "isNot", "7"), ("absent", "doesNotContain", "x")], "all", "coalesce(volume <> '7', false)"),
     ("adv_tags", [("tags", "contains", "an"), ("tags", "doesNotContain", "steel")], "all", "len(list_filter(tags, lambda t: contains(lower(t), 'an'))) > 0 and len(list_filter(tags, lambda t: contains(lower(t), 'steel'))) = 0"),
 ):
@@ -289,10 +308,10 @@ def _(spark, sf_dir):
     return cut.select("item_key", F.row_number().over(Window.orderBy(F.desc(F.coalesce(F.lower("volume"), F.lit(""))), "item_key")).alias("rank"))
 
 
-@query("tag_and_or_not", "with t as (select user_id, list(distinct event_type) tags from events group by user_id) select user_id from t where list_has_any(tags, ['click', 'view']) and list_contains(tags, 'purchase') and not list_contains(tags, 'signup')")
+@query("tag_and_or_not", "select p_partkey as item_key from part where p_type in ('PROMO', 'ECONOMY', 'SMALL') and p_brand in ('Brand#11', 'Brand#12', 'Brand#21', 'Brand#33') and p_size <> 7")
 def _(spark, sf_dir):
-    tags = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("tags"))
-    return tags.filter(filters.tag_filter(F.col("tags"), ["click OR view", "purchase", "-signup"])).select("user_id")
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_key"), F.array("p_type", "p_brand", F.concat(F.lit("size "), F.col("p_size").cast("string"))).alias("tags"))
+    return p.filter(filters.tag_filter(F.col("tags"), ["PROMO OR ECONOMY OR SMALL", "Brand#11 OR Brand#12 OR Brand#21 OR Brand#33", "-size 7"])).select("item_key")
 
 
 @query("keyword_and_words", "select doc_id from documents where contains(lower(text), 'the') and contains(lower(text), 'tion') and contains(lower(text), 'with')")

@@ -31,7 +31,7 @@ def add(name: str, values: list, column, out: str, sql: str) -> None:
 
 
 DOIS = ["10.1000/xyz123", " https://doi.org/10.1000/XYZ.123 ", "http://dx.doi.org/10.5555/ab(c)", "doi:10.1000/x,", "DOI: 10.1000/y).", "not a doi", "", None, "https://doi.org/10.1000/q?utm=1", "10.12/short"]
-add("doi_normalize", DOIS, X.normalized_doi, "doi", r"regexp_replace(lower(trim(x)), '^(https?://(dx\.)?doi\.org/|doi:)', '')")
+add("doi_normalize", DOIS, X.normalized_doi, "doi", r"trim(regexp_replace(lower(trim(x)), '^(https?://(dx\.)?doi\.org/|doi:\s*)', ''))")
 _CLEAN = r"""nullif(regexp_replace(regexp_extract(regexp_replace(trim({}), '\?.*$', ''), '^(?i:https?://(?:dx\.)?doi\.org/|doi:\s*)?(10\.\d{{4,9}}/\S+)$', 1), '[.,);\]]+$', ''), '')"""
 add("doi_clean", DOIS, X.clean_doi, "doi", _CLEAN.format("x"))
 
@@ -48,7 +48,7 @@ SQL["identifier_normalize"] = (
     "case when d is null then nullif(regexp_extract(a, 'v(\\d+)$', 1), '')::int end as version from k"
 )
 
-TITLES = ["The Quick Brown Fox", "quick brown fox", "  QUICK  BROWN  FOX!  ", "A the An apple", "An Apple", "the", "Été à Paris: l'an 2000", "", None, "a a a"]
+TITLES = ["The Quick Brown Fox", "quick brown fox", "  QUICK  BROWN  FOX!  ", "A the An apple", "An Apple", "the", "Été à Paris: l'an 2000", "", None, "a a a", "STRASSE straße", "ﬁne ½ snake_case"]
 
 
 def _articles(sql: str) -> str:
@@ -58,7 +58,7 @@ def _articles(sql: str) -> str:
 
 
 add("title_normalize", TITLES, X.duplicate_title, "title", _articles(r"trim(regexp_replace(regexp_replace(lower(trim(x)), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g'))"))
-add("title_tokens", TITLES, X.normalized_title, "title", r"array_to_string(regexp_extract_all(lower(x), '[\p{L}\p{N}]+'), ' ')")
+add("title_tokens", TITLES, X.normalized_title, "title", r"array_to_string(regexp_extract_all(replace(replace(replace(lower(coalesce(x, '')), 'ß', 'ss'), 'ﬁ', 'fi'), '½', '1⁄2'), '[\p{L}\p{N}]+'), ' ')")
 add("title_squashed", TITLES, X.squashed, "title", r"regexp_replace(lower(x), '\s+', '', 'g')")
 
 NAMES = ["Müller–Lüdenscheidt", "Cladder–Micus", "plain words here", "Straße", "naïve café", None, ""]

@@ -24,7 +24,7 @@ def db():
 
 def _plain(v):
     if isinstance(v, float):
-        return round(v, 8)
+        return round(v, 8) + 0.0
     if isinstance(v, (list, tuple)):
         return [_plain(x) for x in v]
     return v

@@ -108,3 +108,49 @@ def test_advanced_search_rules(spark):
     assert found(("volume", "is", "9"), ("year", "is", "2021"), mode="any") == [1, 2]
     with pytest.raises(ValueError):
         filters.advanced_search(rows, [("a", "like", "b")])
+
+
+def test_bm25_folds_as_the_full_text_index(spark):
+    docs = [(1, "Müller", "straße in münchen"), (2, "muller", "strasse"), (3, "Naïve Café", "x_y z"), (4, "other", "words")]
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table t using fts5(title, document, tokenize='unicode61')")
+    db.executemany("insert into t(rowid, title, document) values (?, ?, ?)", docs)
+    frame = spark.createDataFrame(docs, "item_key long, title string, document string")
+    for asked, match in (("MÜLLER", '"müller"'), ("cafe", '"cafe"'), ("strasse", '"strasse"'), ("Straße München", '"strasse" OR "münchen"')):
+        want = dict(db.execute("select rowid, -bm25(t, 3.0, 1.0) from t where t match ?", (match,)).fetchall())
+        got = {r.item_key: r.score for r in retrieval.bm25(frame, spark.createDataFrame([(1, asked)], "query_id long, text string")).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in got), asked
+
+
+def test_postings_are_kept_and_follow_changes(spark, tmp_path):
+    from folioforge.sources.postings import Postings
+
+    docs = spark.createDataFrame([("k1", "a", "red fox"), ("k2", None, None)], "item_key string, title string, document string")
+    folder = f"file://{tmp_path}/lex"
+    first = Postings.of(docs, folder)
+    assert first.documents == 2 and first.average == 1.5 and Postings.of(docs.repartition(3), folder).path == first.path
+    other = Postings.of(docs.replace("red fox", "red dog", subset=["document"]), folder)
+    assert other.path != first.path
+    asked = spark.createDataFrame([(1, "fox")], "query_id long, text string")
+    assert [r.item_key for r in retrieval.bm25(docs, asked, postings=first).collect()] == ["k1"] and retrieval.bm25(docs, asked, postings=other).count() == 0
+
+
+def test_words():
+    from folioforge.functions.tokens import indexed_words, words
+
+    assert words("STRASSE straße ﬁne ½ snake_case Ⅷ") == ["strasse", "strasse", "fine", "1", "2", "snake", "case", "viii"]
+    assert indexed_words("Müller Straße") == ["muller", "straße"] and words(None) == []
+
+
+def test_string_keys_and_overlap(spark):
+    index = spark.createDataFrame([("AB12", [1.0, 0.0]), ("CD34", [0.0, 1.0])], "item_key string, embedding array<float>")
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, qv array<double>")
+    top = retrieval.dense_topk(index, queries, 1)
+    assert {(r.query_id, r.item_key) for r in top.collect()} == {(1, "AB12"), (2, "CD34")}
+    none = top.filter("query_id = 1")
+    assert {(r.query_id, r.overlap) for r in retrieval.overlap_at(top, none, 1).collect()} == {(1, 1.0), (2, 0.0)}
+    docs = spark.createDataFrame([("AB12", "One", None, "one fox"), ("CD34", "Two", None, "two")], "item_key string, title string, doi string, document string")
+    asked = spark.createDataFrame([(1, "fox"), (2, "two")], "query_id long, text string")
+    for collapse in (True, False):
+        got = retrieval.hybrid_search(docs, index, asked, queries, do_collapse=collapse).filter("rank = 1").collect()
+        assert {(r.query_id, r.item_key) for r in got} == {(1, "AB12"), (2, "CD34")}
