@@ -8,6 +8,7 @@ Ranks follow scores in full precision; scores are rounded where they are returne
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from ..functions.text import normalized_doi, normalized_title
-from ..functions.tokens import tokens, without_marks
+from ..functions.tokens import tokens, without_marks, words
 from ..functions.vectors import doubles
 from ..sources.postings import Postings
 
@@ -87,30 +88,78 @@ def _rounded(found: DataFrame, digits: int = 6) -> DataFrame:
     return found.select("query_id", "item_key", (F.round("exact", digits) + F.lit(0.0)).alias("score"), "rank")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, title_weight: float = 3.0, eligible: DataFrame | None = None, postings: Postings | None = None) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, title_weight: float = 3.0, eligible: DataFrame | None = None, postings: Postings | None = None, k: int | None = None) -> DataFrame:
     """query_id, item_key, score, exact; ``docs`` has item_key, title, document, ``queries`` has query_id,
-    text. Any query token matches. ``eligible`` (item_key) filters before any limit, not the statistics."""
+    text, a stated set. Any query token matches. ``eligible`` (item_key) filters before any limit, not the
+    statistics. Postings of the queries' terms are dealt by item, so each item is scored in one place for all
+    queries, in the order of terms; with ``k``, only rows that can be among a query's k best leave it."""
     held = postings or Postings.of(docs)
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("t"))
-    asked = asked.select("query_id", _folded_term(F.col("t")).alias("t")).filter("t <> ''").distinct()
-    tf = held.of_terms(asked).withColumn("f", F.col("ft") * F.lit(float(title_weight)) + F.col("fd"))
-    df = tf.groupBy("t").agg(F.count("*").cast("double").alias("n_t"))
-    ratio = F.log((F.lit(float(held.documents)) - F.col("n_t") + 0.5) / (F.col("n_t") + 0.5))
-    idf = F.broadcast(df.select("t", F.when(ratio > 0, ratio).otherwise(FLOOR).alias("idf")))  # a row a query term
+    wanted: dict[str, set[int]] = {}
+    ids = []
+    for r in queries.select("query_id", "text").toLocalIterator():
+        for t in words(r["text"]):
+            wanted.setdefault(without_marks(t), set()).add(len(ids))
+        ids.append(r["query_id"])
+    found = held.frequencies([t for t in wanted if t])
+    terms = sorted(found)
+    ratio = {t: math.log((held.documents - n + 0.5) / (n + 0.5)) for t, n in found.items()}
+    told = [(t, i, ratio[t] if ratio[t] > 0 else FLOOR) for i, t in enumerate(terms)]
+    weights = F.broadcast(docs.sparkSession.createDataFrame(told, "t string, term int, idf double"))
+    tf = held.of_terms(terms).withColumn("f", F.col("ft") * F.lit(float(title_weight)) + F.col("fd"))
     if eligible is not None:
         tf = tf.join(eligible.select("item_key").distinct(), "item_key", "left_semi")
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("l") / F.lit(held.average)))
-    parts = tf.join(idf, "t").join(F.broadcast(asked), "t").groupBy("query_id", "item_key").agg(F.array_sort(F.collect_list(F.struct("t", part.alias("p")))).alias("ps"))
-    scored = parts.select("query_id", "item_key", F.aggregate("ps", F.lit(0.0), lambda s, x: s + x["p"]).alias("exact"))  # in the order of terms
+    parts = tf.join(weights, "t").select("item_key", "term", part.alias("part")).repartition("item_key").sortWithinPartitions("item_key", "term")
+    kinds = queries.schema["query_id"].dataType.simpleString(), parts.schema["item_key"].dataType.simpleString()
+    asked = [sorted(wanted[t]) for t in terms]
+    scored = parts.mapInArrow(_summed(ids, asked, k), f"query_id {kinds[0]}, item_key {kinds[1]}, exact double")
     return scored.withColumn("score", F.round("exact", 6))
 
 
-def _folded_term(t: Column) -> Column:
-    return F.pandas_udf(lambda s: s.map(without_marks), "string")(t)
+def _summed(ids: list, asked: list[list[int]], k: int | None, rows: int = 20_000):
+    """(query_id, item_key, exact) of rows (item_key, term, part) that come sorted by item and term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = np.cumsum([0, *map(len, asked)])
+        queries = np.array([q for a in asked for q in a], np.int64)
+
+        def scored(table: pa.Table) -> pa.RecordBatch:
+            keys = table.column("item_key").to_numpy()
+            term, part = table.column("term").to_numpy(), table.column("part").to_numpy()
+            new = np.r_[True, keys[1:] != keys[:-1]]
+            item, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+            n = first[term + 1] - first[term]
+            row = np.repeat(np.arange(len(term)), n)
+            q = queries[np.repeat(first[term], n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)]
+            code, at = np.unique(q * len(starts) + item[row], return_inverse=True)
+            total = np.bincount(at, part[row])  # adds in row order
+            q, item = code // len(starts), code % len(starts)
+            if k is not None:
+                order = np.lexsort((item, -total, q))  # items are sorted by key
+                place = np.arange(len(order)) - np.searchsorted(q[order], q[order])
+                keep = np.sort(order[place < k])
+                q, item, total = q[keep], item[keep], total[keep]
+            chosen = table.column("item_key").take(pa.array(starts[item])).combine_chunks()
+            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), chosen, pa.array(total)], names=["query_id", "item_key", "exact"])
+
+        held: list[pa.Table] = []
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            if sum(t.num_rows for t in held) >= rows:
+                table = pa.concat_tables(held).combine_chunks()
+                keys = table.column("item_key").to_numpy()
+                cut = int(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])[-1])  # the last item may go on
+                if cut:
+                    yield scored(table.slice(0, cut))
+                held = [table.slice(cut)]
+        if held and sum(t.num_rows for t in held):
+            yield scored(pa.concat_tables(held).combine_chunks())
+
+    return run
 
 
 def lexical_topk(docs: DataFrame, queries: DataFrame, k: int = 10, title_weight: float = 3.0, eligible: DataFrame | None = None, postings: Postings | None = None) -> DataFrame:
-    return ranked(bm25(docs, queries, title_weight, eligible, postings), k).select("query_id", "item_key", "score", "rank")
+    return ranked(bm25(docs, queries, title_weight, eligible, postings, k), k).select("query_id", "item_key", "score", "rank")
 
 
 def fuse(dense: DataFrame, lexical: DataFrame, w_dense: float = 1.0, w_lexical: float = 0.5, k: int = 60) -> DataFrame:

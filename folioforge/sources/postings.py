@@ -51,7 +51,7 @@ class Postings:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
-        self.rows = spark.read.parquet(path)
+        self.rows, self.counts = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/counts")
         whole = self.rows.filter((F.col("part") == part_of(F.lit(""))) & (F.col("t") == "")).agg(F.count("*").alias("n"), F.avg("l").alias("l")).first()  # one row
         self.documents, self.average = whole["n"], whole["l"] or 1.0
 
@@ -66,26 +66,33 @@ class Postings:
         hadoop = spark._jvm.org.apache.hadoop.fs
         where = hadoop.Path(path)
         fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not fs.exists(hadoop.Path(f"{path}/_SUCCESS")):
+        if not fs.exists(hadoop.Path(f"{path}/counts/_SUCCESS")):
             made = f"{path}.{uuid.uuid4().hex[:8]}"
             kind = records.schema["item_key"].dataType.simpleString()
             rows = records.mapInArrow(_counted, f"t string, item_key {kind}, ft int, fd int, l long").withColumn("part", part_of(F.col("t")))
             dealt = rows.repartition(PARTS * SALTS, "part", F.pmod(F.xxhash64("item_key"), F.lit(SALTS))).sortWithinPartitions("part", "t")
-            dealt.write.partitionBy("part").parquet(made)
+            dealt.write.partitionBy("part").parquet(f"{made}/postings")
+            counts = spark.read.parquet(f"{made}/postings").groupBy("part", "t").agg(F.count("*").alias("n"))
+            counts.repartition(PARTS, "part").sortWithinPartitions("t").write.partitionBy("part").parquet(f"{made}/counts")
             if not fs.rename(hadoop.Path(made), where):  # another writer was first
                 fs.delete(hadoop.Path(made), True)
             if folder is None:
                 _BUILT.append((spark, path))
         return cls(spark, path)
 
-    def of_terms(self, terms: DataFrame) -> DataFrame:
-        """The rows of ``terms`` (t), a stated query set's distinct terms."""
-        wanted = [r["t"] for r in terms.select("t").distinct().collect()]
-        parts = [r["p"] for r in terms.select(part_of(F.col("t")).alias("p")).distinct().collect()]  # PARTS rows at most
-        rows = self.rows.filter(F.col("part").isin(parts or [-1]))
-        if len(wanted) <= FEW_TERMS:
-            return rows.filter(F.col("t").isin(wanted or [""])).filter("t <> ''").drop("part")
-        return rows.join(F.broadcast(terms.select("t").distinct()), "t", "left_semi").drop("part")
+    def _of(self, rows: DataFrame, terms: list[str]) -> DataFrame:
+        """The rows of a stated query set's terms, from their folders."""
+        asked = self.spark.createDataFrame([(t,) for t in terms], "t string")
+        parts = [r["p"] for r in asked.select(part_of(F.col("t")).alias("p")).distinct().collect()]  # PARTS rows at most
+        rows = rows.filter(F.col("part").isin(parts or [-1])).drop("part")
+        return rows.filter(F.col("t").isin(terms)) if len(terms) <= FEW_TERMS else rows.join(F.broadcast(asked), "t", "left_semi")
+
+    def of_terms(self, terms: list[str]) -> DataFrame:
+        return self._of(self.rows, terms)
+
+    def frequencies(self, terms: list[str]) -> dict[str, int]:
+        """How many documents hold each of ``terms``; only those that any does."""
+        return {r["t"]: r["n"] for r in self._of(self.counts, terms).collect()}
 
 
 @atexit.register
