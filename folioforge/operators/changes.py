@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from copy import deepcopy
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,21 +14,33 @@ from .library import without
 #: Fields that an update may set on any item.
 WRITABLE = ("title", "date", "abstract", "url", "extra", "publication", "volume")
 
-# The evaluator's profiles, over the defaults.
-DEFAULTS = {"mode": "dense", "collapse": False, "noise": "keep", "w_dense": 1.0, "w_lexical": 0.5, "k": 60, "title_weight": 3.0, "gate": True, "rerank": False}
+# The evaluator's defaults, and its profiles over them.
+DEFAULTS = {"mode": "dense", "collapse": False, "noise_policy": "keep", "k": 60, "gate": False, "gate_threshold": 0.8, "gate_min_tokens": 3, "title_weight": 3.0, "weights": {"dense": 1.0, "lex": 0.5}}
 PROFILES = {
-    "dense": {}, "dense-collapse": {"collapse": True}, "hybrid": {"mode": "hybrid"}, "hybrid-collapse": {"mode": "hybrid", "collapse": True},
-    "hybrid-nogate": {"mode": "hybrid", "gate": False}, "hybrid-clean": {"mode": "hybrid", "collapse": True, "noise": "exclude"}, "hybrid-demote": {"mode": "hybrid", "collapse": True, "noise": "demote"},
-}
-
-
-def profile(name: str, overrides: dict | None = None) -> dict:
+    "baseline-dense": {"mode": "dense"},
+    "dense-collapse": {"mode": "dense", "collapse": True},
+    "hybrid-rrf": {"mode": "hybrid", "weights": {"dense": 1.0, "lex": 1.0}},
+    "hybrid-weighted": {"mode": "hybrid", "weights": {"dense": 1.0, "lex": 0.5}},
+    "hybrid-gated": {"mode": "hybrid", "weights": {"dense": 1.0, "lex": 0.5}, "gate": True},
+    "hybrid-weighted-collapse": {"mode": "hybrid", "weights": {"dense": 1.0, "lex": 0.5}, "collapse": True},
+    "hybrid-gated-collapse": {"mode": "hybrid", "weights": {"dense": 1.0, "lex": 0.5}, "gate": True, "collapse": True},
+}
+
+
+def profile(name: str, overrides: Mapping[str, object] | None = None) -> dict:
+    """A profile's settings; ``overrides`` name them, with dots inside (``weights.lex``)."""
     if name not in PROFILES:
         raise KeyError(name)
-    unknown = set(overrides or {}) - set(DEFAULTS)
-    if unknown:
-        raise KeyError(", ".join(sorted(unknown)))
-    return DEFAULTS | PROFILES[name] | (overrides or {})
+    settings = deepcopy(DEFAULTS | PROFILES[name])
+    for key, value in (overrides or {}).items():
+        *path, last = key.split(".")
+        place = settings
+        for step in path:
+            place = place.get(step) if isinstance(place, dict) else None
+        if not isinstance(place, dict) or last not in place:
+            raise ValueError(f"unknown setting: {key}")
+        place[last] = value
+    return settings
 
 
 def update_items(items: DataFrame, updates: DataFrame) -> DataFrame:

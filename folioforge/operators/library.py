@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import duplicate_title, normalized_doi, squashed
+from ..session import kept
 
 CHILD_TYPES = ("attachment", "note", "annotation")
 
@@ -118,20 +119,34 @@ def insert_only(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def content_digest(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """count and SHA-256 of the rows' own digests in key order. Each row is hashed where it lies, and
-    ranges of keys are hashed apart; the last step sees one digest a range."""
-    hashed = rows.select(F.col(key).alias("k"), F.sha2(F.col(text), 256).alias("h")).withColumn("part", F.floor(F.col("k") / F.lit(10_000)))
-    ranges = hashed.groupBy("part").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ""), 256).alias("h"), F.count("*").alias("n"))
-    return ranges.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), ""), 256).alias("digest"))
-
-
-def tree(nodes: DataFrame, levels: int = 8) -> DataFrame:
-    """key, name, parent, depth, path of every node reachable from a root (null parent), down to
-    ``levels``. Nodes with a missing parent or on a cycle are not reachable."""
-    found = nodes.filter("parent is null").withColumn("depth", F.lit(0)).withColumn("path", F.col("name"))
-    out, last = found, found
-    for depth in range(1, levels):
-        up = last.select(F.col("key").alias("parent"), F.col("path").alias("above"))
-        last = nodes.join(up, "parent").select("key", "name", "parent", F.lit(depth).alias("depth"), F.concat_ws("/", "above", "name").alias("path"))
+    """count and SHA-256 of all rows (keys of any type). Rows are hashed where they lie, and the hashes meet in a
+    tree by prefixes of the hashed keys, so no step sees more than a share of them."""
+    held = rows.select(F.sha2(F.col(key).cast("string"), 256).alias("k"), F.sha2(F.col(text), 256).alias("h")).select("k", F.concat("k", "h").alias("h"), F.lit(1).cast("long").alias("n"))
+    for length in (4, 2, 0):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "")
+        held = held.groupBy(F.left("k", F.lit(length)).alias("k")).agg(F.sha2(joined, 256).alias("h"), F.sum("n").alias("n"))
+    return held.select("n", F.col("h").alias("digest"))
+
+
+def tree(nodes: DataFrame) -> DataFrame:
+    """key, name, parent, depth, path of every node reachable from a root (null parent), at any depth.
+    Nodes with a missing parent or on a cycle are not reachable. Every level is one join, written apart."""
+    last = kept(nodes.filter("parent is null").select("key", "name", "parent", F.lit(0).alias("depth"), F.col("name").alias("path"), F.array("key").alias("_above")), "tree")
+    out = last
+    while True:
+        up = last.select(F.col("key").alias("parent"), F.col("path").alias("above"), (F.col("depth") + 1).alias("depth"), "_above")
+        below = nodes.join(up, "parent").filter(~F.array_contains("_above", F.col("key")))
+        last = kept(below.select("key", "name", "parent", "depth", F.concat_ws("/", "above", "name").alias("path"), F.array_append("_above", F.col("key")).alias("_above")), "tree")
+        if last.isEmpty():
+            return out.drop("_above")
         out = out.unionByName(last)
-    return out
+
+
+def span_overlaps(spans: DataFrame, ranges: DataFrame, key: str, block: int = 4096) -> DataFrame:
+    """Spans (key, start, end) with the ranges (key, range_start, range_end) of their key that they overlap, half
+    open. Both are dealt to blocks of positions, so the join has equal keys; the first common block counts."""
+    cut = lambda a, b: F.explode(F.sequence(F.floor(a / block), F.floor(F.greatest(a, b - 1) / block)))
+    x = spans.withColumn("_block", cut(F.col("start"), F.col("end")))
+    y = ranges.withColumn("_block", cut(F.col("range_start"), F.col("range_end")))
+    met = x.join(y, [key, "_block"]).filter((F.col("start") < F.col("range_end")) & (F.col("end") > F.col("range_start")))
+    return met.filter(F.col("_block") == F.floor(F.greatest("start", "range_start") / block)).drop("_block")

@@ -164,33 +164,36 @@ def lexical_topk(docs: DataFrame, queries: DataFrame, k: int = 10, title_weight:
 
 def fuse(dense: DataFrame, lexical: DataFrame, w_dense: float = 1.0, w_lexical: float = 0.5, k: int = 60) -> DataFrame:
     """Weighted reciprocal ranks of two ranked branches (query_id, item_key, rank): score (rounded), exact,
-    rank. Ties keep dense order, then lexical order; of a key's repeats in a branch the first counts."""
+    lexical_rank, rank. Ties keep dense order, then lexical order; of a key's repeats in a branch the first counts."""
     if w_dense < 0 or w_lexical < 0 or k < 0:
         raise ValueError("weights and k are not negative")
     both = dense.select("query_id", "item_key", F.lit(0).alias("branch"), "rank", F.lit(float(w_dense)).alias("w"))
     both = both.unionByName(lexical.select("query_id", "item_key", F.lit(1).alias("branch"), "rank", F.lit(float(w_lexical)).alias("w")))
     first = both.groupBy("query_id", "item_key", "branch", "w").agg(F.min("rank").alias("rank"))
-    out = first.groupBy("query_id", "item_key").agg(F.sum(F.col("w") / (F.col("rank") + k)).alias("exact"), F.min(F.struct("branch", "rank")).alias("first"))
+    out = first.groupBy("query_id", "item_key").agg(F.sum(F.col("w") / (F.col("rank") + k)).alias("exact"), F.min(F.struct("branch", "rank")).alias("first"), F.min(F.when(F.col("branch") == 1, F.col("rank"))).alias("lexical_rank"))
     order = Window.partitionBy("query_id").orderBy(F.desc("exact"), "first.branch", "first.rank", "item_key")
-    return out.select("query_id", "item_key", F.round("exact", 9).alias("score"), "exact", F.row_number().over(order).alias("rank"))
+    return out.select("query_id", "item_key", F.round("exact", 9).alias("score"), "exact", "lexical_rank", F.row_number().over(order).alias("rank"))
 
 
-def gate(fused: DataFrame, lexical: DataFrame, titles: DataFrame, queries: DataFrame, k: int = 60, least: int = 3, share: float = 0.8) -> DataFrame:
-    """The best lexical hit goes first if it shares ``least`` tokens with the query and ``share`` of its title's."""
-    best_hits = F.broadcast(lexical.filter("rank = 1").select("query_id", "item_key"))  # a row a query
-    top = titles.select("item_key", "title").join(best_hits, "item_key").join(F.broadcast(queries.select("query_id", "text")), "query_id")
+def gate(fused: DataFrame, titles: DataFrame, queries: DataFrame, k: int = 60, least: int = 3, share: float = 0.8) -> DataFrame:
+    """``fused`` with gated: the best lexical hit goes first if it shares ``least`` tokens with the query and
+    ``share`` of its title's. ``titles`` has item_key, title; columns of it stay."""
+    return _gated(titles.join(F.broadcast(fused), "item_key", "right"), queries, k, least, share)  # the queries times a depth
+
+
+def _gated(rows: DataFrame, queries: DataFrame, k: int, least: int, share: float) -> DataFrame:
+    rows = rows.join(F.broadcast(queries.select("query_id", "text")), "query_id", "left")
     own = F.array_distinct(tokens(F.col("title")))
     shared = F.size(F.array_intersect(own, tokens(F.col("text"))))
-    gated = top.filter((shared >= least) & (shared / F.size(own) >= share)).select("query_id", "item_key", F.lit(True).alias("gated"))
-    best = F.max("exact").over(Window.partitionBy("query_id"))
-    out = fused.withColumn("top", best).join(F.broadcast(gated), ["query_id", "item_key"], "left").withColumn("gated", F.coalesce("gated", F.lit(False)))
+    hit = (F.col("lexical_rank") == 1) & (shared >= least) & (shared / F.size(own) >= share)
+    out = rows.withColumn("gated", F.coalesce(hit, F.lit(False))).withColumn("top", F.max("exact").over(Window.partitionBy("query_id")))
     out = out.withColumn("exact", F.when(F.col("gated"), F.col("top") + F.lit(1.0 / (k + 1))).otherwise(F.col("exact"))).withColumn("score", F.round("exact", 9))
     order = Window.partitionBy("query_id").orderBy(F.desc("gated"), "rank")
-    return out.withColumn("rank", F.row_number().over(order)).drop("top")
+    return out.withColumn("rank", F.row_number().over(order)).drop("top", "text", "lexical_rank")
 
 
 def is_web_clip(title: Column) -> Column:
-    return F.lower(F.ltrim(title)).startswith("proquest:")
+    return F.coalesce(title, F.lit("")).rlike(r"(?i)^\s*proquest:")
 
 
 def noise(results: DataFrame, policy: str = "keep") -> DataFrame:
@@ -228,18 +231,17 @@ def hybrid_search(docs: DataFrame, index: DataFrame, queries: DataFrame, vectors
     dense = dense_topk(index, vectors, depth, "l2", where)
     lexical = lexical_topk(docs, queries, depth, title_weight, eligible)
     fused = fuse(dense, lexical, w_dense, w_lexical, k)
-    if use_gate:
-        fused = gate(fused, lexical, docs, queries, k)
-    return select_results(docs, fused, limit, policy, do_collapse)
+    rows = docs.select("item_key", "title", "doi").join(F.broadcast(fused), "item_key")  # the queries times a depth
+    return select_results(_gated(rows, queries, k, 3, 0.8) if use_gate else rows, limit, policy, do_collapse)
 
 
-def select_results(docs: DataFrame, found: DataFrame, limit: int, policy: str = "keep", do_collapse: bool = False) -> DataFrame:
-    """query_id, rank, item_key, aliases of ranked candidates, after the noise policy, collapsed or cut."""
-    candidates = F.broadcast(found.select("query_id", "item_key", "rank"))  # the queries times a depth
-    kept = noise(docs.select("item_key", "title", "doi").join(candidates, "item_key"), policy)
+def select_results(found: DataFrame, limit: int, policy: str = "keep", do_collapse: bool = False) -> DataFrame:
+    """query_id, rank, item_key, aliases of ranked rows (query_id, item_key, title, doi, rank), after the noise
+    policy, collapsed or cut."""
+    kept = noise(found, policy)
     if do_collapse:
         return collapse(kept, limit).select("query_id", "rank", "item_key", "aliases")
-    none = F.array().cast(ArrayType(docs.schema["item_key"].dataType))
+    none = F.array().cast(ArrayType(found.schema["item_key"].dataType))
     return kept.filter(F.col("rank") <= limit).select("query_id", "rank", "item_key", none.alias("aliases"))
 
 

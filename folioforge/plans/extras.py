@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.clean import cleaned
 from ..functions.position import located
+from ..session import remove_at_exit, shared_folder
 from ..streaming.refresh import activity, newest, to_process
 
 QUERIES: dict = {}
@@ -30,13 +31,21 @@ def fuzzy_position(spark, sf_dir):
 
 
 def event_activity(spark, sf_dir):
-    """The stream of events read to its end, by hour."""
-    events = table(spark, sf_dir, "events")
-    name = f"activity_{uuid.uuid4().hex[:8]}"
-    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
-    query = activity(stream.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """The stream of events read to its end, by hour; windows go to a table as they close, the last ones by one row
+    far ahead that closes them."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    folder = f"{shared_folder(spark)}/folioforge-activity-{uuid.uuid4().hex[:12]}"
+    remove_at_exit(spark, folder)
+    last = events.agg(F.max("ts").alias("ts")).filter("ts is not null")
+    end = last.select(*[(F.col("ts") + F.expr("interval 1 day") if c == "ts" else F.lit(None)).cast(t).alias(c) for c, t in events.dtypes])
+    events.write.parquet(f"{folder}/in/part=0")
+    stream = lambda: spark.readStream.schema(events.schema).parquet(f"{folder}/in/*")
+    for step in (None, end):
+        if step is not None:
+            step.write.parquet(f"{folder}/in/part=1")
+        query = activity(stream()).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.schema("start timestamp, event_type string, n long, total double").parquet(f"{folder}/out").filter("event_type is not null").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 def refresh_plan(spark, sf_dir):

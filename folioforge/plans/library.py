@@ -170,12 +170,12 @@ def _branches(spark, sf_dir):
 
 @query("rrf_equal", _fused("1.0") + " select query_id, item_key, score, rank from fr where rank <= 20")
 def _(spark, sf_dir):
-    return retrieval.fuse(*_branches(spark, sf_dir), 1.0, 1.0).filter("rank <= 20").drop("exact")
+    return retrieval.fuse(*_branches(spark, sf_dir), 1.0, 1.0).filter("rank <= 20").drop("exact", "lexical_rank")
 
 
 @query("rrf_weighted", _fused("0.5") + " select query_id, item_key, score, rank from fr where rank <= 20")
 def _(spark, sf_dir):
-    return retrieval.fuse(*_branches(spark, sf_dir), 1.0, 0.5).filter("rank <= 20").drop("exact")
+    return retrieval.fuse(*_branches(spark, sf_dir), 1.0, 0.5).filter("rank <= 20").drop("exact", "lexical_rank")
 
 
 _GATED = (
@@ -205,7 +205,8 @@ select query_id, rank, item_key, aliases from (select query_id, row_number() ove
 @query("rrf_gated", _GATED + " select query_id, item_key, score, gated, rank from gr where rank <= 20")
 def _(spark, sf_dir):
     dense, lexical = _branches(spark, sf_dir)
-    return retrieval.gate(retrieval.fuse(dense, lexical), lexical, _docs(spark, sf_dir), _asked(spark, sf_dir)).filter("rank <= 20").drop("exact")
+    titles = _docs(spark, sf_dir).select("item_key", "title")
+    return retrieval.gate(retrieval.fuse(dense, lexical), titles, _asked(spark, sf_dir)).filter("rank <= 20").drop("exact", "title")
 
 
 @query("hybrid_search", _HYBRID)
@@ -389,7 +390,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     top = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("key"), F.col("r_name").alias("name"), F.lit(None).cast("string").alias("parent"))
     below = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("key"), F.col("n_name").alias("name"), F.concat(F.lit("r"), "n_regionkey").alias("parent"))
-    return library.tree(top.unionByName(below), 3).select("key", "depth", "path")
+    return library.tree(top.unionByName(below)).select("key", "depth", "path")
 
 
 @query("trash_anti", "select o_orderstatus, count(*) as n from orders where o_custkey not in (select c_custkey from customer where c_acctbal < 0) group by all")
@@ -419,10 +420,13 @@ def _(spark, sf_dir):
     return library.stale(d, d.withColumn("n_chars", F.when(F.col("doc_id") % 10 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))), "doc_id", "n_chars")
 
 
-@query("span_overlap", "with s as (select doc_id, i, (i - 1) * 300 as a, i * 300 as b from documents, unnest(range(1, 12)) u(i) where (i - 1) * 300 < n_chars) select doc_id, i from s where a < 1000 and b > 700")
+@query("span_overlap", "with s as (select doc_id, i, (i - 1) * 300 as a, i * 300 as b from documents, unnest(range(1, 100000)) u(i) where (i - 1) * 300 < n_chars), r as (select doc_id, x, x as ra, x + 450 as rb from documents, unnest(range(500, 100000, 5000)) u(x) where x < n_chars) select s.doc_id, i, x as range_start from s join r on s.doc_id = r.doc_id where a < rb and b > ra")
 def _(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.filter(F.sequence(F.lit(1).cast("long"), F.lit(11).cast("long")), lambda i: (i - 1) * 300 < F.col("n_chars"))).alias("i"))
-    return d.filter(((F.col("i") - 1) * 300 < 1000) & (F.col("i") * 300 > 700))
+    """Spans of 300 characters against a range in every 5,000."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    spans = d.filter("n_chars > 0").select("doc_id", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("n_chars") / 300))).alias("i")).select("doc_id", "i", ((F.col("i") - 1) * 300).alias("start"), (F.col("i") * 300).alias("end"))
+    ranges = d.filter("n_chars > 500").select("doc_id", F.explode(F.sequence(F.lit(500).cast("long"), F.col("n_chars") - 1, F.lit(5000).cast("long"))).alias("range_start")).withColumn("range_end", F.col("range_start") + 450)
+    return library.span_overlaps(spans, ranges, "doc_id").select("doc_id", "i", "range_start")
 
 
 # --------------------------------------------------------------------------- duplicates and aggregates
@@ -457,10 +461,10 @@ def _(spark, sf_dir):
     return library.best_of_group(d, "source", F.when(F.col("lang") == "en", 2).when(F.col("lang") == "de", 1).otherwise(0), "doc_id").select("source", "doc_id")
 
 
-@query("preprint_suppression", f"with i as (select doc_id item_key, case doc_id % 3 when 0 then 'journalArticle' when 1 then 'preprint' else 'book' end item_type, {TITLE} title from documents), a as (select regexp_replace(lower(title), '\\s+', '', 'g') t from i where item_type = 'journalArticle') select item_key from i where item_type <> 'preprint' or regexp_replace(lower(title), '\\s+', '', 'g') not in (select t from a where t <> '')")
+@query("preprint_suppression", f"with i as (select doc_id item_key, case doc_id % 3 when 0 then 'journalArticle' when 1 then 'preprint' else 'book' end item_type, {TITLE} title, '10.1/' || (n_chars % 997) doi from documents), a as (select regexp_replace(lower(title), '\\s+', '', 'g') t, doi from i where item_type = 'journalArticle') select item_key from i where item_type <> 'preprint' or (regexp_replace(lower(title), '\\s+', '', 'g') not in (select t from a where t <> '') and doi not in (select doi from a))")
 def _(spark, sf_dir):
     kind = F.when(F.col("doc_id") % 3 == 0, "journalArticle").when(F.col("doc_id") % 3 == 1, "preprint").otherwise("book")
-    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_key"), kind.alias("item_type"), first_line().alias("title"), F.lit(None).cast("string").alias("doi"))
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_key"), kind.alias("item_type"), first_line().alias("title"), F.concat(F.lit("https://doi.org/10.1/"), (F.col("n_chars") % 997).cast("string")).alias("doi"))
     return library.without_preprints(items).select("item_key")
 
 
@@ -541,7 +545,11 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("source_hash"))
 
 
-@query("content_digest", "with r as (select doc_id // 10000 part, count(*) n, sha256(string_agg(sha256(text), '' order by doc_id, sha256(text))) h from documents group by all) select sum(n)::bigint as n, sha256(string_agg(h, '' order by part)) as digest from r")
+@query("content_digest", """
+with r as (select sha256(doc_id::varchar) k, sha256(doc_id::varchar) || sha256(text) h from documents),
+a as (select left(k, 4) k, sha256(string_agg(h, '' order by k, h)) h, count(*) n from r group by left(k, 4)),
+b as (select left(k, 2) k, sha256(string_agg(h, '' order by k, h)) h, sum(n) n from a group by left(k, 2))
+select sum(n)::bigint as n, sha256(string_agg(h, '' order by k, h)) as digest from b""")
 def _(spark, sf_dir):
     return library.content_digest(table(spark, sf_dir, "documents"), "doc_id", "text")
 

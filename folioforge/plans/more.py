@@ -31,10 +31,11 @@ WORKS = [
     json.dumps({"type": "journal-article", "title": ["On things"], "container-title": ["J. Things"], "author": [{"given": "Jane", "family": "Doe"}, {"name": "A Group"}], "published": {"date-parts": [[2020, 5, 1]]}, "abstract": "<jats:p>We show <b>it</b>.</jats:p>", "DOI": "10.1/x"}),
     json.dumps({"type": "never-heard", "title": [], "published": {"date-parts": [[1999]]}}),
     json.dumps({"type": "posted-content", "title": ["Pre"], "DOI": "10.1/y"}),
+    *[json.dumps({"type": t, "title": [t]}) for t in ("book", "book-chapter", "proceedings-article", "report", "dissertation", "monograph", "reference-entry", "dataset", "peer-review", "edited-book", "standard")],
 ]
 QUERIES["work_items"] = lambda spark, sf_dir: rows(spark, WORKS).select("id", acquire.work_item(F.col("x")).alias("w")).select("id", "w.item_type", "w.title", "w.publication", F.col("w.date").alias("date"), "w.abstract", "w.doi", F.size(F.coalesce("w.creators", F.array())).cast("long").alias("n_creators"))
 SQL["work_items"] = (
-    f"with {sql_rows(WORKS)} select id, case x ->> '$.type' when 'journal-article' then 'journalArticle' when 'posted-content' then 'preprint' else 'document' end as item_type, x ->> '$.title[0]' as title, "
+    f"with {sql_rows(WORKS)} select id, case x ->> '$.type' when 'journal-article' then 'journalArticle' when 'posted-content' then 'preprint' when 'book' then 'book' when 'book-chapter' then 'bookSection' when 'proceedings-article' then 'conferencePaper' when 'report' then 'report' when 'dissertation' then 'thesis' when 'monograph' then 'book' when 'reference-entry' then 'encyclopediaArticle' when 'edited-book' then 'book' else 'document' end as item_type, x ->> '$.title[0]' as title, "
     "x ->> '$.\"container-title\"[0]' as publication, array_to_string(json_extract_string(x, '$.published.\"date-parts\"[0][*]'), '-') as date, "
     "trim(regexp_replace(coalesce(x ->> '$.abstract', ''), '<[^>]+>', '', 'g')) as abstract, x ->> '$.DOI' as doi, coalesce(json_array_length(x, '$.author'), 0)::bigint as n_creators from v"
 )
@@ -45,16 +46,16 @@ QUERIES["atom_entries"] = lambda spark, sf_dir: rows(spark, ATOM).select("id", a
 SQL["atom_entries"] = "select 0::bigint as id, 'A Title' as title, 'Sum mary' as abstract, '2017-06-12' as date, ['Ann One', 'Bob Two'] as authors"
 
 QUERIES["extraction_choice"] = lambda spark, sf_dir: (
-    table(spark, sf_dir, "documents")
-    .select("doc_id", acquire.chosen_extraction({"layout": F.left("text", F.lit(400)), "plain": F.when(F.col("doc_id") % 2 == 0, F.col("text")), "scan": F.lit(None).cast("string")}).alias("e"))
-    .select("doc_id", "e.backend", "e.quality", "e.chain", F.col("e.char_count").cast("long").alias("char_count"))
+    table(spark, sf_dir, "pages")
+    .select("page_id", acquire.chosen_extraction({"article": F.regexp_extract("html", "(?s)<article>(.*)</article>", 1), "plain": F.trim(F.regexp_replace("html", "<[^>]*>", " ")), "raw": F.col("html")}).alias("e"))
+    .select("page_id", "e.backend", "e.quality", "e.chain", F.col("e.char_count").cast("long").alias("char_count"))
 )
 SQL["extraction_choice"] = """
-with e as (select doc_id, length(left(text, 400)) a, case when doc_id % 2 = 0 then length(text) else 0 end b from documents),
-f as (select *, case when a >= 500 then 'layout' when b >= 500 then 'plain' when a >= b and a > 0 then 'layout' when b > 0 then 'plain' end backend from e)
-select doc_id, backend, case when c >= 500 then 'good' when c > 0 then 'degraded' else 'empty' end as quality,
-       case when a >= 500 then ['layout'] when b >= 500 then ['layout', 'plain'] else ['layout', 'plain', 'scan'] end as chain, c::bigint as char_count
-from (select *, case backend when 'layout' then a when 'plain' then b else 0 end c from f)"""
+with e as (select page_id, length(regexp_extract(html, '<article>(.*)</article>', 1, 's')) a, length(trim(regexp_replace(html, '<[^>]*>', ' ', 'g'))) b, length(html) c from pages),
+f as (select *, case when a >= 500 then 'article' when b >= 500 then 'plain' when c >= 500 then 'raw' when a >= b and a >= c and a > 0 then 'article' when b >= c and b > 0 then 'plain' when c > 0 then 'raw' end backend from e),
+g as (select *, case backend when 'article' then a when 'plain' then b when 'raw' then c else 0 end n from f)
+select page_id, backend, case when n >= 500 then 'good' when n > 0 then 'degraded' else 'empty' end as quality,
+       case when a >= 500 then ['article'] when b >= 500 then ['article', 'plain'] else ['article', 'plain', 'raw'] end as chain, n::bigint as char_count from g"""
 
 STATUS = ["http://a/x|200", "https://proxy.example.org/y|200", "http://b/z|403", "http://c/w|503", "http://d|404"]
 QUERIES["acquisition_route"] = lambda spark, sf_dir: rows(spark, STATUS).select("id", acquire.route(F.split_part("x", F.lit("|"), F.lit(2)).cast("int"), F.split_part("x", F.lit("|"), F.lit(1)), "proxy.example.org").alias("route"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | None = None, shuffle_partitions: int | None = None, app: str = "folioforge") -> SparkSession:
@@ -30,3 +32,29 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file:///tmp/checkpoints/folioforge"
     return found.rstrip("/")
+
+
+_KEPT: list[tuple[SparkSession, str]] = []
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder: lineage ends there. Removed when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/folioforge-{name}-{uuid.uuid4().hex[:12]}"
+    _KEPT.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    _KEPT.append((spark, path))
+
+
+@atexit.register
+def _sweep() -> None:
+    for spark, path in _KEPT:
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the JVM may be gone at exit
+            return

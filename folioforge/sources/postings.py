@@ -9,7 +9,6 @@ average length. An index is named by a digest of all records, so a change of any
 
 from __future__ import annotations
 
-import atexit
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -19,10 +18,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokens import indexed_words
-from ..session import shared_folder
+from ..session import remove_at_exit, shared_folder
 
 PARTS, SALTS, FEW_TERMS = 32, 4, 1000
-_BUILT: list[tuple[SparkSession, str]] = []
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +75,7 @@ class Postings:
             if not fs.rename(hadoop.Path(made), where):  # another writer was first
                 fs.delete(hadoop.Path(made), True)
             if folder is None:
-                _BUILT.append((spark, path))
+                remove_at_exit(spark, path)
         return cls(spark, path)
 
     def _of(self, rows: DataFrame, terms: list[str]) -> DataFrame:
@@ -93,13 +91,3 @@ class Postings:
     def frequencies(self, terms: list[str]) -> dict[str, int]:
         """How many documents hold each of ``terms``; only those that any does."""
         return {r["t"]: r["n"] for r in self._of(self.counts, terms).collect()}
-
-
-@atexit.register
-def _sweep() -> None:
-    for spark, path in _BUILT:
-        try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # noqa: BLE001  the JVM may be gone at exit
-            return

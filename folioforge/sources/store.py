@@ -1,15 +1,17 @@
-"""A versioned index of Parquet tables: each change writes a new version, and a pointer names the current one.
+"""A versioned index of Parquet tables: each change writes a new version, and the greatest sealed version counts.
 
-A version is written whole, then sealed by a manifest (count, dimension, content digest, model), then
-pointed to. Readers resolve the pointer once and read one immutable version, so a change beside them is
-never seen half done. Paths go through the cluster's file system; nothing lies on a driver's disk.
+A version is written whole to a folder of its own, checked, then sealed by a manifest (its folder, count,
+dimension, content digest, model) that is renamed to MANIFEST-n without overwriting. So of two writers that
+start from one version one succeeds, and readers resolve one immutable version: they never see a change half
+done, nor a moment without any. Paths go through the cluster's file system.
 """
 
 from __future__ import annotations
 
 import json
-import time
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +19,12 @@ from ..functions.vectors import doubles, is_valid
 from ..operators.library import content_digest, insert_only, upsert, without
 
 
+class Conflict(RuntimeError):
+    """Another writer has published the next version."""
+
+
 class IndexStore:
-    """``folder`` holds versions (v1, v2, ...) and CURRENT."""
+    """``folder`` holds versions' folders and MANIFEST-1, MANIFEST-2, ..."""
 
     def __init__(self, spark: SparkSession, folder: str, dimension: int, model: str) -> None:
         self.spark, self.folder, self.dimension, self.model = spark, folder.rstrip("/"), dimension, model
@@ -27,67 +33,88 @@ class IndexStore:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
-    def _put(self, name: str, text: str) -> None:
-        """By a temporary name and a rename."""
-        fs, temp = self._path(f".{name}.{time.time_ns()}")
+    def _seal(self, version: int, text: str) -> None:
+        """By a temporary name and a rename that does not overwrite."""
+        fs, temp = self._path(f".{uuid.uuid4().hex}")
         out = fs.create(temp, True)
         out.write(bytearray(text.encode()))
         out.close()
-        _, final = self._path(name)
-        fs.delete(final, False)
-        if not fs.rename(temp, final):
-            raise OSError(f"cannot publish {final}")
-
-    def _get(self, name: str) -> str | None:
-        fs, path = self._path(name)
-        if not fs.exists(path):
-            return None
-        return "\n".join(r["value"] for r in self.spark.read.text(f"{self.folder}/{name}").collect())
+        _, final = self._path(f"MANIFEST-{version}")
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(temp.toUri() if temp.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        no_options = self.spark._sc._gateway.new_array(getattr(self.spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            context.rename(temp, final, no_options)
+        except Py4JJavaError as e:
+            fs.delete(temp, False)
+            if "FileAlreadyExists" in str(e.java_exception):
+                raise Conflict(f"version {version} is published already") from None
+            raise
 
     def version(self) -> int:
-        """0 if nothing was published."""
-        return int(self._get("CURRENT") or 0)
+        """The greatest sealed version, 0 if there is none."""
+        fs, folder = self._path("")
+        if not fs.exists(folder):
+            return 0
+        names = [f.getPath().getName() for f in fs.listStatus(folder)]
+        return max((int(n.removeprefix("MANIFEST-")) for n in names if n.startswith("MANIFEST-")), default=0)
 
     def manifest(self, version: int | None = None) -> dict:
-        found = self._get(f"MANIFEST-{version or self.version()}.json")
-        if found is None:
+        version = version or self.version()
+        fs, path = self._path(f"MANIFEST-{version}")
+        if not version or not fs.exists(path):
             raise FileNotFoundError("no such version")
-        return json.loads(found)
+        return json.loads("\n".join(r["value"] for r in self.spark.read.text(f"{self.folder}/MANIFEST-{version}").collect()))  # one line
 
     def read(self, version: int | None = None) -> DataFrame:
-        version = version or self.version()
-        if not version:
-            raise FileNotFoundError("nothing is published")
-        return self.spark.read.parquet(f"{self.folder}/v{version}")
-
-    def publish(self, rows: DataFrame) -> int:
-        """``rows`` has item_key, document, embedding. Invalid vectors and repeated keys fail before anything is published."""
-        version = self.version() + 1
-        path = f"{self.folder}/v{version}"
-        rows.write.mode("errorifexists" if not self._path(f"v{version}")[0].exists(self._path(f"v{version}")[1]) else "overwrite").parquet(path)
-        saved = self.spark.read.parquet(path)
-        checks = saved.agg(F.count("*").alias("n"), F.count_distinct("item_key").alias("keys"), F.count_if(~is_valid(doubles(F.col("embedding")), self.dimension)).alias("bad")).first()
-        if checks["bad"] or checks["keys"] != checks["n"]:
-            raise ValueError(f"{checks['bad']} invalid vectors, {checks['n'] - checks['keys']} repeated keys")
-        digest = content_digest(saved.withColumn("document", F.coalesce("document", F.lit(""))), "item_key", "document").first()
-        self._put(f"MANIFEST-{version}.json", json.dumps({"version": version, "rows": checks["n"], "dimension": self.dimension, "model": self.model, "digest": digest["digest"]}, sort_keys=True))
-        self._put("CURRENT", str(version))
+        return self.spark.read.parquet(f"{self.folder}/{self.manifest(version)['path']}")
+
+    def publish(self, rows: DataFrame, base: int | None = None) -> int:
+        """``rows`` has item_key, document, embedding, and more if wanted. Invalid vectors and repeated keys fail
+        before anything is published. ``base`` is the version that ``rows`` were made from, the greatest if not given."""
+        version = (self.version() if base is None else base) + 1
+        name = f"v{version}-{uuid.uuid4().hex[:8]}"
+        path = f"{self.folder}/{name}"
+        rows.write.parquet(path)
+        try:
+            saved = self.spark.read.parquet(path)
+            checks = saved.agg(F.count("*").alias("n"), F.count_distinct("item_key").alias("keys"), F.count_if(~is_valid(doubles(F.col("embedding")), self.dimension)).alias("bad")).first()  # one row
+            if checks["bad"] or checks["keys"] != checks["n"]:
+                raise ValueError(f"{checks['bad']} invalid vectors, {checks['n'] - checks['keys']} repeated keys")
+            self._seal(version, json.dumps({"version": version, "path": name, "rows": checks["n"], "dimension": self.dimension, "model": self.model, "digest": self._digest(saved)}, sort_keys=True))
+        except Exception:
+            fs, made = self._path(name)
+            fs.delete(made, True)
+            raise
         return version
 
+    def _digest(self, rows: DataFrame) -> str | None:
+        found = content_digest(rows.withColumn("document", F.coalesce("document", F.lit(""))), "item_key", "document").first()  # one row or none
+        return found["digest"] if found else None
+
     def upsert(self, rows: DataFrame) -> int:
-        return self.publish(upsert(self.read(), rows, "item_key") if self.version() and self.manifest()["model"] == self.model else rows)
+        base = self.version()
+        return self.publish(upsert(self.read(base), rows, "item_key") if base and self.manifest(base)["model"] == self.model else rows, base)
 
     def insert(self, rows: DataFrame) -> int:
-        return self.publish(insert_only(self.read(), rows, "item_key") if self.version() else rows)
+        base = self.version()
+        return self.publish(insert_only(self.read(base), rows, "item_key") if base else rows, base)
 
     def delete(self, keys: DataFrame) -> int:
-        return self.publish(without(self.read(), keys, "item_key"))
+        base = self.version()
+        return self.publish(without(self.read(base), keys, "item_key"), base)
 
     def reset(self) -> int:
-        return self.publish(self.read().limit(0))
+        base = self.version()
+        return self.publish(self.read(base).limit(0), base)
 
     def verify(self, version: int | None = None) -> bool:
-        """Whether the rows still have the digest that the manifest states."""
+        """Whether the rows still have the count and the digest that the manifest states."""
         m = self.manifest(version)
-        found = content_digest(self.read(m["version"]).withColumn("document", F.coalesce("document", F.lit(""))), "item_key", "document").first()
-        return (found["n"] or 0) == m["rows"] and found["digest"] == m["digest"]
+        rows = self.read(m["version"])
+        return rows.count() == m["rows"] and self._digest(rows) == m["digest"]
+
+    def status(self) -> dict:
+        """version, rows, model, dimension, folder of what is published; version 0 if nothing is."""
+        version = self.version()
+        m = self.manifest(version) if version else {"rows": 0, "model": self.model, "dimension": self.dimension}
+        return {"version": version, "rows": m["rows"], "model": m["model"], "dimension": m["dimension"], "folder": self.folder}

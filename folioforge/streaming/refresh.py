@@ -1,5 +1,5 @@
-"""Incremental refresh of an index: what arrives is skipped if known and unchanged, retried if it failed before
-and has changed since, and published batch by batch; and when a refresh is due."""
+"""Incremental refresh of an index: what arrives is skipped if it is indexed, retried if it failed before and has
+changed since, and published batch by batch; and when a refresh is due."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import kept
 from ..sources.store import IndexStore
 
 
@@ -35,16 +36,26 @@ def newest(arrived: DataFrame) -> DataFrame:
     return arrived.groupBy("item_key").agg(F.max_by(F.struct(*arrived.columns), F.coalesce("date_modified", F.lit(""))).alias("r")).select("r.*")
 
 
+STATE = "item_key {key}, status string, date_modified string, batch long"
+
+
 def refresh(stream: DataFrame, store: IndexStore, checkpoint: str, embed):
-    """Starts a query over what has arrived, then stops. ``embed`` turns rows (item_key, document, ...)
-    into rows (item_key, document, embedding)."""
-
-    def batch(rows: DataFrame, _: int) -> None:
-        rows = newest(rows)
-        if store.version():
-            rows = rows.join(store.read().select("item_key"), "item_key", "left_anti")
-        if rows.limit(1).count():
-            store.upsert(embed(rows).select("item_key", "document", "embedding"))
+    """Starts a query over what has arrived, then stops. ``embed`` turns rows (item_key, document,
+    date_modified, ...) into rows with an embedding, null where that failed. What became of each key lies beside the
+    checkpoint, by batch, so a repeated batch replaces its own share; the newest entry of a key counts."""
+    spark, state = stream.sparkSession, f"{checkpoint.rstrip('/')}-state"
+    schema = STATE.format(key=stream.schema["item_key"].dataType.simpleString())
+
+    def batch(rows: DataFrame, number: int) -> None:
+        spark.createDataFrame([], schema).write.mode("append").parquet(f"{state}/batch=-1")
+        seen = spark.read.schema(schema).parquet(state).filter((F.col("batch") >= 0) & (F.col("batch") < number))
+        known = seen.groupBy("item_key").agg(F.max_by(F.struct("status", "date_modified"), "batch").alias("x")).select("item_key", "x.*")
+        made = kept(embed(to_process(newest(rows), known)), "refreshed")
+        good = made.filter("embedding is not null")
+        if not good.isEmpty():
+            store.upsert(good.select("item_key", "document", "embedding"))
+        outcome = made.select("item_key", F.when(F.col("embedding").isNull(), "failed").otherwise("indexed").alias("status"), "date_modified")
+        outcome.write.mode("overwrite").parquet(f"{state}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -34,10 +34,15 @@ def test_fragments():
 
 
 def test_profiles():
-    assert len(changes.PROFILES) == 7 and changes.profile("hybrid", {"k": 10})["k"] == 10
-    for bad in (("none", None), ("dense", {"nope": 1})):
-        with pytest.raises(KeyError):
-            changes.profile(*bad)
+    assert list(changes.PROFILES) == ["baseline-dense", "dense-collapse", "hybrid-rrf", "hybrid-weighted", "hybrid-gated", "hybrid-weighted-collapse", "hybrid-gated-collapse"]
+    assert changes.profile("baseline-dense") == changes.DEFAULTS and not changes.profile("hybrid-weighted")["gate"]
+    got = changes.profile("hybrid-rrf", {"k": 10, "weights.lex": 0.1})
+    assert got["k"] == 10 and got["weights"] == {"dense": 1.0, "lex": 0.1} and changes.PROFILES["hybrid-rrf"]["weights"]["lex"] == 1.0
+    with pytest.raises(KeyError):
+        changes.profile("none")
+    for bad in ("nope", "weights.nope", "k.x"):
+        with pytest.raises(ValueError):
+            changes.profile("baseline-dense", {bad: 1})
 
 
 def test_suite_must_be_sound(spark):

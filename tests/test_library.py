@@ -5,10 +5,10 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.functions import clean, position
+from folioforge.functions import position
 from folioforge.functions import text as X
 from folioforge.operators import library
-from folioforge.sources.store import IndexStore
+from folioforge.sources.store import Conflict, IndexStore
 from folioforge.streaming import refresh
 
 
@@ -45,6 +45,26 @@ def test_tree_leaves_out_orphans_and_cycles(spark):
     assert sorted((r.key, r.depth, r.path) for r in library.tree(nodes).collect()) == [("a", 0, "A"), ("b", 1, "A/B"), ("c", 2, "A/B/C")]
 
 
+def test_tree_of_any_depth(spark):
+    nodes = spark.createDataFrame([(f"n{i}", f"N{i}", f"n{i - 1}" if i else None) for i in range(12)], "key string, name string, parent string")
+    assert library.tree(nodes).count() == 12 and library.tree(nodes.filter("key = 'n3'")).count() == 0
+
+
+def test_digest_of_string_keys(spark):
+    rows = [("ABCD1234", "x"), ("ZZ", "y"), ("Q", None)]
+    digest = lambda r, n: library.content_digest(spark.createDataFrame(r, "k string, t string").repartition(n), "k", "t").first()
+    assert digest(rows, 1) == digest(rows[::-1], 3) and digest(rows, 1).n == 3
+    assert len({digest(r, 1).digest for r in (rows, rows[:2], [("ABCD1235", "x"), *rows[1:]], [("ABCD1234", "z"), *rows[1:]])}) == 4
+
+
+def test_spans_meet_ranges_once(spark):
+    spans = [(k, a, a + n) for k in (1, 2) for a, n in ((0, 10), (10, 0), (4090, 20), (9000, 9000))]
+    ranges = [(1, 5, 12), (1, 4095, 4096), (2, 0, 20000), (3, 0, 5)]
+    got = library.span_overlaps(spark.createDataFrame(spans, "k int, start long, end long"), spark.createDataFrame(ranges, "k int, range_start long, range_end long"), "k")
+    want = [(k, a, b, c, d) for k, a, b in spans for j, c, d in ranges if j == k and a < d and b > c]
+    assert sorted((r.k, r.start, r.end, r.range_start, r.range_end) for r in got.collect()) == sorted(want)
+
+
 def test_merge_and_tags(spark):
     items = spark.createDataFrame([("k", ["x"], "book"), ("d", ["y", "x"], "book"), ("e", ["z"], "attachment")], "item_key string, tags array<string>, item_type string")
     groups = spark.createDataFrame([(1, "k", "k"), (1, "k", "d"), (1, "k", "e")], "group_id long, keeper string, member string")
@@ -59,19 +79,6 @@ def test_preprints(spark):
     assert sorted(r.item_key for r in library.without_preprints(items).collect()) == [2, 4, 5, 6]
 
 
-def test_cleaner():
-    stamp = "\n".join("1v0000.1012:viXra")
-    cases = ["", "plain  text\n\nhere", f"{stamp}\nReal text.", "a <b>bold</b> word &amp; <unknown>x</unknown> &eacute;", "Menu\nAccept all\nText.", "x <script>var a = '</p>';</script> y", "```\n<b>code</b>\n```\n<b>not</b>", "&amp;lt;b&amp;gt;", "word " * 4000, "Head\nbody one\f Head\nbody two\fHead\nbody three\f"]
-    for c in cases:
-        once = clean.clean(c)
-        assert clean.clean(once) == once and len(once) <= clean.LIMIT, c
-    assert clean.clean(cases[2]) == "Real text."
-    assert clean.clean(cases[3]) == "a bold word &amp; <unknown>x</unknown> é"
-    assert clean.clean(cases[4]) == "Text."
-    assert "Head" not in clean.clean(cases[9])
-    assert clean.clean(None) == ""
-
-
 def test_positions():
     hay = "The quick brown fox\njumps over the lazy dog, and the rest is silence."
     assert position.locate("brown fox", hay) == (10, 19, 1.0, "exact")
@@ -107,6 +114,12 @@ def test_store(spark, tmp_path):
     assert IndexStore(spark, store.folder, 2, "m2").upsert(_rows(spark, [9])) == 5 and store.read().count() == 1  # another model starts anew
     store.reset()
     assert store.read().count() == 0
+    with pytest.raises(Conflict):
+        store.publish(_rows(spark, [7]), base=2)  # another writer was faster
+    assert store.version() == 6 and store.status()["rows"] == 0
+    named = IndexStore(spark, f"file://{tmp_path}/named", 2, "m")
+    named.publish(spark.createDataFrame([("ABCD1234", "t", [1.0, 2.0])], "item_key string, document string, embedding array<double>"))
+    assert named.verify() and named.read().first().item_key == "ABCD1234"
 
 
 def test_refresh(spark, tmp_path):
@@ -123,3 +136,13 @@ def test_refresh(spark, tmp_path):
         stream = spark.readStream.schema("item_key long, document string, date_modified string").parquet(f"{tmp_path}/in")
         refresh.refresh(stream, store, f"{tmp_path}/check", embed).awaitTermination()
     assert sorted(r.item_key for r in store.read().collect()) == [1, 2, 3]
+
+
+def test_refresh_retries_what_failed_and_changed(spark, tmp_path):
+    store = IndexStore(spark, f"file://{tmp_path}/index", 2, "m")
+    embed = lambda rows: rows.withColumn("embedding", F.when(~F.col("document").startswith("bad"), F.array(F.lit(1.0), F.lit(2.0))))
+    schema = "item_key string, document string, date_modified string"
+    for rows in ([("a", "one", "1"), ("b", "bad", "1"), ("c", "bad", "1")], [("a", "changed", "2"), ("b", "good", "1"), ("c", "good", "2")], [("b", "good", "2")]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        refresh.refresh(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), store, f"{tmp_path}/check", embed).awaitTermination()
+    assert {r.item_key: r.document for r in store.read().collect()} == {"a": "one", "b": "good", "c": "good"} and store.version() == 3

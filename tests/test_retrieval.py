@@ -25,7 +25,7 @@ def test_title_gate(spark, text, gated):
     queries = spark.createDataFrame([(1, text)], "query_id long, text string")
     lexical = _ranked(spark, [(1, "a", 1)])
     fused = retrieval.fuse(_ranked(spark, [(1, "b", 1), (1, "a", 2)]), lexical, 1.0, 0.0)
-    got = {r.item_key: r for r in retrieval.gate(fused, lexical, titles, queries).collect()}
+    got = {r.item_key: r for r in retrieval.gate(fused, titles, queries).collect()}
     assert got["a"].gated == gated and got["a"].rank == (1 if gated else 2)
     if gated:
         assert got["a"].score == round(1 / 61 + 1 / 61, 9)
