@@ -76,8 +76,9 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
 
 
 def _code(s: np.ndarray) -> int:
-    """A hash of a set, as a signed 64-bit integer. With the set's size it names a class."""
-    return int((mix(s).sum(dtype=np.uint64) if len(s) else np.uint64(0)).view(np.int64))
+    """A hash of a set and its size, as a signed 64-bit integer. With the set's size it names a class."""
+    total = np.array([mix(s).sum(dtype=np.uint64) if len(s) else np.uint64(0)], np.uint64) ^ np.uint64(len(s))
+    return int(mix(total)[0].view(np.int64))
 
 
 def _bitmap(s: np.ndarray) -> np.ndarray:
@@ -181,8 +182,8 @@ def _frequency(values: np.ndarray, frequent: np.ndarray, weight: np.ndarray) ->
 
 
 def _entries(k: int, similarity: tuple[int, int], boundary: int, frequent: np.ndarray, weight: np.ndarray):
-    """(value, code, n, place): list entries of sets that may meet a heavy one, place from 0; and of
-    light sets their subsets' keys, with place -1 for the smaller side and -2 for the larger."""
+    """(value, code, at): list entries of sets that may meet a heavy one, ``at`` being place and size in
+    one; and of light sets their subsets' keys, with place -1 for the smaller side and -2 for the larger."""
     a, b = similarity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +210,8 @@ def _entries(k: int, similarity: tuple[int, int], boundary: int, frequent: np.nd
                     code.append(np.full(few, c))
                     size.append(np.full(few, n))
             if value:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in ((value, np.int64), (code, np.int64), (size, np.int32), (place, np.int32))], names=["value", "code", "n", "place"])
+                at = np.concatenate(place).astype(np.int64) << 32 | np.concatenate(size).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(value).astype(np.int64)), pa.array(np.concatenate(code).astype(np.int64)), pa.array(at)], names=["value", "code", "at"])
 
     return run
 
@@ -394,11 +396,10 @@ def _in_components(rows: DataFrame, k: int, similarity: tuple[int, int]) -> Data
     histogram = {r["n"]: r["c"] for r in classes.filter(F.col("n") <= 128).groupBy("n").agg(F.count("*").alias("c")).collect()}  # 128 rows at most
     boundary = boundary_of(histogram, similarity)
 
-    entries = rows.select("text").mapInArrow(sliced(_entries(k, similarity, boundary, frequent, weight)), "value long, code long, n int, place int")
-    entries = entries.withColumn("light", F.col("place") < 0)
-    whole = Window.partitionBy("value", "light")
-    ends = [F.min(F.struct("code", "n")).over(whole).alias("lo"), F.max(F.struct("code", "n")).over(whole).alias("hi")]
-    shared = entries.select("*", *ends).filter("lo <> hi").select("value", "code", "n", "place").distinct()
+    entries = rows.select("text").mapInArrow(sliced(_entries(k, similarity, boundary, frequent, weight)), "value long, code long, at long")
+    whole = Window.partitionBy("value")  # subsets' keys are hashed apart from shingles
+    shared = entries.select("*", F.min("code").over(whole).alias("lo"), F.max("code").over(whole).alias("hi")).filter("lo <> hi").select("value", "code", "at").distinct()
+    shared = shared.select("value", "code", F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("n"), F.shiftright("at", 32).cast("int").alias("place"))
     shared = written(shared.join(classes.select("code", "n", "cid"), ["code", "n"]).select("value", "cid", "n", "place"), "jaccard-lists")
     lists = shared.filter("place >= 0")
 
