@@ -165,3 +165,29 @@ def attachment_path(path: Column, key: Column, storage: str, base: str) -> Colum
         .when(path.startswith("attachments:"), F.concat_ws("/", F.lit(base), F.regexp_replace(path, "^attachments:", "")))
         .when(path.startswith("/"), path)
     )
+
+
+def list_values(c: Column) -> Column:
+    """A list given as a JSON array, a JSON string, words between commas, or one word: its parts that are not empty."""
+    t = F.trim(F.coalesce(c, F.lit("")))
+    parsed, quoted = F.from_json(t, "array<string>"), F.from_json(F.concat(F.lit("["), t, F.lit("]")), "array<string>")
+    parts = F.when(t.startswith("["), F.coalesce(parsed, F.array(t))).when(t.startswith('"') & (F.size(quoted) == 1), quoted).otherwise(F.split(t, ","))
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+
+
+def split_name(c: Column) -> Column:
+    """struct(firstName, lastName) of a name in one string, at its last space; a single word is a last name."""
+    t = F.trim(c)
+    return F.struct(F.trim(F.regexp_extract(t, r"^(.*)\s\S+$", 1)).alias("firstName"), F.regexp_extract(t, r"(\S+)$", 1).alias("lastName"))
+
+
+def safe_path(c: Column, extensions: tuple[str, ...]) -> Column:
+    """Whether a path is relative, stays below its folder, and has one of these extensions."""
+    inside = ~c.startswith("/") & ~c.rlike(r"(^|/)\.\.(/|$)") & ~c.rlike(r"^[A-Za-z]:")
+    return F.coalesce(inside & F.lower(F.regexp_extract(c, r"\.([^./]+)$", 1)).isin(*extensions), F.lit(False))
+
+
+def overlap_of_paths(a: Column, b: Column) -> Column:
+    """equal, inside (a in b), contains (b in a) or null."""
+    x, y = (F.concat(F.regexp_replace(c, "/+$", ""), F.lit("/")) for c in (a, b))
+    return F.when(x == y, "equal").when(x.startswith(y), "inside").when(y.startswith(x), "contains")

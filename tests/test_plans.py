@@ -5,11 +5,11 @@ import os
 import duckdb
 import pytest
 
-from folioforge.plans import extras, library, literals, more
+from folioforge.plans import catalog, extras, library, literals, more
 
 SF = "/root/testdata/sf0.001"
-QUERIES = library.QUERIES | literals.QUERIES | more.QUERIES | extras.QUERIES
-SQL = library.SQL | literals.SQL | more.SQL | extras.SQL
+QUERIES = library.QUERIES | literals.QUERIES | more.QUERIES | catalog.QUERIES | extras.QUERIES
+SQL = library.SQL | literals.SQL | more.SQL | catalog.SQL | extras.SQL
 
 
 @pytest.fixture(scope="module")
