@@ -76,3 +76,17 @@ def test_reruns_agree(spark, repeat):
     a = sorted(map(tuple, langid.identify(docs)[0].collect()))
     b = sorted(map(tuple, langid.identify(docs.repartition(3 * repeat))[0].collect()))
     assert [x[:2] for x in a] == [x[:2] for x in b]
+
+
+def test_prediction_matches_a_plain_softmax(monkeypatch):
+    model = _model()
+    monkeypatch.setattr(langid, "_BLOCK", 40)
+    texts = ["the cat sat on the mat", "Le Chat", "der", "mixed le hund with", "é", "chat " * 300]
+    named, score = model.predict(pa.array(texts))
+    for text, name, s in zip(texts, named, score):
+        data = np.frombuffer(text.encode(), np.uint8)
+        rows = [model.table[b] for order in langid.ORDERS for b in langid.features(data, np.array([len(data)]), order).tolist() if b != langid.BUCKETS]
+        mean = np.sum(rows, axis=0) / max(1, len(rows)) if rows else np.zeros(model.table.shape[1])
+        z = ((mean @ model.project if model.project is not None else mean) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert name == model.languages[int(p.argmax())] and abs(s - p.max()) < 1e-5

@@ -57,3 +57,15 @@ def test_each_rule_prunes():
     short = {}
     list(T.search_bucket(np.array([-1]), q[:1], np.array([1e12]), ids, m, 10, short))
     assert short == {"skipped": 1}
+
+
+def test_length_prunes():
+    rng = np.random.default_rng(2)
+    m = (rng.normal(size=(500, 8)) * np.geomspace(2000, 2, 500)[:, None]).astype(np.int64)
+    m = m[np.argsort(-(m.astype(float) ** 2).sum(1), kind="stable")]
+    ids, q = np.arange(500), (rng.normal(size=(1, 8)) * 50).astype(np.int64)
+    top = np.sqrt((q[0].astype(float) ** 2).sum()) * np.sqrt((m[0].astype(float) ** 2).sum())
+    bound, stats = 0.2 * top, {}
+    found = list(T.search_bucket(np.array([-1]), q, np.array([bound]), ids, m, 500, stats))
+    scores = m @ q[0]
+    assert stats == {"by_length": 1} and sorted(s for _, _, x in found for s in x.tolist()) == sorted(s for s in scores.tolist() if s >= bound)
