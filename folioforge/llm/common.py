@@ -101,22 +101,28 @@ def sliced(run: Callable, records: int = 1000) -> Callable:
     return go
 
 
-#: A bitmap of this many words of 64 bits says which keys another table may hold.
-MARK_WORDS = 1 << 16
+def slim(table: DataFrame) -> DataFrame:
+    """A side of a join that has one short row a key, or few: it is hashed, and the other side need not be sorted."""
+    return table.hint("shuffle_hash")
 
 
-def _mark(key: Column | str) -> tuple[Column, Column]:
-    place = F.pmod(F.xxhash64(key), F.lit(64 * MARK_WORDS))
-    return F.shiftright(place, 6).alias("_word"), F.pmod(place, F.lit(64)).cast("int").alias("_bit")
+#: A bitmap of this many rows of 64 words of 64 bits says which keys another table may hold.
+MARK_ROWS = 1 << 10
+
+
+def _mark(key: Column | str) -> dict[str, Column]:
+    place = F.pmod(F.xxhash64(key), F.lit(MARK_ROWS << 12))
+    return {"_row": F.shiftright(place, 12), "_word": F.shiftright(place, 6).bitwiseAND(F.lit(63)).cast("int"), "_bit": place.bitwiseAND(F.lit(63)).cast("int")}
 
 
 def marked(rows: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
     """``rows`` with ``_maybe``: false only where ``key`` is surely not in ``keys``. The bitmap has a
-    fixed size and is broadcast; an exact join may follow on the rows that are left."""
-    word, bit = _mark(key)
-    bits = keys.select(word, bit).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))  # MARK_WORDS rows at most
-    told = rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(bits), "_word", "left")
-    return told.withColumn("_maybe", F.coalesce(F.getbit("_bits", "_bit") == 1, F.lit(False))).drop("_word", "_bit", "_bits")
+    fixed size, half a megabyte, and is broadcast; an exact join may follow on the rows that are left."""
+    words = keys.select(*[c.alias(n) for n, c in _mark(key).items()]).groupBy("_row", "_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    held = words.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_bits"))).alias("_m"))  # 64 words a row
+    bits = held.select("_row", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0).cast("long"))).alias("_words"))  # MARK_ROWS rows at most
+    told = rows.withColumns(_mark(key)).join(F.broadcast(bits), "_row", "left")
+    return told.withColumn("_maybe", F.coalesce(F.getbit(F.get("_words", "_word"), "_bit") == 1, F.lit(False))).drop("_row", "_word", "_bit", "_words")
 
 
 # --------------------------------------------------------------------------- hashes of words

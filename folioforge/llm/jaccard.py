@@ -40,12 +40,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free, marked, mix, pick, place_of, runs, sliced, words, written
+from .common import free, marked, mix, pick, place_of, runs, sliced, slim, words, written
 
 #: Shingles that order lists as frequent, at most; repeats within a block that count; shingles a block.
-FREQUENT, REPEATS, BLOCK = 1 << 18, 2, 2_000_000
+FREQUENT, REPEATS, BLOCK = 1 << 18, 2, 1_000_000
 #: Anchors of a list in each round. The first round's are the earliest placed.
 ANCHORS = (4, 8, 16)
+#: Pairs that may be looked at for each entry before rounds of random anchors pay.
+PAIRS_AN_ENTRY = 64
 #: What an inverted list's entry costs, an enumerated subset's being 1.
 ENTRY_COST = 3.0
 #: Bits of a bitmap: a power of two, twice the shingles at least, within these.
@@ -216,26 +218,44 @@ def _entries(k: int, similarity: tuple[int, int], boundary: int, frequent: np.nd
     return run
 
 
-def _full_sets(k: int):
-    """(cid, members) of the rows whose set is the class that was asked for."""
+def _full_sets(k: int, most: int = 1 << 20):
+    """(cid, members) of the rows whose set is the class that was asked for, in batches of some ``most`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, members = [], []
+            ids, members, held = [], [], 0
+
+            def made() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(members, pa.binary())], names=["cid", "members"])  # noqa: B023
+
             for cid, code, n, s in zip(*[batch.column(c).to_pylist() for c in ("cid", "code", "n")], shingle_sets(batch.column("text"), k)):
                 if len(s) == n and _code(s) == code:
                     ids.append(cid)
                     members.append(s.astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(members, pa.binary())], names=["cid", "members"])
+                    held += len(members[-1])
+                    if held >= most:
+                        yield made()
+                        ids, members, held = [], [], 0
+            yield made()
 
     return run
 
 
+def _once_a_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first of a task's rows with a key: repeated rows are not shuffled. More of them would do no harm."""
+    seen: set[int] = set()
+    for batch in batches:
+        new = [k not in seen and (seen.add(k) or True) for k in batch.column("key").to_pylist()]
+        yield batch.filter(pa.array(new, pa.bool_()))
+        if len(seen) > 500_000:
+            seen.clear()
+
+
 def _sets_of(rows: DataFrame, classes: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """cid, members of the classes in ``ids``, each from the text of one of its rows: few others are shuffled."""
     wanted = written(classes.join(ids, "cid", "left_semi").select("key", "cid", "code", "n"), "jaccard-wanted")
-    texts = marked(rows, wanted).filter("_maybe").select("key", "text").dropDuplicates(["key"]).join(wanted, "key")
-    out = written(texts.select("cid", "code", "n", "text").mapInArrow(sliced(_full_sets(k)), "cid long, members binary"), "jaccard-sets")
+    texts = marked(rows, wanted).filter("_maybe").select("key", "text").mapInArrow(sliced(_once_a_key), "key long, text string").join(slim(wanted), "key")
+    out = written(texts.select("cid", "code", "n", "text").mapInArrow(sliced(_full_sets(k)), "cid long, members binary"), "jaccard-sets", records=100)
     free(wanted)
     return out
 
@@ -257,15 +277,21 @@ def _reaches(bound: Column, n: Column, m: Column, similarity: tuple[int, int]) -
     return bound * F.lit(a + b) >= (n + m) * F.lit(a)
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+def _bitmaps(ids: DataFrame, classes: DataFrame, signatures: DataFrame) -> DataFrame:
+    """cid, n, bitmap of the classes in ``ids``, each from the signature of one of its rows (several, if that row is repeated)."""
+    known = written(marked(classes, ids, "cid").filter("_maybe").select("key", "cid", "n"), "jaccard-known")
+    return marked(signatures.select("key", "bitmap"), known).filter("_maybe").select("key", "bitmap").join(slim(known), "key").select("cid", "n", "bitmap")
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame, signatures: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """The ``pairs`` (a, b) whose bitmaps leave room for enough shared shingles."""
     asked = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid")))
-    known = marked(classes, asked, "cid").filter("_maybe").select("cid", "n", "bitmap")
+    known = _bitmaps(asked, classes, signatures)
     met = pairs.join(known.toDF("a", "an", "am"), "a").join(known.toDF("b", "bn", "bm"), "b")
     words = F.least(F.size("am"), F.size("bm"))
     x, y = _folded(F.col("am"), words), _folded(F.col("bm"), words)
     bound = F.least(F.col("an") - _lacks(x, y), F.col("bn") - _lacks(y, x))
-    return met.filter(_reaches(bound, F.col("an"), F.col("bn"), similarity)).select("a", "b")
+    return met.filter(_reaches(bound, F.col("an"), F.col("bn"), similarity)).select("a", "b").distinct()
 
 
 def _compared(similarity: tuple[int, int]):
@@ -289,7 +315,7 @@ def _compared(similarity: tuple[int, int]):
 def _compare(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """``pairs`` (a, b) with whether their sets are similar. A set travels once, and once for each of
     its pairs as the second; the many pairs of a first are split by the adaptive join."""
-    right = pairs.join(sets.toDF("b", "b_members"), "b")
+    right = sets.toDF("b", "b_members").join(slim(pairs), "b")
     met = right.join(sets.toDF("a", "a_members"), "a")
     return met.select("a", "b", "a_members", "b_members").mapInArrow(sliced(_compared(similarity)), "a long, b long, linked boolean")
 
@@ -306,7 +332,7 @@ def components(edges: DataFrame) -> DataFrame:
     labels = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "id").withColumn("old", F.col("label")), "components-start")
     while True:
         now = labels.select("id", "label")
-        near = both.join(now.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        near = both.join(slim(now.withColumnRenamed("id", "b")), "b").groupBy("a").agg(F.min("label").alias("near"))
         least = now.join(near.withColumnRenamed("a", "id"), "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jump = now.select(F.col("id").alias("label"), F.col("label").alias("next"))
         stepped = written(least.join(jump, "label", "left").select("id", F.least("label", F.coalesce("next", "label")).alias("label"), "old"), "components-step")
@@ -336,7 +362,7 @@ def _pairs(x: DataFrame, y: DataFrame, fits: Column) -> DataFrame:
 
 def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """Entries of lists that hold several components, with theirs."""
-    entries = lists.join(labels.select(F.col("id").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    entries = lists.join(slim(labels.select(F.col("id").alias("cid"), "label")), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     several = entries.groupBy("value").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("value")
     return entries.join(several, "value", "left_semi")
 
@@ -347,11 +373,18 @@ def _with_anchors(entries: DataFrame, similarity: tuple[int, int], anchors: int,
     return _pairs(entries, chosen, _fits(similarity))
 
 
-def _with_all(entries: DataFrame, classes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+def _pairs_left(entries: DataFrame) -> tuple[int, int]:
+    """Pairs that ``_with_all`` would look at, and entries."""
+    held = entries.groupBy("value", "label").count().groupBy("value").agg(F.sum("count").alias("n"), F.max("count").alias("most"))
+    r = held.agg(F.sum(F.col("n") * (F.col("n") - F.col("most"))).alias("pairs"), F.sum("n").alias("n")).first()  # one row
+    return r["pairs"] or 0, r["n"] or 0
+
+
+def _with_all(entries: DataFrame, classes: DataFrame, signatures: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """(a, b) of entries of one list that can still be similar: all outside its largest component
     with all. The bitmaps, folded to the least length, are part of the join's condition."""
     ids = entries.select("cid").distinct()
-    maps = classes.join(ids, "cid", "left_semi").select("cid", _folded(F.col("bitmap"), F.lit(LEAST_BITS // 64)).alias("m"))
+    maps = _bitmaps(ids, classes, signatures).select("cid", _folded(F.col("bitmap"), F.lit(LEAST_BITS // 64)).alias("m"))
     entries = entries.join(maps, "cid")
     largest = entries.groupBy("value", "label").count().groupBy("value").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
     outside = entries.join(largest, "value").filter("label <> largest").drop("largest")
@@ -391,7 +424,7 @@ def _in_components(rows: DataFrame, k: int, similarity: tuple[int, int]) -> Data
     signed = written(rows.mapInArrow(sliced(_signatures(k)), _SIGNATURES), "jaccard-signatures")
     signatures = signed.filter("not is_shingle").select("key", "doc_id", "n", "code", "bitmap")
     frequent, weight = _frequent(signed.filter("is_shingle").select("code", "n"))
-    classes = signatures.filter("n > 0").groupBy("code", "n").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"), F.first("bitmap").alias("bitmap"))
+    classes = signatures.filter("n > 0").groupBy("code", "n").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "jaccard-classes")
     histogram = {r["n"]: r["c"] for r in classes.filter(F.col("n") <= 128).groupBy("n").agg(F.count("*").alias("c")).collect()}  # 128 rows at most
     boundary = boundary_of(histogram, similarity)
@@ -400,7 +433,7 @@ def _in_components(rows: DataFrame, k: int, similarity: tuple[int, int]) -> Data
     whole = Window.partitionBy("value")  # subsets' keys are hashed apart from shingles
     shared = entries.select("*", F.min("code").over(whole).alias("lo"), F.max("code").over(whole).alias("hi")).filter("lo <> hi").select("value", "code", "at").distinct()
     shared = shared.select("value", "code", F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("n"), F.shiftright("at", 32).cast("int").alias("place"))
-    shared = written(shared.join(classes.select("code", "n", "cid"), ["code", "n"]).select("value", "cid", "n", "place"), "jaccard-lists")
+    shared = written(shared.join(slim(classes.select("code", "n", "cid")), ["code", "n"]).select("value", "cid", "n", "place"), "jaccard-lists")
     lists = shared.filter("place >= 0")
 
     by_subset = shared.filter("place < 0").groupBy("value").agg(F.min("cid").alias("first"), F.max("place").alias("hi"), F.min("place").alias("lo"), F.max("n").alias("n_hi"), F.min("n").alias("n_lo"))
@@ -417,22 +450,26 @@ def _in_components(rows: DataFrame, k: int, similarity: tuple[int, int]) -> Data
         if anchors and not random:
             continue
         entries = _labelled(long if turn else lists, labels)
+        if turn and anchors:
+            left, n = _pairs_left(entries)
+            if left <= PAIRS_AN_ENTRY * n:
+                continue
         if anchors:
             pairs = _with_anchors(entries, similarity, anchors, F.xxhash64("cid", F.lit(turn)) if turn else F.col("place"))
         else:
-            pairs = _with_all(entries, classes, similarity)
+            pairs = _with_all(entries, classes, signatures, similarity)
         for before in tested:
             pairs = pairs.join(before, ["a", "b"], "left_anti")
         pairs = written(pairs, "jaccard-pairs")
         tested.append(pairs)
-        near = written(_plausible(pairs, classes, similarity), "jaccard-plausible")
+        near = written(_plausible(pairs, classes, signatures, similarity), "jaccard-plausible")
         found = links = None
         if not near.isEmpty():
             ids = near.select(F.col("a").alias("cid")).unionByName(near.select(F.col("b").alias("cid"))).distinct()
             for had in sets:
                 ids = ids.join(had, "cid", "left_anti")
             sets.append(_sets_of(rows, classes, ids, k))
-            found = written(_compare(near, reduce(DataFrame.unionByName, sets), similarity), "jaccard-compared")
+            found = written(_compare(near, reduce(DataFrame.unionByName, sets), similarity), "jaccard-compared", records=50)
             links = found.filter("linked").select("a", "b")
         free(near)
         if links is not None and not links.isEmpty():
@@ -445,7 +482,7 @@ def _in_components(rows: DataFrame, k: int, similarity: tuple[int, int]) -> Data
 
     named = classes.select("code", "n", "cid", "least").join(labels.select(F.col("id").alias("cid"), "label"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     named = named.join(named.groupBy("label").agg(F.min("least").alias("smallest")), "label").select("code", "n", "label", F.col("smallest").alias("least"))
-    return signatures.drop("bitmap").join(named, ["code", "n"], "left").select("key", "doc_id", "n", "label", "least")
+    return signatures.drop("bitmap").join(slim(named), ["code", "n"], "left").select("key", "doc_id", "n", "label", "least")
 
 
 def similar_documents(docs: DataFrame, k: int = 4, similarity: tuple[int, int] = (85, 100), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -467,6 +504,8 @@ def one_of_each(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80,
     flat = docs.toDF(*columns)
     key = [F.lit(None) if at is None else F.col(f"c{at}") for at in (place_of(docs, doc_id), place_of(docs, text))]
     told = marked(flat.withColumn("key", F.xxhash64(key[0].cast("long"), key[1].cast("string"))), odd)
-    rest = told.filter("_maybe").join(odd, "key", "left")
-    again = rest.filter("stays").groupBy("key").agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
-    return told.filter("not _maybe").select(*columns).unionByName(rest.filter("stays is null").select(*columns)).unionByName(again).toDF(*names)
+    # Rows that are there several times meet by their key, any other row by itself.
+    rest = told.filter("_maybe").join(odd, "key", "left").filter("stays is null or stays")
+    own = F.when(F.col("stays").isNull(), F.monotonically_increasing_id())
+    single = rest.withColumn("own", own).groupBy(F.when(F.col("own").isNull(), F.col("key")).alias("k"), "own").agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
+    return told.filter("not _maybe").select(*columns).unionByName(single).toDF(*names)
