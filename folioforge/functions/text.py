@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .tokens import tokens
 
-# How umlauts are spelled out, accents folded, ligatures and quotes written plainly.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinoooooouuuuyyAAAAAACEEEEIIIINOOOOOOUUUUY"
+# Latin letters with marks and what they are without, by their decomposition; a few have none.
+_BASES = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for r in (range(0xC0, 0x250), range(0x1E00, 0x1F00)) for c in r if unicodedata.decomposition(chr(c)) and unicodedata.normalize("NFD", chr(c))[0].isascii()}
+_BASES |= dict(zip("øØłŁđĐðÐıħĦ", "oOlLdDdDihH"))
+ACCENTED, PLAIN = "".join(_BASES), "".join(_BASES.values())
+
+# Letters that fold to two, how umlauts are spelled out, ligatures and quotes written plainly.
+DOUBLED = (("ß", "ss"), ("æ", "ae"), ("Æ", "AE"), ("œ", "oe"), ("Œ", "OE"), ("þ", "th"), ("Þ", "Th"))
 DASHES = "‐‑‒–—―−"
 UMLAUTS = (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"))
 LIGATURES = (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"))
@@ -64,7 +70,10 @@ def duplicate_title(c: Column) -> Column:
 
 def folded(c: Column) -> Column:
     """For search: accents and dashes folded."""
-    return F.translate(F.translate(c, ACCENTED, PLAIN), DASHES, "-" * len(DASHES))
+    out = F.translate(F.translate(c, ACCENTED, PLAIN), DASHES, "-" * len(DASHES))
+    for a, b in DOUBLED:
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
 
 
 def search_variants(c: Column) -> Column:
