@@ -200,3 +200,15 @@ def overlap_of_paths(a: Column, b: Column) -> Column:
     """equal, inside (a in b), contains (b in a) or null."""
     x, y = (F.concat(F.regexp_replace(c, "/+$", ""), F.lit("/")) for c in (a, b))
     return F.when(x == y, "equal").when(x.startswith(y), "inside").when(y.startswith(x), "contains")
+
+
+def anchor(text: Column, from_start: bool, length: int = 40, more: int = 15) -> Column:
+    """The first (or last) ``length`` characters, with the rest of a word that they cut if that is shorter than
+    ``more``; empty where the text is shorter than two anchors."""
+    t = F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    if from_start:
+        found = F.concat(F.left(t, F.lit(length)), F.regexp_extract(F.substring(t, length + 1, more), f"^([^ ]{{0,{more - 1}}}) ", 1))
+    else:
+        before = F.left(t, F.greatest(F.length(t) - length, F.lit(0)))
+        found = F.concat(F.regexp_extract(F.right(before, F.lit(more)), f" ([^ ]{{0,{more - 2}}})$", 1), F.right(t, F.lit(length)))
+    return F.when(F.length(t) < 2 * length, "").otherwise(F.trim(found))
