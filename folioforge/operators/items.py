@@ -53,7 +53,7 @@ def _creators(t: Tables) -> DataFrame:
     return rows.groupBy("itemID").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "c"))), lambda x: x["c"]), "; ").alias("creators"))
 
 
-def _notes(t: Tables) -> DataFrame:
+def notes_of(t: Tables) -> DataFrame:
     """itemID, notes: of the item's child notes and of the item itself, where it is a note. The condition's two
     sides are joined apart, so each has equal keys, and a note counts once."""
     n = t["itemNotes"].filter("note is not null").select(F.col("itemID").alias("n"), "parentItemID", "note")
@@ -73,7 +73,7 @@ def item_scan(t: Tables, key: str | None = None, limit: int | None = None) -> Da
     items = live_items(t)
     if key is not None:
         items = items.filter(F.col("key") == key)
-    out = items.join(_pivoted(t, FIELD_IDS, ["DOI"]), "itemID", "left").join(_notes(t), "itemID", "left").join(_creators(t), "itemID", "left")
+    out = items.join(_pivoted(t, FIELD_IDS, ["DOI"]), "itemID", "left").join(notes_of(t), "itemID", "left").join(_creators(t), "itemID", "left")
     out = out.select("itemID", "key", "item_type", "dateAdded", "dateModified", "title", "abstract", "extra", "doi", "notes", "creators")
     return out.orderBy(F.desc("dateModified"), "itemID").limit(limit) if limit else out
 

@@ -38,6 +38,33 @@ def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(gone.select(key).distinct(), key, "left_anti")
 
 
+def only(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    return rows.join(keys.select(key).distinct(), key, "left_semi")
+
+
+def newest(rows: DataFrame, stamp: str, key: str, limit: int) -> DataFrame:
+    """The rows with the latest stamps, ties to the smaller key."""
+    return rows.orderBy(F.desc(stamp), key).limit(limit)
+
+
+def newest_of_each(rows: DataFrame, group: str, stamp: str, key: str, limit: int) -> DataFrame:
+    """The same of every group, with rank."""
+    order = Window.partitionBy(group).orderBy(F.desc(stamp), key)
+    return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+
+
+def histogram(rows: DataFrame, by: str, limit: int) -> DataFrame:
+    """The most frequent values and how often, ties to the smaller."""
+    return rows.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(limit)
+
+
+def coverage(items: DataFrame, texts: DataFrame, by: str, key: str) -> DataFrame:
+    """Of each kind: total, with_fulltext, pdf, html; ``texts`` has a row (key, source) for each text of an item."""
+    has = texts.groupBy(key).agg(F.lit(True).alias("_t"), F.bool_or(F.col("source") == "pdf").alias("_p"), F.bool_or(F.col("source") == "html").alias("_h"))
+    rows = items.select(key, by).join(has, key, "left")
+    return rows.groupBy(by).agg(F.count("*").alias("total"), F.count_if("_t").alias("with_fulltext"), F.count_if("_p").alias("pdf"), F.count_if("_h").alias("html"))
+
+
 def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Keys that only one side has, and which side lacks them."""
     a, b = left.select(key, F.lit(True).alias("in_left")).distinct(), right.select(key, F.lit(True).alias("in_right")).distinct()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.vectors import doubles
-from ..operators import filters, library, render, retrieval
+from ..operators import filters, items, library, render, retrieval
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -353,10 +353,10 @@ def _(spark, sf_dir):
     return library.pivot_attributes(c.select(F.col("c_custkey").alias("item_id")), values, ["title", "extra", "doi"])
 
 
-@query("or_join_notes", "with p as (select distinct conv_id from conversations) select p.conv_id, c.turn, length(c.text) as n from p left join conversations c on p.conv_id = c.conv_id and c.role = 'user'")
+@query("or_join_notes", "with i as (select c_custkey k from customer union all select o_orderkey + 10000000 from orders), n as (select o_orderkey + 10000000 k, o_custkey p, o_orderpriority t from orders) select i.k as \"itemID\", string_agg(n.t, ' ' order by n.k) as notes from i join n on i.k = n.p or i.k = n.k group by i.k")
 def _(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    return c.select("conv_id").distinct().join(c.filter("role = 'user'").select("conv_id", "turn", F.length("text").cast("long").alias("n")), "conv_id", "left")
+    notes = table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 10_000_000).alias("itemID"), F.col("o_custkey").alias("parentItemID"), F.col("o_orderpriority").alias("note"))
+    return items.notes_of({"itemNotes": notes})
 
 
 @query("two_hop_titles", "select l_orderkey, l_linenumber, coalesce(c_name, 'Untitled') as title from lineitem left join orders on l_orderkey = o_orderkey left join customer on o_custkey = c_custkey")
@@ -406,7 +406,7 @@ def _(spark, sf_dir):
 
 @query("existing_ids", "select vec_id from embeddings where vec_id in (select item_id * 7 from benchmark)")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id").join(table(spark, sf_dir, "benchmark").select((F.col("item_id") * 7).alias("vec_id")), "vec_id", "left_semi")
+    return library.only(table(spark, sf_dir, "embeddings").select("vec_id"), table(spark, sf_dir, "benchmark").select((F.col("item_id") * 7).alias("vec_id")), "vec_id")
 
 
 @query("keyset_diff", "with l as (select doc_id k from documents where doc_id % 3 <> 0), r as (select vec_id k from embeddings) select k as doc_id, 'right' as missing_in from l where k not in (select k from r) union all select k, 'left' from r where k not in (select k from l)")
@@ -478,29 +478,28 @@ def _(spark, sf_dir):
 
 @query("type_histogram", "select lang, count(*) as n from documents group by lang order by n desc, lang limit 20")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(20)
+    return library.histogram(table(spark, sf_dir, "documents"), "lang", 20)
 
 
-@query("coverage_stats", "select lang, count(*) as total, count_if(doc_id in (select doc_id from labels where quality = 1)) as with_fulltext from documents group by lang")
+@query("coverage_stats", "with t as (select doc_id, bool_or(quality = 1) p, bool_or(quality = 0) h from labels group by doc_id) select lang, count(*) as total, count(t.doc_id) as with_fulltext, count_if(p) as pdf, count_if(h) as html from documents left join t using (doc_id) group by lang")
 def _(spark, sf_dir):
-    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
-    return table(spark, sf_dir, "documents").join(good, "doc_id", "left").groupBy("lang").agg(F.count("*").alias("total"), F.count_if(F.col("good")).alias("with_fulltext"))
+    texts = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "pdf").otherwise("html").alias("source"))
+    return library.coverage(table(spark, sf_dir, "documents"), texts, "lang", "doc_id")
 
 
 @query("top_titles", f"with {_PAGES} select title, count(*) as n from p group by title order by n desc, title limit 10")
 def _(spark, sf_dir):
-    return _titled_pages(spark, sf_dir).groupBy("title").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "title").limit(10)
+    return library.histogram(_titled_pages(spark, sf_dir), "title", 10)
 
 
 @query("recent_items", "select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day from orders order by o_orderdate desc, o_orderkey limit 20")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(20).select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    return library.newest(table(spark, sf_dir, "orders"), "o_orderdate", "o_orderkey", 20).select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
 
 
 @query("feed_items", "select user_id, event_id, rank from (select user_id, event_id, row_number() over (partition by user_id order by ts desc, event_id)::int as rank from events) where rank <= 3")
 def _(spark, sf_dir):
-    newest = Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id")
-    return table(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(newest).alias("rank")).filter("rank <= 3")
+    return library.newest_of_each(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3).select("user_id", "event_id", "rank")
 
 
 def _user_tags(spark, sf_dir):
@@ -564,15 +563,17 @@ def _(spark, sf_dir):
 # --------------------------------------------------------------------------- text and rendering
 
 
-@query("doc_builder", f"select doc_id, concat_ws(' ', nullif({TITLE}, ''), 'No authors listed', nullif(source, ''), nullif(text, '')) as document from documents")
+@query("doc_builder", f"select doc_id, concat_ws(' ', nullif({TITLE}, ''), 'No authors listed', nullif(text, ''), nullif(source, '')) as document from documents")
 def _(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.concat_ws(" ", F.nullif(first_line(), F.lit("")), F.lit("No authors listed"), F.nullif("source", F.lit("")), F.nullif("text", F.lit(""))).alias("document"))
+    d, none = table(spark, sf_dir, "documents"), F.lit(None).cast("string")
+    nobody = F.lit(None).cast("array<struct<firstName: string, lastName: string, name: string>>")
+    return d.select("doc_id", items.document_text(first_line(), nobody, F.col("text"), F.col("source"), F.array().cast("array<string>"), none).alias("document"))
 
 
-@query("searchable_text", f"select doc_id, 'Title: ' || {TITLE} || chr(10) || chr(10) || 'Fulltext: ' || case when length(text) > 5000 then left(text, 5000) || '...' else text end as document from documents")
+@query("searchable_text", f"select doc_id, 'Title: ' || {TITLE} || chr(10) || chr(10) || 'Authors: ' || source || chr(10) || chr(10) || 'Notes: ' || lang || chr(10) || chr(10) || 'Content: ' || case when length(text) > 50000 then left(text, 50000) || '...' else text end as document from documents")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n\n", F.concat(F.lit("Title: "), first_line()), F.concat(F.lit("Fulltext: "), X.truncated(F.col("text"), 5000))).alias("document"))
+    none = F.lit(None).cast("string")
+    return table(spark, sf_dir, "documents").select("doc_id", items.searched_text(first_line(), F.col("source"), none, none, F.col("lang"), F.col("text")).alias("document"))
 
 
 @query("html_strip", "select page_id, regexp_replace(html, '<.*?>', '', 'g') as text from pages")
