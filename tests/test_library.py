@@ -146,3 +146,18 @@ def test_refresh_retries_what_failed_and_changed(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
         refresh.refresh(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), store, f"{tmp_path}/check", embed).awaitTermination()
     assert {r.item_key: r.document for r in store.read().collect()} == {"a": "one", "b": "good", "c": "good"} and store.version() == 3
+
+
+def test_positions_in_pages(spark):
+    words = [f"word{i * 37 % 101}" for i in range(60)]
+    passage = " ".join(words)
+    pages = ["front matter", "intro and more", f"Before.\n{passage.replace(' word3 ', chr(10) + 'word3 ')} After.", "tail", "short needle here"]
+    page, start, end, ratio, how = position.locate_in_pages(passage, pages, 2)
+    assert (page, ratio, how) == (3, 1.0, "ends") and pages[2][start:end].split() == words
+    broken = " ".join(w if i != 1 else "wurd" for i, w in enumerate(words))
+    page, start, end, ratio, how = position.locate_in_pages(broken, pages, 3)
+    assert page == 3 and how == "ends" and 0.75 <= ratio < 1 and pages[2][start:end].endswith(words[-1])
+    assert position.locate_in_pages("short needle", pages, 4)[:4] == (5, 0, 12, 1.0) and position.locate_in_pages("short needle", pages, 1) is None
+    assert position.locate_in_pages("front", pages, 3)[0] == 1 and position.ends("too short") is None
+    rows = spark.createDataFrame([("short needle", pages, 5), (None, pages, 1), ("x", None, 1)], "n string, p array<string>, t int")
+    assert [r.x.page for r in rows.select(position.located_in_pages(F.col("n"), F.col("p"), F.col("t")).alias("x")).collect()] == [5, None, None]
