@@ -389,11 +389,8 @@ def _with_all(entries: DataFrame, classes: DataFrame, signatures: DataFrame, sim
     largest = entries.groupBy("value", "label").count().groupBy("value").agg(F.max_by("label", F.struct("count", "label")).alias("largest"))
     outside = entries.join(largest, "value").filter("label <> largest").drop("largest")
 
-    def lacks(x: str, y: str) -> Column:
-        each = [F.bit_count(F.get(f"{x}.m", F.lit(i)).bitwiseAND(F.bitwise_not(F.get(f"{y}.m", F.lit(i))))) for i in range(LEAST_BITS // 64)]
-        return reduce(Column.__add__, each)
-
-    bound = F.least(F.col("x.n") - lacks("x", "y"), F.col("y.n") - lacks("y", "x"))
+    x, y = F.col("x.m"), F.col("y.m")
+    bound = F.least(F.col("x.n") - _lacks(x, y), F.col("y.n") - _lacks(y, x))
     return _pairs(entries, outside, _fits(similarity) & _reaches(bound, F.col("x.n"), F.col("y.n"), similarity))
 
 

@@ -116,13 +116,18 @@ def train(texts: list[str], labels: list[str], seed: int = 11) -> Model:
     order = rng.permutation(len(texts))
     held = set(order[: len(texts) // 5].tolist()) if len(texts) >= 50 else set()
     y = np.array([languages.index(x) for x in labels])
-    bags = []
-    for t in texts:
-        data = np.frombuffer(t.encode("utf-8", "replace"), np.uint8)
-        ends = np.array([len(data)])
-        idx = np.concatenate([features(data, ends, n) for n in ORDERS]) if len(data) else np.zeros(0, np.int64)
+    # All bags lie in two arrays, which go back whole when training ends.
+    encoded = [t.encode("utf-8", "replace") for t in texts]
+    room = sum(min(len(ORDERS) * len(e), BUCKETS) for e in encoded)
+    buckets, shares, ends = np.empty(room, np.uint16 if BUCKETS <= 1 << 16 else np.uint32), np.empty(room, np.float32), [0]
+    for e in encoded:
+        data = np.frombuffer(e, np.uint8)
+        idx = np.concatenate([features(data, np.array([len(data)]), n) for n in ORDERS]) if len(data) else np.zeros(0, np.int64)
         found, n = np.unique(idx[idx < BUCKETS], return_counts=True)
-        bags.append((found, (n / max(1, n.sum())).astype(np.float32)))
+        at = slice(ends[-1], ends[-1] + len(found))
+        buckets[at], shares[at] = found, n / max(1, n.sum())
+        ends.append(at.stop)
+    del encoded
     embed = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     weight, bias = np.zeros((DIM, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     weight += rng.normal(0, 0.1, weight.shape)
@@ -131,7 +136,7 @@ def train(texts: list[str], labels: list[str], seed: int = 11) -> Model:
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
         for i in rng.permutation(fit).tolist():
-            idx, share = bags[i]
+            idx, share = buckets[ends[i] : ends[i + 1]], shares[ends[i] : ends[i + 1]]
             if not len(idx):
                 continue
             mean = np.einsum("i,ij->j", share, embed[idx])  # no threaded BLAS on the driver
@@ -144,6 +149,7 @@ def train(texts: list[str], labels: list[str], seed: int = 11) -> Model:
             bias -= 0.1 * rate * p
             # An embedding's share is small; its step is scaled by the bag's inverse mean share.
             embed[idx] -= rate * min(50.0, len(idx) / 8) * np.outer(share, back)
+    del buckets, shares
     table = np.vstack([embed, np.zeros((1, DIM), np.float32)])
     narrow = len(languages) <= DIM
     model = Model(languages, np.einsum("ij,jk->ik", table, weight) if narrow else table, None if narrow else weight, bias.astype(float))
