@@ -12,8 +12,12 @@ all templates together; one that could not be confirmed for any family, whatever
 left out before the sums, so nothing is lost by it. The tables of weights and of template bigrams are
 broadcast: their size is fixed by the templates.
 
+Wordings that no template holds are seldom found: with one template left out of training and comparison,
+24 of 56 are still named and 11 confirmed (the README has the figures).
+
 Defined cases: null or empty text has no paragraphs; repeated rows report each; equal probabilities go
-to the first family by name; very long lines are read whole; no rows give no rows.
+to the first family by name; very long lines are read whole; no rows give no
+rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -170,7 +174,7 @@ def _variations(text: str, rng: random.Random, n: int, licence: bool) -> list[st
 
 
 class Model:
-    """families (the last is unknown), features, weights (features x families), bias, temperature, least probability, cues."""
+    """families (the last is unknown), features, weights (features x families), bias, temperature, least probability."""
 
     def __init__(self) -> None:
         rng = random.Random(5)
@@ -222,18 +226,6 @@ class Model:
         self.accuracy = float((p.argmax(1) == truth).mean())
         right = p[np.arange(len(truth)), truth][(p.argmax(1) == truth) & (truth < len(self.families) - 1)]
         self.least = float(round(min(0.5, np.quantile(right, 0.01) * 0.9), 6))
-        plain = {g for v, k, _ in rows if k == len(self.families) - 1 for g in grams(v)}
-        licence = [set(grams(v)) for v, k, _ in rows if k < len(self.families) - 1]
-        self.cues: list[str] = []
-        while licence:  # greedy cover; words that plain sentences use come last
-            count: dict[str, int] = {}
-            for g in licence:
-                for word in g:
-                    if " " not in word and not word.isdigit():
-                        count[word] = count.get(word, 0) + (1 if word in plain else 1000) * (len(word) > 2)
-            best = max(sorted(count), key=count.get)
-            self.cues.append(best)
-            licence = [g for g in licence if best not in g]
 
 
 @cache
@@ -295,15 +287,14 @@ def scan_sql(table: str = "documents") -> str:
     weights = ",\n".join("(" + ",".join([q(g), *[repr(v) for v in row]]) + ")" for g, row in zip(m.features, m.weights.tolist()))
     known = ",\n".join(f"({q(f)},{q(g)})" for f, g in template_bigrams())
     names = [f"z{k}" for k in range(len(m.families))]
-    cue = "(?i)(^|[^\\p{L}\\p{N}])(" + "|".join(m.cues) + ")([^\\p{L}\\p{N}]|$)"
     sums = ", ".join(f"coalesce(sum({n}), 0) + {b!r} as {n}" for n, b in zip(names, m.bias.tolist()))
     unpivot = " union all ".join(f"select doc_id, row, paragraph, n_bi, {k} as k, {q(f)} as family, z{k} as z from s" for k, f in enumerate(m.families))
     return f"""
 with weights(g, {", ".join(names)}) as (values {weights}),
 known(f, g) as (values {known}),
-d as (select doc_id, row_number() over () as row, string_split(text, chr(10)) as ls from {table} where regexp_matches(text, {q(cue)})),
+d as (select doc_id, row_number() over () as row, string_split(text, chr(10)) as ls from {table}),
 l as (select doc_id, row, unnest(range(len(ls)))::bigint as paragraph, unnest(ls) as line from d),
-w as (select doc_id, row, paragraph, regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}]+') as w from l where regexp_matches(line, {q(cue)})),
+w as (select doc_id, row, paragraph, regexp_extract_all(lower(line), '[\\p{{L}}\\p{{N}}]+') as w from l),
 b as (select *, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as bi from w),
 e as (select doc_id, row, paragraph, len(bi) as n_bi, unnest(list_concat(list_distinct(w), bi)) as g from b),
 s as (select doc_id, row, paragraph, n_bi, {sums} from e left join weights using (g) group by all),

@@ -17,9 +17,6 @@ def _plain(text):
     for f, g in L.template_bigrams():
         known.setdefault(f, set()).add(g)
     for place, line in enumerate((text or "").split("\n")):
-        words = re.findall(r"[^\W_]+", line.lower())
-        if not any(w in m.cues for w in words):
-            continue
         grams = L.grams(line)
         at = [index[g] for g in grams if g in index]
         z = m.weights[at].sum(0) + m.bias
@@ -70,19 +67,11 @@ def test_the_plan_is_native(spark):
     assert not re.search("Python|Pandas|Arrow|ExistingRDD", plan)
 
 
-class _AnyWord:
-    def __contains__(self, word):
-        return True
-
-
-def test_every_line_is_scored(spark, monkeypatch):
+def test_every_line_is_scored(spark):
     line = "this list of conditions and the following disclaimer in the documentation"
-    assert not set(line.split()) & set(L.model().cues)
     texts = [t for family in L.TEMPLATES.values() for t in family]
     rows = [(i, textwrap.fill(t, width)) for width in (30, 50, 72) for i, t in enumerate(texts, 1000 * width)] + [(1, f"x\n{line}\ny")]
-    with monkeypatch.context() as changed:
-        changed.setattr(L.model(), "cues", _AnyWord())
-        want = sorted((str(i), p, f, s, r) for i, t in rows for p, f, s, r in _plain(t))
+    want = sorted((str(i), p, f, s, r) for i, t in rows for p, f, s, r in _plain(t))
     got = _scan(spark, rows)
     assert ("1", 1, "bsd") in [x[:3] for x in got]
     assert [x[:3] for x in got] == [x[:3] for x in want]
