@@ -99,3 +99,54 @@ def eligible(suite: DataFrame, ids: DataFrame) -> DataFrame:
     for e in every:
         stated = stated.unionByName(e)
     return stated.filter(~F.coalesce(F.array_contains("exclude_ids", F.col("item_key")), F.lit(False))).select("query_id", "item_key")
+
+
+def moved_children(children: DataFrame, groups: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``children`` (itemID, parentItem, ...) after a merge of ``groups`` (keeper, member): those of members belong to
+    the keeper, but for ``repeated`` (itemID), which it has already and which stay with the member."""
+    target = groups.filter("member <> keeper").select(F.col("member").alias("parentItem"), "keeper").distinct()
+    kept_back = repeated.select("itemID").distinct().withColumn("_stays", F.lit(True))
+    joined = children.join(target, "parentItem", "left").join(kept_back, "itemID", "left")
+    parent = F.when(F.col("keeper").isNotNull() & F.col("_stays").isNull(), F.col("keeper")).otherwise(F.col("parentItem"))
+    return joined.withColumn("parentItem", parent).select(*children.columns)
+
+
+def merge_preview(items: DataFrame, children: DataFrame, groups: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Of each keeper: duplicates, tags and collections that it gets (sorted), children that move, attachments that do not."""
+    none = F.array().cast("array<string>")
+    held = groups.join(items.select(F.col("item_key").alias("member"), F.coalesce("tags", none).alias("tags"), F.coalesce("collections", none).alias("collections")), "member")
+    own = lambda c: F.max(F.when(F.col("member") == F.col("keeper"), F.col(c)))
+    gained = lambda c: F.array_sort(F.array_except(F.array_remove(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("member") != F.col("keeper"), F.col(c))))), ""), F.coalesce(own(c), none)))
+    out = held.groupBy("keeper").agg(F.array_sort(F.collect_set(F.when(F.col("member") != F.col("keeper"), F.col("member")))).alias("duplicates"), gained("tags").alias("new_tags"), gained("collections").alias("new_collections"))
+    theirs = groups.filter("member <> keeper").join(children.select(F.col("parentItem").alias("member"), "itemID"), "member").join(repeated.select("itemID").distinct().withColumn("_r", F.lit(True)), "itemID", "left")
+    counts = theirs.groupBy("keeper").agg(F.count_if(F.col("_r").isNull()).alias("n_moved"), F.count_if(F.col("_r").isNotNull()).alias("n_skipped"))
+    return out.join(counts, "keeper", "left").fillna(0, ["n_moved", "n_skipped"])
+
+
+def update_labels(items: DataFrame, updates: DataFrame, column: str = "tags") -> DataFrame:
+    """``updates`` (item_key, set, add, remove: arrays, each may be null): what is set replaces, then additions and removals
+    apply; sorted. The version of a changed row rises."""
+    none = F.array().cast("array<string>")
+    given = updates.select("item_key", F.col("set").alias("_s"), F.coalesce("add", none).alias("_a"), F.coalesce("remove", none).alias("_r"), F.lit(True).alias("_hit"))
+    now = F.coalesce(F.col(column), none)
+    new = F.array_sort(F.array_except(F.array_union(F.coalesce("_s", now), F.col("_a")), F.col("_r")))
+    joined = items.join(given, "item_key", "left").withColumn("_new", F.when(F.col("_hit"), new).otherwise(F.col(column)))
+    changed = F.col("_hit").isNotNull() & (F.array_sort(now) != F.col("_new"))
+    joined = joined.withColumn("version", F.when(changed, F.col("version") + 1).otherwise(F.col("version"))).withColumn(column, F.col("_new"))
+    return joined.select(*items.columns)
+
+
+def parent_collections(wanted: DataFrame, collections: DataFrame) -> DataFrame:
+    """``wanted`` (id, parent) with parent_key: eight capitals and digits are a key, anything else a name, case aside; a name
+    that several have gives the smallest key, and one that none has null."""
+    named = collections.groupBy(F.lower("name").alias("_n")).agg(F.min("key").alias("_k"))
+    joined = wanted.join(named, F.lower(F.col("parent")) == F.col("_n"), "left")
+    return joined.select("id", "parent", F.when(F.col("parent").rlike("^[A-Z0-9]{8}$"), F.col("parent")).otherwise(F.col("_k")).alias("parent_key"))
+
+
+def model_name(settings: object) -> str | None:
+    """The first ``model_name`` or ``model`` anywhere in nested settings, depth first."""
+    if isinstance(settings, Mapping):
+        named = next((v for k in ("model_name", "model") if isinstance(v := settings.get(k), str) and v.strip()), None)
+        return named or next((m for v in settings.values() if (m := model_name(v))), None)
+    return next((m for v in settings if (m := model_name(v))), None) if isinstance(settings, (list, tuple)) else None

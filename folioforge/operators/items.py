@@ -286,3 +286,9 @@ def repeated_attachments(attachments: DataFrame, groups: DataFrame) -> DataFrame
     own = groups.select("keeper").distinct().join(signed.withColumnRenamed("parentItem", "keeper"), "keeper").select("keeper", *sign).distinct()
     theirs = groups.filter("member <> keeper").join(signed.withColumnRenamed("parentItem", "member"), "member")
     return theirs.join(own, ["keeper", *sign], "left_semi").select("keeper", "member", "itemID")
+
+
+def search_notes_and_annotations(t: Tables, query: str, limit: int | None = 20) -> DataFrame:
+    """type, key, text, parent_key, parent_title of the notes, then the annotations, that hold the query."""
+    notes = search_notes(t, query, limit).select(F.lit("note").alias("type"), "key", "text", "parent_key", "parent_title")
+    return notes.unionByName(search_annotations(t, query, limit).select(F.lit("annotation").alias("type"), "key", "text", "parent_key", "parent_title"))
