@@ -13,14 +13,16 @@ writes its arrays into the shared folder. Three passes over the texts:
 3. scores: every text, against the arrays, mapped read-only.
 
 Shards grow in number with the input, never in size; the driver holds a few numbers a shard. Order
-two is what the disk budget allows: pairs alone take about as much as the input.
+two is what the disk budget allows: pairs take twice the input, and there are half as many triples again (the
+README has the figures).
 
 p(w | h) = (c(hw) - D(c(hw))) / c(h) + (D1 n1 + D2 n2 + D3 n3+)(h) / c(h) * q(w), and q likewise over the
 numbers of first words, with what it discounts spread evenly over the vocabulary and one unknown
 word. D1..D3 come from the counts of counts. A text runs from a start mark to one end token.
 
 Defined cases: null text is empty and scores its end alone; a null id is hashed as empty text; without
-training rows everything is unknown and has probability 1; repeated rows train and score each.
+training rows everything is unknown and has probability 1; repeated rows train and score each; scores do
+not depend on order, so ties do not matter; extra columns are not read.
 """
 
 from __future__ import annotations

@@ -14,8 +14,8 @@ holds a matrix of bounded size, and results are cut to k a query before they are
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part; only vectors of
 equal dimension meet; ties go to the smaller id; repeated ids are candidates of their own, but none of a
-query's own id; a repeated query id asks once, with its smallest vector; empty vectors score 0 with each other. Components are floor(scale * x) as long;
-products must fit in 64 bits.
+query's own id; a repeated query id asks once, with its smallest vector; empty vectors score 0 with each other; no rows
+give no rows; extra columns are not read. Components are floor(scale * x) as long; products must fit in 64 bits.
 """
 
 from __future__ import annotations
