@@ -1,8 +1,8 @@
 """Persisted postings of two text columns, for BM25.
 
 Texts are tokenised once, in one pass that writes rows (t, item_key, ft, fd, l): a term, how often the
-title and the document hold it, and the length of both. Rows lie in PARTS folders by a hash of the
-term, and sorted by term in each file, so a query reads its terms' folders and their row groups only.
+title and the document hold it, and the length of both. Rows lie in folders by a hash of the term, as many
+as the documents ask for, and sorted by term in each file, so a query reads its terms' folders and their row groups only.
 A frequent term is dealt to several files. One row with an empty term stands for each document, and gives count and
 average length. An index is named by a digest of all records, so a change of any gives another one.
 """
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from ..functions.tokens import indexed_words
 from ..session import remove_at_exit, shared_folder
 
-PARTS, SALTS, FEW_TERMS = 32, 4, 1000
+#: Documents a folder, folders at least and at most (a power of two), files of a folder, terms that are named in the filter.
+PER_PART, LEAST_PARTS, MOST_PARTS, SALTS, FEW_TERMS = 4000, 4, 4096, 4, 1000
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,17 +41,24 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), keys.take(pa.array(rows, pa.int64())), pa.array(ft, pa.int32()), pa.array(fd, pa.int32()), pa.array(lengths, pa.int64())], names=["t", "item_key", "ft", "fd", "l"])
 
 
-def part_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
+def part_of(term: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
+
+
+def parts_for(documents: int) -> int:
+    parts = LEAST_PARTS
+    while parts < MOST_PARTS and parts * PER_PART < documents:
+        parts *= 2
+    return parts
 
 
 class Postings:
     """An index that lies in ``path``."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.parts = spark, path, int(path.rpartition("-p")[2])
         self.rows, self.counts = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/counts")
-        whole = self.rows.filter((F.col("part") == part_of(F.lit(""))) & (F.col("t") == "")).agg(F.count("*").alias("n"), F.avg("l").alias("l")).first()  # one row
+        whole = self.rows.filter((F.col("part") == part_of(F.lit(""), self.parts)) & (F.col("t") == "")).agg(F.count("*").alias("n"), F.avg("l").alias("l")).first()  # one row
         self.documents, self.average = whole["n"], whole["l"] or 1.0
 
     @classmethod
@@ -60,18 +68,18 @@ class Postings:
         records = docs.select("item_key", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("document", F.lit("")).alias("document"))
         h = F.xxhash64("item_key", "title", "document")
         d = records.agg(F.count("*").alias("n"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("x"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).alias("s"), F.coalesce(F.bit_xor(F.xxhash64(h, F.lit(7))), F.lit(0)).alias("y")).first()  # one row
-        path = f"{(folder or shared_folder(spark)).rstrip('/')}/postings-{d['n']}-{d['x'] & (1 << 64) - 1:016x}{d['y'] & (1 << 64) - 1:016x}-{int(d['s']) % (1 << 61):x}"
+        path = f"{(folder or shared_folder(spark)).rstrip('/')}/postings-{d['n']}-{d['x'] & (1 << 64) - 1:016x}{d['y'] & (1 << 64) - 1:016x}-{int(d['s']) % (1 << 61):x}-p{parts_for(d['n'])}"
         hadoop = spark._jvm.org.apache.hadoop.fs
         where = hadoop.Path(path)
         fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
         if not fs.exists(hadoop.Path(f"{path}/counts/_SUCCESS")):
-            made = f"{path}.{uuid.uuid4().hex[:8]}"
+            made, parts = f"{path}.{uuid.uuid4().hex[:8]}", parts_for(d["n"])
             kind = records.schema["item_key"].dataType.simpleString()
-            rows = records.mapInArrow(_counted, f"t string, item_key {kind}, ft int, fd int, l long").withColumn("part", part_of(F.col("t")))
-            dealt = rows.repartition(PARTS * SALTS, "part", F.pmod(F.xxhash64("item_key"), F.lit(SALTS))).sortWithinPartitions("part", "t")
+            rows = records.mapInArrow(_counted, f"t string, item_key {kind}, ft int, fd int, l long").withColumn("part", part_of(F.col("t"), parts))
+            dealt = rows.repartition(parts * SALTS, "part", F.pmod(F.xxhash64("item_key"), F.lit(SALTS))).sortWithinPartitions("part", "t")
             dealt.write.partitionBy("part").parquet(f"{made}/postings")
             counts = spark.read.parquet(f"{made}/postings").groupBy("part", "t").agg(F.count("*").alias("n"))
-            counts.repartition(PARTS, "part").sortWithinPartitions("t").write.partitionBy("part").parquet(f"{made}/counts")
+            counts.repartition(parts, "part").sortWithinPartitions("t").write.partitionBy("part").parquet(f"{made}/counts")
             if not fs.rename(hadoop.Path(made), where):  # another writer was first
                 fs.delete(hadoop.Path(made), True)
             if folder is None:
@@ -81,7 +89,7 @@ class Postings:
     def _of(self, rows: DataFrame, terms: list[str]) -> DataFrame:
         """The rows of a stated query set's terms, from their folders."""
         asked = self.spark.createDataFrame([(t,) for t in terms], "t string")
-        parts = [r["p"] for r in asked.select(part_of(F.col("t")).alias("p")).distinct().collect()]  # PARTS rows at most
+        parts = [r["p"] for r in asked.select(part_of(F.col("t"), self.parts).alias("p")).distinct().collect()]  # MOST_PARTS rows at most
         rows = rows.filter(F.col("part").isin(parts or [-1])).drop("part")
         return rows.filter(F.col("t").isin(terms)) if len(terms) <= FEW_TERMS else rows.join(F.broadcast(asked), "t", "left_semi")
 
