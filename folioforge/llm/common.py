@@ -125,6 +125,19 @@ def marked(rows: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
     return told.withColumn("_maybe", F.coalesce(F.getbit(F.get("_words", "_word"), "_bit") == 1, F.lit(False))).drop("_row", "_word", "_bit", "_words")
 
 
+#: Keys that hold more than this share of all rows are hot; there are fewer than its inverse.
+HOT_SHARE = 1000
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows``, ``total`` in number, with what ``groups`` says of their ``key``, null where it says nothing. ``groups`` has one
+    row a key, with the number of its rows in ``n``. Fewer than HOT_SHARE keys are hot: those are broadcast, so their rows
+    stay where they are; the other rows meet their key's by a shuffle."""
+    is_hot = F.col(n) * HOT_SHARE > F.lit(total)
+    hot, cold = F.broadcast(groups.filter(is_hot)), groups.filter(~is_hot)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key, "left"))
+
+
 # --------------------------------------------------------------------------- hashes of words
 
 _A = 0x9E3779B97F4A7C15

@@ -82,6 +82,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), cap=3.0).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dedup import exact_duplicates
+
+    return exact_duplicates(_table(spark, sf_dir, "documents")).drop("rid")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
@@ -93,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_html": op9_html,
     "op10_mixing": op10_mixing,
+    "op11_exact_dedup": op11_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -122,6 +129,11 @@ r(i, c) as (select doc_id, doc_id from s union select p.j, r.c from r join p on
 select s.doc_id, any_value(len(s.s))::bigint as n_shingles, min(r.c) as component_id from s join r on r.i = s.doc_id group by s.doc_id""",
 }
 
+ORACLE_SQL["op11_exact_dedup"] = r"""
+with d as (select doc_id, length(coalesce(text, '')) as points, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) as s from documents),
+g as (select *, first_value(doc_id) over (partition by s order by points desc, doc_id) as k, count(*) over (partition by s) as n from d)
+select doc_id, k as keep_id, n as group_size, doc_id = k as kept, s as text_sha256 from g"""
+
 
 def oracle_sql() -> dict[str, str]:
     from .license import scan_sql
