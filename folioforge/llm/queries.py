@@ -88,6 +88,20 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents")).drop("rid")
 
 
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .codes import compress
+
+    coded, _ = compress(_table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest, verified
+
+    found = verified(manifest(_table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_warc": op2_warc,
@@ -100,6 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html": op9_html,
     "op10_mixing": op10_mixing,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_codes": op12_codes,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -135,6 +151,58 @@ g as (select *, first_value(doc_id) over (partition by s order by points desc, d
 select doc_id, k as keep_id, n as group_size, doc_id = k as kept, s as text_sha256 from g"""
 
 
+
+def _codes_sql(rounds: int = 2) -> str:
+    """The rounds one after another, every part against every entry of its codebook."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} as materialized (select vec_id, p, any_value(x) as x, arg_min(e, (d, e)) as e, min(d) as d
+       from (select v.vec_id, v.p, v.x, c.e, list_sum(list_transform(list_zip(v.x, c.y), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from v join c{i} c using (p)) group by vec_id, p)""")
+        if i < rounds:
+            steps.append(f"""
+m{i} as (select p, e, list(floor(s::double / n)::bigint order by j) as y from (select p, e, j, sum(x[j]) as s, count(*) as n from a{i}, range(1, 65) r(j) where j <= len(x) group by p, e, j) group by p, e),
+c{i + 1} as materialized (select c.p, c.e, coalesce(m.y, c.y) as y from c{i} c left join m{i} m using (p, e))""")
+    return f"""
+with k as (select vec_id, label, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as w from embeddings
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+v as materialized (select vec_id, p, w[p * (len(w) // 16) + 1 : (p + 1) * (len(w) // 16)] as x from k, range(16) r(p)),
+f as (select vec_id, row_number() over (order by vec_id) - 1 as e from k order by vec_id limit 64),
+c0 as materialized (select p, e, x as y from v join f using (vec_id)),{",".join(steps)},
+h as (select sha256(string_agg(y[j]::varchar, ',' order by p, e, j)) as h from c{rounds}, range(1, 65) r(j) where j <= len(y)),
+g as (select vec_id, string_agg(printf('%02x', e), '' order by p) as code, sum(d)::bigint as error from a{rounds} group by vec_id)
+select g.vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, h as codebooks_sha256 from g join k using (vec_id), h"""
+
+
+ORACLE_SQL["op12_codes"] = _codes_sql()
+_FIELD = "case when {0} is null then '-' else octet_length(encode({0}::varchar))::varchar || ':' || {0}::varchar end"
+_LEAF = "sha256(concat(" + ", ".join(_FIELD.format(f) for f in ("doc_id", "source", "lang", "n_chars")) + ", {}))"
+ORACLE_SQL["op13_merkle"] = f"""
+with recursive crc as (select list_transform(range(256), lambda i: list_reduce(list_prepend(i::bigint, [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+            lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end)) as t),
+d as (select doc_id, '=' || lang as lang, {_LEAF.format(_FIELD.format("text"))} as leaf,
+             {_LEAF.format(_FIELD.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"))} as changed,
+             xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda ch: ascii(ch)::bigint)),
+                             lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295::bigint) % 3 = 0 as tampered from documents, crc),
+p as (select *, coalesce(lang, '-') as tree, row_number() over (partition by lang order by doc_id) - 1 as i, count(*) over (partition by lang) as n from d),
+t(lvl, tree, i, n, h) as (select 0, tree, i, n, leaf from p union all
+    select lvl + 1, tree, i // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' order by i)) from t where n > 1 group by lvl, tree, i // 8),
+top as (select tree, h, row_number() over (order by tree) - 1 as i, count(*) over () as n from t where n = 1),
+u(lvl, i, n, h) as (select 0, i, n, h from top union all
+    select lvl + 1, i // 8, (any_value(n) + 7) // 8, sha256(string_agg(h, '' order by i)) from u where n > 1 group by lvl, i // 8),
+x as (select lvl, tree, i, h, lvl as o from t where n > 1 union all select lvl, null, i, h, 1000 + lvl from u where n > 1),
+w as (select p.doc_id, p.tree, o, pow(8, x.lvl)::bigint as width, case when x.tree is null then top.i else p.i end as i
+      from p join top using (tree) join (select distinct lvl, tree, o from x) x on x.tree = p.tree or x.tree is null),
+s as (select w.doc_id, w.o, coalesce(string_agg(x.h, '' order by x.i) filter (x.i < w.i // width), '') as l,
+             coalesce(string_agg(x.h, '' order by x.i) filter (x.i > w.i // width), '') as r
+      from w join x on x.o = w.o and (x.tree = w.tree or x.tree is null) and x.i // 8 = w.i // width // 8 group by w.doc_id, w.o),
+g as (select doc_id, list(l || '|' || r order by o) as steps, string_agg(l || r, '' order by o) as proof from s group by doc_id),
+f as (select p.doc_id, leaf, top.h as subroot, u.h as root, sha256(coalesce(proof, '')) as proof_sha256,
+             list_reduce(list_prepend(case when tampered then changed else leaf end, coalesce(steps, [])), lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) as folded_root
+      from p join top using (tree) join u on u.n = 1 left join g on g.doc_id = p.doc_id)
+select *, folded_root = root as verified from f"""
+
+
 def oracle_sql() -> dict[str, str]:
     from .license import scan_sql
 
