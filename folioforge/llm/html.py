@@ -2,19 +2,21 @@
 
 A page is split into text blocks; a logistic classifier over each block's text, neighbours, place and
 surroundings gives the costs of calling it content or boilerplate, which become capacities to the two
-terminals. The names of classes are graded hints (the share of telling words in a name, those that
-often mislead apart), not verdicts. Blocks that follow each other, and blocks under one parent, are tied by
+terminals. The names of classes are graded hints (the share of telling words in each name of a list, of any length, those
+that often mislead apart), not verdicts. Blocks that follow each other, and blocks under one parent, are tied by
 smoothness edges that weaken with their distance in the tree. The minimum cut is the labelling of
 least total cost; blocks whose own costs outweigh all their ties are settled first (any minimum cut
 agrees with that), and the rest goes through max-flow. The classifier is trained here, on labelled
 pages that ``training_page`` makes, some with misleading names, by Newton's method.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are
-trimmed and joined in page order by a line feed. Nothing else is dropped or cut.
+trimmed and joined in page order by a line feed. Scripts, styles, titles, text areas and frames are left out;
+formulas are text like any other, and so are hidden parts and templates inside an article (elsewhere that they
+are hidden is a hint). Nothing else is dropped or cut.
 
 Defined cases: null html is empty; a page without markup is one block of text; unclosed, stray and
 misnested tags, unclosed comments and unclosed scripts are read as browsers would, roughly; nesting
-of any depth; of labellings of equal cost that with fewer content blocks is taken; repeated rows are rows
+of any depth, names and texts of any length, read whole; of labellings of equal cost that with fewer content blocks is taken; repeated rows are rows
 of their own; no rows give no rows; extra columns are not read.
 """
 
@@ -26,7 +28,7 @@ import re
 from collections import deque
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 from html import unescape
 
 import numpy as np
@@ -39,7 +41,7 @@ from .common import pick, sliced
 # Element names of HTML and words that name parts of pages.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td template tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 OUTSIDE = frozenset("nav footer aside form button select dialog menu head".split())
 INSIDE = frozenset("article main".split())
@@ -49,6 +51,7 @@ STRONG_WORDS = frozenset("ad ads adv advert adverts advertisement advertising br
 WEAK_WORDS = frozenset("banner disclaimer foot header notice notices notification overlay promo promoted promotion recommended related replies respond share sharing skip social tags widget widgets".split())
 INSIDE_WORDS = frozenset("article body content entry main post story text".split())
 NEUTRAL_WORDS = frozenset("area article bar block body bottom box col column container content entry global group inner item items left list main outer page panel post reader right row section site text top unit user wrap wrapper".split())
+HIDDEN = 0.5  # the share of telling words that being hidden amounts to
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 FENCES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
 
@@ -82,22 +85,30 @@ class _Open:
     depth: int
     hints: tuple[bool, bool, float, float, bool]
     link: bool
-    gone: bool
 
 
-@cache
-def _name_hints(value: str) -> tuple[float, float, bool]:
-    """Shares of strong and of weak words in a class or id, and whether it names content."""
-    words = {w.lower() for w in _PART.findall(value)}
+@lru_cache(1 << 16)
+def _token_hints(token: str) -> tuple[float, float, bool]:
+    """Shares of strong and of weak words in one class or id, and whether it names content."""
+    words = {w.lower() for w in _PART.findall(token)}
     telling = words - NEUTRAL_WORDS
     n = max(1, len(telling))
-    strong, weak = len(telling & STRONG_WORDS) / n, len(telling & WEAK_WORDS) / n
-    return (strong + weak, 0.0, False) if strong else (0.0, weak, not weak and bool(words & INSIDE_WORDS))
+    return len(telling & STRONG_WORDS) / n, len(telling & WEAK_WORDS) / n, bool(words & INSIDE_WORDS)
 
 
-def _attributes(name: str, raw: str, parent: _Open) -> tuple[tuple[bool, bool, float, float, bool], bool]:
-    """(hints, gone) of an element, with what it inherits."""
-    (outside, inside, strong, weak, named), gone = parent.hints, parent.gone
+def _name_hints(value: str) -> tuple[float, float, bool]:
+    """Of a list of names, of any length: each is judged by itself, and the most telling counts."""
+    strong, weak, content = 0.0, 0.0, False
+    for token in value.split():
+        s, w, c = _token_hints(token) if len(token) <= 64 else _token_hints.__wrapped__(token)  # long ones are not remembered
+        strong, weak, content = max(strong, s and s + w), max(weak, w), content or c
+    return (strong, 0.0, False) if strong else (0.0, weak, content and not weak)
+
+
+def _attributes(name: str, raw: str, parent: _Open) -> tuple[bool, bool, float, float, bool]:
+    """The hints of an element, with what it inherits."""
+    outside, inside, strong, weak, named = parent.hints
+    hidden = name in ("noscript", "template")
     if name in OUTSIDE or (name == "header" and not inside):
         outside = True
     elif name in INSIDE:
@@ -112,21 +123,23 @@ def _attributes(name: str, raw: str, parent: _Open) -> tuple[tuple[bool, bool, f
                 inside |= value.lower() in INSIDE_ROLES
             elif key == "style":
                 flat = value.replace(" ", "").lower()
-                gone |= "display:none" in flat or "visibility:hidden" in flat
+                hidden |= "display:none" in flat or "visibility:hidden" in flat
             elif key == "hidden":
-                gone = True
+                hidden = True
             elif key == "aria-hidden":
-                gone |= value.lower() == "true"
+                hidden |= value.lower() == "true"
             elif name not in ("html", "body"):
-                s, w, content = _name_hints(value) if len(value) <= 200 else (0.0, 0.0, False)
+                s, w, content = _name_hints(value)
                 strong, weak, named = max(strong, s), max(weak, w), named or content
-    return (outside, inside, strong, weak, named), gone
+    if hidden and not (inside or named):  # a hint outside the article, none within
+        strong = max(strong, HIDDEN)
+    return outside, inside, strong, weak, named
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
-    root = _Open("", (None, 0), 0, (False, False, 0.0, 0.0, False), False, False)
-    stack, found, number = [root], [], 0
+    root = _Open("", (None, 0), 0, (False, False, 0.0, 0.0, False), False)
+    stack, found, number, paragraphs = [root], [], 0, 0
     pieces: list[str] = []
     linked = 0
 
@@ -144,16 +157,21 @@ def blocks(page: str) -> list[Block]:
                 found.append(Block(text, min(linked, len(text)), holder.node, holder.depth, holder.name, *holder.hints))
         linked = 0
 
+    def leave(i: int) -> None:
+        """Close the open elements from number ``i`` on."""
+        nonlocal paragraphs
+        paragraphs -= sum(x.name == "p" for x in stack[i:])
+        del stack[i:]
+
     at, end = 0, len(page)
     search = _TAG.search
     while at < end:
         m = search(page, at)
         if m is None:
-            if not stack[-1].gone:
-                pieces.append(page[at:])
+            pieces.append(page[at:])
             break
         top = stack[-1]
-        if m.start() > at and not top.gone:
+        if m.start() > at:
             piece = page[at : m.start()]
             pieces.append(piece)
             if top.link:
@@ -175,29 +193,28 @@ def blocks(page: str) -> list[Block]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == name:
                     if name in BLOCKS or all(x.name not in BLOCKS for x in stack[i:]):
-                        del stack[i:]
+                        leave(i)
                     break
             continue
         if name in RAW:
-            if name in BLOCKS:
+            if name in BLOCKS and not (name == "title" and any(x.name == "svg" for x in stack)):  # a drawing's title ends no text
                 flush()
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(page, at)
-            if not (m[3] or m[6] or "").endswith("/") or name not in ("svg", "math"):
-                at = end if close is None else close.end()
+            at = end if close is None else close.end()
             continue
         if name in BLOCKS:
             flush()
-            if any(x.name == "p" for x in stack[-8:]) and name not in ("button", "option", "summary"):
+            if paragraphs and name not in ("button", "option", "summary"):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].name == "p":
-                        del stack[i:]
+                        leave(i)
                         break
                     if stack[i].name in ("button", "td", "th", "table", "caption"):
                         break
             if name in CLOSES:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].name in CLOSES[name]:
-                        del stack[i:]
+                        leave(i)
                         if name != "tr":
                             break
                     elif stack[i].name in FENCES[name]:
@@ -208,8 +225,10 @@ def blocks(page: str) -> list[Block]:
         if name in VOID:
             continue
         parent, number = stack[-1], number + 1
-        hints, gone = _attributes(name, m[3] or m[6] or "", parent)
-        stack.append(_Open(name, (parent.node, number), parent.depth + 1, hints, parent.link or name == "a", gone))
+        if (given := m[3] or m[6] or "").endswith("/") and name in ("svg", "math"):
+            continue  # these close themselves
+        paragraphs += name == "p"
+        stack.append(_Open(name, (parent.node, number), parent.depth + 1, _attributes(name, given, parent), parent.link or name == "a"))
     flush()
     return found
 
@@ -325,9 +344,7 @@ def ties(found: list[Block]) -> list[tuple[int, int, float]]:
     for i, b in enumerate(found):
         parent = b.node[0][1] if b.node[0] else 0
         if i:
-            apart = _distance(found[i - 1], b)
-            if apart <= 16:
-                out.append((i - 1, i, NEAR / (1 + apart)))
+            out.append((i - 1, i, NEAR / (1 + _distance(found[i - 1], b))))
         if parent in last:
             out.append((last[parent], i, KIN / (i - last[parent])))
         last[parent] = i

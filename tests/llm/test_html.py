@@ -111,3 +111,31 @@ def test_the_cut_flips_what_neighbours_contradict():
     page = "<div>" + long * 3 + "<div class='widget'><p>See the table for the numbers of the last year.</p></div>" + long * 3 + "</div>"
     found, own, keep = _labels(page)
     assert keep == [True] * 7
+
+
+def test_names_of_any_length_give_hints():
+    body = "<article><p>Real text stands here, in a sentence.</p><p>And here is more of it.</p></article>"
+    for size in (0, 210, 5000, 100_000):
+        name = "nav menu" + "".join(f" u{i}-px{i}" for i in range(size // 9))
+        page = f'<body><div class="{name}"><p>Short notice of ours. Read it.</p></div>{body}</body>'
+        assert html.main_text(page) == "Real text stands here, in a sentence.\nAnd here is more of it.", size
+        page = f'<body><nav>Home</nav><article><div class="{name.replace("nav menu", "grid cols")}"><p>Real text stands here, in a sentence.</p></div></article></body>'
+        assert html.main_text(page) == "Real text stands here, in a sentence.", size
+
+
+def test_paragraphs_close_under_any_nesting():
+    for depth in (1, 7, 8, 20, 500):
+        page = "<article><p>" + "<b>" * depth + "First of the texts, in a sentence.<p>Second of the texts, in a sentence.</article>"
+        found = html.blocks(page)
+        assert [(b.text[:6], b.depth) for b in found] == [("First ", 2), ("Second", 2)], depth
+    far = "<article>" + "<div>" * 40 + "<p>One side of it, in a sentence.</p>" + "</div>" * 40 + "<div>" * 40 + "<p>The other side of it, in a sentence.</p>" + "</div>" * 40 + "</article>"
+    assert len(html.ties(html.blocks(far))) == 1
+
+
+def test_formulas_and_hidden_parts_of_an_article_stay():
+    page = "<body><nav>Home</nav><article><p>We know that <math><mi>x</mi> <mo>&lt;</mo> <mn>3</mn></math> holds for all values.</p>{}<p>And here is more of it.</p></article></body>"
+    lines = "We know that x < 3 holds for all values.\n{}And here is more of it."
+    for part in ('<div style="display:none"><p>Answers are kept folded here, as usual.</p></div>', "<p hidden>Answers are kept folded here, as usual.</p>", "<noscript><p>Answers are kept folded here, as usual.</p></noscript>", "<template><p>Answers are kept folded here, as usual.</p></template>", '<p aria-hidden="true">Answers are kept folded here, as usual.</p>'):
+        assert html.main_text(page.format(part)) == lines.format("Answers are kept folded here, as usual.\n"), part
+    drawn = '<p>As the figure shows <svg viewBox="0 0 1 1"><title>t</title><path d="M0 0"/><text>axis</text></svg> it grows.</p>'
+    assert html.main_text(page.format(drawn)) == lines.format("As the figure shows axis it grows.\n")
