@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, CalendarIntervalType, DataType, MapType, StructType, VariantType
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,6 +33,21 @@ def place_of(df: DataFrame, name: str) -> int | None:
     return lower.index(name.lower()) if name.lower() in lower else None
 
 
+def comparable(df: DataFrame, columns: list[str]) -> list[Column]:
+    """``columns`` of ``df`` as values that can be ordered: what holds a map, or has no order of its own, as JSON."""
+
+    def ordered(kind: DataType) -> bool:
+        if isinstance(kind, ArrayType):
+            return ordered(kind.elementType)
+        if isinstance(kind, StructType):
+            return all(ordered(f.dataType) for f in kind)
+        return not isinstance(kind, (MapType, VariantType, CalendarIntervalType))
+
+    kinds = {f.name: f.dataType for f in df.schema}
+    told = lambda c: F.col(c) if ordered(kinds[c]) else F.to_json(F.struct(F.col(c)))
+    return [told(c).alias(f"_k{i}") for i, c in enumerate(columns)]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

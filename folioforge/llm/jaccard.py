@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free, marked, mix, pick, place_of, runs, sliced, slim, words, written
+from .common import comparable, free, marked, mix, pick, place_of, runs, sliced, slim, words, written
 
 #: Shingles that order lists as frequent, at most; repeats within a block that count; shingles a block.
 FREQUENT, REPEATS, BLOCK = 1 << 18, 2, 1_000_000
@@ -504,5 +504,5 @@ def one_of_each(docs: DataFrame, k: int = 5, similarity: tuple[int, int] = (80,
     # Rows that are there several times meet by their key, any other row by itself.
     rest = told.filter("_maybe").join(odd, "key", "left").filter("stays is null or stays")
     own = F.when(F.col("stays").isNull(), F.monotonically_increasing_id())
-    single = rest.withColumn("own", own).groupBy(F.when(F.col("own").isNull(), F.col("key")).alias("k"), "own").agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
+    single = rest.withColumn("own", own).groupBy(F.when(F.col("own").isNull(), F.col("key")).alias("k"), "own").agg(F.min_by(F.struct(*columns), F.struct(*comparable(flat, columns))).alias("row")).select("row.*")
     return told.filter("not _maybe").select(*columns).unionByName(single).toDF(*names)

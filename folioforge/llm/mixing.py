@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, mix_int, pick, place_of, written
+from .common import comparable, WORD, mix_int, pick, place_of, written
 
 #: Rows of a leaf group, and open rows that meet in a group of each further level.
 LEAF, FAN = 4096, 256
@@ -171,10 +171,12 @@ def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap:
     joined = flat.withColumn("rid", _row_hash(*at)).join(plan, "rid")
     one = joined.filter("n = 1").withColumn("times", F.col("copies"))
     # Rows that agree in id, source and text: first those that agree in all, then their places among the others.
-    equal = joined.filter("n > 1").groupBy("rid", "n", "copies", *columns).agg(F.count("*").alias("m"))
-    before = Window.partitionBy("rid").orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
+    order = F.struct(*comparable(flat, columns)).alias("_order")
+    equal = joined.filter("n > 1").select("rid", "n", "copies", F.struct(*columns).alias("_row"), order)
+    equal = equal.groupBy("rid", "n", "copies", "_order").agg(F.any_value("_row").alias("_row"), F.count("*").alias("m"))
+    before = Window.partitionBy("rid").orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
     equal = equal.withColumn("first", F.coalesce(F.sum("m").over(before), F.lit(0)))
     extra = F.greatest(F.lit(0), F.least(F.col("m"), F.col("copies") % F.col("n") - F.col("first")))
     equal = equal.withColumn("times", F.col("m") * F.floor(F.col("copies") / F.col("n")) + extra)
-    taken = one.select("rid", "times", *columns).unionByName(equal.select("rid", "times", *columns))
+    taken = one.select("rid", "times", *columns).unionByName(equal.select("rid", "times", "_row.*"))
     return _each(taken, "times", "_k").select(*columns).toDF(*docs.columns)

@@ -43,6 +43,22 @@ def test_stages_take_effect(spark):
     assert max(filled.values()) <= SEQUENCE
 
 
+def test_stages_on_columns_of_any_type_and_name(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, label map<string,int>, rid array<map<string,int>>, n int, k struct<m:map<int,int>>"
+    text = {"en": "the quick brown fox jumps over the lazy dog and runs into the dark wood where nobody lives", "fr": "le chat dort sur la table de la cuisine pendant que la pluie tombe sur les toits de la ville"}
+    rows = [(i, text[lang] + f" {i // 4} {i // 4}", lang, "s" if i % 3 else None, 9, "x", {"a": i}, [{"b": 1}], 2, ({1: 2},)) for i in range(24) for lang in ["en" if i < 12 else "fr"]]
+    rows += [rows[0], rows[0], (0, rows[0][1], "en", None, 9, "y", {"a": 0}, None, 3, None), (90, None, None, None, None, None, None, None, None, None), (91, "", "en", "s", 0, "x", {}, [], 0, ({},))]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in C.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.dtypes == spark.createDataFrame([], schema).dtypes, name
+        docs = spark.createDataFrame(docs.collect(), schema)
+    kept = docs.collect()
+    assert {r.doc_id for r in kept} <= {i for i in range(24)} | {91}
+    assert len({tuple(sorted(r.label.items())) for r in kept if r.doc_id == 0}) <= 1  # one of the repeated rows
+    assert C.STAGES[-1][1](spark, docs, SF).filter("start = 0").count() == len(kept)
+
+
 def test_run_and_empty_tables(spark, tmp_path):
     assert C.run(spark, SF).count() > 0
     docs = spark.read.parquet(f"{SF}/documents.parquet")
