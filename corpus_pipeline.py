@@ -18,22 +18,39 @@ from folioforge.llm.packing import added_tokens, pack
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model does not reject."""
+    """Documents whose language the model does not reject.
+
+    It learns from the labelled ones among ``docs``. Null text, or text without a letter, goes, and so does all where no row
+    is labelled; repeated rows all stay or all go; an empty table stays empty; other columns, of any type and name, are
+    carried along.
+    """
     return accepted(docs)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents that five-word shingles link at 0.8, the one with the smallest id."""
+    """Of the documents that five-word shingles link at 0.8, the one with the smallest id.
+
+    Null text counts as empty, and documents without words all stay; null is the largest id; of rows of one id and text the
+    smallest stays, compared by all columns, those without an order of their own as JSON; other columns are carried along.
+    """
     return one_of_each(docs, k=5, similarity=(80, 100))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them: weights 5, 2, 1 by source, at most three times a source's size.
+
+    A null source is one of its own, the last; null text has size 0; of a source without words nothing is taken; equal
+    rows share their copies; an empty table stays empty; other columns are carried along.
+    """
     return mixed_documents(docs, weights=(5, 2, 1), cap=3.0)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 2048 tokens."""
+    """Pieces of sequences of at most 2048 tokens.
+
+    Null text is empty and gives the one id that ends a document; repeated rows are documents of their own; very long texts
+    are cut into pieces; an empty table gives no rows; other columns are not read.
+    """
     import public_tokenizers
 
     added = added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
