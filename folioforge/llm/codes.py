@@ -32,7 +32,7 @@ from .common import pick, sliced, with_groups, written
 
 PARTS, ENTRIES, SCALE, ROUNDS = 16, 64, 256, 2
 #: Entries a leaf of a kd-tree has at most; rows that walk down together; bytes that all codebooks may take.
-LEAF, TOGETHER, CODEBOOK_BYTES = 4, 4096, 64 << 20
+LEAF, TOGETHER, CODEBOOK_BYTES = 8, 4096, 64 << 20
 WIDEST = 1 << 26
 
 
@@ -60,32 +60,36 @@ class KdTree:
         best = np.full(len(points), np.iinfo(np.int64).max)
         index = np.full(len(points), len(self.entries))
         if len(points):
-            self._visit(self.top, points, np.arange(len(points)), best, index)
+            self._visit(self.top, np.ascontiguousarray(points.T), np.arange(len(points)), best, index)
         return index, best
 
     @staticmethod
     def _bound(node: tuple, points: np.ndarray) -> np.ndarray:
-        """Squared distance to the node's box."""
-        off = np.maximum(node[0] - points, 0) + np.maximum(points - node[1], 0)
-        return (off * off).sum(1)
+        """Squared distance of each column to the node's box."""
+        off = np.maximum(node[0][:, None] - points, 0)
+        off += np.maximum(points - node[1][:, None], 0)
+        off *= off
+        return off.sum(0)
 
     def _visit(self, node: tuple, points: np.ndarray, rows: np.ndarray, best: np.ndarray, index: np.ndarray) -> None:
-        """``rows`` of ``points`` walk below ``node``: each first to the child whose box is nearer, then to the
+        """``points``, the columns of ``rows``, walk below ``node``: each first to the child whose box is nearer, then to the
         other, unless its bound exceeds the best distance by then."""
         if node[3] is None:
-            for entry in node[2]:
-                off = points[rows] - self.entries[entry]
-                distance = (off * off).sum(1)
-                better = (distance < best[rows]) | ((distance == best[rows]) & (entry < index[rows]))
-                best[rows[better]], index[rows[better]] = distance[better], entry
+            off = points[:, None, :] - self.entries[node[2]].T[:, :, None]
+            off *= off
+            each = off.sum(0)
+            at = each.argmin(0)  # the first of equals
+            distance, entry = each[at, np.arange(len(rows))], node[2][at]
+            better = (distance < best[rows]) | ((distance == best[rows]) & (entry < index[rows]))
+            best[rows[better]], index[rows[better]] = distance[better], entry[better]
             return
-        bounds = [self._bound(child, points[rows]) for child in node[3]]
+        bounds = [self._bound(child, points) for child in node[3]]
         second = bounds[1] < bounds[0]
         for near in (True, False):
             for child, bound, first in zip(node[3], bounds, (~second, second)):
-                go = (first if near else ~first) & (bound <= best[rows])
-                if go.any():
-                    self._visit(child, points, rows[go], best, index)
+                go = np.flatnonzero((first if near else ~first) & (bound <= best[rows]))
+                if len(go):
+                    self._visit(child, points[:, go], rows[go], best, index)
 
 
 # --------------------------------------------------------------------------- codebooks
@@ -148,8 +152,10 @@ def _summing(books: Codebooks, scale: int):
                     at += width
                     nearest, _ = tree.nearest(piece)
                     sums, n = held.setdefault((dim, part), (np.zeros_like(tree.entries), np.zeros(len(tree.entries), np.int64)))
-                    np.add.at(sums, nearest, piece)
-                    n += np.bincount(nearest, minlength=len(n))
+                    order = np.argsort(nearest, kind="stable")
+                    used, begin = np.unique(nearest[order], return_index=True)
+                    sums[used] += np.add.reduceat(piece[order], begin, axis=0)
+                    n[used] += np.diff(np.append(begin, len(order)))
         rows = [(d, p, e, sums[e].tolist(), int(n[e])) for (d, p), (sums, n) in held.items() for e in np.flatnonzero(n)]
         if rows:
             kinds = pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64()
