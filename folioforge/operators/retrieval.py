@@ -22,7 +22,8 @@ from pyspark.sql.types import ArrayType
 from ..functions.text import normalized_doi, normalized_title
 from ..functions.tokens import tokens, without_marks, words
 from ..functions.vectors import doubles
-from ..sources.postings import Postings
+from ..sources.postings import Postings, Segments
+from ..sources.vectors import VectorIndex
 
 MAX_QUERIES = 1000
 METRICS = ("l2", "cosine", "ip")
@@ -88,10 +89,10 @@ def _rounded(found: DataFrame, digits: int = 6) -> DataFrame:
     return found.select("query_id", "item_key", (F.round("exact", digits) + F.lit(0.0)).alias("score"), "rank")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, title_weight: float = 3.0, eligible: DataFrame | None = None, postings: Postings | None = None, k: int | None = None) -> DataFrame:
+def bm25(docs: DataFrame | None, queries: DataFrame, title_weight: float = 3.0, eligible: DataFrame | None = None, postings: Postings | Segments | None = None, k: int | None = None) -> DataFrame:
     """query_id, item_key, score, exact; ``docs`` has item_key, title, document, ``queries`` has query_id,
     text, a stated set. Any query token matches. ``eligible`` (item_key) filters before any limit, not the
-    statistics. Postings of the queries' terms are dealt by item, so each item is scored in one place for all
+    statistics. With ``postings``, a kept index, ``docs`` are not read. Postings of the queries' terms are dealt by item, so each item is scored in one place for all
     queries, in the order of terms; with ``k``, only rows that can be among a query's k best leave it."""
     held = postings or Postings.of(docs)
     wanted: dict[str, set[int]] = {}
@@ -104,7 +105,7 @@ def bm25(docs: DataFrame, queries: DataFrame, title_weight: float = 3.0, eligibl
     terms = sorted(found)
     ratio = {t: math.log((held.documents - n + 0.5) / (n + 0.5)) for t, n in found.items()}
     told = [(t, i, ratio[t] if ratio[t] > 0 else FLOOR) for i, t in enumerate(terms)]
-    weights = F.broadcast(docs.sparkSession.createDataFrame(told, "t string, term int, idf double"))
+    weights = F.broadcast(queries.sparkSession.createDataFrame(told, "t string, term int, idf double"))
     tf = held.of_terms(terms).withColumn("f", F.col("ft") * F.lit(float(title_weight)) + F.col("fd"))
     if eligible is not None:
         tf = tf.join(eligible.select("item_key").distinct(), "item_key", "left_semi")
@@ -158,7 +159,7 @@ def _summed(ids: list, asked: list[list[int]], k: int | None, rows: int = 20_000
     return run
 
 
-def lexical_topk(docs: DataFrame, queries: DataFrame, k: int = 10, title_weight: float = 3.0, eligible: DataFrame | None = None, postings: Postings | None = None) -> DataFrame:
+def lexical_topk(docs: DataFrame | None, queries: DataFrame, k: int = 10, title_weight: float = 3.0, eligible: DataFrame | None = None, postings: Postings | Segments | None = None) -> DataFrame:
     return ranked(bm25(docs, queries, title_weight, eligible, postings, k), k).select("query_id", "item_key", "score", "rank")
 
 
@@ -224,14 +225,25 @@ def collapse(results: DataFrame, limit: int) -> DataFrame:
     return out.filter(F.col("rank") <= limit).drop("first")
 
 
-def hybrid_search(docs: DataFrame, index: DataFrame, queries: DataFrame, vectors: DataFrame, limit: int = 10, depth: int = 100, w_dense: float = 1.0, w_lexical: float = 0.5, k: int = 60, use_gate: bool = True, policy: str = "keep", do_collapse: bool = True, title_weight: float = 3.0, where: Column | None = None) -> DataFrame:
+def hybrid_search(docs: DataFrame | None, index: DataFrame, queries: DataFrame, vectors: DataFrame, limit: int = 10, depth: int = 100, w_dense: float = 1.0, w_lexical: float = 0.5, k: int = 60, use_gate: bool = True, policy: str = "keep", do_collapse: bool = True, title_weight: float = 3.0, where: Column | None = None, postings: Segments | None = None) -> DataFrame:
     """query_id, rank, item_key, aliases. ``docs`` has item_key, title, doi, document; ``index`` has
-    item_key, embedding; ``queries`` has query_id, text. ``where`` filters ``index`` in both branches."""
+    item_key, embedding; ``queries`` has query_id, text. ``where`` filters ``index`` in both branches. With
+    ``postings``, a kept index, documents are not read: it has their words and titles."""
     eligible = index.filter(where).select("item_key") if where is not None else None
     dense = dense_topk(index, vectors, depth, "l2", where)
-    lexical = lexical_topk(docs, queries, depth, title_weight, eligible)
+    lexical = lexical_topk(docs, queries, depth, title_weight, eligible, postings)
     fused = fuse(dense, lexical, w_dense, w_lexical, k)
-    rows = docs.select("item_key", "title", "doi").join(F.broadcast(fused), "item_key")  # the queries times a depth
+    titles = postings.titles() if postings else docs.select("item_key", "title", "doi")
+    rows = titles.join(F.broadcast(fused), "item_key")  # the queries times a depth
+    return select_results(_gated(rows, queries, k, 3, 0.8) if use_gate else rows, limit, policy, do_collapse)
+
+
+def hybrid_over(lexicon: Segments, vectors: VectorIndex, queries: DataFrame, asked: DataFrame, limit: int = 10, depth: int = 100, w_dense: float = 1.0, w_lexical: float = 0.5, k: int = 60, use_gate: bool = True, policy: str = "keep", do_collapse: bool = True, title_weight: float = 3.0, exact: bool = False, probes: int | None = None) -> DataFrame:
+    """``hybrid_search`` over kept indexes: query_id, rank, item_key, aliases of ``queries`` (query_id, text) and ``asked``
+    (query_id, qv). Neither documents nor all vectors are read: postings of the queries' terms, lists near their
+    vectors, and titles of what is fused."""
+    fused = fuse(vectors.search(asked, depth, probes, exact), lexical_topk(None, queries, depth, title_weight, postings=lexicon), w_dense, w_lexical, k)
+    rows = lexicon.titles().join(F.broadcast(fused), "item_key")  # the queries times a depth
     return select_results(_gated(rows, queries, k, 3, 0.8) if use_gate else rows, limit, policy, do_collapse)
 
 

@@ -8,62 +8,24 @@ done, nor a moment without any. Paths go through the cluster's file system.
 
 from __future__ import annotations
 
-import json
 import uuid
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles, is_valid
 from ..operators.library import content_digest, insert_only, upsert, without
+from .manifests import Conflict, Manifests
 
+__all__ = ["Conflict", "IndexStore"]
 
-class Conflict(RuntimeError):
-    """Another writer has published the next version."""
 
-
-class IndexStore:
+class IndexStore(Manifests):
     """``folder`` holds versions' folders and MANIFEST-1, MANIFEST-2, ..."""
 
     def __init__(self, spark: SparkSession, folder: str, dimension: int, model: str) -> None:
-        self.spark, self.folder, self.dimension, self.model = spark, folder.rstrip("/"), dimension, model
-
-    def _path(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def _seal(self, version: int, text: str) -> None:
-        """By a temporary name and a rename that does not overwrite."""
-        fs, temp = self._path(f".{uuid.uuid4().hex}")
-        out = fs.create(temp, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-        _, final = self._path(f"MANIFEST-{version}")
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(temp.toUri() if temp.toUri().getScheme() else fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        no_options = self.spark._sc._gateway.new_array(getattr(self.spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
-        try:
-            context.rename(temp, final, no_options)
-        except Py4JJavaError as e:
-            fs.delete(temp, False)
-            if "FileAlreadyExists" in str(e.java_exception):
-                raise Conflict(f"version {version} is published already") from None
-            raise
-
-    def version(self) -> int:
-        """The greatest sealed version, 0 if there is none."""
-        fs, folder = self._path("")
-        if not fs.exists(folder):
-            return 0
-        names = [f.getPath().getName() for f in fs.listStatus(folder)]
-        return max((int(n.removeprefix("MANIFEST-")) for n in names if n.startswith("MANIFEST-")), default=0)
-
-    def manifest(self, version: int | None = None) -> dict:
-        version = version or self.version()
-        fs, path = self._path(f"MANIFEST-{version}")
-        if not version or not fs.exists(path):
-            raise FileNotFoundError("no such version")
-        return json.loads("\n".join(r["value"] for r in self.spark.read.text(f"{self.folder}/MANIFEST-{version}").collect()))  # one line
+        super().__init__(spark, folder)
+        self.dimension, self.model = dimension, model
 
     def read(self, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{self.manifest(version)['path']}")
@@ -80,10 +42,9 @@ class IndexStore:
             checks = saved.agg(F.count("*").alias("n"), F.count_distinct("item_key").alias("keys"), F.count_if(~is_valid(doubles(F.col("embedding")), self.dimension)).alias("bad")).first()  # one row
             if checks["bad"] or checks["keys"] != checks["n"]:
                 raise ValueError(f"{checks['bad']} invalid vectors, {checks['n'] - checks['keys']} repeated keys")
-            self._seal(version, json.dumps({"version": version, "path": name, "rows": checks["n"], "dimension": self.dimension, "model": self.model, "digest": self._digest(saved)}, sort_keys=True))
+            self._seal(version, {"path": name, "rows": checks["n"], "dimension": self.dimension, "model": self.model, "digest": self._digest(saved)})
         except Exception:
-            fs, made = self._path(name)
-            fs.delete(made, True)
+            self._drop(name)
             raise
         return version
 
