@@ -90,3 +90,22 @@ def test_prediction_matches_a_plain_softmax(monkeypatch):
         z = ((mean @ model.project if model.project is not None else mean) + model.bias) / model.temperature
         p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
         assert name == model.languages[int(p.argmax())] and abs(s - p.max()) < 1e-5
+
+
+def test_noise_and_unlearned_languages_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("lang is not null and text is not null")
+    _, model = langid.identify(docs, F.col("lang").isin("en", "de") & (F.col("doc_id") % 4 != 2))
+    told = docs.filter("doc_id % 4 = 2").select("text", "lang").collect()
+    clean, foreign = [r.text for r in told if r.lang in ("en", "de")], [r.text for r in told if r.lang not in ("en", "de")]
+    share = lambda texts: model.judged(pa.array(texts))[2].mean()
+    assert share(clean) <= 2 * langid.REJECT
+    assert share(foreign) >= 0.95 and share([langid.scrambled(t) for t in clean]) >= 0.95
+    assert share(["Съешь же ещё этих мягких булок", "いろはにほへと ちりぬるを", "xqzv kjwq zzxq pqvk", "\u0645\u0631\u062d\u0628\u0627"]) == 1
+    assert share(["The with of and", "Von.", "That it."]) == 0
+
+
+def test_scrambling_keeps_letters_and_places():
+    text = "Ab, cé-d 12 e"
+    out = langid.scrambled(text)
+    assert sorted(out) == sorted(text) and [c.isalpha() for c in out] == [c.isalpha() for c in text] and out == langid.scrambled(text)
+    assert langid.scrambled("") == "" and langid.scrambled("1 2") == "1 2"
