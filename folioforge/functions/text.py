@@ -166,6 +166,12 @@ def provenance(extra: Column, header: str = "[Paper Ingest Provenance]") -> Colu
     return F.map_from_entries(F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)), F.trim(F.regexp_replace(x, r"^[^:]*:", "")))))
 
 
+def provenance_text(fields: dict[str, Column], header: str = "[Paper Ingest Provenance]") -> Column:
+    """The inverse of ``provenance``: a line for each field that is not null."""
+    told = [F.when(c.isNotNull(), F.concat(F.lit(f"{name}: "), c.cast("string"))) for name, c in fields.items()]
+    return F.array_join(F.array_compact(F.array(F.lit(header), *told)), "\n")
+
+
 def attachment_path(path: Column, key: Column, storage: str, base: str) -> Column:
     """Where an attachment's URI points: storage:, file://, attachments:, absolute; else null."""
     return (

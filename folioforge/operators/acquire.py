@@ -5,9 +5,13 @@ Requests themselves are a boundary: these operators take tables of payloads that
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import normalized_doi
+
 # Registry types as item types.
 WORK_TYPES = {
     "journal-article": "journalArticle",
@@ -94,3 +98,58 @@ def is_pdf(content: Column, least: int = 1000) -> Column:
 def indicator(has_pdf: Column, attachments: Column, has_notes: Column) -> Column:
     """What an item has besides itself, in words."""
     return F.array_join(F.array_compact(F.array(F.when(has_pdf, F.lit("PDF")), F.when(attachments > 0, F.concat(attachments.cast("string"), F.lit(" attachments"))), F.when(has_notes, F.lit("has notes")))), ", ")
+
+
+# --------------------------------------------------------------------------- citations
+
+
+def _by_doi(items: DataFrame, works: DataFrame, how: str) -> DataFrame:
+    """``works`` has one row a DOI; DOIs meet however they are written. Items without one stay where ``how`` keeps them, apart from
+    the join, so that they are no hot key."""
+    key = F.nullif(normalized_doi(F.coalesce("doi", F.lit(""))), F.lit(""))
+    told = works.withColumn("_d", F.nullif(normalized_doi(F.coalesce("doi", F.lit(""))), F.lit(""))).drop("doi").filter("_d is not null")
+    keyed = items.withColumn("_d", key)
+    met = keyed.filter("_d is not null").join(told, "_d", how)
+    if how == "inner":
+        return met.drop("_d")
+    none = [F.lit(None).cast(t).alias(c) for c, t in told.dtypes if c != "_d"]
+    return met.unionByName(keyed.filter("_d is null").select("*", *none)).drop("_d")
+
+
+def cited(items: DataFrame, *works: DataFrame) -> DataFrame:
+    """``items`` (doi, ...) with what each of ``works`` (doi, tallies or titles) says of them; nulls where nothing."""
+    return reduce(lambda rows, told: _by_doi(rows, told, "left"), works, items)
+
+
+def retracted(items: DataFrame, works: DataFrame) -> DataFrame:
+    """The items whose work has editorial notices (an array that is not empty), with these."""
+    return _by_doi(items, works.filter(F.size(F.coalesce("notices", F.array().cast("array<string>"))) > 0).select("doi", "notices"), "inner")
+
+
+# --------------------------------------------------------------------------- institutional addresses
+
+
+def landing_doi(page: Column) -> Column:
+    """The DOI that a publisher's page states, in its data or its head."""
+    told = F.regexp_extract(page, r'"doi"\s*:\s*"([^"]+)"', 1)
+    head = F.regexp_extract(page, r'citation_doi"\s+content="([^"]+)"', 1)
+    return F.coalesce(F.nullif(told, F.lit("")), F.nullif(head, F.lit("")))
+
+
+def by_host(url: Column, suffix: str) -> Column:
+    """The address with its host, dots as dashes, below a proxy's."""
+    scheme, rest = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://)", 1), F.regexp_extract(url, r"(?s)^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*(.*)$", 1)
+    host = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1)
+    return F.concat(scheme, F.replace(host, F.lit("."), F.lit("-")), F.lit("." + suffix), rest)
+
+
+def by_query(url: Column, base: str) -> Column:
+    """The address as a parameter of a proxy's."""
+    return F.concat(F.lit(base + "?url="), F.url_encode(url))
+
+
+def open_url(doi: Column, fields: dict[str, Column]) -> Column:
+    """The parameters that a link resolver takes for an article; ``fields`` that are null or empty are left out."""
+    parts = [F.concat(F.lit("rft_id="), F.url_encode(F.concat(F.lit("doi:"), doi))), F.lit("rft.genre=article")]
+    parts += [F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"rft.{name}="), F.url_encode(c))) for name, c in fields.items()]
+    return F.array_join(F.array_compact(F.array(*parts)), "&")

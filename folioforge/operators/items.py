@@ -230,6 +230,12 @@ def filled_annotations(rows: DataFrame) -> DataFrame:
     return rows.filter((F.length(F.coalesce("text", F.lit(""))) > 0) | (F.length(F.coalesce("comment", F.lit(""))) > 0))
 
 
+def sort_index(position: Column, height: Column) -> Column:
+    """How an annotation sorts in its file: page, distance from the top and from the left, padded with zeros."""
+    number = lambda path: F.get_json_object(position, path)
+    return F.format_string("%05d|%06d|%05d", number("$.pageIndex").cast("long"), F.floor(height - number("$.rects[0][1]").cast("double")).cast("long"), F.floor(number("$.rects[0][0]").cast("double")).cast("long"))
+
+
 def annotation_place(position: Column) -> Column:
     """struct(page, x, y) of a position in JSON: the page from 1, the first rectangle's corner."""
     p = F.from_json(position, "pageIndex int, rects array<array<double>>")

@@ -173,12 +173,12 @@ def _(spark, sf_dir):
 
 # --------------------------------------------------------------------------- small rules
 
-POSITIONS = ['{"pageIndex": 2, "rects": [[10.5, 20, 30, 40], [1, 2, 3, 4]]}', '{"pageIndex": 0, "rects": []}', "{}", "not json", None]
-QUERIES["annotation_places"] = lambda spark, sf_dir: rows(spark, POSITIONS).select("id", I.annotation_place(F.col("x")).alias("p")).select("id", "p.page", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
+POSITIONS = ['{"pageIndex": {id}, "rects": [[10.5, 2{id}, 30, 40], [1, 2, 3, 4]]}', '{"pageIndex": 0, "rects": []}', "{}", "not json", None]
+QUERIES["annotation_places"] = lambda spark, sf_dir: rows(spark, sf_dir, POSITIONS).select("id", I.annotation_place(F.col("x")).alias("p")).select("id", "p.page", F.col("p.x").alias("px"), F.col("p.y").alias("py"))
 SQL["annotation_places"] = f"with {sql_rows(POSITIONS)}, j as (select id, case when json_valid(x) then x end x from v) select id, (x ->> '$.pageIndex')::int + 1 as page, (x ->> '$.rects[0][0]')::double as px, (x ->> '$.rects[0][1]')::double as py from j"
 
-COLOURS = ["#ffd400", "#FF6666", "#123456", "", None]
-QUERIES["colour_names"] = lambda spark, sf_dir: rows(spark, COLOURS).select("id", I.colour_name(F.col("x")).alias("name"))
+COLOURS = ["{line}", "#ffd400", "#FF6666", "#123456", "", None]
+QUERIES["colour_names"] = lambda spark, sf_dir: rows(spark, sf_dir, COLOURS).select("id", I.colour_name(F.col("x")).alias("name"))
 SQL["colour_names"] = f"with {sql_rows(COLOURS)} select id, case lower(x) when '#ffd400' then 'Yellow' when '#ff6666' then 'Red' else '' end as name from v"
 
 QUERIES["pages_to_try"] = lambda spark, sf_dir: table(spark, sf_dir, "part").select("p_partkey", I.pages_to_try(F.col("p_size"), F.lit(40)).alias("pages"))
@@ -200,9 +200,9 @@ def _(spark, sf_dir):
     return I.update_stats(known, table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
 
 
-LISTS = ['["a", " b ", ""]', "a, b ,c", "single", '"quoted"', "", "  ", None]
-QUERIES["list_inputs"] = lambda spark, sf_dir: rows(spark, LISTS).select("id", list_values(F.col("x")).alias("values"))
-SQL["list_inputs"] = f"with {sql_rows(LISTS)} select id, case id when 0 then ['a', 'b'] when 1 then ['a', 'b', 'c'] when 2 then ['single'] when 3 then ['quoted'] else []::varchar[] end as values from v"
+LISTS = ['["a{id}", " b ", ""]', "a, b{id} ,c", "single{id}", '"quoted{id}"', "", "  ", "{line}", None]
+QUERIES["list_inputs"] = lambda spark, sf_dir: rows(spark, sf_dir, LISTS).select("id", list_values(F.col("x")).alias("values"))
+SQL["list_inputs"] = f"with {sql_rows(LISTS)}, t as (select id, trim(coalesce(x, '')) as t from v) select id, list_filter(list_transform(case when starts_with(t, '[') and json_valid(t) then from_json(t, '[\"VARCHAR\"]') when starts_with(t, '\"') then from_json('[' || t || ']', '[\"VARCHAR\"]') else string_split(t, ',') end, lambda x: trim(x)), lambda x: x <> '') as values from t"
 
 
 QUERIES["creators_line"] = lambda spark, sf_dir: documents(spark, sf_dir).select("item_key", creators_text(F.col("creators")).alias("creators"))

@@ -15,25 +15,25 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 OPEN = [
-    json.dumps({"doi": "10.1/a", "is_oa": True, "best_oa_location": {"url": "http://a", "url_for_pdf": "http://a/p.pdf"}, "oa_locations": []}),
-    json.dumps({"doi": "10.1/b", "is_oa": True, "best_oa_location": {"url": "http://b"}, "oa_locations": [{"url": "http://b1"}, {"url": "http://b2", "url_for_pdf": "http://b2/p.pdf"}]}),
-    json.dumps({"doi": "10.1/c", "is_oa": True, "best_oa_location": {"url": "http://c"}, "oa_locations": []}),
+    json.dumps({"doi": "10.1/a", "is_oa": True, "best_oa_location": {"url": "http://a", "url_for_pdf": "http://a/{id}.pdf"}, "oa_locations": []}),
+    json.dumps({"doi": "10.1/b", "is_oa": True, "best_oa_location": {"url": "http://b"}, "oa_locations": [{"url": "http://b1"}, {"url": "http://b2", "url_for_pdf": "http://b2/{id}.pdf"}]}),
+    json.dumps({"doi": "10.1/c", "is_oa": True, "best_oa_location": {"url": "http://c/{id}"}, "oa_locations": []}),
     json.dumps({"doi": "10.1/d", "is_oa": False, "best_oa_location": None, "oa_locations": []}),
     None,
 ]
-QUERIES["open_access_pdf"] = lambda spark, sf_dir: rows(spark, OPEN).select("id", acquire.best_pdf(F.col("x")).alias("url"))
+QUERIES["open_access_pdf"] = lambda spark, sf_dir: rows(spark, sf_dir, OPEN).select("id", acquire.best_pdf(F.col("x")).alias("url"))
 SQL["open_access_pdf"] = (
     f"with {sql_rows(OPEN)}, o as (select id, x, list_filter(json_extract_string(x, '$.oa_locations[*].url_for_pdf'), lambda u: u is not null) l from v) "
     "select id, coalesce(x ->> '$.best_oa_location.url_for_pdf', l[1], x ->> '$.best_oa_location.url') as url from o"
 )
 
 WORKS = [
-    json.dumps({"type": "journal-article", "title": ["On things"], "container-title": ["J. Things"], "author": [{"given": "Jane", "family": "Doe"}, {"name": "A Group"}], "published": {"date-parts": [[2020, 5, 1]]}, "abstract": "<jats:p>We show <b>it</b>.</jats:p>", "DOI": "10.1/x"}),
+    json.dumps({"type": "journal-article", "title": ["On {id} things"], "container-title": ["J. Things"], "author": [{"given": "Jane", "family": "Doe"}, {"name": "A Group"}], "published": {"date-parts": [[2020, 5, 1]]}, "abstract": "<jats:p>We show <b>it</b>.</jats:p>", "DOI": "10.1/x{id}"}),
     json.dumps({"type": "never-heard", "title": [], "published": {"date-parts": [[1999]]}}),
     json.dumps({"type": "posted-content", "title": ["Pre"], "DOI": "10.1/y"}),
-    *[json.dumps({"type": t, "title": [t]}) for t in ("book", "book-chapter", "proceedings-article", "report", "dissertation", "monograph", "reference-entry", "dataset", "peer-review", "edited-book", "standard")],
+    *[json.dumps({"type": t, "title": [t + " {id}"]}) for t in ("book", "book-chapter", "proceedings-article", "report", "dissertation", "monograph", "reference-entry", "dataset", "peer-review", "edited-book", "standard")],
 ]
-QUERIES["work_items"] = lambda spark, sf_dir: rows(spark, WORKS).select("id", acquire.work_item(F.col("x")).alias("w")).select("id", "w.item_type", "w.title", "w.publication", F.col("w.date").alias("date"), "w.abstract", "w.doi", F.size(F.coalesce("w.creators", F.array())).cast("long").alias("n_creators"))
+QUERIES["work_items"] = lambda spark, sf_dir: rows(spark, sf_dir, WORKS).select("id", acquire.work_item(F.col("x")).alias("w")).select("id", "w.item_type", "w.title", "w.publication", F.col("w.date").alias("date"), "w.abstract", "w.doi", F.size(F.coalesce("w.creators", F.array())).cast("long").alias("n_creators"))
 SQL["work_items"] = (
     f"with {sql_rows(WORKS)} select id, case x ->> '$.type' when 'journal-article' then 'journalArticle' when 'posted-content' then 'preprint' when 'book' then 'book' when 'book-chapter' then 'bookSection' when 'proceedings-article' then 'conferencePaper' when 'report' then 'report' when 'dissertation' then 'thesis' when 'monograph' then 'book' when 'reference-entry' then 'encyclopediaArticle' when 'edited-book' then 'book' else 'document' end as item_type, x ->> '$.title[0]' as title, "
     "x ->> '$.\"container-title\"[0]' as publication, array_to_string(json_extract_string(x, '$.published.\"date-parts\"[0][*]'), '-') as date, "
@@ -41,9 +41,9 @@ SQL["work_items"] = (
 )
 SQL["work_items"] = SQL["work_items"].replace("array_to_string(json_extract_string(x, '$.published.\"date-parts\"[0][*]'), '-') as date", "case when len(json_extract_string(x, '$.published.\"date-parts\"[0][*]')) > 0 then array_to_string(json_extract_string(x, '$.published.\"date-parts\"[0][*]'), '-') end as date")
 
-ATOM = ["<feed xmlns='http://www.w3.org/2005/Atom'><entry><title>A\n  Title</title><summary> Sum  mary </summary><published>2017-06-12T17:57:34Z</published><author><name>Ann One</name></author><author><name>Bob Two</name></author></entry></feed>"]
-QUERIES["atom_entries"] = lambda spark, sf_dir: rows(spark, ATOM).select("id", acquire.atom_entry(F.col("x")).alias("a")).select("id", "a.title", "a.abstract", F.col("a.date").alias("date"), "a.authors")
-SQL["atom_entries"] = "select 0::bigint as id, 'A Title' as title, 'Sum mary' as abstract, '2017-06-12' as date, ['Ann One', 'Bob Two'] as authors"
+ATOM = ["<feed xmlns='http://www.w3.org/2005/Atom'><entry><title>A\n  Title {id}</title><summary> Sum  mary {id}</summary><published>2017-06-12T17:57:34Z</published><author><name>Ann One</name></author><author><name>Bob Two</name></author></entry></feed>", "<feed><entry><title>{id}</title><published>19{id}-01-01</published></entry></feed>"]
+QUERIES["atom_entries"] = lambda spark, sf_dir: rows(spark, sf_dir, ATOM).select("id", acquire.atom_entry(F.col("x")).alias("a")).select("id", "a.title", "a.abstract", F.col("a.date").alias("date"), "a.authors")
+SQL["atom_entries"] = "select doc_id as id, case doc_id % 2 when 0 then 'A Title ' else '' end || doc_id as title, case doc_id % 2 when 0 then 'Sum mary ' || doc_id else '' end as abstract, case doc_id % 2 when 0 then '2017-06-12' else left('19' || doc_id || '-01-01', 10) end as date, case doc_id % 2 when 0 then ['Ann One', 'Bob Two'] else []::varchar[] end as authors from documents"
 
 QUERIES["extraction_choice"] = lambda spark, sf_dir: (
     table(spark, sf_dir, "pages")
@@ -57,8 +57,8 @@ g as (select *, case backend when 'article' then a when 'plain' then b when 'raw
 select page_id, backend, case when n >= 500 then 'good' when n > 0 then 'degraded' else 'empty' end as quality,
        case when a >= 500 then ['article'] when b >= 500 then ['article', 'plain'] else ['article', 'plain', 'raw'] end as chain, n::bigint as char_count from g"""
 
-STATUS = ["http://a/x|200", "https://proxy.example.org/y|200", "http://b/z|403", "http://c/w|503", "http://d|404"]
-QUERIES["acquisition_route"] = lambda spark, sf_dir: rows(spark, STATUS).select("id", acquire.route(F.split_part("x", F.lit("|"), F.lit(2)).cast("int"), F.split_part("x", F.lit("|"), F.lit(1)), "proxy.example.org").alias("route"))
+STATUS = ["http://a/{id}|200", "https://proxy.example.org/{id}|200", "http://b/z|403", "http://c/w|503", "http://d|404"]
+QUERIES["acquisition_route"] = lambda spark, sf_dir: rows(spark, sf_dir, STATUS).select("id", acquire.route(F.split_part("x", F.lit("|"), F.lit(2)).cast("int"), F.split_part("x", F.lit("|"), F.lit(1)), "proxy.example.org").alias("route"))
 SQL["acquisition_route"] = f"with {sql_rows(STATUS)} select id, case when contains(x, '//proxy.example.org') then 'proxy' when split_part(x, '|', 2) in ('401', '402', '403') then 'proxy' when split_part(x, '|', 2) in ('429', '500', '502', '503', '504') then 'retry' else 'direct' end as route from v"
 
 QUERIES["attachment_indicator"] = lambda spark, sf_dir: table(spark, sf_dir, "orders").join(
@@ -103,12 +103,17 @@ def _by(name: str):
 QUERIES["merge_result"] = merged_library
 SQL["merge_result"] = "with u as (select user_id, list(distinct event_type) t from events group by user_id) select min(user_id) as item_key, list_sort(list_distinct(flatten(list(t)))) as tags from u group by user_id // 4"
 
-FOUND = ["10.1/NEW", "10.1/old", "", "10.1/other"]
-QUERIES["ingest_plan"] = lambda spark, sf_dir: changes.ingest(
-    rows(spark, ["doi:10.1/OLD", "10.1/seen"], "doi").withColumn("extra", F.lit("arXiv: 1706.03762")),
-    rows(spark, FOUND, "doi").withColumn("arxiv", F.when(F.col("id") == 3, "1706.03762").otherwise("")),
-).select("id", "doi")
-SQL["ingest_plan"] = f"with {sql_rows(FOUND)} select id, x as doi from v where id in (0, 2)"
+def ingest_plan(spark, sf_dir):
+    """Parts are the library: works by DOI, and some by the number in their extra lines; documents are what was found."""
+    p = table(spark, sf_dir, "part")
+    library_ = p.select(F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("doi:10.1/OLD"), "p_partkey")).alias("doi"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("x\narXiv: 1706."), F.format_string("%05d", "p_partkey"))).alias("extra"))
+    d = table(spark, sf_dir, "documents")
+    found = d.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("10.1/old"), "doc_id")).alias("doi"), F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("1706."), F.format_string("%05d", "doc_id"))).alias("arxiv"))
+    return changes.ingest(library_, found).select("id", "doi")
+
+
+QUERIES["ingest_plan"] = ingest_plan
+SQL["ingest_plan"] = "select doc_id as id, case when doc_id % 5 <> 0 then '10.1/old' || doc_id end as doi from documents where not (doc_id % 5 <> 0 and doc_id % 2 = 0 and doc_id in (select p_partkey from part)) and not (doc_id % 7 = 0 and doc_id % 3 = 0 and doc_id in (select p_partkey from part))"
 
 SUITE = "array<struct<query_id: string, text: string, exclude_ids: array<string>, candidate_ids: array<string>>>"
 SUITE_ROWS = [{"query_id": "q1", "text": "a", "exclude_ids": ["0", "1"], "candidate_ids": None}, {"query_id": "q2", "text": "b", "exclude_ids": ["2"], "candidate_ids": ["2", "3", "never"]}, {"query_id": "q3", "text": "c", "exclude_ids": [], "candidate_ids": []}]
