@@ -9,7 +9,8 @@ Ranks follow scores in full precision; scores are rounded where they are returne
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -30,7 +31,30 @@ METRICS = ("l2", "cosine", "ip")
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
 
-def _best(ids: list, asked: np.ndarray, k: int, metric: str):
+@dataclass(frozen=True)
+class Allowed:
+    """What each query of a stated set may find: its candidates (None: all), less its exclusions. Queries that are not named may find all."""
+
+    candidates: Mapping[object, frozenset | None]
+    excluded: Mapping[object, frozenset]
+
+    @classmethod
+    def of(cls, suite: DataFrame) -> Allowed:
+        """Of ``suite`` (query_id, candidate_ids, exclude_ids), a stated set."""
+        rows = suite.select("query_id", "candidate_ids", "exclude_ids").collect()
+        return cls({r["query_id"]: None if r["candidate_ids"] is None else frozenset(r["candidate_ids"]) for r in rows}, {r["query_id"]: frozenset(r["exclude_ids"] or []) for r in rows})
+
+    def mask(self, query: object, names: pa.Array) -> np.ndarray | None:
+        """Of keys as text, which the query may find; None: all."""
+        only, out = self.candidates.get(query), self.excluded.get(query) or frozenset()
+        if only is None and not out:
+            return None
+        inside = lambda some: pc.is_in(names, value_set=pa.array(sorted(map(str, some)), pa.string())).to_numpy(zero_copy_only=False)
+        may = inside(only) if only is not None else np.ones(len(names), bool)
+        return may & ~inside(out) if out else may
+
+
+def _best(ids: list, asked: np.ndarray, k: int, metric: str, allowed: Allowed | None = None):
     """(query_id, item_key, exact): of each batch the k best for each query, ties to the smaller key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,6 +68,7 @@ def _best(ids: list, asked: np.ndarray, k: int, metric: str):
             if m.shape[1] != asked.shape[1]:
                 raise ValueError(f"vectors of {m.shape[1]} and of {asked.shape[1]} components")
             own = np.sqrt((m * m).sum(1)) if metric == "cosine" else None
+            names = batch.column("item_key").cast(pa.string()) if allowed else None
             out_q, out_i, out_s = [], [], []
             for i, q in enumerate(asked):
                 if metric == "l2":
@@ -53,7 +78,10 @@ def _best(ids: list, asked: np.ndarray, k: int, metric: str):
                     if own is not None:
                         score /= np.maximum(own * norms[i], 1e-30)
                 score = np.where(np.isnan(score), -np.inf, score)
-                near = np.flatnonzero(score >= np.partition(score, -k)[-k]) if len(score) > k else np.arange(len(score))
+                rows = allowed.mask(ids[i], names) if allowed else None
+                near = np.arange(len(score)) if rows is None else np.flatnonzero(rows)
+                if len(near) > k:
+                    near = near[score[near] >= np.partition(score[near], -k)[-k]]
                 near = near[np.lexsort((keys[near], -score[near]))][:k]
                 out_q += [ids[i]] * len(near)
                 out_i.append(near)
@@ -63,9 +91,9 @@ def _best(ids: list, asked: np.ndarray, k: int, metric: str):
     return run
 
 
-def dense_topk(index: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", where: Column | None = None) -> DataFrame:
-    """query_id, item_key, score, rank: the k best rows of ``index`` (item_key, embedding, ...) that pass,
-    for each of ``queries`` (query_id, qv), a stated set. MAX_QUERIES of them meet a batch as one matrix,
+def dense_topk(index: DataFrame, queries: DataFrame, k: int = 10, metric: str = "l2", where: Column | None = None, allowed: Allowed | None = None) -> DataFrame:
+    """query_id, item_key, score, rank: the k best rows of ``index`` (item_key, embedding, ...) that pass, and that
+    ``allowed`` lets a query find, for each of ``queries`` (query_id, qv), a stated set. MAX_QUERIES of them meet a batch as one matrix,
     and k rows a query leave a batch, so the index itself is never shuffled."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")
@@ -74,7 +102,7 @@ def dense_topk(index: DataFrame, queries: DataFrame, k: int = 10, metric: str =
     schema = f"query_id {kinds[0]}, item_key {kinds[1]}, exact double"
     asked = [(r["query_id"], r["qv"]) for r in queries.select("query_id", doubles(F.col("qv")).alias("qv")).toLocalIterator()]
     blocks = [asked[at : at + MAX_QUERIES] for at in range(0, len(asked), MAX_QUERIES)]
-    scans = [rows.mapInArrow(_best([q for q, _ in b], np.array([v for _, v in b], float), k, metric), schema) for b in blocks]
+    scans = [rows.mapInArrow(_best([q for q, _ in b], np.array([v for _, v in b], float), k, metric, allowed), schema) for b in blocks]
     found = reduce(DataFrame.unionByName, scans) if scans else rows.sparkSession.createDataFrame([], schema)
     return _rounded(ranked(found, k))
 
@@ -89,7 +117,7 @@ def _rounded(found: DataFrame, digits: int = 6) -> DataFrame:
     return found.select("query_id", "item_key", (F.round("exact", digits) + F.lit(0.0)).alias("score"), "rank")
 
 
-def bm25(docs: DataFrame | None, queries: DataFrame, title_weight: float = 3.0, eligible: DataFrame | None = None, postings: Postings | Segments | None = None, k: int | None = None) -> DataFrame:
+def bm25(docs: DataFrame | None, queries: DataFrame, title_weight: float = 3.0, eligible: DataFrame | None = None, postings: Postings | Segments | None = None, k: int | None = None, allowed: Allowed | None = None) -> DataFrame:
     """query_id, item_key, score, exact; ``docs`` has item_key, title, document, ``queries`` has query_id,
     text, a stated set. Any query token matches. ``eligible`` (item_key) filters before any limit, not the
     statistics. With ``postings``, a kept index, ``docs`` are not read. Postings of the queries' terms are dealt by item, so each item is scored in one place for all
@@ -113,11 +141,11 @@ def bm25(docs: DataFrame | None, queries: DataFrame, title_weight: float = 3.0,
     parts = tf.join(weights, "t").select("item_key", "term", part.alias("part")).repartition("item_key").sortWithinPartitions("item_key", "term")
     kinds = queries.schema["query_id"].dataType.simpleString(), parts.schema["item_key"].dataType.simpleString()
     asked = [sorted(wanted[t]) for t in terms]
-    scored = parts.mapInArrow(_summed(ids, asked, k), f"query_id {kinds[0]}, item_key {kinds[1]}, exact double")
+    scored = parts.mapInArrow(_summed(ids, asked, k, allowed), f"query_id {kinds[0]}, item_key {kinds[1]}, exact double")
     return scored.withColumn("score", F.round("exact", 6))
 
 
-def _summed(ids: list, asked: list[list[int]], k: int | None, rows: int = 20_000):
+def _summed(ids: list, asked: list[list[int]], k: int | None, allowed: Allowed | None = None, rows: int = 20_000):
     """(query_id, item_key, exact) of rows (item_key, term, part) that come sorted by item and term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,6 +163,13 @@ def _summed(ids: list, asked: list[list[int]], k: int | None, rows: int = 20_000
             code, at = np.unique(q * len(starts) + item[row], return_inverse=True)
             total = np.bincount(at, part[row])  # adds in row order
             q, item = code // len(starts), code % len(starts)
+            if allowed:
+                keep = np.ones(len(q), bool)
+                for one in np.unique(q).tolist():
+                    mine = np.flatnonzero(q == one)
+                    if (may := allowed.mask(ids[one], table.column("item_key").take(pa.array(starts[item[mine]])).cast(pa.string()).combine_chunks())) is not None:
+                        keep[mine] = may
+                q, item, total = q[keep], item[keep], total[keep]
             if k is not None:
                 order = np.lexsort((item, -total, q))  # items are sorted by key
                 place = np.arange(len(order)) - np.searchsorted(q[order], q[order])
@@ -159,8 +194,8 @@ def _summed(ids: list, asked: list[list[int]], k: int | None, rows: int = 20_000
     return run
 
 
-def lexical_topk(docs: DataFrame | None, queries: DataFrame, k: int = 10, title_weight: float = 3.0, eligible: DataFrame | None = None, postings: Postings | Segments | None = None) -> DataFrame:
-    return ranked(bm25(docs, queries, title_weight, eligible, postings, k), k).select("query_id", "item_key", "score", "rank")
+def lexical_topk(docs: DataFrame | None, queries: DataFrame, k: int = 10, title_weight: float = 3.0, eligible: DataFrame | None = None, postings: Postings | Segments | None = None, allowed: Allowed | None = None) -> DataFrame:
+    return ranked(bm25(docs, queries, title_weight, eligible, postings, k, allowed), k).select("query_id", "item_key", "score", "rank")
 
 
 def fuse(dense: DataFrame, lexical: DataFrame, w_dense: float = 1.0, w_lexical: float = 0.5, k: int = 60) -> DataFrame:

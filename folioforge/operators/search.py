@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..session import kept
 from . import filters
-from .changes import DEFAULTS, checked_suite, eligible, profile
-from .retrieval import _gated, dense_topk, fuse, lexical_topk, overlap_at, select_results
+from ..sources.postings import Segments
+from .changes import DEFAULTS, checked_suite, profile
+from .retrieval import Allowed, _gated, dense_topk, fuse, lexical_topk, overlap_at, select_results
 
 # The most rows that a tool returns, and the default.
 LIMITS = {"default": 100, "advanced": 500, "retractions": 500}
@@ -61,11 +62,12 @@ def document_filter(where: Mapping, document: Column) -> Column:
 # --------------------------------------------------------------------------- search
 
 
-def search(docs: DataFrame, index: DataFrame, queries: DataFrame, vectors: DataFrame, limit: int = 10, config: Mapping | None = None, where: Mapping | None = None, where_document: Mapping | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None, metric: str = "l2") -> DataFrame:
+def search(docs: DataFrame, index: DataFrame, queries: DataFrame, vectors: DataFrame, limit: int = 10, config: Mapping | None = None, where: Mapping | None = None, where_document: Mapping | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None, metric: str = "l2", allowed: Allowed | None = None, postings: Segments | None = None) -> DataFrame:
     """query_id, rank, item_key, aliases, depth of a stated query set. ``docs`` has item_key, title, doi,
     document; ``index`` item_key, embedding and what ``where`` names; ``queries`` query_id, text; ``vectors`` query_id,
     qv. The candidates' depth doubles for the queries that have too few rows left, until they have enough, or
-    all rows were candidates. Where the filter is one that the lexical branch does not know, it is left out."""
+    all rows were candidates. Where the filter is one that the lexical branch does not know, it is left out. ``allowed`` says what
+    single queries may find, in both branches; with ``postings``, a kept index, documents are read for titles only."""
     settings = DEFAULTS | dict(config or {})
     if settings["mode"] not in ("dense", "hybrid"):
         raise ValueError("the mode is dense or hybrid")
@@ -79,11 +81,11 @@ def search(docs: DataFrame, index: DataFrame, queries: DataFrame, vectors: DataF
     depth, waiting, done = min(max(LEAST_DEPTH, pool), count), [r["query_id"] for r in queries.select("query_id").collect()], []  # a stated query set
     while waiting and count:
         asked, asked_vectors = queries.filter(F.col("query_id").isin(waiting)), vectors.filter(F.col("query_id").isin(waiting))
-        dense = kept(dense_topk(rows, asked_vectors, depth, metric), "dense")
+        dense = kept(dense_topk(rows, asked_vectors, depth, metric, allowed=allowed), "dense")
         found, reached = dense.withColumnRenamed("score", "exact").withColumn("lexical_rank", F.lit(None).cast("int")), dense.groupBy("query_id").agg(F.count("*").alias("n_dense"))
         counts = {r["query_id"]: [r["n_dense"], depth] for r in reached.collect()}
         if lexical:
-            words = kept(lexical_topk(docs, asked, depth, settings["title_weight"], rows.select("item_key") if passed is not None or where_document is not None else None), "lexical")
+            words = kept(lexical_topk(docs, asked, depth, settings["title_weight"], rows.select("item_key") if passed is not None or where_document is not None else None, postings, allowed), "lexical")
             counts = {q: [counts.get(q, [0, 0])[0], 0] for q in waiting}
             for r in words.groupBy("query_id").count().collect():
                 counts[r["query_id"]][1] = r["count"]
@@ -128,10 +130,10 @@ def enriched_share(found: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- the evaluator
 
 
-def evaluate(suite: DataFrame, docs: DataFrame, index: DataFrame, vectors: DataFrame, name: str, k: int = 100, overrides: Mapping | None = None, skip_missing: bool = False, partition: str | None = None) -> tuple[DataFrame, DataFrame]:
+def evaluate(suite: DataFrame, docs: DataFrame, index: DataFrame, vectors: DataFrame, name: str, k: int = 100, overrides: Mapping | None = None, skip_missing: bool = False, partition: str | None = None, postings: Segments | None = None) -> tuple[DataFrame, DataFrame]:
     """Rankings (query_id, system, rank, item_key) of a suite's queries under a profile, each over its eligible
     items, and per query the overlap of its ten best with the exact cosine order. A query without a vector fails,
-    or is left out."""
+    or is left out. All queries are ranked together: candidates and exclusions travel with them, and each depth is one scan."""
     if not 1 <= k <= 100:
         raise ValueError("k is within 1 and 100")
     settings, rows = profile(name, overrides), checked_suite(suite)
@@ -141,19 +143,10 @@ def evaluate(suite: DataFrame, docs: DataFrame, index: DataFrame, vectors: DataF
     if missing and not skip_missing:
         raise ValueError(f"no vector for {', '.join(map(str, missing))}")
     rows = rows.filter(~F.col("query_id").isin(missing)) if missing else rows
-    allowed = kept(eligible(rows, index.select("item_key")), "eligible")
-    ranked, exact = [], []
-    for r in rows.select("query_id", "text").collect():
-        one = index.sparkSession.createDataFrame([(r["query_id"], r["text"])], "query_id string, text string")
-        own = allowed.filter(F.col("query_id") == r["query_id"]).select("item_key")
-        mine, vector = index.join(own, "item_key", "left_semi"), vectors.filter(F.col("query_id") == r["query_id"])
-        ranked.append(kept(search(docs, mine, one, vector, k, settings), "ranking"))
-        exact.append(dense_topk(mine, vector, 10, "cosine"))
-    if not ranked:
-        empty = index.sparkSession.createDataFrame([], f"query_id string, system string, rank int, item_key {index.schema['item_key'].dataType.simpleString()}")
-        return empty, index.sparkSession.createDataFrame([], "query_id string, overlap double")
-    found = reduce(DataFrame.unionByName, ranked)
-    held = overlap_at(reduce(DataFrame.unionByName, exact), found, 10)
+    allowed, asked = Allowed.of(rows), rows.select("query_id", "text")
+    mine = vectors.join(F.broadcast(asked.select("query_id")), "query_id", "left_semi")  # a stated query set
+    found = search(docs, index, asked, mine, k, settings, allowed=allowed, postings=postings)
+    held = overlap_at(dense_topk(index, mine, 10, "cosine", allowed=allowed), found, 10)
     overlaps = rows.select("query_id").join(held, "query_id", "left").select("query_id", F.coalesce("overlap", F.lit(1.0)).alias("overlap"))
     return found.select("query_id", F.lit(name).alias("system"), "rank", "item_key"), overlaps
 

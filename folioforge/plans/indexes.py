@@ -7,13 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lines, order, retrieval
+from ..operators import cascade, lines, order, retrieval, search
+from ..operators.changes import PROFILES
 from ..session import remove_at_exit, shared_folder
 from ..sources import hashtree, paged
 from ..sources.layers import LayeredIndex
 from ..sources.postings import SegmentedPostings
 from ..sources.vectors import VectorIndex, recall
 from . import library as plans
+from . import literals
 from .library import table
 
 QUERIES: dict = {}
@@ -210,3 +212,98 @@ select key, i::int as "at", line, times from e where paged and filled and (i = l
 )
 def _(spark, sf_dir):
     return lines.running_headers(_words(spark, sf_dir), F.char_length("line") >= 10, "^[a-m]")
+
+
+# --------------------------------------------------------------------------- keyword cascade
+
+_BRIEF = "lower(" + literals._FOLD.replace("translate(x,", "translate({},") + ")"
+
+
+def _cascade_sql() -> str:
+    fold = lambda c: _BRIEF.format(c)
+    brief = fold(f"concat_ws(' ', {plans.TITLE}, source, 2000 + doc_id % 100)")
+    said = ["text", "case when len(w) > 2 then concat_ws(' ', list_filter(w, lambda x: not regexp_full_match(x, '\\d+'))[1], list_filter(w, lambda x: regexp_full_match(x, '1[89]\\d{2}|20\\d{2}'))[1]) end", "case when len(w) >= 2 then coalesce(list_filter(w, lambda x: not regexp_full_match(x, '\\d+'))[1], w[1]) end", "text"]
+    names = ["as asked", "author and year", "author only", "everything"]
+    steps = " union all ".join(f"select query_id, {i} as st, '{names[i]}' as step, {said[i]} as said from w" for i in range(4))
+    return f"""
+with q as (select item_id as query_id, case item_id % 5 when 0 then 'src' || item_id || ' 20' || lpad((item_id % 100)::varchar, 2, '0') when 1 then 'src' || item_id || ' 20' || lpad((item_id % 100)::varchar, 2, '0') || ' nosuchword'
+             when 2 then 'src' || item_id || ' nosuchword' when 3 then array_to_string(string_split(text, ' ')[1:3], ' ') else 'nosuchword neither' end as text from benchmark),
+w as (select *, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '') as w from q),
+s as ({steps}), sp as (select *, string_split({fold("said")}, ' ') as words from s where said is not null),
+d as (select doc_id, {brief} as brief, {fold("coalesce(text, '')")} as whole from documents),
+m as (select query_id, st, step, said, doc_id from sp join d on len(list_filter(words, lambda x: not contains(case st when 3 then whole else brief end, x))) = 0),
+b as (select * from m where st = (select min(st) from m n where n.query_id = m.query_id))
+select query_id, step, said, doc_id as item_key, row_number() over (partition by query_id order by doc_id)::int as rank from b qualify rank <= 10"""
+
+
+@query("keyword_cascade", _cascade_sql())
+def _(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    brief = F.concat_ws(" ", plans.first_line(), "source", (F.lit(2000) + F.col("doc_id") % 100).cast("string"))
+    items = d.select(F.col("doc_id").alias("item_key"), brief.alias("brief"), F.col("text").alias("whole"))
+    n, y = F.col("item_id").cast("string"), F.format_string("20%02d", F.col("item_id") % 100)
+    forms = [F.concat(F.lit("src"), n, F.lit(" "), y), F.concat(F.lit("src"), n, F.lit(" "), y, F.lit(" nosuchword")), F.concat(F.lit("src"), n, F.lit(" nosuchword")), F.array_join(F.slice(F.split("text", " "), 1, 3), " "), F.lit("nosuchword neither")]
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.element_at(F.array(*forms), (F.col("item_id") % 5 + 1).cast("int")).alias("text"))
+    return cascade.cascade(items, asked, 10)
+
+
+# --------------------------------------------------------------------------- the evaluator
+
+
+def _suite(spark, sf_dir) -> DataFrame:
+    """The benchmark as a suite: every third query has candidates, every second exclusions."""
+    b = table(spark, sf_dir, "benchmark")
+    ids = lambda step, first: F.transform(F.sequence(F.lit(0), F.lit(120)), lambda i: (i * step + first).cast("string"))
+    return b.select(F.col("item_id").cast("string").alias("query_id"), "text", F.when(F.col("item_id") % 2 == 0, ids(7, F.col("item_id"))).alias("exclude_ids"), F.when(F.col("item_id") % 3 == 0, ids(3, F.lit(1))).alias("candidate_ids"))
+
+
+def evaluation(spark, sf_dir) -> DataFrame:
+    """The suite under each profile: the ten best of each query, and how many of its exact ten are among them."""
+    suite, index = _suite(spark, sf_dir), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_key"), "embedding")
+    vectors = plans._paired(spark, sf_dir).withColumn("query_id", F.col("query_id").cast("string"))
+    docs, kept_index = plans._docs(spark, sf_dir), plans.lexicon(spark, sf_dir)
+    out = None
+    for name in PROFILES:
+        found, overlaps = search.evaluate(suite, docs, index, vectors, name, 10, skip_missing=True, postings=kept_index)
+        rows = found.join(F.broadcast(overlaps), "query_id").select("query_id", "system", "rank", F.col("item_key").cast("long").alias("item_key"), F.round("overlap", 6).alias("overlap"))  # a stated query set
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _evaluation_sql() -> str:
+    may = "(query_id % 3 <> 0 or (item_key % 3 = 1 and item_key <= 361)) and not (query_id % 2 = 0 and item_key >= query_id and (item_key - query_id) % 7 = 0 and item_key <= query_id + 840)"
+    # Dense rows, and lexical rows of the items that are indexed, cut by what a query may find before they are ranked.
+    score = "1 - list_sum(list_transform(list_zip(embedding::double[], qv), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    cosine = "list_sum(list_transform(list_zip(embedding::double[], qv), lambda p: p[1] * p[2])) / greatest(sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))) * sqrt(list_sum(list_transform(qv, lambda x: x * x))), 1e-30)"
+    base = f"""
+dq as (select vec_id query_id, embedding::double[] qv from embeddings where vec_id in (select item_id from benchmark)),
+ds as (select * from (select query_id, vec_id item_key, {score} exact, {cosine} cosine from embeddings join dq on true) where {may}),
+dr as (select *, row_number() over (partition by query_id order by exact desc, item_key)::int as rank from ds),
+ll as (select query_id, item_key, exact, row_number() over (partition by query_id order by exact desc, item_key)::int as rank from le where query_id in (select query_id from dq) and {may}),
+ex as (select query_id, list(item_key order by cosine desc, item_key)[1:10] as ten from ds group by query_id),
+ti as (select doc_id item_key, array_to_string({plans.TOKENS.format(plans.TITLE)}, ' ') t, list_distinct({plans.TOKENS.format(plans.TITLE)}) own from documents),
+bt as (select item_id query_id, list_distinct({plans.TOKENS.format("text")}) asked from benchmark)"""
+    parts, unions = [], []
+    for n, (name, settings) in enumerate(PROFILES.items()):
+        if settings["mode"] == "dense":
+            parts.append(f"f{n} as (select query_id, item_key, rank from dr where rank <= 100)")
+        else:
+            wd, wl = settings["weights"]["dense"], settings["weights"]["lex"]
+            gated = "(lexical_rank = 1 and len(list_intersect(own, asked)) >= 3 and len(list_intersect(own, asked))::double / len(own) >= 0.8)" if settings.get("gate") else "false"
+            parts.append(f"""
+b{n} as (select query_id, item_key, 0 br, rank, {wd}::double / (60 + rank) part from dr where rank <= 100 union all select query_id, item_key, 1 br, rank, {wl}::double / (60 + rank) part from ll where rank <= 100),
+s{n} as (select query_id, item_key, sum(part) exact, min((br, rank)) fst, min(case when br = 1 then rank end) lexical_rank from b{n} group by all),
+r{n} as (select s{n}.*, coalesce({gated}, false) g, row_number() over (partition by query_id order by exact desc, fst, item_key) rk from s{n} join ti using (item_key) join bt using (query_id)),
+f{n} as (select query_id, item_key, row_number() over (partition by query_id order by g desc, rk)::int as rank from r{n})""")
+        if settings.get("collapse"):
+            parts.append(f"""
+c{n} as (select query_id, arg_min(item_key, rank) item_key, min(rank) fst from f{n} join ti using (item_key) group by query_id, case when t = '' then 'key:' || item_key else 'title:' || t end),
+g{n} as (select query_id, item_key, row_number() over (partition by query_id order by fst)::int as rank from c{n})""")
+        else:
+            parts.append(f"g{n} as (select query_id, item_key, row_number() over (partition by query_id order by rank)::int as rank from f{n} where item_key in (select doc_id from documents))")
+        unions.append(f"select g.query_id::varchar as query_id, '{name}' as system, rank, item_key, round(len(list_intersect(ten, o.found))::double / len(ten), 6) as overlap from g{n} g join ex using (query_id) join (select query_id, list(item_key) as found from g{n} where rank <= 10 group by query_id) o using (query_id) where rank <= 10")
+    return "with " + plans._bm25_sql(True) + "," + base + "," + ",".join(parts) + " " + " union all ".join(unions)
+
+
+QUERIES["evaluation"] = evaluation
+SQL["evaluation"] = _evaluation_sql()
