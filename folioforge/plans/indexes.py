@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cascade, lines, order, retrieval, search
+from ..operators import cascade, lines, order, passages, retrieval, search
 from ..operators.changes import PROFILES
 from ..session import remove_at_exit, shared_folder
 from ..sources import hashtree, paged
@@ -307,3 +307,19 @@ g{n} as (select query_id, item_key, row_number() over (partition by query_id ord
 
 QUERIES["evaluation"] = evaluation
 SQL["evaluation"] = _evaluation_sql()
+
+
+# --------------------------------------------------------------------------- passages
+
+
+@query(
+    "passages_placed",
+    r"""with p as (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from benchmark), d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') w from documents),
+pw as (select item_id, len(w) n, unnest(range(len(w))) j, unnest(w) w from p), dw as (select doc_id, unnest(range(len(w))) i, unnest(w) w from d),
+a as (select item_id, doc_id, i - j as start, any_value(n) n, count(*) agree from pw join dw using (w) group by all)
+select item_id as passage, doc_id as text, start::int as start, n::int as n, agree::int as agree, agree / n as likeness from a
+where agree >= n - floor(n * (1.0 - 0.8) + 1e-9) qualify row_number() over (partition by item_id, doc_id order by agree desc, start) = 1""",
+)
+def _(spark, sf_dir):
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("passage"), F.col("text").alias("words"))
+    return passages.placed(asked, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text"), F.col("text").alias("words")))

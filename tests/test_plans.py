@@ -5,11 +5,11 @@ import os
 import duckdb
 import pytest
 
-from folioforge.plans import catalog, extras, indexes, library, literals, more
+from folioforge.plans import catalog, details, extras, indexes, library, literals, more
 
 SF = "/root/testdata/sf0.001"
-QUERIES = library.QUERIES | literals.QUERIES | more.QUERIES | catalog.QUERIES | extras.QUERIES | indexes.QUERIES
-SQL = library.SQL | literals.SQL | more.SQL | catalog.SQL | extras.SQL | indexes.SQL
+QUERIES = library.QUERIES | literals.QUERIES | more.QUERIES | catalog.QUERIES | extras.QUERIES | indexes.QUERIES | details.QUERIES
+SQL = library.SQL | literals.SQL | more.SQL | catalog.SQL | extras.SQL | indexes.SQL | details.SQL
 
 
 @pytest.fixture(scope="module")
