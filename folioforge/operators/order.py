@@ -33,3 +33,24 @@ def running(rows: DataFrame, value: Column, order: list[Column], by: list[str] |
 def numbered(rows: DataFrame, order: list[Column], by: list[str] | None = None, name: str = "place") -> DataFrame:
     """``rows`` with their number, from 0, by ``order`` among those that agree in ``by``."""
     return running(rows, F.lit(1), order, by, name)
+
+
+def start_pages(rows: DataFrame, chars: str, order: list[Column], by: list[str], per_page: int = 1800) -> DataFrame:
+    """``rows`` with page: the pages of ``per_page`` characters that are full before each begins, among those that agree in ``by``."""
+    held = running(rows, F.coalesce(F.col(chars), F.lit(0)), order, by, "_chars")
+    return held.withColumn("page", F.floor(F.col("_chars") / per_page).cast("long")).drop("_chars")
+
+
+def quantile(rows: DataFrame, value: str, share: float, by: list[str], name: str = "quantile") -> DataFrame:
+    """The exact quantile of each group, between its two nearest values as far as it lies between them; nulls are left out. Groups may be
+    few and large: values are ranged, not gathered."""
+    held = rows.filter(F.col(value).isNotNull()).select(*by, value)
+    counts = held.groupBy(*by).agg(F.count("*").alias("_n"))
+    at = (F.col("_n") - 1) * F.lit(float(share))
+    placed = numbered(held, [F.col(value)], by, "_place")
+    same = F.lit(True)
+    for g in by:
+        same &= placed[g].eqNullSafe(counts[g])
+    near = placed.join(counts, same).select(*[placed[g] for g in by], placed[value].alias("_v"), "_place", at.alias("_at")).filter((F.col("_place") == F.floor("_at")) | (F.col("_place") == F.ceil("_at")))
+    low, high = F.min_by("_v", "_place"), F.max_by("_v", "_place")
+    return near.groupBy(*by).agg((low + (high - low) * (F.max("_at") - F.floor(F.max("_at")))).alias(name))

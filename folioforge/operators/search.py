@@ -14,6 +14,7 @@ from ..session import kept
 from . import filters
 from ..sources.postings import Segments
 from .changes import DEFAULTS, checked_suite, profile
+from .order import running
 from .retrieval import Allowed, _gated, dense_topk, fuse, lexical_topk, overlap_at, select_results
 
 # The most rows that a tool returns, and the default.
@@ -198,12 +199,10 @@ def frozen_pages(pages: DataFrame, page_size: int, max_pages: int) -> DataFrame:
 
 def capped_pages(pages: DataFrame, cap: int | None) -> DataFrame:
     """Rows of pages in order; reading stops after the first page that reaches the cap, and the rest is cut."""
-    from pyspark.sql import Window
-
-    before = F.coalesce(F.sum(F.size("rows")).over(Window.orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    read = pages.select("page", "rows", before.alias("before"))  # a row a page
-    rows = read.select("page", "before", F.posexplode("rows").alias("at", "r"))
-    return rows.filter(F.col("before") + F.col("at") < cap).select("r.*") if cap is not None else rows.select("r.*")
+    if cap is None:
+        return pages.select(F.explode("rows").alias("r")).select("r.*")
+    read = running(pages.select("page", "rows"), F.size("rows"), [F.col("page")]).filter(F.col("before") < cap)
+    return read.select("before", F.posexplode("rows").alias("at", "r")).filter(F.col("before") + F.col("at") < cap).select("r.*")
 
 
 def checked_records(ids: Sequence, *columns: Sequence) -> None:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.vectors import doubles
-from ..operators import filters, items, library, render, retrieval
+from ..operators import filters, items, library, order, render, retrieval
 from ..session import remove_at_exit, shared_folder
 from ..sources.manifests import Conflict
 from ..sources.postings import SegmentedPostings
@@ -239,10 +239,10 @@ def hybrid(spark, sf_dir):
 def _titled_pages(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return p.select(F.lit(1).alias("query_id"), F.col("page_id").alias("item_key"), title.alias("title"), F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("10.1/"), (F.col("page_id") % 21).cast("string"))).alias("doi"), (F.col("page_id") + 1).alias("rank"))
+    return p.select(F.floor(F.col("page_id") / 50).cast("long").alias("query_id"), F.col("page_id").alias("item_key"), title.alias("title"), F.when(F.col("page_id") % 7 == 0, F.concat(F.lit("10.1/"), (F.col("page_id") % 21).cast("string"))).alias("doi"), (F.col("page_id") + 1).alias("rank"))
 
 
-_PAGES = "p as (select 1 query_id, page_id item_key, regexp_extract(html, '<title>([^<]*)</title>', 1) title, case when page_id % 7 = 0 then '10.1/' || (page_id % 21) end doi, page_id + 1 rank from pages)"
+_PAGES = "p as (select page_id // 50 query_id, page_id item_key, regexp_extract(html, '<title>([^<]*)</title>', 1) title, case when page_id % 7 = 0 then '10.1/' || (page_id % 21) end doi, page_id + 1 rank from pages)"
 
 
 @query(
@@ -251,10 +251,10 @@ _PAGES = "p as (select 1 query_id, page_id item_key, regexp_extract(html, '<titl
  w as (select *, count(distinct d) over (partition by query_id, t) n, min(d) over (partition by query_id, t) one from k),
  i as (select *, case when d is not null then 'doi:' || d when t = '' then 'key:' || item_key when n = 1 then 'doi:' || one else 'title:' || t end id from w),
  g as (select query_id, id, list(item_key order by rank, item_key) ks, min(rank) fst from i group by all)
- select query_id, rank, item_key, aliases from (select query_id, row_number() over (partition by query_id order by fst)::int as rank, ks[1] item_key, ks[2:] aliases from g) where rank <= 50""",
+ select query_id, rank, item_key, aliases from (select query_id, row_number() over (partition by query_id order by fst)::int as rank, ks[1] item_key, ks[2:] aliases from g) where rank <= 20""",
 )
 def _(spark, sf_dir):
-    return retrieval.collapse(_titled_pages(spark, sf_dir), 50).select("query_id", "rank", "item_key", "aliases")
+    return retrieval.collapse(_titled_pages(spark, sf_dir), 20).select("query_id", "rank", "item_key", "aliases")
 
 
 def _clips(spark, sf_dir):
@@ -288,7 +288,9 @@ def _(spark, sf_dir):
 
 @query("latency_p95", "select event_type, round(avg(value), 6) as mean, round(quantile_cont(value, 0.95), 6) as p95 from events group by event_type")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"))
+    e = table(spark, sf_dir, "events").select("event_type", "value")
+    mean = e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
+    return mean.join(order.quantile(e, "value", 0.95, ["event_type"], "p95"), "event_type").select("event_type", "mean", F.round("p95", 6).alias("p95"))
 
 
 @query("eligible_candidates", "select doc_id from documents where doc_id in (select doc_id from labels where quality = 1) and doc_id not in (select doc_id from labels where toxic = 1)")
@@ -624,8 +626,7 @@ def _(spark, sf_dir):
 
 @query("prefix_pages", "select doc_id, (coalesce(sum(n_chars) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) // 1800)::bigint as page from documents")
 def _(spark, sf_dir):
-    before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, sf_dir, "documents").select("doc_id", F.floor(F.coalesce(F.sum("n_chars").over(before), F.lit(0)) / 1800).cast("long").alias("page"))
+    return order.start_pages(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "n_chars", [F.col("doc_id")], ["source"]).select("doc_id", "page")
 
 
 @query("json_props", "select event_id, (props ->> '$.k')::bigint as k from events")
