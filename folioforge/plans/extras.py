@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.clean import cleaned
 from ..functions.position import located
 from ..session import remove_at_exit, shared_folder
+from ..streaming.memory import counted, remembered
 from ..streaming.refresh import activity, newest, to_process
 
 QUERIES: dict = {}
@@ -54,6 +55,27 @@ def refresh_plan(spark, sf_dir):
     return to_process(newest(d), known)
 
 
+def refresh_memory(spark, sf_dir):
+    """Events as attempts on users' items, read as a stream in two parts with one checkpoint between them."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("item_key"), F.col("ts").cast("timestamp").alias("at"), F.date_format("ts", "yyyy-MM-dd").alias("date_modified"), F.when(F.floor("value") % 10 == 0, "ok").otherwise("failed").alias("outcome"))
+    folder = f"{shared_folder(spark)}/folioforge-memory-{uuid.uuid4().hex[:12]}"
+    remove_at_exit(spark, folder)
+    e = e.groupBy("item_key", "at").agg(F.min("date_modified").alias("date_modified"), F.max("outcome").alias("outcome"))  # one attempt a moment
+    half = e.agg(F.percentile_approx(F.unix_micros("at"), 0.5).alias("h")).first()["h"]
+    for i, part in enumerate((F.unix_micros("at") <= F.lit(half), F.unix_micros("at") > F.lit(half))):
+        e.filter(part).write.parquet(f"{folder}/in/part={i}")
+        stream = spark.readStream.schema(e.schema).parquet(f"{folder}/in/*")
+        query = counted(remembered(stream)).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.schema("item_key long, at timestamp, decision string, tries int").parquet(f"{folder}/out").withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+SQL["refresh_memory"] = """
+with a as (select user_id, ts, min(strftime(ts, '%Y-%m-%d')) as d, max(case when floor(value) % 10 = 0 then 'ok' else 'failed' end) as o from events group by all),
+f as (select *, row_number() over (partition by user_id, d order by ts) = 1 as first from a),
+g as (select *, coalesce(max(case when first and o = 'ok' then 1 else 0 end) over (partition by user_id order by ts rows between unbounded preceding and 1 preceding), 0) as done from f)
+select user_id as item_key, ts as "at", case when not first or done = 1 then 'skipped' when o = 'ok' then 'indexed' else 'failed' end as decision, (sum(case when first and done = 0 then 1 else 0 end) over (partition by user_id order by ts))::int as tries from g"""
+QUERIES["refresh_memory"] = refresh_memory
 QUERIES |= {"text_clean_v2": text_clean, "fuzzy_position": fuzzy_position, "event_activity": event_activity, "refresh_plan": refresh_plan}
 SQL["refresh_plan"] = "select doc_id as item_key, n_chars::varchar as date_modified from documents where doc_id % 2 <> 0 or (doc_id % 8 = 0 and n_chars::varchar <> 'old')"
 SQL["event_activity"] = "select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 6) as total from events group by all"
