@@ -104,3 +104,47 @@ def feed_item_markdown(title: Column, item_type: Column, is_read: Column, creato
         F.when(_has(url), F.concat(F.lit("**URL:** "), url)),
     ]
     return F.concat_ws("\n", *lines)
+
+
+def _part(item: DataFrame, name: str) -> Column:
+    return F.col(name).cast("string") if name in item.columns else F.lit(None).cast("string")
+
+
+def result_block(item: DataFrame, rank: Column | None = None, abstract_length: int | None = 200, with_tags: bool = True, extra: dict[str, Column] | None = None) -> Column:
+    """An item (item_key, item_type, title, date, creators, abstract, tags; any may be missing) in a list of results: heading with or
+    without its rank, fields, ``extra`` fields by their labels, abstract (None: whole, 0: none), tags, and a blank line."""
+    title = F.coalesce(_part(item, "title"), F.lit("Untitled"))
+    authors = creators_text(F.col("creators")) if "creators" in item.columns else F.lit("No authors listed")
+    lines = [
+        F.concat(F.lit("## "), rank.cast("string"), F.lit(". "), title) if rank is not None else F.concat(F.lit("## "), title),
+        F.concat(F.lit("**Type:** "), F.coalesce(_part(item, "item_type"), F.lit("unknown"))),
+        F.concat(F.lit("**Item Key:** "), F.coalesce(_part(item, "item_key"), F.lit(""))),
+        F.concat(F.lit("**Date:** "), F.coalesce(_part(item, "date"), F.lit("No date"))),
+        F.concat(F.lit("**Authors:** "), authors),
+        *[F.concat(F.lit(f"**{label}:** "), value.cast("string")) for label, value in (extra or {}).items()],
+    ]
+    if abstract_length != 0:
+        shown = truncated(_part(item, "abstract"), abstract_length) if abstract_length else _part(item, "abstract")
+        lines.append(F.when(_has(_part(item, "abstract")), F.concat(F.lit("**Abstract:** "), shown)))
+    if with_tags and "tags" in item.columns:
+        tags = F.array_join(F.transform("tags", lambda t: F.concat(F.lit("`"), t, F.lit("`"))), " ")
+        lines.append(F.when(_has(tags), F.concat(F.lit("**Tags:** "), tags)))
+    return F.concat(F.concat_ws("\n", *lines), F.lit("\n"))
+
+
+#: Characters that a full text has at least, to be given as such.
+LEAST_TEXT = 40
+
+
+def fetched_json(item: DataFrame, address: str) -> Column:
+    """What a connector fetches of an item: id, title, text, url, metadata. A text that is missing or too short gives way to
+    title, authors and abstract."""
+    key, title = _part(item, "item_key"), F.coalesce(_part(item, "title"), F.concat(F.lit("Item "), _part(item, "item_key")))
+    authors = creators_text(F.col("creators")) if "creators" in item.columns else F.lit("No authors listed")
+    text, abstract = _part(item, "fulltext"), _part(item, "abstract")
+    brief = F.concat(title, F.lit("\n\n"), F.lit("Authors: "), authors, F.lit("\n"), F.when(_has(abstract), F.concat(F.lit("Abstract:\n"), abstract)).otherwise(""))
+    enough = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")) >= LEAST_TEXT
+    tags = F.coalesce(F.col("tags"), F.array().cast("array<string>")) if "tags" in item.columns else F.array().cast("array<string>")
+    empty = lambda n: F.coalesce(_part(item, n), F.lit(""))
+    metadata = F.struct(empty("item_type").alias("itemType"), empty("date").alias("date"), key.alias("key"), empty("doi").alias("doi"), authors.alias("authors"), tags.alias("tags"))
+    return F.to_json(F.struct(key.alias("id"), title.alias("title"), F.when(enough, text).otherwise(brief).alias("text"), F.concat(F.lit(address), key).alias("url"), metadata.alias("metadata")))

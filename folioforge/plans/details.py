@@ -255,3 +255,36 @@ def _(spark, sf_dir):
     before = d.filter("doc_id % 11 <> 0").select("path", F.sha2("t", 256).alias("sha256"))
     after = d.filter("doc_id % 7 <> 0 or doc_id % 11 = 0").select("path", F.sha2(F.concat("t", F.when(F.col("doc_id") % 5 == 0, "!").otherwise("")), 256).alias("sha256"))
     return snapshot.changed_files(before, after)
+
+
+# --------------------------------------------------------------------------- renderings
+
+_TYPE = "case doc_id % 3 when 0 then 'book' when 1 then 'journalArticle' end"
+_WHO = "case when doc_id % 2 = 0 then 'van Doe, Jane' else coalesce(source, 'No authors listed') end"
+
+
+def _items(spark, sf_dir) -> DataFrame:
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    author = F.struct(F.when(k % 2 == 0, F.lit("Jane")).alias("firstName"), F.when(k % 2 == 0, F.lit("van Doe")).alias("lastName"), F.when(k % 2 != 0, F.col("source")).alias("name"))
+    return d.select(k.alias("item_key"), F.when(k % 3 == 0, "book").when(k % 3 == 1, "journalArticle").alias("item_type"), F.when(k % 7 != 0, first_line()).alias("title"), F.when(k % 5 != 0, F.lit("2021-05")).alias("date"), F.array(author).alias("creators"), F.when(k % 4 != 0, F.col("text")).alias("abstract"), F.when(k % 6 != 0, F.array("lang", F.lit("t"))).alias("tags"), F.when(k % 8 != 0, F.col("text")).alias("fulltext"))
+
+
+@query(
+    "result_blocks",
+    f"""select doc_id as item_key, '## ' || (doc_id + 1) || '. ' || coalesce(case when doc_id % 7 <> 0 then {TITLE} end, 'Untitled') || chr(10) || '**Type:** ' || coalesce({_TYPE}, 'unknown') || chr(10) || '**Item Key:** ' || doc_id || chr(10) || '**Date:** ' || case when doc_id % 5 <> 0 then '2021-05' else 'No date' end || chr(10) || '**Authors:** ' || {_WHO} || chr(10) || '**Similarity Score:** ' || (doc_id % 10)
+  || case when doc_id % 4 <> 0 and length(text) > 0 then chr(10) || '**Abstract:** ' || case when length(text) > 200 then left(text, 200) || '...' else text end else '' end || case when doc_id % 6 <> 0 and lang is not null then chr(10) || '**Tags:** `' || lang || '` `t`' when doc_id % 6 <> 0 then chr(10) || '**Tags:** `t`' else '' end || chr(10) as markdown from documents""",
+)
+def _(spark, sf_dir):
+    d = _items(spark, sf_dir)
+    return d.select("item_key", render.result_block(d, F.col("item_key") + 1, extra={"Similarity Score": F.col("item_key") % 10}).alias("markdown"))
+
+
+@query(
+    "connector_fetch",
+    f"""with i as (select doc_id, coalesce(case when doc_id % 7 <> 0 then {TITLE} end, 'Item ' || doc_id) as title, {_WHO} as who, case when doc_id % 8 <> 0 then text end as f, case when doc_id % 4 <> 0 then text end as a, lang, coalesce({_TYPE}, '') as kind from documents)
+select doc_id::varchar as id, title, case when length(regexp_replace(coalesce(f, ''), '^\\s+|\\s+$', '', 'g')) >= 40 then f else title || chr(10) || chr(10) || 'Authors: ' || who || chr(10) || case when length(a) > 0 then 'Abstract:' || chr(10) || a else '' end end as text, 'https://library.example.org/items/' || doc_id as url, kind, case when doc_id % 5 <> 0 then '2021-05' else '' end as date, who as authors, case when doc_id % 6 <> 0 then 2 else 0 end as n_tags from i""",
+)
+def _(spark, sf_dir):
+    d = _items(spark, sf_dir)
+    told = d.select(F.from_json(render.fetched_json(d, "https://library.example.org/items/"), "id string, title string, text string, url string, metadata struct<itemType: string, date: string, key: string, doi: string, authors: string, tags: array<string>>").alias("j"))
+    return told.select("j.id", "j.title", "j.text", "j.url", F.col("j.metadata.itemType").alias("kind"), "j.metadata.date", "j.metadata.authors", F.size("j.metadata.tags").alias("n_tags"))
