@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -112,11 +114,21 @@ def sliced(run: Callable, records: int = 1000) -> Callable:
     derives from one is bounded here, and no setting of the session changes."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return run(batch.slice(at, records) for batch in batches for at in range(0, batch.num_rows, records))
+        yield from run(batch.slice(at, records) for batch in batches for at in range(0, batch.num_rows, records))
+        give_back()
 
     return go
 
 
+def give_back() -> None:
+    """Workers outlive their tasks: what a task has freed goes back to the machine, not to the next task of this worker only."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def slim(table: DataFrame) -> DataFrame:
     """A side of a join that has one short row a key, or few: it is hashed, and the other side need not be sorted."""
     return table.hint("shuffle_hash")

@@ -78,7 +78,7 @@ def bag(text: str) -> Bag:
     data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     idx = np.concatenate([features(data, np.array([len(data)]), n) for n in ORDERS]) if len(data) else np.zeros(0, np.int64)
     found, n = np.unique(idx[idx < BUCKETS], return_counts=True)
-    return found.astype(np.uint16 if BUCKETS <= 1 << 16 else np.uint32), n.astype(np.uint32)
+    return found.astype(np.uint16 if BUCKETS <= 1 << 16 else np.uint32), n.astype(np.uint16 if n.max(initial=0) < 1 << 16 else np.uint32)
 
 
 def scrambled(text: str) -> str:
@@ -191,15 +191,18 @@ def fit(bags: list[Bag], labels: list[str], noise: np.ndarray, seed: int = 11) -
     order = rng.permutation(len(bags))
     held = set(order[: len(bags) // 5].tolist()) if len(bags) >= 50 else set()
     y = np.array([languages.index(x) for x in labels])
+    fitted = [i for i in order.tolist() if i not in held]
+    known = evidence_of(_noise_of([bags[i] for i in fitted]), noise)
     # All bags lie in two arrays, which go back whole when training ends.
     ends = np.cumsum([0, *[len(b) for b, _ in bags]]).tolist()
     buckets, shares = np.empty(ends[-1], np.uint16 if BUCKETS <= 1 << 16 else np.uint32), np.empty(ends[-1], np.float32)
     for i, (found, n) in enumerate(bags):
         buckets[ends[i] : ends[i + 1]], shares[ends[i] : ends[i + 1]] = found, n / max(1, n.sum())
+        if held and i not in held:
+            bags[i] = None  # what training reads lies in the arrays
     embed = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     weight, bias = np.zeros((DIM, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     weight += rng.normal(0, 0.1, weight.shape)
-    fitted = [i for i in order.tolist() if i not in held]
     epochs = max(EPOCHS, min(200, 5000 // max(1, len(fitted))))  # small samples are seen more often
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
@@ -221,7 +224,7 @@ def fit(bags: list[Bag], labels: list[str], noise: np.ndarray, seed: int = 11) -
     table = np.vstack([embed, np.zeros((1, DIM), np.float32)])
     narrow = len(languages) <= DIM
     model = Model(languages, np.einsum("ij,jk->ik", table, weight) if narrow else table, None if narrow else weight, bias.astype(float))
-    model.known = evidence_of(_noise_of([bags[i] for i in fitted]), noise)
+    model.known = known
     check = sorted(held) or fitted
     (z, evidence), truth = model.of_bags([bags[i] for i in check]), y[check]
 
@@ -271,10 +274,11 @@ def sample(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE, ro
     found = few.select("lang", "doc_id", "h", "text").withColumn("r", rank).filter(F.col("r") <= share).select("lang", "text", "r").coalesce(TASKS)
     told = found.mapInArrow(sliced(_bagged, 100), _BAG).collect()  # ``rows`` bags and a vector of BUCKETS a task
     kind = np.uint16 if BUCKETS <= 1 << 16 else np.uint32
+    counts = lambda b, n: np.frombuffer(n, np.uint16 if len(n) * np.dtype(kind).itemsize == len(b) * 2 else np.uint32)
     bags = sorted(((x["lang"], x["r"], x["buckets"], x["counts"]) for x in told if x["lang"] is not None), key=lambda x: x[:2])
     noise = [(np.frombuffer(x["noise"], np.float64), x["r"]) for x in told if x["lang"] is None]
     mean = sum((v for v, _ in noise), np.zeros(BUCKETS)) / max(1, sum(n for _, n in noise))
-    return [(np.frombuffer(b, kind), np.frombuffer(n, np.uint32)) for _, _, b, n in bags], [x[0] for x in bags], mean
+    return [(np.frombuffer(b, kind), counts(b, n)) for _, _, b, n in bags], [x[0] for x in bags], mean
 
 
 def identify(docs: DataFrame, usable: Column | None = None, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", model: Model | None = None, keep: tuple[str, ...] = ()) -> tuple[DataFrame, Model]:
