@@ -109,13 +109,14 @@ def free(*tables: DataFrame) -> None:
         discard(table.sparkSession, table._scratch_path)
 
 
-def sliced(run: Callable, records: int = 1000) -> Callable:
+def sliced(run: Callable, records: int = 1000, tidy: bool = False) -> Callable:
     """``run`` over Arrow batches of at most so many rows. Spark bounds a batch's bytes; what a function
-    derives from one is bounded here, and no setting of the session changes."""
+    derives from one is bounded here, and no setting of the session changes. ``tidy``: the worker gives back what it has freed."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batch.slice(at, records) for batch in batches for at in range(0, batch.num_rows, records))
-        give_back()
+        if tidy:
+            give_back()
 
     return go
 

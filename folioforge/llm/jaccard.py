@@ -254,8 +254,8 @@ def _once_a_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets_of(rows: DataFrame, classes: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """cid, members of the classes in ``ids``, each from the text of one of its rows: few others are shuffled."""
     wanted = written(classes.join(ids, "cid", "left_semi").select("key", "cid", "code", "n"), "jaccard-wanted")
-    texts = marked(rows, wanted).filter("_maybe").select("key", "text").mapInArrow(sliced(_once_a_key), "key long, text string").join(slim(wanted), "key")
-    out = written(texts.select("cid", "code", "n", "text").mapInArrow(sliced(_full_sets(k)), "cid long, members binary"), "jaccard-sets", records=100)
+    texts = marked(rows, wanted).filter("_maybe").select("key", "text").mapInArrow(sliced(_once_a_key, tidy=True), "key long, text string").join(slim(wanted), "key")
+    out = written(texts.select("cid", "code", "n", "text").mapInArrow(sliced(_full_sets(k), tidy=True), "cid long, members binary"), "jaccard-sets", records=100)
     free(wanted)
     return out
 
@@ -317,7 +317,7 @@ def _compare(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) ->
     its pairs as the second; the many pairs of a first are split by the adaptive join."""
     right = sets.toDF("b", "b_members").join(slim(pairs), "b")
     met = right.join(sets.toDF("a", "a_members"), "a")
-    return met.select("a", "b", "a_members", "b_members").mapInArrow(sliced(_compared(similarity)), "a long, b long, linked boolean")
+    return met.select("a", "b", "a_members", "b_members").mapInArrow(sliced(_compared(similarity), tidy=True), "a long, b long, linked boolean")
 
 
 # --------------------------------------------------------------------------- components
@@ -418,7 +418,7 @@ def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 def _in_components(rows: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
     """key, doc_id, n, and of rows with words label (of the component) and least (its smallest id)."""
-    signed = written(rows.mapInArrow(sliced(_signatures(k)), _SIGNATURES), "jaccard-signatures")
+    signed = written(rows.mapInArrow(sliced(_signatures(k), tidy=True), _SIGNATURES), "jaccard-signatures")
     signatures = signed.filter("not is_shingle").select("key", "doc_id", "n", "code", "bitmap")
     frequent, weight = _frequent(signed.filter("is_shingle").select("code", "n"))
     classes = signatures.filter("n > 0").groupBy("code", "n").agg(F.min("key").alias("key"), F.min("doc_id").alias("least"))
@@ -426,7 +426,7 @@ def _in_components(rows: DataFrame, k: int, similarity: tuple[int, int]) -> Data
     histogram = {r["n"]: r["c"] for r in classes.filter(F.col("n") <= 128).groupBy("n").agg(F.count("*").alias("c")).collect()}  # 128 rows at most
     boundary = boundary_of(histogram, similarity)
 
-    entries = rows.select("text").mapInArrow(sliced(_entries(k, similarity, boundary, frequent, weight)), "value long, code long, at long")
+    entries = rows.select("text").mapInArrow(sliced(_entries(k, similarity, boundary, frequent, weight), tidy=True), "value long, code long, at long")
     whole = Window.partitionBy("value")  # subsets' keys are hashed apart from shingles
     shared = entries.select("*", F.min("code").over(whole).alias("lo"), F.max("code").over(whole).alias("hi")).filter("lo <> hi").select("value", "code", "at").distinct()
     shared = shared.select("value", "code", F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("n"), F.shiftright("at", 32).cast("int").alias("place"))

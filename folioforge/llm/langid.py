@@ -272,7 +272,7 @@ def sample(docs: DataFrame, usable: Column, per_language: int = PER_LANGUAGE, ro
     few = labelled.join(F.broadcast(cut), "lang").filter(F.col("h") < F.col("cut") * F.lit(float(1 << 30)))  # rows // 10 languages at most
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     found = few.select("lang", "doc_id", "h", "text").withColumn("r", rank).filter(F.col("r") <= share).select("lang", "text", "r").coalesce(TASKS)
-    told = found.mapInArrow(sliced(_bagged, 100), _BAG).collect()  # ``rows`` bags and a vector of BUCKETS a task
+    told = found.mapInArrow(sliced(_bagged, 100, tidy=True), _BAG).collect()  # ``rows`` bags and a vector of BUCKETS a task
     kind = np.uint16 if BUCKETS <= 1 << 16 else np.uint32
     counts = lambda b, n: np.frombuffer(n, np.uint16 if len(n) * np.dtype(kind).itemsize == len(b) * 2 else np.uint32)
     bags = sorted(((x["lang"], x["r"], x["buckets"], x["counts"]) for x in told if x["lang"] is not None), key=lambda x: x[:2])
@@ -291,7 +291,7 @@ def identify(docs: DataFrame, usable: Column | None = None, doc_id: str = "doc_i
     kind = out.schema["doc_id"].dataType.simpleString()
     if kind == "void":
         out, kind = out.withColumn("doc_id", F.col("doc_id").cast("long")), "bigint"
-    return out.mapInArrow(sliced(predictor(model, drop=("text",))), f"doc_id {kind}, lang_pred string, score double, rejected boolean"), model
+    return out.mapInArrow(sliced(predictor(model, drop=("text",)), tidy=True), f"doc_id {kind}, lang_pred string, score double, rejected boolean"), model
 
 
 def predictor(model: Model, text: str = "text", drop: tuple[str, ...] = ()):
@@ -312,7 +312,7 @@ def accepted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     model; rows are then found by a hash of id and text, and few of them are shuffled for it."""
     rows = pick(docs, doc_id=doc_id, text=text, lang=lang).select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = fit(*sample(rows, F.lit(True)))
-    judged = rows.select(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("key"), "text").mapInArrow(sliced(predictor(model, drop=("text",))), "key long, lang_pred string, score double, rejected boolean")
+    judged = rows.select(F.xxhash64(F.col("doc_id").cast("string"), "text").alias("key"), "text").mapInArrow(sliced(predictor(model, drop=("text",)), tidy=True), "key long, lang_pred string, score double, rejected boolean")
     gone = written(judged.filter("rejected").select("key").distinct(), "langid-rejected")
     names, columns = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
     at = [F.lit(None) if i is None else F.col(f"c{i}") for i in (place_of(docs, doc_id), place_of(docs, text))]

@@ -281,7 +281,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", doc
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece; ids if kept.
     ``part`` and ``copy`` tell the pieces of repeated documents apart."""
     rows = pick(docs, doc_id=doc_id, text=text).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = written(rows.mapInArrow(sliced(_cutter(ranks_path, pattern, keep_ids, tuple(sorted((added or {}).items())))), _PIECES), "pack-pieces")
+    pieces = written(rows.mapInArrow(sliced(_cutter(ranks_path, pattern, keep_ids, tuple(sorted((added or {}).items()))), tidy=True), _PIECES), "pack-pieces")
     per_part = pieces.groupBy("part", "bucket").agg((F.max("local") + 1).alias("n"))
     before = Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = written(per_part.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))), "pack-offsets")
