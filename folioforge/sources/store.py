@@ -52,13 +52,20 @@ class IndexStore(Manifests):
         found = content_digest(rows.withColumn("document", F.coalesce("document", F.lit(""))), "item_key", "document").first()  # one row or none
         return found["digest"] if found else None
 
+    def _beside(self, rows: DataFrame, base: int) -> tuple[DataFrame, DataFrame]:
+        """What is published, and ``rows``, with the columns of both; nulls where one has none."""
+        old = self.read(base)
+        both = old.limit(0).unionByName(rows.limit(0), allowMissingColumns=True)
+        wide = lambda side: side.select(*[F.col(c) if c in side.columns else F.lit(None).cast(t).alias(c) for c, t in both.dtypes])
+        return wide(old), wide(rows)
+
     def upsert(self, rows: DataFrame) -> int:
         base = self.version()
-        return self.publish(upsert(self.read(base), rows, "item_key") if base and self.manifest(base)["model"] == self.model else rows, base)
+        return self.publish(upsert(*self._beside(rows, base), "item_key") if base and self.manifest(base)["model"] == self.model else rows, base)
 
     def insert(self, rows: DataFrame) -> int:
         base = self.version()
-        return self.publish(insert_only(self.read(base), rows, "item_key") if base else rows, base)
+        return self.publish(insert_only(*self._beside(rows, base), "item_key") if base else rows, base)
 
     def delete(self, keys: DataFrame) -> int:
         base = self.version()

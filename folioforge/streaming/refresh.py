@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import kept
+from ..sources.layers import LayeredIndex
 from ..sources.store import IndexStore
 
 
@@ -39,8 +40,9 @@ def newest(arrived: DataFrame) -> DataFrame:
 STATE = "item_key {key}, status string, date_modified string, batch long"
 
 
-def refresh(stream: DataFrame, store: IndexStore, checkpoint: str, embed):
-    """Starts a query over what has arrived, then stops. ``embed`` turns rows (item_key, document,
+def refresh(stream: DataFrame, store: IndexStore | LayeredIndex, checkpoint: str, embed):
+    """Starts a query over what has arrived, then stops. All columns of what is embedded reach the store; a layered index writes
+    no more than these rows. ``embed`` turns rows (item_key, document,
     date_modified, ...) into rows with an embedding, null where that failed. What became of each key lies beside the
     checkpoint, by batch, so a repeated batch replaces its own share; the newest entry of a key counts."""
     spark, state = stream.sparkSession, f"{checkpoint.rstrip('/')}-state"
@@ -53,7 +55,7 @@ def refresh(stream: DataFrame, store: IndexStore, checkpoint: str, embed):
         made = kept(embed(to_process(newest(rows), known)), "refreshed")
         good = made.filter("embedding is not null")
         if not good.isEmpty():
-            store.upsert(good.select("item_key", "document", "embedding"))
+            store.upsert(good)
         outcome = made.select("item_key", F.when(F.col("embedding").isNull(), "failed").otherwise("indexed").alias("status"), "date_modified")
         outcome.write.mode("overwrite").parquet(f"{state}/batch={number}")
 

@@ -170,3 +170,21 @@ def test_changed_keys_are_found_from_the_root(spark):
     with pytest.raises(ValueError, match=r"two reads differ: .*7 \(changed\)"):
         hashtree.agreeing_reads(a, b.filter("k is not null"), "k", ["source"])
     assert hashtree.HashTree(a.limit(0), "k", ["text"]).root() == (None, 0)
+
+
+def test_refresh_keeps_every_column_in_a_layered_index(spark, tmp_path):
+    from folioforge.sources.store import IndexStore
+    from folioforge.streaming.refresh import refresh
+
+    F = retrieval.F
+    schema = "item_key string, document string, date_modified string, title string"
+    embed = lambda rows: rows.withColumn("embedding", F.array(F.lit(1.0), F.lit(2.0)))
+    layered, whole = LayeredIndex(spark, f"file://{tmp_path}/l"), IndexStore(spark, f"file://{tmp_path}/w", 2, "m")
+    whole.publish(spark.createDataFrame([("z", "old", [0.0, 1.0], 5)], "item_key string, document string, embedding array<double>, more int"))
+    for turn, rows in enumerate(([("a", "one", "1", "A"), ("b", "two", "1", "B")], [("c", "three", "2", None)])):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        for name, store in (("l", layered), ("w", whole)):
+            refresh(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), store, f"{tmp_path}/check-{name}", embed).awaitTermination()
+    assert {(r.item_key, r.title, r.date_modified) for r in layered.read().collect()} == {("a", "A", "1"), ("b", "B", "1"), ("c", None, "2")}
+    assert [c["rows"] for c in layered.manifest()["changes"]] == [2, 1]
+    assert {(r.item_key, r.title, r.more) for r in whole.read().collect()} == {("z", None, 5), ("a", "A", None), ("b", "B", None), ("c", None, None)}
