@@ -138,7 +138,9 @@ def bm25(docs: DataFrame | None, queries: DataFrame, title_weight: float = 3.0,
     if eligible is not None:
         tf = tf.join(eligible.select("item_key").distinct(), "item_key", "left_semi")
     part = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("l") / F.lit(held.average)))
-    parts = tf.join(weights, "t").select("item_key", "term", part.alias("part")).repartition("item_key").sortWithinPartitions("item_key", "term")
+    parts = tf.join(weights, "t").select("item_key", "term", part.alias("part"))
+    # Dealt by a hash: a join by item before it would stand in for an exchange by item, and may itself become a broadcast that reads as rows lie.
+    parts = parts.repartition(F.xxhash64("item_key")).sortWithinPartitions("item_key", "term")
     kinds = queries.schema["query_id"].dataType.simpleString(), parts.schema["item_key"].dataType.simpleString()
     asked = [sorted(wanted[t]) for t in terms]
     scored = parts.mapInArrow(_summed(ids, asked, k, allowed), f"query_id {kinds[0]}, item_key {kinds[1]}, exact double")
