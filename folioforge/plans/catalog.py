@@ -23,6 +23,10 @@ def query(name: str, sql: str):
     return keep
 
 
+#: Numbers that one kind of item may have: notes begin there, so no table grows into another's.
+NUMBERS = 1 << 40
+
+
 def tables(spark, sf_dir) -> dict:
     c, n, o = (table(spark, sf_dir, x) for x in ("customer", "nation", "orders"))
     values = c.select("c_custkey", F.explode(F.array(F.struct(F.lit(1).alias("f"), F.col("c_name").alias("v")), F.struct(F.lit(2).alias("f"), F.col("c_mktsegment").alias("v")), F.struct(F.lit(26).alias("f"), F.concat(F.lit("10.1/"), F.col("c_custkey").cast("string")).alias("v")))).alias("x"))
@@ -38,7 +42,7 @@ def tables(spark, sf_dir) -> dict:
         "itemDataValues": data.select("valueID", "value"),
         "creators": n.select(F.col("n_nationkey").alias("creatorID"), F.when(F.col("n_nationkey") % 3 != 0, F.lit("Ann")).alias("firstName"), F.when(F.col("n_nationkey") % 7 != 0, F.col("n_name")).alias("lastName")),
         "itemCreators": makers.withColumn("orderIndex", F.col("creatorID")),
-        "itemNotes": o.select((F.col("o_orderkey") + 10_000_000).alias("itemID"), F.col("o_custkey").alias("parentItemID"), F.concat(F.lit("<p>"), "o_orderpriority", F.lit("</p>")).alias("note")),
+        "itemNotes": o.select((F.col("o_orderkey") + NUMBERS).alias("itemID"), F.col("o_custkey").alias("parentItemID"), F.concat(F.lit("<p>"), "o_orderpriority", F.lit("</p>")).alias("note")),
         "deletedItems": c.filter("c_acctbal < 0").select(F.col("c_custkey").alias("itemID")),
         "libraries": literal([(0, "user"), (1, "group"), (2, "feed")], "libraryID int, type string"),
     }

@@ -11,7 +11,7 @@ from ..functions import text as X
 from ..operators import acquire, changes, render, search, snapshot
 from ..operators import items as I
 from . import library as plans
-from .catalog import tables
+from .catalog import NUMBERS, tables
 from .library import TITLE, first_line, table
 from .literals import filled, sql_filled
 
@@ -29,24 +29,27 @@ def query(name: str, sql: str):
 
 # --------------------------------------------------------------------------- annotations, attachments, feeds
 
+#: Where the numbers of parts, orders and suppliers begin as items, far enough apart for tables of any size; keys keep their own numbers.
+PARTS, ORDERS, FEEDS = 2 * NUMBERS, 3 * NUMBERS, 4 * NUMBERS
+
 
 def _library(spark, sf_dir) -> dict[str, DataFrame]:
     """``catalog.tables``, with parts as attachments of the customers of their numbers, orders as annotations on these, and suppliers
     as items of feeds, which nations are."""
     t = tables(spark, sf_dir)
     p, o, s, n = (table(spark, sf_dir, x) for x in ("part", "orders", "supplier", "nation"))
-    more = lambda rows, number, letter, kind, library: rows.select(number.alias("itemID"), F.concat(F.lit(letter), number.cast("string")).alias("key"), F.lit(kind).alias("itemTypeID"), library.cast("int").alias("libraryID"), F.lit("").alias("dateAdded"), F.lit("").alias("dateModified"))
-    part, order = F.col("p_partkey") + 20_000_000, F.col("o_orderkey") + 30_000_000
+    more = lambda rows, number, named, letter, kind, library: rows.select(number.alias("itemID"), F.concat(F.lit(letter), named.cast("string")).alias("key"), F.lit(kind).alias("itemTypeID"), library.cast("int").alias("libraryID"), F.lit("").alias("dateAdded"), F.lit("").alias("dateModified"))
+    part, order, feeds = F.col("p_partkey") + PARTS, F.col("o_orderkey") + ORDERS, F.col("s_suppkey") + FEEDS
     t["itemAttachments"] = p.select(part.alias("itemID"), F.col("p_partkey").alias("parentItemID"), F.concat(F.lit("storage:"), "p_name").alias("path"), F.when(F.col("p_size") % 2 == 0, "application/pdf").otherwise("text/html").alias("contentType"))
-    t["itemAnnotations"] = o.select(order.alias("itemID"), (F.col("o_custkey") + 20_000_000).alias("parentItemID"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("text"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus")).alias("comment"), (F.col("o_orderkey") % 7).cast("int").alias("type"), F.lit("#ffd400").alias("color"), F.lit("").alias("pageLabel"))
-    feed = s.select((F.col("s_suppkey") + 40_000_000).alias("itemID"), F.concat(F.lit("F"), "s_suppkey").alias("key"), F.lit(1).alias("itemTypeID"), (F.col("s_nationkey") + 100).cast("int").alias("libraryID"), F.format_string("2020-%04d", F.col("s_suppkey") % 50).alias("dateAdded"), F.lit("").alias("dateModified"))
-    t["items"] = reduce(DataFrame.unionByName, [t["items"], more(p, part, "A", 2, F.lit(0)), more(o, order, "T", 3, F.lit(0)), feed])
+    t["itemAnnotations"] = o.select(order.alias("itemID"), (F.col("o_custkey") + PARTS).alias("parentItemID"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderpriority")).alias("text"), F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus")).alias("comment"), (F.col("o_orderkey") % 7).cast("int").alias("type"), F.lit("#ffd400").alias("color"), F.lit("").alias("pageLabel"))
+    feed = s.select(feeds.alias("itemID"), F.concat(F.lit("F"), "s_suppkey").alias("key"), F.lit(1).alias("itemTypeID"), (F.col("s_nationkey") + 100).cast("int").alias("libraryID"), F.format_string("2020-%04d", F.col("s_suppkey") % 50).alias("dateAdded"), F.lit("").alias("dateModified"))
+    t["items"] = reduce(DataFrame.unionByName, [t["items"], more(p, part, F.col("p_partkey") + 20_000_000, "A", 2, F.lit(0)), more(o, order, F.col("o_orderkey") + 30_000_000, "T", 3, F.lit(0)), feed])
     t["feeds"] = n.select((F.col("n_nationkey") + 100).alias("libraryID"), F.col("n_name").alias("name"), F.concat(F.lit("http://"), "n_name").alias("url"))
-    t["feedItems"] = s.select((F.col("s_suppkey") + 40_000_000).alias("itemID"), F.when(F.col("s_suppkey") % 2 == 0, F.lit("2021")).alias("readTime"))
-    values = s.select((F.col("s_suppkey") + 40_000_000).alias("itemID"), F.lit(1).alias("fieldID"), (F.col("s_suppkey") + 50_000_000).alias("valueID"), F.col("s_name").alias("value"))
+    t["feedItems"] = s.select(feeds.alias("itemID"), F.when(F.col("s_suppkey") % 2 == 0, F.lit("2021")).alias("readTime"))
+    values = s.select(feeds.alias("itemID"), F.lit(1).alias("fieldID"), (-F.col("s_suppkey") - 1).alias("valueID"), F.col("s_name").alias("value"))
     t["itemData"] = t["itemData"].unionByName(values.select("itemID", "fieldID", "valueID"))
     t["itemDataValues"] = t["itemDataValues"].unionByName(values.select("valueID", "value"))
-    t["itemCreators"] = t["itemCreators"].unionByName(s.select((F.col("s_suppkey") + 40_000_000).alias("itemID"), F.col("s_nationkey").alias("creatorID"), F.col("s_nationkey").alias("orderIndex")))
+    t["itemCreators"] = t["itemCreators"].unionByName(s.select(feeds.alias("itemID"), F.col("s_nationkey").alias("creatorID"), F.col("s_nationkey").alias("orderIndex")))
     return t
 
 
@@ -70,7 +73,7 @@ def _(spark, sf_dir):
 
 @query("attachments_of_parents", "select p_partkey + 20000000 as \"itemID\", 'A' || (p_partkey + 20000000) as key, 'storage:' || p_name as path, case when p_size % 2 = 0 then 'application/pdf' else 'text/html' end as \"contentType\" from part where p_partkey = 7")
 def _(spark, sf_dir):
-    return I.parent_attachments(_library(spark, sf_dir), 7)
+    return I.parent_attachments(_library(spark, sf_dir), 7).withColumn("itemID", F.col("itemID") - PARTS + 20_000_000)
 
 
 @query("feed_list", "select (n_nationkey + 100)::int as \"libraryID\", n_name as name, 'http://' || n_name as url, count(s_suppkey) as n_items from nation left join supplier on s_nationkey = n_nationkey group by all")
@@ -83,7 +86,7 @@ _FEED = "select s_suppkey, 'F' || s_suppkey as key, '2020-' || lpad((s_suppkey %
 
 @query("newest_feed_items", f"select s_suppkey + 40000000 as \"itemID\", key, 'journalArticle' as item_type, added as \"dateAdded\", is_read, s_name as title, null::varchar as abstract, null::varchar as url, creators from ({_FEED})")
 def _(spark, sf_dir):
-    return I.newest_feed_items(_library(spark, sf_dir), 104)
+    return I.newest_feed_items(_library(spark, sf_dir), 104).withColumn("itemID", F.col("itemID") - FEEDS + 40_000_000)
 
 
 @query("feed_markdown", f"select key, '### ' || s_name || chr(10) || '**Type:** journalArticle | **Status:** ' || case when is_read then 'Read' else 'Unread' end || coalesce(chr(10) || '**Authors:** ' || creators, '') || chr(10) || '**Added:** ' || added as markdown from ({_FEED})")
@@ -102,7 +105,7 @@ def _(spark, sf_dir):
 @query("filled_annotations", "select o_orderkey from orders where o_orderkey % 5 <> 0 or o_orderkey % 3 = 0")
 def _(spark, sf_dir):
     t = _library(spark, sf_dir)["itemAnnotations"]
-    return I.filled_annotations(t).select((F.col("itemID") - 30_000_000).alias("o_orderkey"))
+    return I.filled_annotations(t).select((F.col("itemID") - ORDERS).alias("o_orderkey"))
 
 
 # --------------------------------------------------------------------------- merges, labels, collections

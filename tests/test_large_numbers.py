@@ -26,3 +26,28 @@ def test_filtered_scores_where_a_join_becomes_a_broadcast(spark, tmp_path):
         for k in said:
             spark.conf.unset(k)
     assert got == want
+
+
+@pytest.fixture(scope="module")
+def shifted(spark, tmp_path_factory):
+    """Few rows with the keys of tables many times as large."""
+    out = str(tmp_path_factory.mktemp("shifted"))
+    read = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
+    customers = read("customer").withColumn("c_custkey", F.col("c_custkey") + 500_000)
+    orders = read("orders").withColumn("o_custkey", F.col("o_custkey") + 500_000)
+    orders = orders.unionByName(orders.limit(50).withColumn("o_orderkey", F.col("o_orderkey") + 10_000_000))
+    for name, rows in {"customer": customers, "orders": orders, "part": read("part").withColumn("p_partkey", F.col("p_partkey") + 500_000), "supplier": read("supplier"), "nation": read("nation")}.items():
+        rows.write.parquet(f"{out}/{name}.parquet")
+    db = duckdb.connect()
+    for name in ("customer", "orders", "part", "supplier", "nation"):
+        db.execute(f"create view {name} as select * from '{out}/{name}.parquet/*.parquet'")
+    return out, db
+
+
+@pytest.mark.parametrize("name", ["annotation_search", "notes_and_annotations", "filled_annotations", "feed_list"])
+def test_large_keys_match_sql(spark, shifted, name):
+    out, db = shifted
+    got = details.QUERIES[name](spark, out)
+    want = db.sql(details.SQL[name])
+    at = [list(want.columns).index(c) for c in got.columns]
+    assert sorted(repr(tuple(r)) for r in got.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
