@@ -179,11 +179,12 @@ def _search(k: int):
 
 def _meet(buckets: DataFrame, blocks: DataFrame, n_buckets: int, n_blocks: int) -> DataFrame:
     """Each bucket with each block of its dimension, in a grid of cells: a bucket goes to every
-    column of its line, a block to every line of its column, and a cell joins what meets there."""
+    column of its line, a block to every line of its column, and a cell joins what meets there. Neither side is
+    broadcast: files are small beside the matrices in them, and the driver would hold all copies of a side."""
     lines, columns = max(1, min(LINES, n_buckets)), max(1, -(-n_blocks // COLUMN))
     wide = buckets.withColumn("line", F.pmod(F.xxhash64("dim", "grp"), F.lit(lines))).withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))))
     tall = blocks.withColumn("column", F.pmod(F.xxhash64("q_grp"), F.lit(columns)).cast("int")).withColumn("line", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lines - 1).cast("long"))))
-    return wide.join(tall, ["dim", "line", "column"])
+    return wide.hint("merge").join(tall, ["dim", "line", "column"])
 
 
 def topk(vectors: DataFrame, k: int = 10, query_every: int = 100, scale: int = 1024, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:

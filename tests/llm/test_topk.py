@@ -69,3 +69,12 @@ def test_length_prunes():
     found = list(T.search_bucket(np.array([-1]), q, np.array([bound]), ids, m, 500, stats))
     scores = m @ q[0]
     assert stats == {"by_length": 1} and sorted(s for _, _, x in found for s in x.tolist()) == sorted(s for s in scores.tolist() if s >= bound)
+
+
+def test_matrices_are_not_broadcast(spark):
+    grp, m = "dim int, grp long, ids binary, m binary", "dim int, q_grp long, q_ids binary, q_m binary"
+    buckets = spark.createDataFrame([(2, i, b"i", b"m") for i in range(3)], grp)
+    blocks = spark.createDataFrame([(2, i, b"q", b"n") for i in range(2)], m)
+    met = T._meet(buckets, blocks, 3, 2)
+    assert len(met.collect()) == 6
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
