@@ -115,6 +115,8 @@ SQL["hybrid_kept"] = plans.SQL["hybrid_search"]
 
 # --------------------------------------------------------------------------- layers and trees
 
+#: Texts a range at most, so ranges grow in number and not in what a task reads of them.
+ROWS_A_RANGE = 20_000
 
 @query(
     "index_replay",
@@ -126,7 +128,7 @@ SQL["hybrid_kept"] = plans.SQL["hybrid_search"]
 def _(spark, sf_dir):
     """Ten batches over a published index: upserts of old and new keys, deletions, compactions on the way."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_key"), F.coalesce("text", F.lit("")).alias("document"), F.lit(False).alias("replaced"))
-    index = LayeredIndex(spark, _folder(spark, "layers"), per_range=max(100, d.count() // 5))
+    index = LayeredIndex(spark, _folder(spark, "layers"), per_range=max(100, min(ROWS_A_RANGE, d.count() // 5)))
     index.publish(d)
     most = d.agg(F.max("item_key")).first()[0] or 0
     changed = lambda rows, mark: rows.select("item_key", F.concat("document", F.lit(mark)).alias("document"), F.lit(True).alias("replaced"))

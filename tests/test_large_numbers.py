@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioforge.operators import items, retrieval
-from folioforge.plans import details, library
+from folioforge.plans import details, indexes, library
 from folioforge.sources.postings import Postings
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +66,12 @@ def test_spans_of_long_texts_match_sql(spark, tmp_path):
     db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     got = sorted(tuple(r) for r in library.QUERIES["span_overlap"](spark, str(tmp_path)).collect())
     assert got == sorted(db.sql(library.SQL["span_overlap"]).fetchall())
+
+
+def test_ranges_grow_in_number(spark, monkeypatch):
+    monkeypatch.setattr(indexes, "ROWS_A_RANGE", 100)
+    made = []
+    real = indexes.LayeredIndex.publish
+    monkeypatch.setattr(indexes.LayeredIndex, "publish", lambda self, rows: made.append(self) or real(self, rows))
+    indexes.QUERIES["index_replay"](spark, "/root/testdata/sf0.01")
+    assert made[0].per_range == 100 and len(made[0].manifest(1)["ranges"]) == 10
