@@ -14,7 +14,7 @@ null, of another dimension or not finite are refused with their number. An index
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -90,30 +90,31 @@ def _dealt(centroids: np.ndarray):
     return run
 
 
-def _scored(ids: list, asked: np.ndarray, probes: Mapping[int, np.ndarray], apart: np.ndarray, within: np.ndarray, k: int, metric: str):
-    """(query_id, item_key, exact): of each batch, which holds few lists, the k best for each query that probes one of them.
-    ``apart`` has the queries' distances to the centroids, ``within`` how far a row may be from the query."""
+def _scored(ids: list, asked: np.ndarray, reach: np.ndarray, apart: np.ndarray, within: np.ndarray, k: int, metric: str):
+    """(query_id, item_key, exact): of each batch, which holds few lists, the k best for each query that probes one of them. Queries
+    go one after another, so what is held beside a batch are k rows a query. ``reach`` has the lists that a query probes, ``apart`` the queries' distances to the centroids, ``within`` how far a row may be from the query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists, distance = batch.column("list").to_numpy(), batch.column("distance").to_numpy()
             m, keys = _matrix(batch.column("v")), batch.column("item_key")
             order = keys.to_numpy(zero_copy_only=False)
-            found: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-            for number in np.unique(lists):
-                rows = np.flatnonzero(lists == number)
-                for q in probes.get(int(number), ()):
-                    near = rows[np.abs(distance[rows] - apart[q, number]) <= within[q]]
-                    if len(near):
-                        d = ((m[near] - asked[q]) ** 2).sum(1)
-                        found.setdefault(int(q), []).append((near, 1.0 - d if metric == "l2" else 1.0 - d / 2))
-            for q, parts in found.items():
-                near, score = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            out_q, out_i, out_s = [], [], []
+            for q in np.flatnonzero(reach[:, np.unique(lists)].any(1)).tolist() if len(lists) else ():
+                near = np.flatnonzero(reach[q, lists] & (np.abs(distance - apart[q, lists]) <= within[q]))
+                if not len(near):
+                    continue
+                d = ((m[near] - asked[q]) ** 2).sum(1)
+                score = 1.0 - d if metric == "l2" else 1.0 - d / 2
                 if len(score) > k:
                     enough = score >= np.partition(score, -k)[-k]
                     near, score = near[enough], score[enough]
                 best = np.lexsort((order[near], -score))[:k]
-                yield pa.RecordBatch.from_arrays([pa.array([ids[q]] * len(best)), keys.take(pa.array(near[best])), pa.array(score[best])], names=["query_id", "item_key", "exact"])
+                out_q += [ids[q]] * len(best)
+                out_i.append(near[best])
+                out_s.append(score[best])
+            if out_q:
+                yield pa.RecordBatch.from_arrays([pa.array(out_q), keys.take(pa.array(np.concatenate(out_i))), pa.array(np.concatenate(out_s))], names=["query_id", "item_key", "exact"])
 
     return run
 
@@ -226,8 +227,7 @@ class VectorIndex(Manifests):
             return self.spark.createDataFrame([], schema)
         rows = self.rows(m).filter(F.col("folder").isin(sorted({i // PER_FOLDER for i in lists})) & F.col("list").isin(lists))
         rows = rows.filter(where) if where is not None else rows
-        probes = {i: np.flatnonzero(reach[:, i]) for i in lists}
-        return rows.select("item_key", "v", "list", "distance").mapInArrow(_scored(ids, q, probes, apart, within, k, m["metric"]), schema)
+        return rows.select("item_key", "v", "list", "distance").mapInArrow(_scored(ids, q, reach, apart, within, k, m["metric"]), schema)
 
 
 def recall(found: DataFrame, wanted: DataFrame) -> DataFrame:

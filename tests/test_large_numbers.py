@@ -68,6 +68,22 @@ def test_spans_of_long_texts_match_sql(spark, tmp_path):
     assert got == sorted(db.sql(library.SQL["span_overlap"]).fetchall())
 
 
+def test_lists_of_a_batch_are_told_at_once():
+    """A batch gives one batch of its best rows, and what it holds does not grow with the queries that read it."""
+    rng = np.random.default_rng(4)
+    n, queries = 20_000, 300
+    v, asked = rng.normal(size=(n, 8)), rng.normal(size=(queries, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(v.tolist()), pa.array(np.zeros(n, np.int32)), pa.array(np.sqrt((v * v).sum(1)))], names=["item_key", "v", "list", "distance"])
+    run = vectors._scored(list(range(queries)), asked, np.ones((queries, 1), bool), np.sqrt((asked * asked).sum(1))[:, None], np.full(queries, np.inf), 3, "l2")
+    tracemalloc.start()
+    got = list(run(iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 1 and got[0].num_rows == 3 * queries and most < 8 * n * queries
+    one = [r["item_key"] for r in got[0].to_pylist() if r["query_id"] == 7]
+    assert one == np.argsort(((v - asked[7]) ** 2).sum(1))[:3].tolist()
+
+
 def test_ranges_grow_in_number(spark, monkeypatch):
     monkeypatch.setattr(indexes, "ROWS_A_RANGE", 100)
     made = []
