@@ -148,13 +148,19 @@ def bm25(docs: DataFrame | None, queries: DataFrame, title_weight: float = 3.0,
 
 
 def _summed(ids: list, asked: list[list[int]], k: int | None, allowed: Allowed | None = None, rows: int = 20_000):
-    """(query_id, item_key, exact) of rows (item_key, term, part) that come sorted by item and term."""
+    """(query_id, item_key, exact) of rows (item_key, term, part) that come sorted by item and term; with ``k``, a task's k best of each
+    query, which it holds until its last row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.cumsum([0, *map(len, asked)])
         queries = np.array([q for a in asked for q in a], np.int64)
 
-        def scored(table: pa.Table) -> pa.RecordBatch:
+        def best(q: np.ndarray, total: np.ndarray) -> np.ndarray:
+            order = np.lexsort((np.arange(len(q)), -total, q))  # of a query, rows come by key
+            place = np.arange(len(order)) - np.searchsorted(q[order], q[order])
+            return np.sort(order[place < k])
+
+        def scored(table: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray]:
             keys = table.column("item_key").to_numpy()
             term, part = table.column("term").to_numpy(), table.column("part").to_numpy()
             new = np.r_[True, keys[1:] != keys[:-1]]
@@ -173,14 +179,22 @@ def _summed(ids: list, asked: list[list[int]], k: int | None, allowed: Allowed |
                         keep[mine] = may
                 q, item, total = q[keep], item[keep], total[keep]
             if k is not None:
-                order = np.lexsort((item, -total, q))  # items are sorted by key
-                place = np.arange(len(order)) - np.searchsorted(q[order], q[order])
-                keep = np.sort(order[place < k])
+                keep = best(q, total)
                 q, item, total = q[keep], item[keep], total[keep]
-            chosen = table.column("item_key").take(pa.array(starts[item])).combine_chunks()
-            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), chosen, pa.array(total)], names=["query_id", "item_key", "exact"])
+            return q, table.column("item_key").take(pa.array(starts[item])).combine_chunks(), total
+
+        def told(q: np.ndarray, chosen: pa.Array, total: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()]), chosen, pa.array(total)], names=["query_id", "item_key", "exact"])
+
+        def merged(a, b):
+            if a is None:
+                return b
+            q, total = np.r_[a[0], b[0]], np.r_[a[2], b[2]]
+            keep = best(q, total)
+            return q[keep], pa.concat_arrays([a[1], b[1]]).take(pa.array(keep)), total[keep]
 
         held: list[pa.Table] = []
+        top = None
         for batch in batches:
             held.append(pa.Table.from_batches([batch]))
             if sum(t.num_rows for t in held) >= rows:
@@ -188,10 +202,17 @@ def _summed(ids: list, asked: list[list[int]], k: int | None, allowed: Allowed |
                 keys = table.column("item_key").to_numpy()
                 cut = int(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])[-1])  # the last item may go on
                 if cut:
-                    yield scored(table.slice(0, cut))
+                    found = scored(table.slice(0, cut))
+                    if k is None:
+                        yield told(*found)
+                    else:
+                        top = merged(top, found)
                 held = [table.slice(cut)]
         if held and sum(t.num_rows for t in held):
-            yield scored(pa.concat_tables(held).combine_chunks())
+            found = scored(pa.concat_tables(held).combine_chunks())
+            top = found if k is None else merged(top, found)
+        if top is not None and len(top[0]):
+            yield told(*top)
 
     return run
 

@@ -1,11 +1,16 @@
 """Numbers and plans as larger tables have them: keys that once met other tables' keys, joins that turn into broadcasts as they run."""
 
+import tracemalloc
+
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from folioforge.operators import items, retrieval
 from folioforge.plans import details, indexes, library
+from folioforge.sources import vectors
 from folioforge.sources.postings import Postings
 
 SF = "/root/testdata/sf0.001"
@@ -68,6 +73,23 @@ def test_spans_of_long_texts_match_sql(spark, tmp_path):
     assert got == sorted(db.sql(library.SQL["span_overlap"]).fetchall())
 
 
+def test_a_task_gives_the_best_of_all_its_batches():
+    """However many batches a task reads, k rows a query leave it."""
+    rng = np.random.default_rng(3)
+    rows = [(key, term, float(rng.integers(1, 5))) for key in range(400) for term in range(2)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at : at + 50]]) for i in range(3)], names=["item_key", "term", "part"]) for at in range(0, len(rows), 50)]
+    asked = [[0, 1], [1]]
+    got = [r for b in retrieval._summed([10, 20], asked, 5, rows=60)(iter(batches)) for r in b.to_pylist()]
+    want = []
+    for q, name in enumerate((10, 20)):
+        total: dict = {}
+        for key, term, part in rows:
+            if q in asked[term]:
+                total[key] = total.get(key, 0.0) + part
+        want += [(name, key, x) for key, x in sorted(total.items(), key=lambda t: (-t[1], t[0]))[:5]]
+    assert sorted((r["query_id"], r["item_key"], r["exact"]) for r in got) == sorted(want)
+
+
 def test_lists_of_a_batch_are_told_at_once():
     """A batch gives one batch of its best rows, and what it holds does not grow with the queries that read it."""
     rng = np.random.default_rng(4)
