@@ -3,17 +3,18 @@ result, and steps that no query needs are not run."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import folded, search_variants
 from ..session import kept
 
-#: Queries whose words meet a row as one literal.
-BLOCK = 100
+#: Rows whose answers leave together.
+BLOCK = 1000
 YEAR = r"^(1[89]\d{2}|20\d{2})$"
 
 
@@ -48,23 +49,41 @@ STEPS: tuple[tuple[str, Callable[[Column], Column], str], ...] = (
 )
 
 
+def _held(by_word: Mapping[str, list[tuple[int, list[str]]]]):
+    """Which queries a row's text answers. by_word: of each spelling the longest word, with the query's number and all its words;
+    a text is searched for a word once, and for the others of a spelling only where that one is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                batch, found, places = whole.slice(at, BLOCK), [], []
+                for i, text in enumerate(batch.column("_text").to_pylist()):
+                    hit = {q for word, asked in by_word.items() if word in text for q, words in asked if all(w in text for w in words)}
+                    found += hit
+                    places += [i] * len(hit)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), batch.column("item_key").take(pa.array(places, pa.int64()))], names=["_at", "item_key"])
+
+    return run
+
+
 def matched(items: DataFrame, text: Column, asked: DataFrame, limit: int) -> DataFrame:
     """query_id, item_key, rank: the first ``limit`` items, by key, whose ``text`` holds all words of any spelling of a
-    query (query_id, said), accents, dashes and case aside. The queries are a stated set; an item meets BLOCK of them at once."""
+    query (query_id, said), accents, dashes and case aside. The queries are a stated set; an item meets all of them in one scan."""
     spelled = asked.select("query_id", F.explode(search_variants(F.col("said"))).alias("v")).select("query_id", F.array_distinct(_words(F.lower(folded(F.col("v"))))).alias("words")).filter(F.size("words") > 0).distinct()
     told: dict = {}
     for r in spelled.toLocalIterator():
         told.setdefault(r["query_id"], []).append(sorted(r["words"]))
-    kind = asked.schema["query_id"].dataType
-    ids, found = sorted(told), []
-    rows = items.select("item_key", F.lower(folded(F.coalesce(text, F.lit("")))).alias("_text"))
-    for at in range(0, len(ids), BLOCK):
-        hits = [F.when(reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.contains("_text", F.lit(w)) for w in words]) for words in told[q]]), F.lit(q).cast(kind)) for q in ids[at : at + BLOCK]]
-        found.append(rows.select("item_key", F.explode(F.array_compact(F.array(*hits))).alias("query_id")))
-    if not found:
+    kind, key = asked.schema["query_id"].dataType, items.schema["item_key"].dataType
+    if not told:
         return items.select(F.lit(None).cast(kind).alias("query_id"), "item_key", F.lit(0).alias("rank")).limit(0)
+    ids, by_word = sorted(told), {}
+    for at, q in enumerate(ids):
+        for words in told[q]:
+            by_word.setdefault(max(words, key=len), []).append((at, words))
+    rows = items.select("item_key", F.lower(folded(F.coalesce(text, F.lit("")))).alias("_text"))
+    named = items.sparkSession.createDataFrame(list(enumerate(ids)), f"_at int, query_id {kind.simpleString()}")
+    every = rows.mapInArrow(_held(by_word), f"_at int, item_key {key.simpleString()}").join(F.broadcast(named), "_at")  # a stated query set
     order = Window.partitionBy("query_id").orderBy("item_key")
-    every = reduce(DataFrame.unionByName, found)
     return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query_id", "item_key", "rank")
 
 

@@ -26,6 +26,19 @@ def test_each_step_takes_what_is_left(spark, monkeypatch):
     assert told(cascade.cascade(items, queries, limit=1)) == [x for x in want if x != (3, "author only", 3)]
 
 
+def test_all_queries_meet_the_items_in_one_scan(spark):
+    """Hundreds of queries neither read the items again nor name their words in the plan."""
+    items = spark.createDataFrame([(i, f"Paper {i} näher 20{i % 100:02d}") for i in range(300)], "item_key long, brief string")
+    asked = spark.createDataFrame([(f"q{i}", f"paper {i} naher") for i in range(250)], "query_id string, said string")
+    got = cascade.matched(items, F.col("brief"), asked, 3)
+    plan = got._jdf.queryExecution().toString()
+    assert plan.count("item_key#") and "naher" not in plan and "Union" not in plan
+    said = {f"q{i}": ["paper", str(i), "naher"] for i in range(250)}
+    texts = [(k, f"paper {k} naher 20{k % 100:02d}") for k in range(300)]
+    want = {(q, k, r + 1) for q, words in said.items() for r, k in enumerate([k for k, t in texts if all(w in t for w in words)][:3])}
+    assert {(r.query_id, r.item_key, r.rank) for r in got.collect()} == want
+
+
 def _plain(needle, text, least):
     words = lambda s: re.findall(r"[^\W_]+", (s or "").lower())
     p, t = words(needle), words(text)
