@@ -63,12 +63,13 @@ def document_filter(where: Mapping, document: Column) -> Column:
 # --------------------------------------------------------------------------- search
 
 
-def search(docs: DataFrame, index: DataFrame, queries: DataFrame, vectors: DataFrame, limit: int = 10, config: Mapping | None = None, where: Mapping | None = None, where_document: Mapping | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None, metric: str = "l2", allowed: Allowed | None = None, postings: Segments | None = None) -> DataFrame:
+def search(docs: DataFrame, index: DataFrame, queries: DataFrame, vectors: DataFrame, limit: int = 10, config: Mapping | None = None, where: Mapping | None = None, where_document: Mapping | None = None, rerank: Callable[[DataFrame], DataFrame] | None = None, metric: str = "l2", allowed: Allowed | None = None, postings: Segments | None = None, shared: dict | None = None) -> DataFrame:
     """query_id, rank, item_key, aliases, depth of a stated query set. ``docs`` has item_key, title, doi,
     document; ``index`` item_key, embedding and what ``where`` names; ``queries`` query_id, text; ``vectors`` query_id,
     qv. The candidates' depth doubles for the queries that have too few rows left, until they have enough, or
     all rows were candidates. Where the filter is one that the lexical branch does not know, it is left out. ``allowed`` says what
-    single queries may find, in both branches; with ``postings``, a kept index, documents are read for titles only."""
+    single queries may find, in both branches; with ``postings``, a kept index, documents are read for titles only. Searches that differ in their
+    ``config`` alone may have one ``shared``: candidates of either branch and titles that one of them made, the others take from it."""
     settings = DEFAULTS | dict(config or {})
     if settings["mode"] not in ("dense", "hybrid"):
         raise ValueError("the mode is dense or hybrid")
@@ -77,21 +78,30 @@ def search(docs: DataFrame, index: DataFrame, queries: DataFrame, vectors: DataF
     rows = index.filter(passed) if passed is not None else index
     if where_document is not None:
         rows = rows.join(docs.filter(document_filter(where_document, F.col("document"))).select("item_key"), "item_key", "left_semi")
-    count = index.count()
+    once = _once({} if shared is None else shared)
+    count = once(("count",), index.count)
     pool = limit * MULTIPLIER if rerank else limit
     depth, waiting, done = min(max(LEAST_DEPTH, pool), count), [r["query_id"] for r in queries.select("query_id").collect()], []  # a stated query set
     while waiting and count:
         asked, asked_vectors = queries.filter(F.col("query_id").isin(waiting)), vectors.filter(F.col("query_id").isin(waiting))
-        dense = kept(dense_topk(rows, asked_vectors, depth, metric, allowed=allowed), "dense")
+        these = depth, tuple(waiting)
+        dense = once(("dense", *these), lambda: kept(dense_topk(rows, asked_vectors, depth, metric, allowed=allowed), "dense"))
         found, reached = dense.withColumnRenamed("score", "exact").withColumn("lexical_rank", F.lit(None).cast("int")), dense.groupBy("query_id").agg(F.count("*").alias("n_dense"))
         counts = {r["query_id"]: [r["n_dense"], depth] for r in reached.collect()}
         if lexical:
-            words = kept(lexical_topk(docs, asked, depth, settings["title_weight"], rows.select("item_key") if passed is not None or where_document is not None else None, postings, allowed), "lexical")
+            eligible = rows.select("item_key") if passed is not None or where_document is not None else None
+            words = once(("words", settings["title_weight"], *these), lambda: kept(lexical_topk(docs, asked, depth, settings["title_weight"], eligible, postings, allowed), "lexical"))
             counts = {q: [counts.get(q, [0, 0])[0], 0] for q in waiting}
             for r in words.groupBy("query_id").count().collect():
                 counts[r["query_id"]][1] = r["count"]
             found = fuse(dense, words, settings["weights"]["dense"], settings["weights"]["lex"], settings["k"])
-        described = docs.select("item_key", "title", "doi").join(F.broadcast(found), "item_key")  # the queries times a depth
+        titles = docs.select("item_key", "title", "doi")
+        if shared is not None:  # of the rows that either branch found, which are the queries times a depth
+            both = [dense, words] if lexical else [dense]
+            keys = reduce(DataFrame.unionByName, [b.select("item_key") for b in both]).distinct()
+            name = ("titles", settings["title_weight"] if lexical else None, *these)
+            titles = once(name, lambda: kept(titles.join(F.broadcast(keys), "item_key", "left_semi"), "titles"))  # noqa: B023  called at once
+        described = titles.join(F.broadcast(found), "item_key")  # the queries times a depth
         if lexical and settings["gate"]:
             described = _gated(described, asked, settings["k"], settings["gate_min_tokens"], settings["gate_threshold"])
         chosen = kept(select_results(described, pool, settings["noise_policy"], settings["collapse"]).withColumn("depth", F.lit(depth)), "chosen")
@@ -105,6 +115,17 @@ def search(docs: DataFrame, index: DataFrame, queries: DataFrame, vectors: DataF
     return reranked(out, rerank(out), limit) if rerank else out
 
 
+def _once(held: dict) -> Callable:
+    """What is asked for by a key is made once."""
+
+    def get(key: tuple, make: Callable):
+        if key not in held:
+            held[key] = make()
+        return held[key]
+
+    return get
+
+
 def reranked(found: DataFrame, scores: DataFrame, limit: int) -> DataFrame:
     """``found`` in the order of ``scores`` (query_id, item_key, rerank_score), the best first, ties as they were."""
     from pyspark.sql import Window
@@ -131,23 +152,26 @@ def enriched_share(found: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- the evaluator
 
 
-def evaluate(suite: DataFrame, docs: DataFrame, index: DataFrame, vectors: DataFrame, name: str, k: int = 100, overrides: Mapping | None = None, skip_missing: bool = False, partition: str | None = None, postings: Segments | None = None) -> tuple[DataFrame, DataFrame]:
+def evaluate(suite: DataFrame, docs: DataFrame, index: DataFrame, vectors: DataFrame, name: str, k: int = 100, overrides: Mapping | None = None, skip_missing: bool = False, partition: str | None = None, postings: Segments | None = None, shared: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """Rankings (query_id, system, rank, item_key) of a suite's queries under a profile, each over its eligible
     items, and per query the overlap of its ten best with the exact cosine order. A query without a vector fails,
-    or is left out. All queries are ranked together: candidates and exclusions travel with them, and each depth is one scan."""
+    or is left out. All queries are ranked together: candidates and exclusions travel with them, and each depth is one scan.
+    Profiles of one suite and partition over the same rows may have one ``shared``: what they have in common is made once."""
     if not 1 <= k <= 100:
         raise ValueError("k is within 1 and 100")
     settings, rows = profile(name, overrides), checked_suite(suite)
     if partition is not None:
         rows = rows.filter(F.col("partition") == partition)
-    missing = [r["query_id"] for r in rows.join(vectors, "query_id", "left_anti").select("query_id").collect()]  # a stated query set
+    once = _once({} if shared is None else shared)
+    missing = once(("missing",), lambda: [r["query_id"] for r in rows.join(vectors, "query_id", "left_anti").select("query_id").collect()])  # a stated query set
     if missing and not skip_missing:
         raise ValueError(f"no vector for {', '.join(map(str, missing))}")
     rows = rows.filter(~F.col("query_id").isin(missing)) if missing else rows
-    allowed, asked = Allowed.of(rows), rows.select("query_id", "text")
+    allowed, asked = once(("allowed",), lambda: Allowed.of(rows)), rows.select("query_id", "text")
     mine = vectors.join(F.broadcast(asked.select("query_id")), "query_id", "left_semi")  # a stated query set
-    found = search(docs, index, asked, mine, k, settings, allowed=allowed, postings=postings)
-    held = overlap_at(dense_topk(index, mine, 10, "cosine", allowed=allowed), found, 10)
+    found = search(docs, index, asked, mine, k, settings, allowed=allowed, postings=postings, shared=shared)
+    exact = dense_topk(index, mine, 10, "cosine", allowed=allowed)
+    held = overlap_at(exact if shared is None else once(("exact",), lambda: kept(exact, "exact")), found, 10)
     overlaps = rows.select("query_id").join(held, "query_id", "left").select("query_id", F.coalesce("overlap", F.lit(1.0)).alias("overlap"))
     return found.select("query_id", F.lit(name).alias("system"), "rank", "item_key"), overlaps
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cascade, lines, order, passages, retrieval, search
 from ..operators.changes import PROFILES
-from ..session import remove_at_exit, shared_folder
+from ..session import kept, remove_at_exit, shared_folder
 from ..sources import hashtree, paged
 from ..sources.layers import LayeredIndex
 from ..sources.postings import SegmentedPostings
@@ -262,11 +262,11 @@ def _suite(spark, sf_dir) -> DataFrame:
 def evaluation(spark, sf_dir) -> DataFrame:
     """The suite under each profile: the ten best of each query, and how many of its exact ten are among them."""
     suite, index = _suite(spark, sf_dir), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item_key"), "embedding")
-    vectors = plans._paired(spark, sf_dir).withColumn("query_id", F.col("query_id").cast("string"))
-    docs, kept_index = plans._docs(spark, sf_dir), plans.lexicon(spark, sf_dir)
+    vectors = kept(plans._paired(spark, sf_dir).withColumn("query_id", F.col("query_id").cast("string")), "asked")  # a stated query set
+    docs, kept_index, shared = plans._docs(spark, sf_dir), plans.lexicon(spark, sf_dir), {}
     out = None
     for name in PROFILES:
-        found, overlaps = search.evaluate(suite, docs, index, vectors, name, 10, skip_missing=True, postings=kept_index)
+        found, overlaps = search.evaluate(suite, docs, index, vectors, name, 10, skip_missing=True, postings=kept_index, shared=shared)
         rows = found.join(F.broadcast(overlaps), "query_id").select("query_id", "system", "rank", F.col("item_key").cast("long").alias("item_key"), F.round("overlap", 6).alias("overlap"))  # a stated query set
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -157,3 +157,22 @@ def test_repeated_attachments(spark):
     a = spark.createDataFrame([(1, "k", "application/pdf", "a.pdf", "m", ""), (2, "d", "application/pdf", "a.pdf", "m", None), (3, "d", "text/html", "b", None, "u")], "itemID int, parentItem string, contentType string, filename string, md5 string, url string")
     groups = spark.createDataFrame([("k", "k"), ("k", "d")], "keeper string, member string")
     assert [r.itemID for r in I.repeated_attachments(a, groups).collect()] == [2]
+
+
+def test_profiles_share_what_they_have_in_common(spark, monkeypatch):
+    """Both branches are scored once for all profiles of a suite, with the same rankings as each alone."""
+    docs, index, _, _ = _corpus(spark)
+    schema = "query_id string, text string, exclude_ids array<string>, candidate_ids array<string>"
+    suite = spark.createDataFrame([("q1", "one", [], None), ("q2", "two", ["a"], ["a", "b"])], schema)
+    vectors = spark.createDataFrame([("q1", [1.0, 0.0, 0.0]), ("q2", [1.0, 0.0, 0.0])], "query_id string, qv array<double>")
+    names, told = ("dense-collapse", "hybrid-rrf", "hybrid-gated-collapse"), []
+    for name in ("lexical_topk", "dense_topk"):
+        monkeypatch.setattr(search, name, lambda *a, f=getattr(search, name), n=name, **k: told.append(n) or f(*a, **k))
+
+    def ranked(**more):
+        told.clear()
+        return [[sorted(map(tuple, df.collect())) for df in search.evaluate(suite, docs, index, vectors, n, 2, **more)] for n in names]
+
+    alone = ranked()
+    assert told.count("lexical_topk") == 2
+    assert ranked(shared={}) == alone and told.count("lexical_topk") == 1
