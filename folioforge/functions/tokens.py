@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W_]+")
+_BEYOND = re.compile(r"[^\x00-\x7f]+")
 
 
 def words(text: str | None) -> list[str]:
@@ -22,7 +23,7 @@ def words(text: str | None) -> list[str]:
 def without_marks(text: str) -> str:
     if text.isascii():
         return text
-    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
+    return _BEYOND.sub(lambda m: "".join(c for c in m[0] if not unicodedata.combining(c)), unicodedata.normalize("NFD", text))
 
 
 def indexed_words(text: str | None) -> list[str]:

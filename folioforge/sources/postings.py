@@ -14,6 +14,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,61 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), keys.take(pa.array(rows, pa.int64())), pa.array(ft, pa.int32()), pa.array(fd, pa.int32()), pa.array(lengths, pa.int64())], names=["t", "item_key", "ft", "fd", "l"])
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(t, keys, ft, fd, l): of texts of some BLOCK_WORDS words together, a row a term with the texts that hold it."""
+    for whole in batches:
+        held, n = [], 0
+        for at in range(0, whole.num_rows, 500):
+            batch = whole.slice(at, 500)
+            said, counts = [], []
+            for title, document in zip(batch.column("title").to_pylist(), batch.column("document").to_pylist()):
+                a, b = indexed_words(title), indexed_words(document)
+                said += a
+                said += b
+                counts.append((len(a), len(b)))
+            held.append((batch.column("item_key"), pa.array(said, pa.string()).dictionary_encode(), np.array(counts, np.int64)))
+            n += len(said)
+            if n >= BLOCK_WORDS:
+                yield _blocked(held)
+                held, n = [], 0
+        if held:
+            yield _blocked(held)
+
+
+def _blocked(held: list[tuple[pa.Array, pa.DictionaryArray, np.ndarray]]) -> pa.RecordBatch:
+    keys, said = pa.concat_arrays([k for k, _, _ in held]), pa.chunked_array([w for _, w, _ in held]).unify_dictionaries()
+    counts = np.concatenate([c for _, _, c in held])
+    code = np.concatenate([c.indices.to_numpy().astype(np.int64) for c in said.chunks])
+    # Of each word its term, text, and whether it is of the title, as one number; equal ones are counted.
+    place = np.repeat(np.arange(counts.size), counts.ravel())
+    found, times = np.unique(code * counts.size + place, return_counts=True)
+    pair, titled = found // 2, found % 2 == 0
+    first = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]][: len(pair)])
+    ft, fd = (np.add.reduceat(np.where(x, times, 0), first) if len(first) else first for x in (titled, ~titled))
+    term, text = pair[first] // len(counts), pair[first] % len(counts)
+    # One block with an empty term stands for the texts themselves.
+    starts = np.r_[0, len(counts) + np.flatnonzero(np.r_[True, term[1:] != term[:-1]][: len(term)]), len(counts) + len(term)]
+    text = np.r_[np.arange(len(counts)), text]
+    names = pa.concat_arrays([pa.array([""]), (said.chunks[-1].dictionary if len(term) else pa.array([], pa.string())).take(pa.array(term[starts[1:-1] - len(counts)]))])
+    none = np.zeros(len(counts), np.int64)
+    columns = (keys.take(pa.array(text)), pa.array(np.r_[none, ft], pa.int32()), pa.array(np.r_[none, fd], pa.int32()), pa.array(counts.sum(1)[text]))
+    return _rows(names, starts, columns)
+
+
+def _rows(terms: pa.Array, starts: np.ndarray, columns: tuple) -> pa.RecordBatch:
+    offsets = pa.array(starts, pa.int32())
+    return pa.RecordBatch.from_arrays([terms, *[pa.ListArray.from_arrays(offsets, c) for c in columns]], names=["t", "keys", "ft", "fd", "l"])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (t, item_key, ft, fd, l) as blocks: neighbours of one term together."""
+    for batch in batches:
+        if batch.num_rows:
+            codes = batch.column("t").dictionary_encode().indices.to_numpy()
+            starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1], True])
+            yield _rows(batch.column("t").take(pa.array(starts[:-1])), starts, tuple(batch.column(c) for c in ("item_key", "ft", "fd", "l")))
+
+
 def part_of(term: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
 
@@ -108,11 +164,14 @@ def of_terms(rows: DataFrame, parts: int, terms: list[str]) -> DataFrame:
 
 #: Segments of about one size that are merged into one, and removed keys that are broadcast at most.
 FAN, FEW_KEYS = 4, 1_000_000
+#: Words of the texts that share a block a term, and a few more.
+BLOCK_WORDS = 1 << 21
 
 
 class SegmentedPostings(Manifests):
     """An index that grows: each arrival of documents is a segment with postings, counts and titles of its own, each removal a
-    folder of keys that older segments no longer have. A manifest lists both, with the documents and words that each
+    folder of keys that older segments no longer have. Postings lie in blocks (t, keys, ft, fd, l): a row has a term and arrays of the texts of one
+    batch that hold it, so what is dealt, sorted and written are blocks. A manifest lists both, with the documents and words that each
     segment still has, so a reader opens one version without looking at the documents. Segments of one size are
     merged once there are FAN of them, and removals go when no older segment is left."""
 
@@ -149,19 +208,19 @@ class SegmentedPostings(Manifests):
         doi = F.col("doi").cast("string") if "doi" in docs.columns else F.lit(None).cast("string")
         records = docs.select("item_key", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("document", F.lit("")).alias("document"), doi.alias("doi"))
         parts, kind = parts_for(records.count()), records.schema["item_key"].dataType.simpleString()
-        rows = records.select("item_key", "title", "document").mapInArrow(_counted, f"t string, item_key {kind}, ft int, fd int, l long")
+        rows = records.select("item_key", "title", "document").mapInArrow(_blocks, _block_of(kind))
         return self._save(rows, records.select("item_key", "title", "doi"), parts, at)
 
     def _save(self, rows: DataFrame, titles: DataFrame, parts: int, at: int) -> dict:
         name = f"segment-{uuid.uuid4().hex[:12]}"
         rows = rows.withColumn("part", part_of(F.col("t"), parts))
-        dealt = rows.repartition(parts * SALTS, "part", F.pmod(F.xxhash64("item_key"), F.lit(SALTS))).sortWithinPartitions("part", "t")
+        dealt = rows.repartition(parts * SALTS, "part", F.pmod(F.xxhash64(F.col("keys")[0]), F.lit(SALTS))).sortWithinPartitions("part", "t")
         dealt.write.partitionBy("part").parquet(f"{self.folder}/{name}/postings")
         saved = self._read(f"{name}/postings")
-        counts = saved.groupBy("part", "t").agg(F.count("*").alias("n"))
+        counts = saved.groupBy("part", "t").agg(F.sum(F.size("keys")).cast("long").alias("n"))
         counts.repartition(parts, "part").sortWithinPartitions("t").write.partitionBy("part").parquet(f"{self.folder}/{name}/counts")
         titles.write.parquet(f"{self.folder}/{name}/titles")
-        whole = _documents(saved, parts).agg(F.count("*").alias("n"), F.coalesce(F.sum("l"), F.lit(0)).alias("l")).first()  # one row
+        whole = _documents(_each_text(saved), parts).agg(F.count("*").alias("n"), F.coalesce(F.sum("l"), F.lit(0)).alias("l")).first()  # one row
         return {"path": name, "at": at, "parts": parts, "n": whole["n"], "length": whole["l"]}
 
     def _without(self, m: dict, keys: DataFrame) -> tuple[list[dict], list[dict]]:
@@ -189,7 +248,7 @@ class SegmentedPostings(Manifests):
         if not chosen:
             return m["version"]
         now = Segments(self, m)
-        rows = [now.live(s, now.postings(s)).drop("part") for s in chosen]
+        rows = [now.blocks(s).drop("part") for s in chosen]
         titles = [now.live(s, self._read(f"{s['path']}/titles")) for s in chosen]
         for more in rows[1:]:
             rows[0] = rows[0].unionByName(more)
@@ -211,7 +270,15 @@ class Segments:
         self.average = sum(s["length"] for s in manifest["segments"]) / self.documents if self.documents else 1.0
 
     def postings(self, segment: dict) -> DataFrame:
-        return self.index._read(f"{segment['path']}/postings")
+        return _each_text(self.index._read(f"{segment['path']}/postings"))
+
+    def blocks(self, segment: dict) -> DataFrame:
+        """What is left of a segment; blocks of one that lost nothing are taken as they are."""
+        whole = self.index._read(f"{segment['path']}/postings")
+        if not self._gone(segment):
+            return whole
+        left = self.live(segment, _each_text(whole)).select("t", "item_key", "ft", "fd", "l")
+        return left.mapInArrow(_gathered, _block_of(left.schema["item_key"].dataType.simpleString()))
 
     def _gone(self, segment: dict) -> list[dict]:
         return [g for g in self.manifest["gone"] if g["at"] > segment["at"]]
@@ -256,3 +323,13 @@ class Segments:
 def _documents(rows: DataFrame, parts: int) -> DataFrame:
     """The one row of each document that has its length."""
     return rows.filter((F.col("part") == part_of(F.lit(""), parts)) & (F.col("t") == ""))
+
+
+def _block_of(kind: str) -> str:
+    return f"t string, keys array<{kind}>, ft array<int>, fd array<int>, l array<long>"
+
+
+def _each_text(blocks: DataFrame) -> DataFrame:
+    """A row a term and text."""
+    zipped = F.arrays_zip(F.col("keys").alias("item_key"), "ft", "fd", "l")
+    return blocks.select("part", "t", F.inline(zipped))

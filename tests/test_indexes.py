@@ -96,6 +96,21 @@ def test_segments_of_one_size_are_merged(spark, tmp_path):
     assert [s["n"] for s in index.manifest()["segments"]] == [4] and index.open().frequencies(["all", "word2", "none"]) == {"all": 4, "word2": 1}
 
 
+def test_a_segment_has_a_row_a_term_and_batch(spark, tmp_path):
+    """Words that every text holds are one row of a batch, not a row a text; removals still reach single texts, before and after a merge."""
+    index = SegmentedPostings(spark, f"file://{tmp_path}/seg")
+    for first in (0, 300):
+        index.add(_docs(spark, [(i, "head é", f"all of it all {'odd' if i % 2 else 'even'}") for i in range(first, first + 300)]).coalesce(1))
+    at = index.open()
+    stored = [spark.read.parquet(f"{index.folder}/{s['path']}/postings").filter("t = 'all'").count() for s in at.manifest["segments"]]
+    assert stored == [1, 1] and at.frequencies(["all", "odd", "e"]) == {"all": 600, "odd": 300, "e": 600}
+    index.remove(spark.createDataFrame([(i,) for i in range(0, 600, 3)], "item_key long"))
+    for _ in range(2):
+        rows = {(r.item_key, r.ft, r.fd, r.l) for r in index.open().of_terms(["all"]).collect()}
+        assert rows == {(i, 0, 2, 7) for i in range(600) if i % 3} and index.open().frequencies(["even"]) == {"even": 200}
+        index.merge()
+
+
 # --------------------------------------------------------------------------- layers
 
 
